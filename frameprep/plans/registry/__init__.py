@@ -1,3 +1,3 @@
 """Query registrations, one module per stage."""
 
-from frameprep.plans.registry import outliers, profile  # noqa: F401
+from frameprep.plans.registry import cleaning, outliers, profile  # noqa: F401
