@@ -21,7 +21,7 @@ def round_half_away(x: float | None, digits: int) -> float | None:
     r = math.floor(y)
     if y - r >= 0.5:
         r += 1
-    return math.copysign(r / m, x) if r != 0 else 0.0
+    return math.copysign(r / m, x)
 
 
 def fixed(c: Column, digits: int = 6) -> Column:

@@ -1,3 +1,3 @@
 """Query registrations, one module per stage."""
 
-from frameprep.plans.registry import cleaning, encoding, outliers, profile  # noqa: F401
+from frameprep.plans.registry import cleaning, encoding, features, outliers, profile  # noqa: F401
