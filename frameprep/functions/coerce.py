@@ -33,6 +33,17 @@ DATETIME_FORMATS = (
     ("dd/MM/yyyy", "%d/%m/%Y"),
     ("dd-MM-yyyy", "%d-%m-%Y"),
 )
+# The shape a value must have before a format is even tried (a cheap regex
+# in front of the parser, which is slow on text that cannot match).
+DATETIME_SHAPES = {
+    "yyyy-MM-dd HH:mm:ss": r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\s*$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\s*\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\s*$",
+    "yyyy-MM-dd": r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$",
+    "yyyy/MM/dd": r"^\s*\d{4}/\d{1,2}/\d{1,2}\s*$",
+    "MM/dd/yyyy": r"^\s*\d{1,2}/\d{1,2}/\d{4}\s*$",
+    "dd/MM/yyyy": r"^\s*\d{1,2}/\d{1,2}/\d{4}\s*$",
+    "dd-MM-yyyy": r"^\s*\d{1,2}-\d{1,2}-\d{4}\s*$",
+}
 # Column names that are time parts and are never scaled.
 TEMPORAL_NAMES = ("year", "date", "month", "day", "timestamp")
 # ---------------------------------------------------------------------------
@@ -109,7 +120,9 @@ def as_number(df: DataFrame, name: str) -> Column:
 
 def parse_datetime(c: Column, spark_format: str) -> Column:
     """Text to TIMESTAMP_NTZ under one format; anything else becomes NULL."""
-    return F.try_to_timestamp(F.trim(c), F.lit(spark_format)).cast("timestamp_ntz")
+    parsed = F.try_to_timestamp(F.trim(c), F.lit(spark_format)).cast("timestamp_ntz")
+    shape = DATETIME_SHAPES.get(spark_format)
+    return F.when(c.rlike(shape), parsed) if shape else parsed
 
 
 def normalise_value(c: Column, dt: T.DataType) -> Column:
