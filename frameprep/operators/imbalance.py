@@ -222,47 +222,56 @@ def _projection(d: int, seed: int) -> list[float]:
     return [float(x) for x in u / np.linalg.norm(u)]
 
 
-def _sq_dist(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z)
+def _sq_dist(a: Column, b: Column, d: int) -> Column:
+    """Squared distance written out per dimension, so it compiles to plain code."""
+    total = None
+    for i in range(d):
+        diff = a.getItem(i) - b.getItem(i)
+        total = diff * diff if total is None else total + diff * diff
+    return total if total is not None else F.lit(0.0)
 
 
-def nearest_neighbours(points: DataFrame, counts: dict[str, int], k: int) -> DataFrame:
+def nearest_neighbours(points: DataFrame, counts: dict[str, int], k: int, d: int) -> DataFrame:
     """Exact k nearest neighbours inside each class.
 
     ``points``: (__cls, __rank, __p, __vec) with ``__rank`` the position in
     ``__p`` order inside the class. Returns (__cls, __rank, __nbrs array<long>).
+    Each row carries its own window ``__w``; an unsettled row's next window is
+    sized from the local density of the projection so that it covers the gap
+    its k-th distance asks for (at least doubling, never past the class).
     """
     spark = points.sparkSession
     sizes = spark.createDataFrame([(c, n) for c, n in counts.items()], "__cls STRING, __n BIGINT")
-    todo = points.select("__cls", "__rank", "__p", "__vec").join(F.broadcast(sizes), "__cls")
+    base = points.select("__cls", "__rank", "__p", "__vec")
+    todo = base.join(F.broadcast(sizes), "__cls").withColumn("__w", F.lit(2 * k).cast("long"))
     cand_side = points.select(
         F.col("__cls"), F.col("__rank").alias("__j"), F.col("__p").alias("__pj"), F.col("__vec").alias("__vj")
     )
     done = []
-    w = k
-    max_n = max(counts.values())
     while True:
         req = todo.withColumn(
             "__j",
-            F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("__rank") - w),
-                                 F.least(F.col("__n") - 1, F.col("__rank") + w))),
+            F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("__rank") - F.col("__w")),
+                                 F.least(F.col("__n") - 1, F.col("__rank") + F.col("__w")))),
         ).where(F.col("__j") != F.col("__rank"))
-        pairs = req.join(cand_side, ["__cls", "__j"]).withColumn("__d2", _sq_dist(F.col("__vec"), F.col("__vj")))
-        best = pairs.groupBy("__cls", "__rank", "__p", "__n").agg(
+        pairs = req.join(cand_side, ["__cls", "__j"]).withColumn("__d2", _sq_dist(F.col("__vec"), F.col("__vj"), d))
+        best = pairs.groupBy("__cls", "__rank", "__p", "__n", "__w").agg(
             F.slice(F.sort_array(F.collect_list(F.struct("__d2", "__j"))), 1, k).alias("__best"),
             F.min("__pj").alias("__plo"), F.max("__pj").alias("__phi"),
         )
         kth = F.sqrt(F.element_at(F.col("__best"), -1).getField("__d2"))
-        low_ok = (F.col("__rank") - w <= 0) | (F.col("__p") - F.col("__plo") >= kth)
-        high_ok = (F.col("__rank") + w >= F.col("__n") - 1) | (F.col("__phi") - F.col("__p") >= kth)
-        settled_flag = low_ok & high_ok
-        best = best.withColumn("__ok", settled_flag).checkpoint(eager=True)
+        low_ok = (F.col("__rank") - F.col("__w") <= 0) | (F.col("__p") - F.col("__plo") >= kth)
+        high_ok = (F.col("__rank") + F.col("__w") >= F.col("__n") - 1) | (F.col("__phi") - F.col("__p") >= kth)
+        spread = F.col("__phi") - F.col("__plo")
+        density = F.when(spread > 0, F.lit(2.0) * F.col("__w") / spread)
+        wanted = F.ceil(kth * density * F.lit(1.25)) + F.lit(k)
+        next_w = F.least(F.col("__n"), F.greatest(F.col("__w") * 2, F.coalesce(wanted, F.col("__w") * 4)))
+        best = best.withColumn("__ok", low_ok & high_ok).withColumn("__next", next_w.cast("long")).checkpoint(eager=True)
         done.append(best.where("__ok").select("__cls", "__rank", F.transform("__best", lambda s: s.getField("__j")).alias("__nbrs")))
-        left = best.where(~F.col("__ok")).select("__cls", "__rank")
-        if w >= max_n or left.limit(1).count() == 0:
+        left = best.where(~F.col("__ok")).select("__cls", "__rank", "__n", F.col("__next").alias("__w"))
+        if left.limit(1).count() == 0:
             break
-        w *= 2
-        todo = points.select("__cls", "__rank", "__p", "__vec").join(left, ["__cls", "__rank"]).join(F.broadcast(sizes), "__cls")
+        todo = base.join(left, ["__cls", "__rank"])
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -279,7 +288,9 @@ def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOUR
             raise ValueError(f"SMOTE needs numeric features; '{c}' is {fm.schema[c].dataType.simpleString()}")
     u = _projection(len(feats), seed)
     vec = F.array(*[F.col(c).cast("double") for c in feats])
-    proj = F.aggregate(F.zip_with(vec, F.array(*[F.lit(x) for x in u]), lambda a, b: a * b), F.lit(0.0), lambda acc, z: acc + z)
+    proj = F.lit(0.0)
+    for x, c in zip(u, feats):
+        proj = proj + F.lit(x) * F.col(c).cast("double")
     base = fm.withColumn("__vec", vec).withColumn("__p", proj).withColumn("__h", F.xxhash64(F.lit(seed), vec))
     ranked, counts = _ranked_by_class(base, target, ["__p", "__h", "__vec"])
     if not counts:
@@ -292,7 +303,7 @@ def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOUR
     if not grow:
         return fm
     points = ranked.select("__cls", "__rank", "__p", "__vec").where(F.col("__cls").isin(list(grow))).checkpoint(eager=True)
-    nbrs = nearest_neighbours(points, {c: counts[c] for c in grow}, k)
+    nbrs = nearest_neighbours(points, {c: counts[c] for c in grow}, k, len(feats))
 
     spark = df.sparkSession
     # synthetic draw ids 0..M-1, laid out class after class (sorted class text)
