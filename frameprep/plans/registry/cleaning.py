@@ -119,11 +119,13 @@ def _schema_numeric_sql(tbl: str, c: str, dtype: str, key: str) -> str:
     FROM base, smp"""
 
 
-@register(
-    "schema_evidence",
-    union_all([_schema_numeric_sql("orders_text", "o_orderkey", "bigint", "o_orderkey")]
-              + [_schema_text_sql("orders_text", c, "o_orderkey") for c in ("custkey_txt", "orderdate_txt", "o_orderpriority")]),
+ORACLE_SCHEMA_EVIDENCE = union_all(
+    [_schema_numeric_sql("orders_text", "o_orderkey", "bigint", "o_orderkey")]
+    + [_schema_text_sql("orders_text", c, "o_orderkey") for c in ("custkey_txt", "orderdate_txt", "o_orderpriority")]
 )
+
+
+@register("schema_evidence", ORACLE_SCHEMA_EVIDENCE)
 def q_schema_evidence(spark, sf):
     return S.analyze_schema(table(spark, sf, "orders_text"), order_by="o_orderkey")
 

@@ -140,16 +140,16 @@ def q_missing_columns(spark, sf):
     return spark.createDataFrame([(c,) for c in cols], "column_name STRING")
 
 
-@register(
-    "missing_evidence",
-    """SELECT 'value' AS column_name, 'Numeric' AS column_type, CAST(count(*) - count(value) AS BIGINT) AS missing_count,
+ORACLE_MISSING_EVIDENCE = """SELECT 'value' AS column_name, 'Numeric' AS column_type, CAST(count(*) - count(value) AS BIGINT) AS missing_count,
               round(CAST(count(*) - count(value) AS DOUBLE) / count(*) * 100, 2) AS missing_percentage,
               round(coalesce(skewness(value), 0), 4) AS skewness FROM events_missing
        UNION ALL
        SELECT 'event_type', 'Categorical', CAST(count(*) - count(event_type) AS BIGINT),
               round(CAST(count(*) - count(event_type) AS DOUBLE) / count(*) * 100, 2), CAST(NULL AS DOUBLE)
-       FROM events_missing""",
-)
+       FROM events_missing"""
+
+
+@register("missing_evidence", ORACLE_MISSING_EVIDENCE)
 def q_missing_evidence(spark, sf):
     return P.missing_evidence(table(spark, sf, "events_missing"))
 
