@@ -214,7 +214,7 @@ def encode(df: DataFrame, column: str, action: str, target: str | None = None, o
 
 
 def apply_encoding_actions(df: DataFrame, actions, target: str | None = None,
-                           order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+                           order_by: str | None = None, record: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Plan order; unknown columns and the target are skipped. All
     encodings are fitted on the incoming frame (columns are independent)."""
     actions = list(actions.items()) if isinstance(actions, dict) else list(actions)
@@ -223,6 +223,8 @@ def apply_encoding_actions(df: DataFrame, actions, target: str | None = None,
             raise ValueError(f"Unknown encoding action: {a}")
     actions = [(c, a) for c, a in actions if c in df.columns and c != target]
     fitted = [fit_encoding(df, c, a, target, order_by) for c, a in actions]
+    if record is not None:
+        record.extend(fitted)
     out = df
     summary = []
     for enc in fitted:

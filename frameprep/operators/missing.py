@@ -82,13 +82,15 @@ def _filled(df: DataFrame, c: str, action: str, value):
     return F.coalesce(col, F.lit(value).cast(dt))
 
 
-def apply_missing_actions(df: DataFrame, actions) -> tuple[DataFrame, DataFrame]:
+def apply_missing_actions(df: DataFrame, actions, record: list | None = None) -> tuple[DataFrame, DataFrame]:
     """M6: fit every fill on the incoming frame, apply all in one projection.
     Summary: action, missing before, missing after, per column."""
     actions = list(actions.items()) if isinstance(actions, dict) else list(actions)
     check_actions(df, actions)
     actions = [(c, a) for c, a in actions if c in df.columns]
     fills = fit_fills(df, actions)
+    if record is not None:
+        record.append(fills)
     n, before = missing_counts(df, [c for c, _ in actions])
     drops = [c for c, a in actions if a == "Drop Column"]
     exprs = {c: _filled(df, c, a, fills[c]) for c, a in actions if a in ("Mean", "Median", "Mode")}

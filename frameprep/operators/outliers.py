@@ -159,9 +159,10 @@ def check_actions(actions: list[tuple[str, str]]) -> None:
             raise ValueError(f"Unknown outlier action: {a}")
 
 
-def apply_outlier_actions(df: DataFrame, actions) -> tuple[DataFrame, DataFrame]:
+def apply_outlier_actions(df: DataFrame, actions, record: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply (column, action) in order. Each column is fitted on the rows the
-    earlier actions left. Returns the new frame and a summary frame."""
+    earlier actions left. Returns the new frame and a summary frame. ``record``
+    collects (column, action, fitted statistics) to replay on other data."""
     actions = list(actions.items()) if isinstance(actions, dict) else list(actions)
     check_actions(actions)
     spark = df.sparkSession
@@ -195,15 +196,18 @@ def apply_outlier_actions(df: DataFrame, actions) -> tuple[DataFrame, DataFrame]
                     "rows_before": rows, "rows_after": rows,
                 })
             df = df.withColumns({c: _winsorized(df, c, fit[c]) for c in cols})
+            if record is not None:
+                record.extend((c, "Winsorization", fit[c]) for c in cols)
             i = j
             continue
         c, a = actions[i]
         if a == "No Action":
             keep = None
-        elif a in ("IQR", "Remove Rows"):
-            keep = _keep_iqr(df, c, fit_bounds(df, [c])[c])
-        else:  # Z-Score
-            keep = _keep_z(df, c, moments(df, [c])[c])
+        else:
+            stats = fit_bounds(df, [c])[c] if a in ("IQR", "Remove Rows") else moments(df, [c])[c]
+            keep = _keep_iqr(df, c, stats) if a in ("IQR", "Remove Rows") else _keep_z(df, c, stats)
+            if record is not None:
+                record.append((c, a, stats))
         removed = 0
         if keep is not None:
             removed = int(df.agg(F.count_if(~keep).alias("r")).first()["r"])
@@ -215,3 +219,15 @@ def apply_outlier_actions(df: DataFrame, actions) -> tuple[DataFrame, DataFrame]
         rows -= removed
         i += 1
     return df, frame(spark, summary, SUMMARY_DDL)
+
+
+def replay(df: DataFrame, recorded: list) -> DataFrame:
+    """Apply recorded outlier steps (fitted elsewhere) as filters / projections."""
+    for c, a, stats in recorded:
+        if a == "Winsorization":
+            df = df.withColumn(c, _winsorized(df, c, stats))
+        elif a in ("IQR", "Remove Rows"):
+            df = df.where(_keep_iqr(df, c, stats))
+        elif a == "Z-Score":
+            df = df.where(_keep_z(df, c, stats))
+    return df

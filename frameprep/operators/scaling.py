@@ -128,7 +128,7 @@ def scale(df: DataFrame, column: str, action: str) -> DataFrame:
     return out
 
 
-def apply_scaling_actions(df: DataFrame, actions) -> tuple[DataFrame, DataFrame]:
+def apply_scaling_actions(df: DataFrame, actions, record: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Plan order, unknown columns skipped; one fit, one projection.
     After-min/max follow from before-min/max: every scaler is increasing."""
     actions = list(actions.items()) if isinstance(actions, dict) else list(actions)
@@ -137,6 +137,8 @@ def apply_scaling_actions(df: DataFrame, actions) -> tuple[DataFrame, DataFrame]
             raise ValueError(f"Unknown scaling action: {a}")
     actions = [(c, a) for c, a in actions if c in df.columns]
     scalers, mom = fit_scalers(df, actions)
+    if record is not None:
+        record.append(scalers)
     out = df.withColumns({c: sc.expr(df) for c, sc in scalers.items()}) if scalers else df
     summary = []
     for c, a in actions:

@@ -168,7 +168,8 @@ def apply_schema_action(df: DataFrame, column: str, action: str, datetime_format
 
 
 def apply_schema_actions(
-    df: DataFrame, actions, duplicate_action: str = "Keep Duplicates", formats: dict[str, str] | None = None
+    df: DataFrame, actions, duplicate_action: str = "Keep Duplicates", formats: dict[str, str] | None = None,
+    record: list | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Duplicates first (on the raw columns), then every column action in
     one projection. Summary: one dataset row, then one row per column."""
@@ -176,7 +177,7 @@ def apply_schema_actions(
     for _, a in actions:
         if a not in SCHEMA_ACTIONS:
             raise ValueError(f"Unknown schema action: {a}")
-    formats = formats or {}
+    formats = dict(formats or {})
     spark = df.sparkSession
     from frameprep.operators.duplicates import _row_groups
 
@@ -191,6 +192,10 @@ def apply_schema_actions(
     actions = [(c, a) for c, a in actions if c in df.columns]
     exprs, drops = {}, []
     for c, a in actions:
+        if a == "Convert to Datetime" and c not in formats and isinstance(out.schema[c].dataType, T.StringType):
+            formats[c] = best_datetime_format(out, c)
+        if record is not None:
+            record.append((c, a, formats.get(c)))
         e = conversion(out, c, a, formats.get(c))
         if e is None:
             drops.append(c)
