@@ -231,50 +231,123 @@ def _sq_dist(a: Column, b: Column, d: int) -> Column:
     return total if total is not None else F.lit(0.0)
 
 
-def nearest_neighbours(points: DataFrame, counts: dict[str, int], k: int, d: int) -> DataFrame:
-    """Exact k nearest neighbours inside each class.
-
-    ``points``: (__cls, __rank, __p, __vec) with ``__rank`` the position in
-    ``__p`` order inside the class. Returns (__cls, __rank, __nbrs array<long>).
-    Each row carries its own window ``__w``; an unsettled row's next window is
-    sized from the local density of the projection so that it covers the gap
-    its k-th distance asks for (at least doubling, never past the class).
+GRID_DIMS = 3
+PCA_MAX_DIMS = 64
+
+
+def grid_basis(points: DataFrame, d: int, seed: int) -> list[list[float]] | None:
+    """Orthonormal directions for the search grid: none (the raw axes) when
+    d <= 3, else the top principal directions (one aggregate of sums and
+    cross products) or, for very wide rows, fixed random directions. Distance
+    in any orthonormal projection never exceeds the full distance."""
+    if d <= GRID_DIMS:
+        return None
+    if d <= PCA_MAX_DIMS:
+        x = [F.col("__vec").getItem(i) for i in range(d)]
+        exprs = [F.count(F.lit(1)).alias("n")] + [F.sum(x[i]).alias(f"s{i}") for i in range(d)]
+        exprs += [F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
+        r = points.agg(*exprs).first()
+        n = max(int(r["n"]), 1)
+        mean = np.array([r[f"s{i}"] or 0.0 for i in range(d)]) / n
+        cov = np.zeros((d, d))
+        for i in range(d):
+            for j in range(i, d):
+                cov[i, j] = cov[j, i] = (r[f"c{i}_{j}"] or 0.0) / n - mean[i] * mean[j]
+        w, v = np.linalg.eigh(cov)
+        basis = v[:, np.argsort(w)[::-1][:GRID_DIMS]].T
+    else:
+        q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, GRID_DIMS)))
+        basis = q.T
+    return [[float(a) for a in row] for row in basis]
+
+
+def _grid_coords(vec: Column, basis, d: int) -> Column:
+    if basis is None:
+        return F.array(*[vec.getItem(i) for i in range(d)])
+    return F.array(*[sum((F.lit(b[i]) * vec.getItem(i) for i in range(d)), F.lit(0.0)) for b in basis])
+
+
+def _top_k(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
+    return pairs.groupBy(*keys).agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("__d2", "__j"))), 1, k).alias("__best"),
+        F.count(F.lit(1)).alias("__cands"),
+    )
+
+
+def nearest_neighbours(points: DataFrame, counts: dict[str, int], k: int, d: int, seed: int = SEED) -> DataFrame:
+    """Exact k nearest neighbours inside each class, without comparing all pairs.
+
+    ``points``: (__cls, __rank, __p, __vec), ``__rank`` = position in ``__p``
+    (a projection) order inside the class. Returns (__cls, __rank, __nbrs).
+
+    1. Each row looks at the 2k rows on each side in projection order. Their
+       k-th distance is an upper bound ``D`` on the true one, and the row is
+       settled at once if no row outside that window can be nearer.
+    2. Other rows search a grid over (at most three) orthonormal directions:
+       the 3^m cells of side ``s`` around their own cell. A row is settled when
+       its k-th distance found is at most ``s`` (any row outside the block is
+       farther than ``s``); otherwise ``s`` doubles. Searching starts a few
+       levels below ``D`` and is certain to settle once ``s >= D``, so the
+       work follows the local density instead of the class size.
     """
     spark = points.sparkSession
     sizes = spark.createDataFrame([(c, n) for c, n in counts.items()], "__cls STRING, __n BIGINT")
-    base = points.select("__cls", "__rank", "__p", "__vec")
-    todo = base.join(F.broadcast(sizes), "__cls").withColumn("__w", F.lit(2 * k).cast("long"))
-    cand_side = points.select(
-        F.col("__cls"), F.col("__rank").alias("__j"), F.col("__p").alias("__pj"), F.col("__vec").alias("__vj")
+    basis = grid_basis(points, d, seed)
+    m = d if basis is None else GRID_DIMS
+    base = points.select("__cls", "__rank", "__p", "__vec", _grid_coords(F.col("__vec"), basis, d).alias("__g"))
+    base = base.checkpoint(eager=True)
+    w = 2 * k
+    cand = base.select(F.col("__cls"), F.col("__rank").alias("__j"), F.col("__p").alias("__pj"), F.col("__vec").alias("__vj"))
+    req = (
+        base.join(F.broadcast(sizes), "__cls")
+        .withColumn("__j", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("__rank") - w),
+                                                 F.least(F.col("__n") - 1, F.col("__rank") + w))))
+        .where(F.col("__j") != F.col("__rank"))
     )
-    done = []
-    while True:
-        req = todo.withColumn(
-            "__j",
-            F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("__rank") - F.col("__w")),
-                                 F.least(F.col("__n") - 1, F.col("__rank") + F.col("__w")))),
-        ).where(F.col("__j") != F.col("__rank"))
-        pairs = req.join(cand_side, ["__cls", "__j"]).withColumn("__d2", _sq_dist(F.col("__vec"), F.col("__vj"), d))
-        best = pairs.groupBy("__cls", "__rank", "__p", "__n", "__w").agg(
-            F.slice(F.sort_array(F.collect_list(F.struct("__d2", "__j"))), 1, k).alias("__best"),
-            F.min("__pj").alias("__plo"), F.max("__pj").alias("__phi"),
-        )
+    pairs = req.join(cand, ["__cls", "__j"]).withColumn("__d2", _sq_dist(F.col("__vec"), F.col("__vj"), d))
+    first = pairs.groupBy("__cls", "__rank", "__p", "__n").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("__d2", "__j"))), 1, k).alias("__best"),
+        F.min("__pj").alias("__plo"), F.max("__pj").alias("__phi"),
+    )
+    kth = F.sqrt(F.element_at(F.col("__best"), -1).getField("__d2"))
+    ok = (((F.col("__rank") - w <= 0) | (F.col("__p") - F.col("__plo") >= kth))
+          & ((F.col("__rank") + w >= F.col("__n") - 1) | (F.col("__phi") - F.col("__p") >= kth)))
+    # start three levels below the bound: cheap blocks first, doubling as needed
+    level = F.when(kth > 0, F.floor(F.log2(kth)) - 3).cast("int")
+    first = first.withColumn("__ok", ok).withColumn("__lvl", level).checkpoint(eager=True)
+    done = [first.where("__ok").select("__cls", "__rank", F.transform("__best", lambda t: t.getField("__j")).alias("__nbrs"))]
+    left = first.where(~F.col("__ok")).select("__cls", "__rank", "__lvl")
+    offsets = F.array(*[F.array(*[F.lit(o) for o in combo]) for combo in _offsets(m)])
+    while left.limit(1).count() > 0:
+        levels = sorted(r["__lvl"] for r in left.select("__lvl").distinct().collect())
+        q = left.join(base, ["__cls", "__rank"])
+        side = F.pow(F.lit(2.0), F.col("__lvl"))
+        cell = F.transform(F.col("__g"), lambda g: F.floor(g / side))
+        q = q.withColumn("__cell", cell).withColumn("__off", F.explode(offsets)).withColumn(
+            "__key", F.zip_with("__cell", "__off", lambda a, b: a + b))
+        data = base.withColumn("__lvl", F.explode(F.array(*[F.lit(v) for v in levels]))).select(
+            "__cls", "__lvl", F.col("__rank").alias("__j"), F.col("__vec").alias("__vj"),
+            F.transform(F.col("__g"), lambda g: F.floor(g / F.pow(F.lit(2.0), F.col("__lvl")))).alias("__key"))
+        pairs = (q.join(data, ["__cls", "__lvl", "__key"]).where(F.col("__j") != F.col("__rank"))
+                 .withColumn("__d2", _sq_dist(F.col("__vec"), F.col("__vj"), d)))
+        best = _top_k(pairs, ["__cls", "__rank", "__lvl"], k)
+        found = left.join(best, ["__cls", "__rank", "__lvl"], "left")
         kth = F.sqrt(F.element_at(F.col("__best"), -1).getField("__d2"))
-        low_ok = (F.col("__rank") - F.col("__w") <= 0) | (F.col("__p") - F.col("__plo") >= kth)
-        high_ok = (F.col("__rank") + F.col("__w") >= F.col("__n") - 1) | (F.col("__phi") - F.col("__p") >= kth)
-        spread = F.col("__phi") - F.col("__plo")
-        density = F.when(spread > 0, F.lit(2.0) * F.col("__w") / spread)
-        wanted = F.ceil(kth * density * F.lit(1.25)) + F.lit(k)
-        next_w = F.least(F.col("__n"), F.greatest(F.col("__w") * 2, F.coalesce(wanted, F.col("__w") * 4)))
-        best = best.withColumn("__ok", low_ok & high_ok).withColumn("__next", next_w.cast("long")).checkpoint(eager=True)
-        done.append(best.where("__ok").select("__cls", "__rank", F.transform("__best", lambda s: s.getField("__j")).alias("__nbrs")))
-        left = best.where(~F.col("__ok")).select("__cls", "__rank", "__n", F.col("__next").alias("__w"))
-        if left.limit(1).count() == 0:
-            break
-        todo = base.join(left, ["__cls", "__rank"])
+        settled = F.coalesce(F.size("__best"), F.lit(0)) >= k
+        settled = settled & (kth <= F.pow(F.lit(2.0), F.col("__lvl")))
+        found = found.withColumn("__ok", settled).checkpoint(eager=True)
+        done.append(found.where("__ok").select("__cls", "__rank", F.transform("__best", lambda t: t.getField("__j")).alias("__nbrs")))
+        left = found.where(~F.col("__ok")).select("__cls", "__rank", (F.col("__lvl") + 1).alias("__lvl"))
     out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _offsets(m: int) -> list[tuple[int, ...]]:
+    out = [()]
+    for _ in range(m):
+        out = [o + (s,) for o in out for s in (-1, 0, 1)]
     return out
 
 
@@ -303,7 +376,7 @@ def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOUR
     if not grow:
         return fm
     points = ranked.select("__cls", "__rank", "__p", "__vec").where(F.col("__cls").isin(list(grow))).checkpoint(eager=True)
-    nbrs = nearest_neighbours(points, {c: counts[c] for c in grow}, k, len(feats))
+    nbrs = nearest_neighbours(points, {c: counts[c] for c in grow}, k, len(feats), seed)
 
     spark = df.sparkSession
     # synthetic draw ids 0..M-1, laid out class after class (sorted class text)
