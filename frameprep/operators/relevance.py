@@ -2,14 +2,15 @@
 
 Per-column facts are taken from the schema evidence (it must be given, as in
 the reference), the dominant-value share from the value-frequency table, and
-all correlations (feature-target and every numeric pair) from one aggregate of
-pairwise-complete Pearson expressions, chunked so one aggregate stays a
-manageable width.
+all correlations (feature-target and every numeric pair) from two aggregates of
+mean-centred sums (pairwise-complete where a column has gaps), chunked so one
+aggregate stays a manageable width.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +18,14 @@ from pyspark.sql import types as T
 
 from frameprep.functions.coerce import numeric_columns, type_name
 from frameprep.functions.report import frame, pct, round_half_away
-from frameprep.functions.stats import pearson, value_frequencies
+from frameprep.functions.stats import value_frequencies
 
 # --- fixed values -----------------------------------------------------------
 RELEVANCE_ACTIONS = ("Keep", "Drop", "Investigate")
 NEAR_CONSTANT_PCT = 95.0
 HIGH_CORRELATION = 0.85
 # ---------------------------------------------------------------------------
-PAIRS_PER_PASS = 400
+PAIRS_PER_PASS = 1000
 
 EVIDENCE_DDL = (
     "column_name STRING, dtype STRING, is_target BOOLEAN, missing_percentage DOUBLE, unique_count BIGINT, "
@@ -64,20 +65,65 @@ def _corr_cols(df: DataFrame) -> list[str]:
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    """Pairwise-complete Pearson for each pair, NULL (None) when undefined."""
+    """Pairwise-complete Pearson for each pair, None when undefined.
+
+    Two passes of plain sums (they compile to tight code, unlike a wide
+    aggregate of covariance objects): the first finds each column's mean and
+    whether it has gaps; the second sums products of mean-centred values. A
+    pair of gap-free columns needs one product sum; a pair with gaps sums its
+    own count, means and squares over the rows where both are present.
+    """
+    if not pairs:
+        return {}
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    xs = {c: F.col(c).cast("double") for c in cols}
+    xs = {c: F.when(~F.isnan(x), x) for c, x in xs.items()}
+    r0 = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(xs[c]).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[F.count(xs[c]).alias(f"k{i}") for i, c in enumerate(cols)]).first()
+    n = int(r0["n"])
+    mean = {c: (r0[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
+    full = {c: int(r0[f"k{i}"]) == n for i, c in enumerate(cols)}
+    cen = {c: xs[c] - F.lit(mean[c]) for c in cols}
+    exprs, plan = [], []
+    for c in cols:
+        if full[c]:
+            exprs.append(F.sum(cen[c] * cen[c]).alias(f"q_{len(exprs)}"))
+            plan.append(("sq", c))
+    for a, b in pairs:
+        if full[a] and full[b]:
+            exprs.append(F.sum(cen[a] * cen[b]).alias(f"q_{len(exprs)}"))
+            plan.append(("ab", (a, b)))
+        else:
+            both = xs[a].isNotNull() & xs[b].isNotNull()
+            ca, cb = F.when(both, cen[a]), F.when(both, cen[b])
+            for part, e in (("n", F.count_if(both)), ("sa", F.sum(ca)), ("sb", F.sum(cb)), ("saa", F.sum(ca * ca)),
+                            ("sbb", F.sum(cb * cb)), ("sab", F.sum(ca * cb))):
+                exprs.append(e.alias(f"q_{len(exprs)}"))
+                plan.append((part, (a, b)))
+    got = {}
+    for start in range(0, len(exprs), PAIRS_PER_PASS):
+        row = df.agg(*exprs[start:start + PAIRS_PER_PASS]).first()
+        for i in range(start, min(start + PAIRS_PER_PASS, len(exprs))):
+            got[plan[i]] = row[f"q_{i}"]
     out: dict[tuple[str, str], float | None] = {}
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        exprs = []
-        for i, (a, b) in enumerate(chunk):
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            x, y = F.when(~F.isnan(x), x), F.when(~F.isnan(y), y)
-            both = F.count_if(x.isNotNull() & y.isNotNull())
-            exprs.append(F.when(both > 1, pearson(x, y)).alias(f"r{i}"))
-        row = df.agg(*exprs).first()
-        for i, p in enumerate(chunk):
-            v = row[f"r{i}"]
-            out[p] = None if v is None or v != v else float(v)
+    for a, b in pairs:
+        if full[a] and full[b]:
+            m, sab, saa, sbb = n, got[("ab", (a, b))], got[("sq", a)], got[("sq", b)]
+            sa = sb = 0.0
+        else:
+            m = int(got[("n", (a, b))] or 0)
+            sa, sb = got[("sa", (a, b))] or 0.0, got[("sb", (a, b))] or 0.0
+            saa, sbb, sab = got[("saa", (a, b))], got[("sbb", (a, b))], got[("sab", (a, b))]
+        if m <= 1 or saa is None or sbb is None or sab is None:
+            out[(a, b)] = None
+            continue
+        va, vb = saa / m - (sa / m) ** 2, sbb / m - (sb / m) ** 2
+        cov = sab / m - (sa / m) * (sb / m)
+        if va <= 0 or vb <= 0:
+            out[(a, b)] = None
+            continue
+        r = cov / math.sqrt(va * vb)
+        out[(a, b)] = max(-1.0, min(1.0, r))
     return out
 
 
