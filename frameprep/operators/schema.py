@@ -22,7 +22,8 @@ from frameprep.functions.coerce import (
 )
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.operators.duplicates import apply_duplicate_action
-from frameprep.operators.profile import distinct_counts, is_missing
+from frameprep.functions.stats import value_frequencies
+from frameprep.operators.profile import is_missing
 
 # --- fixed values -----------------------------------------------------------
 SCHEMA_ACTIONS = (
@@ -51,23 +52,59 @@ def _evidence_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
 
 
-def sample_values(df: DataFrame, cols: list[str], order_by: str | None = None, k: int = SAMPLE_SIZE) -> dict[str, str]:
-    """First ``k`` non-missing values of each column as text, in the order of
-    ``order_by`` (by value when no order is given). A ranked window with
-    ``row_number() <= k`` gets a per-partition limit before the shuffle."""
-    items = []
-    for c in cols:
-        v = normalise_value(F.col(c), df.schema[c].dataType)
-        key = F.col(order_by) if order_by else v
-        items.append(F.struct(F.lit(c).alias("column"), v.alias("value"), key.alias("key")))
-    long = df.select(F.explode(F.array(*items)).alias("s")).select("s.*").where(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy("key", "value")
-    top = long.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-    got = {
-        r["column"]: ",".join(v for _, v in sorted(r["vals"]))
-        for r in top.groupBy("column").agg(F.collect_list(F.struct("rk", "value")).alias("vals")).collect()
-    }
-    return {c: got.get(c, "") for c in cols}
+FIRST_ROWS = 64
+FIRST_ROWS_MAX = 65536
+
+
+def sample_values(df: DataFrame, cols: list[str], order_by: str | None = None, k: int = SAMPLE_SIZE,
+                  present: dict[str, int] | None = None, freq: DataFrame | None = None) -> dict[str, str]:
+    """First ``k`` non-missing values of each column as text.
+
+    With ``order_by``: the rows with the smallest keys are taken with a top-N
+    (a per-partition limit, then a merge of N rows per partition), N growing
+    until every column has its ``k`` values; columns still short after
+    ``FIRST_ROWS_MAX`` rows are ranked over their own present rows.
+    Without an order: the ``k`` smallest values (with repeats), read from the
+    value-frequency table.
+    """
+    if not cols:
+        return {}
+    texts = {c: normalise_value(F.col(c), df.schema[c].dataType) for c in cols}
+    if order_by is None:
+        w = Window.partitionBy("column").orderBy(F.asc_nulls_last("num"), "value")
+        freq = freq if freq is not None else value_frequencies(df, cols)
+        top = freq.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+        got: dict[str, list] = {}
+        for r in top.collect():
+            got.setdefault(r["column"], []).append((r["rk"], r["value"], r["cnt"]))
+        out = {}
+        for c in cols:
+            vals = []
+            for _, v, cnt in sorted(got.get(c, [])):
+                vals += [v] * min(cnt, k - len(vals))
+            out[c] = ",".join(vals[:k])
+        return out
+    need = {c: k if present is None else min(k, present[c]) for c in cols}
+    keyed = df.select(F.col(order_by).alias("__key"), *[texts[c].alias(c) for c in cols])
+    n_rows = FIRST_ROWS
+    result: dict[str, str] = {}
+    todo = list(cols)
+    while todo and n_rows <= FIRST_ROWS_MAX:
+        rows = keyed.select("__key", *todo).orderBy("__key", *todo).limit(n_rows).collect()
+        still = []
+        for c in todo:
+            vals = [r[c] for r in rows if r[c] is not None][:k]
+            if len(vals) >= need[c] or len(rows) < n_rows:
+                result[c] = ",".join(vals)
+            else:
+                still.append(c)
+        todo = still
+        n_rows *= 8
+    for c in todo:  # sparse columns: rank their own present rows
+        vals = [r[c] for r in keyed.where(F.col(c).isNotNull()).select("__key", c)
+                .orderBy("__key", c).limit(k).collect()]
+        result[c] = ",".join(vals)
+    return result
 
 
 def analyze_schema(df: DataFrame, order_by: str | None = None) -> DataFrame:
@@ -85,8 +122,12 @@ def analyze_schema(df: DataFrame, order_by: str | None = None) -> DataFrame:
                 exprs.append(F.count(parse_datetime(F.col(c), fmt)).alias(f"d{i}_{j}"))
     row = df.agg(*exprs).first()
     n = int(row["n"])
-    dist = distinct_counts(df, cols)
-    samples = sample_values(df, cols, order_by)
+    freq = value_frequencies(df, cols).persist()
+    dist = {r["column"]: int(r["d"]) for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+    dist = {c: dist.get(c, 0) for c in cols}
+    samples = sample_values(df, cols, order_by, present={c: n - int(row[f"m{i}"]) for i, c in enumerate(cols)},
+                            freq=freq)
+    freq.unpersist()
     rows = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
