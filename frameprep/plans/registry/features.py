@@ -209,3 +209,19 @@ def q_relevance_plan(spark, sf):
 def q_relevance_plan_rows(spark, sf):
     out, _ = R.apply_relevance_actions(table(spark, sf, "part_wide"), RELEVANCE_PLAN, target="p_retailprice")
     return out
+
+
+@register(
+    "relevance_counters",
+    f"""WITH f AS ({_relevance_sql('part_wide', 'p_retailprice')}), p AS ({_pairs_sql('part_wide')})
+        SELECT 'p_retailprice' AS target_column,
+               CAST(count(*) FILTER (WHERE is_identifier_candidate) AS BIGINT) AS identifier_like,
+               CAST(count(*) FILTER (WHERE is_constant) AS BIGINT) AS constant,
+               CAST(count(*) FILTER (WHERE is_near_constant) AS BIGINT) AS near_constant,
+               (SELECT CAST(count(*) AS BIGINT) FROM p) AS high_correlation_pairs
+        FROM f""",
+)
+def q_relevance_counters(spark, sf):
+    df = table(spark, sf, "part_wide")
+    feats, pairs = R.analyze_feature_relevance(df, "p_retailprice", S.analyze_schema(df))
+    return R.relevance_counters(feats, pairs, "p_retailprice")

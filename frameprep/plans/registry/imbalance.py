@@ -117,3 +117,25 @@ def q_smote_multiclass_counts(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "value", "event_type")
     out = B.smote(ev, "event_type")
     return out.groupBy(F.col("event_type").alias("class")).agg(F.count(F.lit(1)).alias("count"))
+
+
+@register(
+    "class_weight_column",
+    """SELECT doc_id, toxic,
+              CAST((SELECT count(toxic) FROM labels) AS DOUBLE)
+                / (CAST((SELECT count(DISTINCT toxic) FROM labels) AS DOUBLE) * count(*) OVER (PARTITION BY toxic))
+                AS class_weight
+       FROM labels""",
+)
+def q_class_weight_column(spark, sf):
+    lb = table(spark, sf, "labels")
+    return B.with_class_weight(lb, "toxic", B.class_weights(lb, "toxic")).select("doc_id", "toxic", "class_weight")
+
+
+@register(
+    "resample_shape",
+    """SELECT CAST(2 * min(c) AS BIGINT) AS rows, CAST(3 AS BIGINT) AS columns
+       FROM (SELECT count(*) c FROM labels GROUP BY toxic)""",
+)
+def q_resample_shape(spark, sf):
+    return B.shape(B.random_undersample(table(spark, sf, "labels"), "toxic"))
