@@ -200,16 +200,35 @@ def _ranked_by_class(df: DataFrame, target: str, order_cols: list[str]) -> tuple
 
 def random_undersample(df: DataFrame, target: str, seed: int = SEED) -> DataFrame:
     """Every class cut to the size of the smallest, without replacement.
-    Exact sizes: the rows kept are those with the smallest hash in their class."""
+
+    Exact sizes: a class keeps its rows with the smallest draw ``u`` (a hash of
+    the seed and the row). Only rows below a per-class threshold a little above
+    ``keep / n_class`` are sorted, so the sort handles about ``keep`` rows per
+    class instead of the whole table; a threshold that catches too few rows is
+    raised and the step repeated, so the cut is always exact.
+    """
     fm = feature_matrix(df, target)
     cols = fm.columns
-    keyed = fm.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])).withColumn(
-        "__t", F.monotonically_increasing_id()
-    )
-    ranked, counts = _ranked_by_class(keyed, target, ["__h", "__t"])
+    dt = fm.schema[target].dataType
+    keyed = fm.withColumn("__cls", normalise_value(F.col(target), dt)).withColumn(
+        "__u", _uniform(seed, 4, *[F.col(c) for c in cols])).withColumn("__t", F.monotonically_increasing_id())
+    counts = {r["__cls"]: int(r["n"]) for r in keyed.groupBy("__cls").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return fm
     keep = min(counts.values())
+    slack = 1.1
+    while True:
+        limits = {c: (1.0 if n == keep else min(1.0, slack * keep / n + 64.0 / n)) for c, n in counts.items()}
+        limit_of = None
+        for c, lim in limits.items():
+            cond = F.col("__cls") == F.lit(c)
+            limit_of = F.when(cond, F.lit(lim)) if limit_of is None else limit_of.when(cond, F.lit(lim))
+        cand = keyed.where(F.col("__u") <= limit_of)
+        got = {r["__cls"]: int(r["n"]) for r in cand.groupBy("__cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(got.get(c, 0) >= keep for c in counts):
+            break
+        slack *= 2
+    ranked, _ = _ranked_by_class(cand.drop("__cls"), target, ["__u", "__t"])
     return ranked.where(F.col("__rank") < keep).select(*cols)
 
 
