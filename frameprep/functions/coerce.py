@@ -59,14 +59,6 @@ def is_categorical_type(dt: T.DataType) -> bool:
     return isinstance(dt, (T.StringType, T.BooleanType))
 
 
-def is_plain_type(dt: T.DataType) -> bool:
-    """Types the evidence passes understand (no arrays, maps, structs, binary)."""
-    return isinstance(
-        dt,
-        (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType),
-    )
-
-
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] | list[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric_type(f.dataType) and f.name not in exclude]
 
@@ -113,8 +105,12 @@ def as_number(df: DataFrame, name: str) -> Column:
     c = F.col(name)
     if isinstance(dt, T.StringType):
         return text_to_number(c)
-    if isinstance(dt, (T.NumericType, T.BooleanType)):
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
         return nan_to_null(c.cast("double"))
+    if isinstance(dt, (T.NumericType, T.BooleanType)):
+        # no NaN possible: a bare cast lets Catalyst unwrap it in comparisons,
+        # so range filters on integer columns reach the parquet scan
+        return c.cast("double")
     return F.lit(None).cast("double")
 
 

@@ -11,8 +11,6 @@
 * ``value_frequencies`` the (column, value) -> count table behind distinct
                        counts, modes, top lists and dominant shares; one shuffle
                        with a map-side combine, so a hot value costs nothing.
-* ``pearson``          correlation that is NULL, not an ANSI error, on a
-                       constant column.
 """
 
 from __future__ import annotations
@@ -37,21 +35,6 @@ def corrected_skewness(g1: float | None, n: int) -> float | None:
     return g1 * math.sqrt(n * (n - 1)) / (n - 2)
 
 
-def corrected_skewness_col(x: Column) -> Column:
-    """G1 as a Column, NULL for fewer than three values or no spread."""
-    n = F.count(x).cast("double")
-    return F.when(n >= 3, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def pearson(a: Column, b: Column) -> Column:
-    """Pearson over rows where both are present; NULL when a side is constant."""
-    a_pair = F.when(b.isNotNull(), a)
-    b_pair = F.when(a.isNotNull(), b)
-    return F.try_divide(
-        F.covar_pop(a, b), F.sqrt(F.var_pop(a_pair) * F.var_pop(b_pair))
-    )
-
-
 def moments(df: DataFrame, cols: list[str]) -> dict[str, dict]:
     """One pass: per column count, mean, std (sample, population), skewness, extremes."""
     if not cols:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameprep.functions.coerce import categorical_columns, is_numeric_type, nan_to_null, normalise_value
+from frameprep.functions.coerce import categorical_columns, nan_to_null, normalise_value
 from frameprep.functions.indexing import ordered_index
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.operators.profile import is_missing

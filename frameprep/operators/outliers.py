@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from frameprep.functions.coerce import as_number, is_numeric_type
 from frameprep.functions.report import frame, pct, round_half_away

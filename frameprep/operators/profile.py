@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameprep.functions.coerce import as_number, is_numeric_type, type_name
+from frameprep.functions.coerce import is_numeric_type, type_name
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.functions.stats import exact_quantiles, moments, value_frequencies
 

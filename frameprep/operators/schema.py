@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from frameprep.functions.coerce import (
     DATETIME_FORMATS,
     as_number,
-    is_numeric_type,
     normalise_value,
     parse_datetime,
     type_name,
@@ -173,10 +172,6 @@ def best_datetime_format(df: DataFrame, column: str) -> str | None:
     return DATETIME_FORMATS[best][0] if counts[best] > 0 else None
 
 
-def _with_role(col, role: str):
-    return col.alias("_", metadata={"role": role})
-
-
 def conversion(df: DataFrame, column: str, action: str, datetime_format: str | None = None):
     """C4-C9 as a column expression (None means: drop the column)."""
     dt = df.schema[column].dataType

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from frameprep.functions.report import fixed
 from frameprep.operators import outliers as O
-from frameprep.plans.registry.sqlkit import dbl, fx, iqr_bounds_cte, outlier_evidence_sql, union_all, z_cte
+from frameprep.plans.registry.sqlkit import fx, iqr_bounds_cte, outlier_evidence_sql, union_all, z_cte
 from frameprep.queries import register
 from frameprep.sources.tables import table
 
