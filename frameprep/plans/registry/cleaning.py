@@ -194,3 +194,13 @@ def q_schema_plan_rows(spark, sf):
 def q_remove_duplicates_plan(spark, sf):
     out, _ = S.apply_schema_actions(table(spark, sf, "labels_dup_null"), [], "Remove Duplicates")
     return out
+
+
+@register(
+    "schema_evidence_documents",
+    union_all([_schema_numeric_sql("documents", c, "bigint", "doc_id") for c in ("doc_id", "n_chars")]
+              + [_schema_text_sql("documents", c, "doc_id") for c in ("text", "lang", "source")]),
+)
+def q_schema_evidence_documents(spark, sf):
+    """Schema evidence over whole document texts (samples are the first five texts by doc_id)."""
+    return S.analyze_schema(table(spark, sf, "documents"), order_by="doc_id")

@@ -200,3 +200,40 @@ def q_identifier_candidates(spark, sf):
 @register("remove_duplicates", "SELECT DISTINCT doc_id, quality, toxic FROM labels_dup")
 def q_remove_duplicates(spark, sf):
     return D.remove_duplicates(table(spark, sf, "labels_dup"))
+
+
+@register(
+    "profile_columns_embeddings",
+    """SELECT 'vec_id' AS column_name, 'bigint' AS dtype, CAST(count(*) - count(vec_id) AS BIGINT) AS missing_count,
+              round(CAST(count(*) - count(vec_id) AS DOUBLE) / count(*) * 100, 2) AS missing_percentage,
+              CAST(count(DISTINCT vec_id) AS BIGINT) AS unique_values FROM embeddings
+       UNION ALL
+       SELECT 'embedding', 'array<float>', CAST(count(*) - count(embedding) AS BIGINT),
+              round(CAST(count(*) - count(embedding) AS DOUBLE) / count(*) * 100, 2), CAST(NULL AS BIGINT) FROM embeddings
+       UNION ALL
+       SELECT 'label', 'int', CAST(count(*) - count(label) AS BIGINT),
+              round(CAST(count(*) - count(label) AS DOUBLE) / count(*) * 100, 2), CAST(count(DISTINCT label) AS BIGINT)
+       FROM embeddings""",
+)
+def q_profile_columns_embeddings(spark, sf):
+    """Nested columns are carried and counted as missing or not, not profiled for distincts."""
+    return P.profile_columns(table(spark, sf, "embeddings"))
+
+
+@register(
+    "duplicate_summary_texts",
+    """SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) - count(DISTINCT text) AS BIGINT) AS duplicate_rows,
+              round(CAST(count(*) - count(DISTINCT text) AS DOUBLE) / count(*) * 100, 2) AS duplicate_percentage
+       FROM documents""",
+)
+def q_duplicate_summary_texts(spark, sf):
+    """Exact copies among whole document texts."""
+    return D.duplicate_summary(table(spark, sf, "documents").select("text"))
+
+
+@register(
+    "categorical_summary_roles",
+    _categorical_summary_sql("conversations", "role"),
+)
+def q_categorical_summary_roles(spark, sf):
+    return P.categorical_summary(table(spark, sf, "conversations"), "role")
