@@ -20,6 +20,7 @@ from frameprep.functions.indexing import ordered_index
 from frameprep.functions.lookup import lookup_column
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.operators.profile import is_missing
+from frameprep.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 ENCODING_ACTIONS = ("No Action", "One-Hot Encoding", "Frequency Encoding", "Target Encoding", "Ordinal Encoding")
@@ -148,6 +149,13 @@ def _label(v) -> str:
     return str(v)
 
 
+def _materialise(mapping: DataFrame) -> DataFrame:
+    """A fitted table (one row per category) is written once to the reliable
+    checkpoint folder, so sizing it and joining it do not refit it."""
+    ensure_checkpoint_dir(mapping.sparkSession)
+    return mapping.checkpoint(eager=True)
+
+
 def fit_one_hot(df: DataFrame, column: str) -> Encoding:
     c = F.col(column)
     if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
@@ -165,7 +173,7 @@ def fit_frequency(df: DataFrame, column: str) -> Encoding:
     counts = df.where(~is_missing(df, column)).groupBy(c.alias("key")).agg(F.count(F.lit(1)).alias("cnt"))
     total = df.where(~is_missing(df, column)).count()
     mapping = counts.withColumn("value", F.col("cnt") / F.lit(float(total) if total else None))
-    return Encoding(column, "Frequency Encoding", mapping=mapping.select("key", "value"))
+    return Encoding(column, "Frequency Encoding", mapping=_materialise(mapping.select("key", "value")))
 
 
 def fit_target(df: DataFrame, column: str, target: str | None) -> Encoding:
@@ -183,7 +191,7 @@ def fit_target(df: DataFrame, column: str, target: str | None) -> Encoding:
         .groupBy(F.col(column).alias("key"))
         .agg(F.avg(t).alias("value"))
     )
-    return Encoding(column, "Target Encoding", mapping=mapping)
+    return Encoding(column, "Target Encoding", mapping=_materialise(mapping))
 
 
 def fit_ordinal(df: DataFrame, column: str, order_by: str) -> Encoding:

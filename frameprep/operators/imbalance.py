@@ -40,6 +40,7 @@ SMOTE_NEIGHBOURS = 5
 # ---------------------------------------------------------------------------
 DUMMY_MAX = 1000
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 TARGET_DDL = (
     "target_column STRING, problem_type STRING, class_count BIGINT, majority_class STRING, majority_count BIGINT, "
@@ -419,15 +420,17 @@ def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOUR
         _uniform(seed, 3, F.col("id")).alias("__lam"),
     )
     size = sum(counts[c] for c in grow)
+    row_bytes = 48 + 8 * len(feats) + 8 * k  # class text, rank, vector, neighbour list
+    small = size <= BROADCAST_MAX_ROWS and size * row_bytes <= BROADCAST_MAX_BYTES
     pts = points.select("__cls", "__rank", "__vec")
     nb = nbrs.join(pts, ["__cls", "__rank"])
-    if size <= BROADCAST_MAX_ROWS:
+    if small:
         nb = F.broadcast(nb)
     with_base = draws.join(nb, ["__cls", "__rank"]).withColumn(
         "__j", F.element_at(F.col("__nbrs"), F.col("__slot") + 1)
     )
     other = pts.select("__cls", F.col("__rank").alias("__j"), F.col("__vec").alias("__vj"))
-    if size <= BROADCAST_MAX_ROWS:
+    if small:
         other = F.broadcast(other)
     synth = with_base.join(other, ["__cls", "__j"]).withColumn(
         "__new", F.zip_with("__vec", "__vj", lambda a, b: a + F.col("__lam") * (b - a))
