@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from frameprep.functions.coerce import as_number, normalise_value
 
 HIST_BUCKETS = 2048
+HIST_ROWS_MAX = 262_144  # bucket rows one round may bring to the driver
 FETCH_LIMIT = 65536
 
 
@@ -136,13 +137,14 @@ def exact_quantiles(
                 refine.append((c, lo, hi, below, ranks))
         if not refine:
             break
+        nb = max(16, min(buckets, HIST_ROWS_MAX // len(refine)))
         items = []
         for wid, (c, lo, hi, _, _) in enumerate(refine):
             x = numbers[c]
             half_span = F.lit(hi / 2.0 - lo / 2.0)
             b = F.least(
-                F.floor((x / 2.0 - F.lit(lo / 2.0)) / half_span * F.lit(buckets)),
-                F.lit(buckets - 1),
+                F.floor((x / 2.0 - F.lit(lo / 2.0)) / half_span * F.lit(nb)),
+                F.lit(nb - 1),
             ).cast("int")
             items.append(
                 F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(wid).alias("w"), b.alias("b"), x.alias("x")))

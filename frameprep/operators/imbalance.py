@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,7 @@ SEED = 42
 SMOTE_NEIGHBOURS = 5
 # ---------------------------------------------------------------------------
 DUMMY_MAX = 1000
+RESAMPLE_MAX_CLASSES = 100_000  # class tables are collected and broadcast: their size must be bounded
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
@@ -196,9 +197,17 @@ def _ranked_by_class(df: DataFrame, target: str, order_cols: list[str]) -> tuple
         acc += counts[c]
     starts = df.sparkSession.createDataFrame([(c, s) for c, s in start.items()], "__cls STRING, __start BIGINT")
     ranked = idx.join(F.broadcast(starts), "__cls").withColumn("__rank", F.col("__pos") - F.col("__start"))
+    # (the class table is bounded: resampling refuses targets with more than RESAMPLE_MAX_CLASSES classes)
     return ranked.drop("__pos", "__start"), counts
 
 
+def _check_class_count(df: DataFrame, target: str) -> None:
+    """Resampling keeps per-class tables on the driver; refuse an unbounded number of classes."""
+    k = df.where(~is_missing(df, target)).select(target).distinct().limit(RESAMPLE_MAX_CLASSES + 1).count()
+    if k > RESAMPLE_MAX_CLASSES:
+        raise ValueError(f"Resampling supports at most {RESAMPLE_MAX_CLASSES} classes; '{target}' has more")
+
+
 def random_undersample(df: DataFrame, target: str, seed: int = SEED) -> DataFrame:
     """Every class cut to the size of the smallest, without replacement.
 
@@ -213,6 +222,7 @@ def random_undersample(df: DataFrame, target: str, seed: int = SEED) -> DataFram
     dt = fm.schema[target].dataType
     keyed = fm.withColumn("__cls", normalise_value(F.col(target), dt)).withColumn(
         "__u", _uniform(seed, 4, *[F.col(c) for c in cols])).withColumn("__t", F.monotonically_increasing_id())
+    _check_class_count(fm, target)
     counts = {r["__cls"]: int(r["n"]) for r in keyed.groupBy("__cls").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return fm
@@ -288,10 +298,12 @@ def _grid_coords(vec: Column, basis, d: int) -> Column:
 
 
 def _top_k(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
-    return pairs.groupBy(*keys).agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("__d2", "__j"))), 1, k).alias("__best"),
-        F.count(F.lit(1)).alias("__cands"),
-    )
+    """The k nearest candidates per row. ``row_number() <= k`` gets a
+    per-partition group limit before the shuffle, so a row with a large block
+    of candidates never has them all in one buffer; only k survive per task."""
+    w = Window.partitionBy(*keys).orderBy("__d2", "__j")
+    kept = pairs.select(*keys, "__d2", "__j").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    return kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__d2", "__j"))).alias("__best"))
 
 
 def nearest_neighbours(points: DataFrame, counts: dict[str, int], k: int, d: int, seed: int = SEED) -> DataFrame:
@@ -379,6 +391,7 @@ def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOUR
     for c in feats:
         if not isinstance(fm.schema[c].dataType, (T.NumericType, T.BooleanType)):
             raise ValueError(f"SMOTE needs numeric features; '{c}' is {fm.schema[c].dataType.simpleString()}")
+    _check_class_count(fm, target)
     u = _projection(len(feats), seed)
     vec = F.array(*[F.col(c).cast("double") for c in feats])
     proj = F.lit(0.0)
