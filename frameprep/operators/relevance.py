@@ -132,13 +132,22 @@ def analyze_feature_relevance(df: DataFrame, target: str | None, schema_evidence
     schema = _schema_rows(schema_evidence)
     cols = list(df.columns)
     plain = [c for c in cols if not isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
-    freq = value_frequencies(df, plain)
-    dom = {
-        r["column"]: (int(r["top"]), int(r["present"]), int(r["u"]))
-        for r in freq.groupBy("column").agg(
-            F.max("cnt").alias("top"), F.sum("cnt").alias("present"), F.count(F.lit(1)).alias("u")
-        ).collect()
-    }
+    # schema evidence already carries the top count of every column: reuse it
+    dom = {}
+    for c in plain:
+        info = schema.get(c, {})
+        if "top_count" in info and "total_count" in info and "missing_count" in info and "unique_count" in info:
+            present = int(info["total_count"]) - int(info["missing_count"])
+            dom[c] = (int(info["top_count"] or 0), present, int(info["unique_count"]))
+    rest = [c for c in plain if c not in dom]
+    if rest:
+        freq = value_frequencies(df, rest)
+        dom.update({
+            r["column"]: (int(r["top"]), int(r["present"]), int(r["u"]))
+            for r in freq.groupBy("column").agg(
+                F.max("cnt").alias("top"), F.sum("cnt").alias("present"), F.count(F.lit(1)).alias("u")
+            ).collect()
+        })
     corr_cols = _corr_cols(df)
     target_pairs = []
     if target is not None and target in corr_cols:

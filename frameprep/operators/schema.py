@@ -37,7 +37,7 @@ EVIDENCE_DDL = (
     "column_name STRING, dtype STRING, total_count BIGINT, missing_count BIGINT, missing_percentage DOUBLE, "
     "unique_count BIGINT, unique_percentage DOUBLE, numeric_conversion_percentage DOUBLE, "
     "date_conversion_percentage DOUBLE, datetime_format STRING, is_empty BOOLEAN, is_constant BOOLEAN, "
-    "is_identifier_candidate BOOLEAN, sample_values STRING"
+    "is_identifier_candidate BOOLEAN, sample_values STRING, top_count BIGINT"
 )
 SUMMARY_DDL = (
     "column_name STRING, action STRING, type_before STRING, type_after STRING, rows BIGINT, "
@@ -122,8 +122,10 @@ def analyze_schema(df: DataFrame, order_by: str | None = None) -> DataFrame:
     row = df.agg(*exprs).first()
     n = int(row["n"])
     freq = value_frequencies(df, cols).persist()
-    dist = {r["column"]: int(r["d"]) for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
-    dist = {c: dist.get(c, 0) for c in cols}
+    per = {r["column"]: (int(r["d"]), int(r["top"]))
+           for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.max("cnt").alias("top")).collect()}
+    dist = {c: per.get(c, (0, None))[0] for c in cols}
+    tops = {c: per.get(c, (0, None))[1] for c in cols}
     samples = sample_values(df, cols, order_by, present={c: n - int(row[f"m{i}"]) for i, c in enumerate(cols)},
                             freq=freq)
     freq.unpersist()
@@ -160,6 +162,7 @@ def analyze_schema(df: DataFrame, order_by: str | None = None) -> DataFrame:
             "is_constant": uniq <= 1 and present > 0,
             "is_identifier_candidate": upct >= IDENTIFIER_PCT and n > 0,
             "sample_values": samples[c],
+            "top_count": tops[c],
         })
     return frame(df.sparkSession, rows, EVIDENCE_DDL)
 

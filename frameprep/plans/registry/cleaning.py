@@ -99,7 +99,8 @@ def _schema_text_sql(tbl: str, c: str, key: str) -> str:
            CASE WHEN best.cnt > 0 THEN best.f END AS datetime_format,
            present = 0 AS is_empty, u <= 1 AND present > 0 AS is_constant,
            CAST(u AS DOUBLE) / present * 100 >= 95 AND n > 0 AS is_identifier_candidate,
-           coalesce(smp.s, '') AS sample_values
+           coalesce(smp.s, '') AS sample_values,
+           (SELECT CAST(max(k) AS BIGINT) FROM (SELECT count(*) k FROM {tbl} WHERE {c} IS NOT NULL GROUP BY {c})) AS top_count
     FROM base, best, smp"""
 
 
@@ -115,7 +116,8 @@ def _schema_numeric_sql(tbl: str, c: str, dtype: str, key: str) -> str:
            CAST(0 AS DOUBLE) AS date_conversion_percentage, CAST(NULL AS VARCHAR) AS datetime_format,
            present = 0 AS is_empty, u <= 1 AND present > 0 AS is_constant,
            CAST(u AS DOUBLE) / present * 100 >= 95 AND n > 0 AS is_identifier_candidate,
-           coalesce(smp.s, '') AS sample_values
+           coalesce(smp.s, '') AS sample_values,
+           (SELECT CAST(max(k) AS BIGINT) FROM (SELECT count(*) k FROM {tbl} WHERE {c} IS NOT NULL GROUP BY {c})) AS top_count
     FROM base, smp"""
 
 
