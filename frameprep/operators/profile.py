@@ -232,3 +232,28 @@ def inspect_column(df: DataFrame, column: str):
     if is_numeric_type(df.schema[column].dataType):
         return numeric_summary(df, column)
     return categorical_summary(df, column)
+
+
+def preview(df: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` rows to look at (a limit is the feature here)."""
+    return df.limit(n)
+
+
+class MissingValueInspector:
+    """The inspector over one frame; relationship results are kept
+    under ``"<target>_by_<grouping>"`` as in the reference's helper."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.relationships: dict[str, DataFrame] = {}
+
+    def get_missing_columns(self) -> list[str]:
+        return missing_columns(self.df)
+
+    def inspect_column(self, column: str):
+        return inspect_column(self.df, column)
+
+    def inspect_missingness_relationship(self, target: str, grouping: str) -> DataFrame:
+        out = missingness_by_category(self.df, target, grouping)
+        self.relationships[f"{target}_by_{grouping}"] = out
+        return out

@@ -185,3 +185,14 @@ def test_quantiles_match_numpy_with_many_rounds(spark):
     got = exact_quantiles(df, ["x"], probs, buckets=8, fetch_limit=16)["x"]
     want = np.quantile(vals, probs)
     assert np.allclose(got, want, rtol=1e-12, atol=1e-12)
+
+
+def test_missing_value_inspector(spark):
+    df = _df(spark, [(20.0, "M"), (None, "F"), (24.0, None)], "age DOUBLE, gender STRING")
+    ins = P.MissingValueInspector(df)
+    assert ins.get_missing_columns() == ["age", "gender"]
+    rel = ins.inspect_missingness_relationship("age", "gender")
+    assert {r["gender"]: r["missing_count"] for r in rel.collect()} == {"M": 0, "F": 1}
+    assert "age_by_gender" in ins.relationships
+    assert ins.inspect_column("age")["count"] == 2
+    assert P.preview(df, 2).count() == 2
