@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from frameprep.functions.coerce import as_number, normalise_value
 
+APPROX_ACCURACY = 10_000
 HIST_BUCKETS = 2048
 HIST_ROWS_MAX = 262_144  # bucket rows one round may bring to the driver
 FETCH_LIMIT = 65536
@@ -94,6 +95,8 @@ def exact_quantiles(
     stats: dict[str, dict] | None = None,
     buckets: int = HIST_BUCKETS,
     fetch_limit: int = FETCH_LIMIT,
+    approx: bool = False,
+    accuracy: int = APPROX_ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation between order statistics
     (the rule of pandas ``quantile`` and DuckDB ``quantile_cont``).
@@ -101,6 +104,8 @@ def exact_quantiles(
     Work per round is one aggregate over the data; memory per task is bounded
     by the number of buckets, never by the number of distinct values.
     """
+    if approx:
+        return approx_quantiles(df, cols, probs, accuracy)
     if stats is None:
         stats = moments(df, cols)
     numbers = {c: as_number(df, c) for c in cols}
@@ -207,6 +212,16 @@ def exact_quantiles(
     return out
 
 
+def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = APPROX_ACCURACY):
+    """Opt-in single pass: ``percentile_approx`` (rank error <= n / accuracy).
+    For very large, near-unique columns when exact digits are not needed."""
+    if not cols:
+        return {}
+    row = df.agg(*[F.percentile_approx(as_number(df, c), list(probs), accuracy).alias(f"q{i}")
+                   for i, c in enumerate(cols)]).first()
+    return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None for _ in probs]) for i, c in enumerate(cols)}
+
+
 def value_frequencies(df: DataFrame, cols: list[str], keep_null: bool = False) -> DataFrame:
     """(column, value, num, cnt) for every distinct non-missing value of each column.
 

@@ -34,10 +34,10 @@ SUMMARY_DDL = (
 )
 
 
-def fit_bounds(df: DataFrame, cols: list[str]) -> dict[str, dict]:
-    """Moments plus exact quartiles and IQR bounds for each column."""
+def fit_bounds(df: DataFrame, cols: list[str], approx: bool = False) -> dict[str, dict]:
+    """Moments plus exact (or, opt-in, approximate) quartiles and IQR bounds."""
     mom = moments(df, cols)
-    qs = exact_quantiles(df, cols, [0.25, 0.75], mom)
+    qs = exact_quantiles(df, cols, [0.25, 0.75], mom, approx=approx)
     out = {}
     for c in cols:
         s = dict(mom[c])
@@ -67,9 +67,9 @@ def candidate_columns(df: DataFrame) -> list[str]:
     return out
 
 
-def outlier_evidence(df: DataFrame, cols: list[str]) -> DataFrame:
+def outlier_evidence(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """O1/O2: one evidence row per column, in the order given."""
-    fit = fit_bounds(df, cols)
+    fit = fit_bounds(df, cols, approx)
     counts = []
     live = [c for c in cols if fit[c]["n"] > 0]
     if live:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameprep.functions.coerce import is_numeric_type, type_name
+from frameprep.functions.coerce import is_numeric_type, normalise_value, type_name
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.functions.stats import exact_quantiles, moments, value_frequencies
 
@@ -68,19 +68,25 @@ def missing_counts(df: DataFrame, cols: list[str] | None = None) -> tuple[int, d
     return int(row["n"]), {c: int(row[f"m{i}"]) for i, c in enumerate(cols)}
 
 
-def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Distinct non-missing values per column (one shuffle over all columns)."""
+def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str, int]:
+    """Distinct non-missing values per column: exact through one shuffle of the
+    frequency table, or (opt-in) HyperLogLog++ sketches in one pass, no shuffle."""
+    if not exact:
+        row = df.agg(*[F.approx_count_distinct(normalise_value(F.col(c), df.schema[c].dataType), 0.01).alias(f"d{i}")
+                       for i, c in enumerate(cols)]).first() if cols else None
+        return {c: int(row[f"d{i}"]) for i, c in enumerate(cols)} if cols else {}
     freq = value_frequencies(df, cols)
     got = {r["column"]: int(r["d"]) for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
     return {c: got.get(c, 0) for c in cols}
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
-    """Dtype, missing count and %, distinct values per column."""
+def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Dtype, missing count and %, distinct values per column
+    (``exact=False``: approximate distincts, one pass without a shuffle)."""
     cols = list(df.columns)
     n, miss = missing_counts(df, cols)
     plain = [c for c in cols if not isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
-    dist = distinct_counts(df, plain)
+    dist = distinct_counts(df, plain, exact)
     rows = [
         {
             "column_name": c,
@@ -123,13 +129,13 @@ NUMERIC_SUMMARY_DDL = (
 )
 
 
-def numeric_summaries(df: DataFrame, cols: list[str]) -> DataFrame:
+def numeric_summaries(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """P3 for several columns with one moments pass and shared quantile rounds."""
     for c in cols:
         if c not in df.columns:
             raise ValueError(f"Column '{c}' does not exist.")
     mom = moments(df, cols)
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], mom)
+    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], mom, approx=approx)
     rows = []
     for c in cols:
         s = mom[c]

@@ -136,7 +136,8 @@ def analyze_feature_relevance(df: DataFrame, target: str | None, schema_evidence
     dom = {}
     for c in plain:
         info = schema.get(c, {})
-        if "top_count" in info and "total_count" in info and "missing_count" in info and "unique_count" in info:
+        if info.get("top_count") is not None and "total_count" in info and "missing_count" in info \
+                and "unique_count" in info:
             present = int(info["total_count"]) - int(info["missing_count"])
             dom[c] = (int(info["top_count"] or 0), present, int(info["unique_count"]))
     rest = [c for c in plain if c not in dom]

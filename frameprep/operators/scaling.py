@@ -39,11 +39,12 @@ def scaling_candidates(df: DataFrame, target: str | None = None) -> list[str]:
     return [c for c in numeric_columns(df) if c != target and c.lower() not in TEMPORAL_NAMES]
 
 
-def analyze_scaling_features(df: DataFrame, target: str | None = None, columns: list[str] | None = None) -> DataFrame:
+def analyze_scaling_features(df: DataFrame, target: str | None = None, columns: list[str] | None = None,
+                             approx: bool = False) -> DataFrame:
     """One evidence row per candidate column."""
     cols = columns if columns is not None else scaling_candidates(df, target)
     mom = moments(df, cols)
-    qs = exact_quantiles(df, cols, [0.25, 0.75], mom)
+    qs = exact_quantiles(df, cols, [0.25, 0.75], mom, approx=approx)
     live = [c for c in cols if mom[c]["n"] > 0 and qs[c][1] - qs[c][0] != 0]
     counts = {}
     if live:

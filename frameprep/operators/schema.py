@@ -106,7 +106,7 @@ def sample_values(df: DataFrame, cols: list[str], order_by: str | None = None, k
     return result
 
 
-def analyze_schema(df: DataFrame, order_by: str | None = None) -> DataFrame:
+def analyze_schema(df: DataFrame, order_by: str | None = None, exact: bool = True) -> DataFrame:
     """One evidence row per column, in column order. An already numeric
     column has datetime % 0; a text column is parsed under every candidate
     format and the format that reads the most values is reported."""
@@ -121,14 +121,21 @@ def analyze_schema(df: DataFrame, order_by: str | None = None) -> DataFrame:
                 exprs.append(F.count(parse_datetime(F.col(c), fmt)).alias(f"d{i}_{j}"))
     row = df.agg(*exprs).first()
     n = int(row["n"])
-    freq = value_frequencies(df, cols).persist()
-    per = {r["column"]: (int(r["d"]), int(r["top"]))
-           for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.max("cnt").alias("top")).collect()}
-    dist = {c: per.get(c, (0, None))[0] for c in cols}
-    tops = {c: per.get(c, (0, None))[1] for c in cols}
-    samples = sample_values(df, cols, order_by, present={c: n - int(row[f"m{i}"]) for i, c in enumerate(cols)},
-                            freq=freq)
-    freq.unpersist()
+    present = {c: n - int(row[f"m{i}"]) for i, c in enumerate(cols)}
+    if exact:
+        freq = value_frequencies(df, cols).persist()
+        per = {r["column"]: (int(r["d"]), int(r["top"]))
+               for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.max("cnt").alias("top")).collect()}
+        dist = {c: per.get(c, (0, None))[0] for c in cols}
+        tops = {c: per.get(c, (0, None))[1] for c in cols}
+        samples = sample_values(df, cols, order_by, present=present, freq=freq)
+        freq.unpersist()
+    else:  # opt-in: sketches for distincts, no frequency table, no top counts
+        from frameprep.operators.profile import distinct_counts
+
+        dist = distinct_counts(df, cols, exact=False)
+        tops = {c: None for c in cols}
+        samples = sample_values(df, cols, order_by or cols[0], present=present) if cols else {}
     rows = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType

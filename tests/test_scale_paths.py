@@ -152,3 +152,18 @@ def test_no_python_udf_in_plans(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_approximate_mode_is_close(spark):
+    from frameprep.functions.stats import exact_quantiles
+    from frameprep.operators import profile as P
+
+    li = table(spark, SF_SMALL, "lineitem")
+    exact = {r["column_name"]: r["unique_values"] for r in P.profile_columns(li).collect()}
+    approx = {r["column_name"]: r["unique_values"] for r in P.profile_columns(li, exact=False).collect()}
+    for c in exact:
+        assert abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c])
+    e = exact_quantiles(li, ["l_extendedprice"], [0.25, 0.5, 0.75])["l_extendedprice"]
+    a = exact_quantiles(li, ["l_extendedprice"], [0.25, 0.5, 0.75], approx=True)["l_extendedprice"]
+    spread = e[2] - e[0]
+    assert all(abs(x - y) <= 0.01 * spread for x, y in zip(e, a))
