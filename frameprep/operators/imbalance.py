@@ -297,13 +297,21 @@ def _grid_coords(vec: Column, basis, d: int) -> Column:
     return F.array(*[sum((F.lit(b[i]) * vec.getItem(i) for i in range(d)), F.lit(0.0)) for b in basis])
 
 
-def _top_k(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The k nearest candidates per row. ``row_number() <= k`` gets a
-    per-partition group limit before the shuffle, so a row with a large block
-    of candidates never has them all in one buffer; only k survive per task."""
-    w = Window.partitionBy(*keys).orderBy("__d2", "__j")
-    kept = pairs.select(*keys, "__d2", "__j").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
-    return kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__d2", "__j"))).alias("__best"))
+def _top_k_weighted(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k nearest neighbours per row when each candidate stands for ``__m``
+    identical rows: candidates are taken in (distance, rank) order until their
+    multiplicities reach k; the list repeats a candidate for its copies."""
+    w = Window.partitionBy(*keys).orderBy("__d2", "__j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = pairs.select(*keys, "__d2", "__j", "__m").withColumn("__cum", F.sum("__m").over(w))
+    kept = ranked.where(F.col("__cum") - F.col("__m") < k).withColumn(
+        "__take", F.least(F.col("__m"), F.lit(k) - (F.col("__cum") - F.col("__m"))))
+    agg = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__d2", "__j", "__take"))).alias("__b"))
+    return agg.select(
+        *keys,
+        F.slice(F.flatten(F.transform("__b", lambda t: F.array_repeat(t.getField("__j"), t.getField("__take").cast("int")))),
+                1, k).alias("__nbrs"),
+        F.element_at(F.col("__b"), -1).getField("__d2").alias("__kd2"),
+    )
 
 
 def nearest_neighbours(points: DataFrame, counts: dict[str, int], k: int, d: int, seed: int = SEED) -> DataFrame:
@@ -348,6 +356,9 @@ def nearest_neighbours(points: DataFrame, counts: dict[str, int], k: int, d: int
     level = F.when(kth > 0, F.floor(F.log2(kth)) - 3).cast("int")
     first = first.withColumn("__ok", ok).withColumn("__lvl", level).checkpoint(eager=True)
     done = [first.where("__ok").select("__cls", "__rank", F.transform("__best", lambda t: t.getField("__j")).alias("__nbrs"))]
+    # grid candidates are distinct vectors with a multiplicity: a block of copies
+    # (even a third of the class) is one candidate row, never one row per copy
+    groups = base.groupBy("__cls", "__vec", "__g").agg(F.min("__rank").alias("__j"), F.count(F.lit(1)).alias("__m"))
     left = first.where(~F.col("__ok")).select("__cls", "__rank", "__lvl")
     offsets = F.array(*[F.array(*[F.lit(o) for o in combo]) for combo in _offsets(m)])
     while left.limit(1).count() > 0:
@@ -357,18 +368,20 @@ def nearest_neighbours(points: DataFrame, counts: dict[str, int], k: int, d: int
         cell = F.transform(F.col("__g"), lambda g: F.floor(g / side))
         q = q.withColumn("__cell", cell).withColumn("__off", F.explode(offsets)).withColumn(
             "__key", F.zip_with("__cell", "__off", lambda a, b: a + b))
-        data = base.withColumn("__lvl", F.explode(F.array(*[F.lit(v) for v in levels]))).select(
-            "__cls", "__lvl", F.col("__rank").alias("__j"), F.col("__vec").alias("__vj"),
+        data = groups.withColumn("__lvl", F.explode(F.array(*[F.lit(v) for v in levels]))).select(
+            "__cls", "__lvl", "__j", "__m", F.col("__vec").alias("__vj"),
             F.transform(F.col("__g"), lambda g: F.floor(g / F.pow(F.lit(2.0), F.col("__lvl")))).alias("__key"))
-        pairs = (q.join(data, ["__cls", "__lvl", "__key"]).where(F.col("__j") != F.col("__rank"))
+        # copies of the row's own vector count once less (the row is not its own neighbour)
+        pairs = (q.join(data, ["__cls", "__lvl", "__key"])
+                 .withColumn("__m", F.when(F.col("__vj") == F.col("__vec"), F.col("__m") - 1).otherwise(F.col("__m")))
+                 .where(F.col("__m") > 0)
                  .withColumn("__d2", _sq_dist(F.col("__vec"), F.col("__vj"), d)))
-        best = _top_k(pairs, ["__cls", "__rank", "__lvl"], k)
+        best = _top_k_weighted(pairs, ["__cls", "__rank", "__lvl"], k)
         found = left.join(best, ["__cls", "__rank", "__lvl"], "left")
-        kth = F.sqrt(F.element_at(F.col("__best"), -1).getField("__d2"))
-        settled = F.coalesce(F.size("__best"), F.lit(0)) >= k
-        settled = settled & (kth <= F.pow(F.lit(2.0), F.col("__lvl")))
+        settled = F.coalesce(F.size("__nbrs"), F.lit(0)) >= k
+        settled = settled & (F.sqrt(F.col("__kd2")) <= F.pow(F.lit(2.0), F.col("__lvl")))
         found = found.withColumn("__ok", settled).checkpoint(eager=True)
-        done.append(found.where("__ok").select("__cls", "__rank", F.transform("__best", lambda t: t.getField("__j")).alias("__nbrs")))
+        done.append(found.where("__ok").select("__cls", "__rank", "__nbrs"))
         left = found.where(~F.col("__ok")).select("__cls", "__rank", (F.col("__lvl") + 1).alias("__lvl"))
     out = done[0]
     for part in done[1:]:
