@@ -410,8 +410,11 @@ def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOUR
     proj = F.lit(0.0)
     for x, c in zip(u, feats):
         proj = proj + F.lit(x) * F.col(c).cast("double")
-    base = fm.withColumn("__vec", vec).withColumn("__p", proj).withColumn("__h", F.xxhash64(F.lit(seed), vec))
-    ranked, counts = _ranked_by_class(base, target, ["__p", "__h", "__vec"])
+    base = (fm.withColumn("__vec", vec).withColumn("__p", proj).withColumn("__h", F.xxhash64(F.lit(seed), vec))
+            .withColumn("__t", F.monotonically_increasing_id()))
+    # the row id makes every sort key unique, so range partitioning splits a
+    # block of identical rows over many tasks instead of one
+    ranked, counts = _ranked_by_class(base, target, ["__p", "__h", "__vec", "__t"])
     if not counts:
         return fm
     small = [c for c, n in counts.items() if 0 < n <= k]
