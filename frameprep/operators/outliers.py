@@ -70,21 +70,29 @@ def candidate_columns(df: DataFrame) -> list[str]:
 def outlier_evidence(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """O1/O2: one evidence row per column, in the order given."""
     fit = fit_bounds(df, cols, approx)
-    counts = []
-    live = [c for c in cols if fit[c]["n"] > 0]
-    if live:
-        exprs = []
-        for i, c in enumerate(live):
-            s, x = fit[c], as_number(df, c)
-            exprs.append(F.count_if((x < F.lit(s["lower"])) | (x > F.lit(s["upper"]))).alias(f"iqr{i}"))
-            sd = s["std"]
-            if sd is not None and sd != 0:
-                z = F.abs((x - F.lit(s["mean"])) / F.lit(sd))
-                exprs.append(F.count_if(z > F.lit(Z_THRESHOLD)).alias(f"z{i}"))
-            else:
-                exprs.append(F.lit(0).cast("bigint").alias(f"z{i}"))
-        row = df.agg(*exprs).first()
-        counts = {c: (row[f"iqr{i}"], row[f"z{i}"]) for i, c in enumerate(live)}
+    counts: dict[str, tuple[int, int]] = {}
+    exprs = []
+    for c in cols:
+        s = fit[c]
+        if s["n"] == 0:
+            continue
+        # the extremes decide: with min and max inside the fences (and within
+        # 3 sd) there is nothing to count, and no pass over the data is needed
+        x = as_number(df, c)
+        need_iqr = s["min"] < s["lower"] or s["max"] > s["upper"]
+        sd = s["std"]
+        z_live = sd is not None and sd != 0
+        need_z = z_live and max(abs((s["min"] - s["mean"]) / sd), abs((s["max"] - s["mean"]) / sd)) > Z_THRESHOLD
+        counts[c] = (0, 0)
+        if need_iqr:
+            exprs.append(F.count_if((x < F.lit(s["lower"])) | (x > F.lit(s["upper"]))).alias(f"iqr|{c}"))
+        if need_z:
+            z = F.abs((x - F.lit(s["mean"])) / F.lit(sd))
+            exprs.append(F.count_if(z > F.lit(Z_THRESHOLD)).alias(f"z|{c}"))
+    if exprs:
+        row = df.agg(*exprs).first().asDict()
+        for c in counts:
+            counts[c] = (int(row.get(f"iqr|{c}", 0)), int(row.get(f"z|{c}", 0)))
     rows = []
     for c in cols:
         s = fit[c]

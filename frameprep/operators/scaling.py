@@ -45,7 +45,10 @@ def analyze_scaling_features(df: DataFrame, target: str | None = None, columns:
     cols = columns if columns is not None else scaling_candidates(df, target)
     mom = moments(df, cols)
     qs = exact_quantiles(df, cols, [0.25, 0.75], mom, approx=approx)
-    live = [c for c in cols if mom[c]["n"] > 0 and qs[c][1] - qs[c][0] != 0]
+    # a column whose extremes sit inside its fences has no outliers: no pass needed
+    live = [c for c in cols if mom[c]["n"] > 0 and qs[c][1] - qs[c][0] != 0
+            and (mom[c]["min"] < qs[c][0] - 1.5 * (qs[c][1] - qs[c][0])
+                 or mom[c]["max"] > qs[c][1] + 1.5 * (qs[c][1] - qs[c][0]))]
     counts = {}
     if live:
         exprs = []
