@@ -9,6 +9,7 @@ in DuckDB, which keeps the oracle honest.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,16 +60,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")).createOrReplaceTempView(n)
-
-
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The derived input as a DataFrame. Tables are passed to ``spark.sql`` as
+    DataFrame arguments, not as session-wide views, so concurrent callers with
+    different folders cannot see each other's tables."""
     sql = DERIVED[name]
-    used = [t for t in TABLES if f" {t}" in sql or f"\n{t}" in sql]
-    register(spark, sf_dir, used)
-    return spark.sql(sql)
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    frames = {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in used}
+    templ = re.sub(r"\b(" + "|".join(used) + r")\b", r"{\1}", sql) if used else sql
+    return spark.sql(templ, **frames)
 
 
 def duckdb_views(con, sf_dir: str) -> None:
