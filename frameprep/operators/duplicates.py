@@ -1,8 +1,11 @@
 """Duplicate evidence and handling.
 
-Exact duplicates need one group-by over all columns; Spark combines equal rows
-on the map side, so a row that repeats a billion times is one partial record
-per task before the shuffle.
+Counting exact duplicates does not shuffle whole rows: every row is first
+reduced to a 64-bit hash (with a null mask), the hashes are grouped, and only
+rows whose hash occurs more than once are grouped again on all columns to get
+the exact answer (a hash collision can therefore never count as a copy).
+Where duplicates are rare the shuffle moves 8 bytes per row; where a row
+repeats a billion times, the map-side combine collapses it before the shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from frameprep.functions.stats import value_frequencies
 DUPLICATE_ACTIONS = ("Remove Duplicates", "Keep Duplicates")
 IDENTIFIER_PCT = 95.0
 # ---------------------------------------------------------------------------
+BROADCAST_MAX_KEYS = 4_000_000  # 8-byte hashes: at most 32 MB broadcast
 
 
 def _row_groups(df: DataFrame) -> DataFrame:
@@ -32,11 +36,44 @@ def _row_groups(df: DataFrame) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
+def _hash_key(df: DataFrame):
+    """Row hash that agrees with group-by equality: NaN is NULL, -0.0 is 0.0,
+    and a null mask keeps (1, NULL) apart from (NULL, 1)."""
+    parts, mask = [], []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.MapType):
+            continue
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = nan_to_null(c.cast("double"))
+            c = F.when(c == 0, F.lit(0.0)).otherwise(c)
+        parts.append(c)
+        mask.append(F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")))
+    return F.xxhash64(F.concat_ws("", *mask), *parts) if parts else F.lit(0)
+
+
+def duplicate_count(df: DataFrame) -> tuple[int, int]:
+    """(rows, duplicate rows) exactly, shuffling hashes first and full rows
+    only for hashes seen more than once."""
+    per_hash = df.select(_hash_key(df).alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("c")).persist()
+    r = per_hash.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 1, F.col("c"))).alias("s"),
+                     F.count_if(F.col("c") > 1).alias("k")).first()
+    n, suspects, keys = int(r["n"] or 0), int(r["s"] or 0), int(r["k"] or 0)
+    if suspects == 0:
+        per_hash.unpersist()
+        return n, 0
+    hot = per_hash.where(F.col("c") > 1).select("__h")
+    if keys <= BROADCAST_MAX_KEYS:
+        hot = F.broadcast(hot)
+    cand = df.withColumn("__h", _hash_key(df)).join(hot, "__h", "left_semi").drop("__h")
+    g = _row_groups(cand).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("g")).first()
+    per_hash.unpersist()
+    return n, int(g["n"] or 0) - int(g["g"] or 0)
+
+
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """Total rows, duplicate rows (copies after the first), % (2 dp)."""
-    row = _row_groups(df).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("g")).first()
-    n = int(row["n"] or 0)
-    dup = n - int(row["g"])
+    n, dup = duplicate_count(df)
     return frame(
         df.sparkSession,
         [{"total_rows": n, "duplicate_rows": dup, "duplicate_percentage": round_half_away(pct(dup, n), 2)}],

@@ -1,10 +1,8 @@
 """Profiling and missing-value evidence.
 
-The dataset profile needs two things: per-column missing counts (one scan) and
-duplicate rows (one group-by over all columns). Both come out of a single
-group-by: the group table carries a count, and a column's missing count is the
-sum of the counts of the groups where it is missing. Distinct counts, modes
-and top lists come from the shared value-frequency table.
+The dataset profile takes per-column missing counts from one scan and the
+duplicate rows from the hash-first exact count in ``duplicates``. Distinct
+counts, modes and top lists come from the shared value-frequency table.
 """
 
 from __future__ import annotations
@@ -35,18 +33,16 @@ def _groupable(df: DataFrame) -> list[str]:
 
 def dataset_totals(df: DataFrame) -> dict:
     """Rows, columns, duplicate rows, total missing, per-column missing."""
+    from frameprep.operators.duplicates import duplicate_count
+
     cols = _groupable(df)
-    grouped = df.groupBy(*[F.col(c) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
-    exprs = [F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("groups")]
-    exprs += [F.sum(F.when(is_missing(df, c), F.col("__n")).otherwise(0)).alias(f"m{i}") for i, c in enumerate(cols)]
-    row = grouped.agg(*exprs).first()
-    rows = int(row["rows"] or 0)
-    missing = {c: int(row[f"m{i}"] or 0) for i, c in enumerate(cols)}
+    _, missing = missing_counts(df, cols)
+    rows, dups = duplicate_count(df)
     return {
         "rows": rows,
         "columns": len(df.columns),
         "column_names": list(df.columns),
-        "duplicate_rows": rows - int(row["groups"]),
+        "duplicate_rows": dups,
         "total_missing_values": sum(missing.values()),
         "missing": missing,
     }

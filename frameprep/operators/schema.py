@@ -225,10 +225,9 @@ def apply_schema_actions(
             raise ValueError(f"Unknown schema action: {a}")
     formats = dict(formats or {})
     spark = df.sparkSession
-    from frameprep.operators.duplicates import _row_groups
+    from frameprep.operators.duplicates import duplicate_count
 
-    g = _row_groups(df).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("g")).first()
-    rows_before, dups = int(g["n"] or 0), int(g["n"] or 0) - int(g["g"])
+    rows_before, dups = duplicate_count(df)
     out = apply_duplicate_action(df, duplicate_action)
     rows_after = rows_before - dups if duplicate_action == "Remove Duplicates" else rows_before
     summary = [{

@@ -196,3 +196,13 @@ def test_missing_value_inspector(spark):
     assert "age_by_gender" in ins.relationships
     assert ins.inspect_column("age")["count"] == 2
     assert P.preview(df, 2).count() == 2
+
+
+def test_duplicate_count_matches_pandas(spark):
+    from frameprep.operators import duplicates as D
+
+    rows = [(1.0, "a"), (1.0, "a"), (float("nan"), "b"), (None, "b"), (0.0, None), (-0.0, None), (2.0, "c"), (None, None)]
+    df = _df(spark, rows, "x DOUBLE, s STRING")
+    pdf = pd.DataFrame(rows, columns=["x", "s"])
+    n, dup = D.duplicate_count(df)
+    assert n == len(rows) and dup == int(pdf.duplicated().sum()) == 3
