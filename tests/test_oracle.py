@@ -5,11 +5,9 @@ import math
 import pytest
 
 import __spark_entry__ as E
+from frameprep.queries import ORACLE, QUERIES
 from tests.conftest import SF_SMALL
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
-
 
 def _norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
@@ -30,7 +28,8 @@ def test_entry_smoke(spark):
 
 def test_every_query_is_registered_with_a_callable():
     assert len(QUERIES) >= 60
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(E.queries())
+    assert set(ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
