@@ -5,8 +5,9 @@ rank queue: one bucket per merge rank holds the start positions of pairs with
 that rank, a tree of 64-bit words marks the non-empty buckets, and
 find-first-set down the tree gives the next rank. Parts form a linked list by
 position; an entry whose pair has changed meanwhile is stale and is skipped.
-The next merge is always the leftmost pair of the lowest rank, at O(log) cost,
-so a pre-token of a million bytes takes n log n steps instead of n squared.
+The next merge is always the leftmost pair of the lowest rank, so a pre-token of
+a million bytes takes about n log n steps instead of n squared. The different
+pre-tokens of some texts share one queue, which finds each of its ranks once.
 
 The rank file is read once on the driver (under 1 MB, one row per token) and
 broadcast. Texts are encoded where they are read: no shuffle.
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from frameprep.llm.common import text_or_empty
 
 #: pre-tokens remembered per worker (a cache only: others are encoded anew)
-CACHE_ENTRIES = 1 << 17
+CACHE_ENTRIES = 1 << 18
+#: characters whose pre-tokens are merged together
+GROUP_CHARS = 4_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,29 +41,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank is found through a tree of 64-bit words."""
+class RankTree:
+    """The set of ranks with a non-empty bucket: a tree of 64-bit words whose lowest
+    member is found by one find-first-set a level."""
 
     def __init__(self, max_rank: int):
-        self.levels = 1
-        while 64 ** self.levels <= max_rank:
-            self.levels += 1
-        self.words: list[dict[int, int]] = [{} for _ in range(self.levels)]
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, pos: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, pos)
-            return
-        self.buckets[rank] = [pos]
-        at = rank
+        levels = 1
+        while 64 ** levels <= max_rank:
+            levels += 1
+        self.words: list[dict[int, int]] = [{} for _ in range(levels)]
+
+    def add(self, at: int) -> None:
         for level in self.words:
-            word, bit = at >> 6, 1 << (at & 63)
+            word = at >> 6
             old = level.get(word, 0)
-            level[word] = old | bit
+            level[word] = old | 1 << (at & 63)
             if old:
-                break
+                return
             at = word
 
     def lowest(self) -> int:
@@ -73,61 +69,104 @@ class RankQueue:
             at = (at << 6) | ((word & -word).bit_length() - 1)
         return at
 
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        pos = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.words:
-                word, bit = at >> 6, 1 << (at & 63)
-                level[word] &= ~bit
-                if level[word]:
+    def remove(self, at: int) -> None:
+        for level in self.words:
+            word = at >> 6
+            level[word] &= ~(1 << (at & 63))
+            if level[word]:
+                return
+            at = word
+
+
+class Merger:
+    """Merges byte strings by rank; one queue serves a whole batch of pre-tokens.
+
+    The pre-tokens stand end to end in one linked list that is cut between them. A
+    bucket's positions are merged from the left; as soon as a merge makes a pair of
+    a lower rank, the rest of the bucket waits and the lower rank comes first. So
+    within each pre-token the leftmost pair of the lowest rank is always next."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.max_rank = ranks, max(ranks.values(), default=0)
+        get = ranks.get
+        #: (left id, right id) -> id of the two together
+        self.joined = {
+            (x << 32) | y: r for t, r in ranks.items() for k in range(1, len(t))
+            if (x := get(t[:k])) is not None and (y := get(t[k:])) is not None}
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.first = np.full((256, 256), -1, dtype=np.int64)
+        for i in range(256):
+            for j in range(256):
+                self.first[i, j] = get(bytes([i, j]), -1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids (little-endian unsigned 32-bit) of every non-empty piece."""
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        ends = np.cumsum(lens)
+        n = len(data)
+        token = self.byte[data].tolist()
+        pair = np.full(n, -1, dtype=np.int64)
+        pair[:-1] = self.first[data[:-1], data[1:]]
+        pair[ends - 1] = -1
+        right = np.arange(1, n + 1)
+        right[ends - 1] = -1
+        left = np.arange(-1, n - 1)
+        left[ends - lens] = -1
+        order = np.argsort(pair, kind="stable")
+        order = order[np.searchsorted(pair[order], 0):]
+        held, begin = np.unique(pair[order], return_index=True)
+        tree, buckets = RankTree(self.max_rank), {}
+        for rank, part in zip(held.tolist(), np.split(order, begin[1:])):
+            buckets[rank] = part.tolist()
+            tree.add(rank)
+        pair, right, left = pair.tolist(), right.tolist(), left.tolist()
+        joined = self.joined.get
+
+        def push(rank: int, at: int) -> None:
+            bucket = buckets.get(rank)
+            if bucket is None:
+                buckets[rank] = [at]
+                tree.add(rank)
+            else:
+                bucket.append(at)
+
+        while (rank := tree.lowest()) >= 0:
+            bucket = buckets.pop(rank)
+            tree.remove(rank)
+            bucket.sort()
+            for k, i in enumerate(bucket):
+                if pair[i] != rank:  # stale: the pair here has changed
+                    continue
+                j = right[i]
+                after, before = right[j], left[i]
+                token[i], right[i], pair[j] = rank, after, -2
+                low = rank
+                if after >= 0:
+                    left[after] = i
+                    pair[i] = new = joined((rank << 32) | token[after], -1)
+                    if new >= 0:
+                        push(new, i)
+                        low = min(low, new)
+                else:
+                    pair[i] = -1
+                if before >= 0:
+                    pair[before] = new = joined((token[before] << 32) | rank, -1)
+                    if new >= 0:
+                        push(new, before)
+                        low = min(low, new)
+                if low < rank:
+                    for at in bucket[k + 1:]:
+                        push(rank, at)
                     break
-                at = word
-        return pos
-
-
-def merge_bytes(piece: bytes, ranks: dict[bytes, int], max_rank: int) -> list[int]:
-    """Token ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    end = list(range(1, n + 1))  # end of the part that starts here
-    before = list(range(-1, n - 1))  # start of the part to the left
-    pair = [-1] * n  # rank of (part here, next part); -1: none, or swallowed
-    queue = RankQueue(max_rank)
-    for i in range(n - 1):
-        rank = ranks.get(piece[i:i + 2], -1)
-        if rank >= 0:
-            pair[i] = rank
-            queue.push(rank, i)
-    while (rank := queue.lowest()) >= 0:
-        i = queue.pop(rank)
-        if pair[i] != rank:
-            continue
-        j = end[i]
-        end[i] = end[j]
-        pair[j] = -1
-        after = end[i]
-        if after < n:
-            before[after] = i
-            pair[i] = ranks.get(piece[i:end[after]], -1)
-            if pair[i] >= 0:
-                queue.push(pair[i], i)
-        else:
-            pair[i] = -1
-        left = before[i]
-        if left >= 0:
-            pair[left] = ranks.get(piece[left:after], -1)
-            if pair[left] >= 0:
-                queue.push(pair[left], left)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i:end[i]]])
-        i = end[i]
-    return out
+        alive = np.asarray(pair) != -2  # the parts that were swallowed are gone
+        ids = np.asarray(token, dtype="<u4")[alive]
+        cut = np.concatenate([[0], np.cumsum(alive)])[ends]
+        packed, start, out = ids.tobytes(), 0, []
+        for end in (cut * 4).tolist():
+            out.append(packed[start:end])
+            start = end
+        return out
 
 
 class Codec:
@@ -136,30 +175,59 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.max_rank = ranks, max(ranks.values(), default=0)
+        self.merger = Merger(ranks)
         self.split = regex.compile(pattern).findall
         self.token = {i: t for t, i in ranks.items()}
         self.cache: dict[str, bytes] = {}
 
-    def piece(self, text: str) -> bytes:
-        ids = merge_bytes(text.encode("utf-8", "surrogatepass"), self.ranks, self.max_rank)
-        packed = np.asarray(ids, dtype="<u4").tobytes()
-        if len(self.cache) < CACHE_ENTRIES and len(text) <= 64:
-            self.cache[text] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        known, piece = self.cache.get, self.piece
-        return b"".join([known(m) or piece(m) for m in self.split(text)])
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP_CHARS:
+                yield from self._encode_group(group)
+                group, size = [], 0
+        yield from self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        cut = [self.split(t) for t in texts]
+        known, whole = self.cache, self.merger.ranks.get
+        new = list(set().union(*cut).difference(known)) if cut else []
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        found, open_ = {}, []
+        for w, b in zip(new, raw):
+            rank = whole(b)
+            if rank is None:
+                open_.append((w, b))
+            else:
+                found[w] = rank.to_bytes(4, "little")
+        if open_:
+            found.update(zip((w for w, _ in open_), self.merger.merge([b for _, b in open_])))
+        if len(known) + len(found) <= CACHE_ENTRIES:
+            known.update((w, ids) for w, ids in found.items() if len(w) <= 64)
+        known_get = known.get
+        return [b"".join([known_get(w) or found[w] for w in words]) for words in cut]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-def _coder(shared, pattern: str, emit):
+_CODECS: dict[str, Codec] = {}
+
+
+def _codec(shared, pattern: str, key: str) -> Codec:
+    """The worker's codec, kept between its tasks."""
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(shared.value, pattern)
+    return _CODECS[key]
+
+
+def _coder(shared, pattern: str, key: str, emit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, pattern)
+        codec = _codec(shared, pattern, key)
         for batch in batches:
             yield emit(codec, batch)
     return run
@@ -167,8 +235,7 @@ def _coder(shared, pattern: str, emit):
 
 def _digest_batch(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
     n, ids, back = [], [], []
-    for text in batch.column(1).to_pylist():
-        packed = codec.encode(text)
+    for packed in codec.encode_all(batch.column(1).to_pylist()):
         n.append(len(packed) // 4)
         ids.append(hashlib.sha256(packed).hexdigest())
         back.append(hashlib.sha256(codec.decode(packed)).hexdigest())
@@ -178,7 +245,7 @@ def _digest_batch(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _id_batch(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids = [np.frombuffer(codec.encode(t), dtype="<u4").astype("int32") for t in batch.column(1).to_pylist()]
+    ids = [np.frombuffer(x, dtype="<u4").astype("int32") for x in codec.encode_all(batch.column(1).to_pylist())]
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
@@ -189,7 +256,8 @@ def _text_batch(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _run(docs: DataFrame, id_col: str, value, ranks: dict[bytes, int], pattern: str, emit, schema: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), value).mapInArrow(_coder(shared, pattern, emit), schema)
+    key = hashlib.md5(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), value).mapInArrow(_coder(shared, pattern, key, emit), schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
