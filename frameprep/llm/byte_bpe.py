@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from frameprep.llm.common import text_or_empty
 
 #: pre-tokens remembered per worker (a cache only: others are encoded anew)
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 19
 #: characters whose pre-tokens are merged together
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 8_000_000
+#: longer pre-tokens are merged one position at a time
+LONG_BYTES = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -93,6 +95,8 @@ class Merger:
         self.joined = {
             (x << 32) | y: r for t, r in ranks.items() for k in range(1, len(t))
             if (x := get(t[:k])) is not None and (y := get(t[k:])) is not None}
+        self.keys = np.fromiter(sorted(self.joined), dtype=np.int64, count=len(self.joined))
+        self.values = np.fromiter((self.joined[k] for k in self.keys.tolist()), dtype=np.int64, count=len(self.keys))
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.first = np.full((256, 256), -1, dtype=np.int64)
         for i in range(256):
@@ -100,27 +104,99 @@ class Merger:
                 self.first[i, j] = get(bytes([i, j]), -1)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids (little-endian unsigned 32-bit) of every non-empty piece."""
+        """Packed ids (little-endian unsigned 32-bit) of every non-empty piece. A bucket
+        serves many short pieces at once, and a long piece one position at a time."""
+        out: list[bytes] = [b""] * len(pieces)
+        for short in (True, False):
+            at = [k for k, p in enumerate(pieces) if (len(p) <= LONG_BYTES) == short]
+            if at:
+                run = self._merge_many if short else self._merge_long
+                for k, ids in zip(at, run([pieces[k] for k in at])):
+                    out[k] = ids
+        return out
+
+    def _pair_ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        key = (x << 32) | y
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+    def _laid_out(self, pieces: list[bytes]):
+        """Tokens, pair ranks and links of the pieces end to end, and the buckets."""
         data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        ends = np.cumsum(lens)
-        n = len(data)
-        token = self.byte[data].tolist()
+        ends, n = np.cumsum(lens), len(data)
         pair = np.full(n, -1, dtype=np.int64)
         pair[:-1] = self.first[data[:-1], data[1:]]
         pair[ends - 1] = -1
-        right = np.arange(1, n + 1)
-        right[ends - 1] = -1
-        left = np.arange(-1, n - 1)
-        left[ends - lens] = -1
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right[ends - 1] = left[ends - lens] = -1
         order = np.argsort(pair, kind="stable")
         order = order[np.searchsorted(pair[order], 0):]
         held, begin = np.unique(pair[order], return_index=True)
         tree, buckets = RankTree(self.max_rank), {}
         for rank, part in zip(held.tolist(), np.split(order, begin[1:])):
-            buckets[rank] = part.tolist()
+            buckets[rank] = part
             tree.add(rank)
-        pair, right, left = pair.tolist(), right.tolist(), left.tolist()
+        return self.byte[data], pair, right, left, lens, ends, tree, buckets
+
+    @staticmethod
+    def _packed(token, pair, ends: np.ndarray) -> list[bytes]:
+        alive = np.asarray(pair) != -2  # the parts that were swallowed are gone
+        packed = np.asarray(token)[alive].astype("<u4").tobytes()
+        cut = (np.concatenate([[0], np.cumsum(alive)])[ends] * 4).tolist()
+        return [packed[a:b] for a, b in zip([0, *cut], cut)]
+
+    def _merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        token, pair, right, left, lens, ends, tree, first = self._laid_out(pieces)
+        piece = np.repeat(np.arange(len(pieces)), lens)
+        buckets = {rank: [part] for rank, part in first.items()}
+
+        def push(ranks: np.ndarray, at: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            ranks, at = ranks[order], at[order]
+            cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            begin = [0, *cut.tolist()]
+            for rank, a, b in zip(ranks[begin].tolist(), begin, [*begin[1:], len(at)]):
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [at[a:b]]
+                    tree.add(rank)
+                else:
+                    bucket.append(at[a:b])
+
+        while (rank := tree.lowest()) >= 0:
+            held = buckets.pop(rank)
+            tree.remove(rank)
+            at = held[0] if len(held) == 1 else np.concatenate(held)
+            at = np.unique(at[pair[at] == rank])  # without the stale ones
+            if not len(at):
+                continue
+            lead = np.ones(len(at), bool)  # the leftmost of each piece; the others wait
+            lead[1:] = piece[at[1:]] != piece[at[:-1]]
+            if not lead.all():
+                buckets[rank] = [at[~lead]]
+                tree.add(rank)
+                at = at[lead]
+            gone = right[at]
+            after, before = right[gone], left[at]
+            token[at], right[at], pair[gone] = rank, after, -2
+            more, back = after >= 0, before >= 0
+            i, after, before = at[more], after[more], before[back]
+            left[after] = i
+            pair[at] = -1
+            pair[i] = self._pair_ranks(np.int64(rank), token[after])
+            pair[before] = self._pair_ranks(token[before], np.int64(rank))
+            touched = np.concatenate([i, before])
+            ranks = pair[touched]
+            known = ranks >= 0
+            if known.any():
+                push(ranks[known], touched[known])
+        return self._packed(token, pair, ends)
+
+    def _merge_long(self, pieces: list[bytes]) -> list[bytes]:
+        token, pair, right, left, _, ends, tree, first = self._laid_out(pieces)
+        buckets = {rank: part.tolist() for rank, part in first.items()}
+        token, pair, right, left = token.tolist(), pair.tolist(), right.tolist(), left.tolist()
         joined = self.joined.get
 
         def push(rank: int, at: int) -> None:
@@ -159,14 +235,7 @@ class Merger:
                     for at in bucket[k + 1:]:
                         push(rank, at)
                     break
-        alive = np.asarray(pair) != -2  # the parts that were swallowed are gone
-        ids = np.asarray(token, dtype="<u4")[alive]
-        cut = np.concatenate([[0], np.cumsum(alive)])[ends]
-        packed, start, out = ids.tobytes(), 0, []
-        for end in (cut * 4).tolist():
-            out.append(packed[start:end])
-            start = end
-        return out
+        return self._packed(token, pair, ends)
 
 
 class Codec:
