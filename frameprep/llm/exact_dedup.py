@@ -122,27 +122,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-KEY = "__text_key"
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digest = [hashlib.sha256(lower_bytes(t)).hexdigest() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.string())], ["doc", "i", "sha"])
 
 
-def _append_key(column: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [hashlib.sha256(lower_bytes(t)).hexdigest() for t in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], [*batch.schema.names, KEY])
-    return run
-
-
-def keep_one_per_text(docs: DataFrame) -> DataFrame:
+def keep_one_per_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the dedup drops (and without rows repeated as
     they are); columns unchanged. The decisions are the block names'; the digest
     only tells apart rows that repeat a doc_id with other texts."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    schema = T.StructType([*docs.schema.fields, T.StructField(KEY, T.StringType())])
-    marked = docs.mapInArrow(_append_key(docs.columns.index("text")), schema)
-    left = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(KEY) == F.col("__sha")), "left_anti")
-    return left.dropDuplicates(["doc_id", KEY]).select(*docs.columns)
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(
+        F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t"))
+    schema = T.StructType([whole.schema["doc"], T.StructField("i", T.LongType()), T.StructField("sha", T.StringType())])
+    marked = whole.mapInArrow(_with_digest, schema)
+    left = marked.join(gone, F.col("i").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
+    return left.dropDuplicates(["i", "sha"]).select("doc.*")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

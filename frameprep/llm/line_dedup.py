@@ -170,7 +170,10 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
 
 
 def without_lines(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the dropped lines taken out of their texts."""
-    d = decisions.select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped")).dropDuplicates(["__id"])
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.coalesce(F.array_contains("__dropped", i), F.lit(False))), "\n")
-    return docs.join(d, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn(text_col, kept).select(*docs.columns)
+    """``docs`` with the dropped lines taken out of their texts; columns unchanged."""
+    d = decisions.select(F.col("doc_id").alias("decided"), "dropped").dropDuplicates(["decided"])
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("i"))
+    gone = lambda n: F.coalesce(F.array_contains("dropped", n), F.lit(False))
+    kept = F.array_join(F.filter(F.split(F.col("doc")[text_col], "\n"), lambda x, n: ~gone(n)), "\n")
+    joined = whole.join(d, F.col("i").eqNullSafe(F.col("decided")), "left")
+    return joined.withColumn("doc", F.col("doc").withField(text_col, kept)).select("doc.*")

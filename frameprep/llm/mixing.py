@@ -143,10 +143,11 @@ def mix_rows(docs: DataFrame, labelled: DataFrame, domain_col: str, power: float
         return docs
     members = posteriors(docs, labelled, domains, domain_col, id_col)
     fitted = fit_rates(members, tempered_targets(members, domains, power))
-    rates = fitted.groupBy(F.col("doc_id").alias("__id")).agg(F.avg("rate").alias("__rate"))
-    copies = F.coalesce(copies_of(F.col("__rate") + 2 * CLOSE, F.col(id_col)), F.lit(1))
-    joined = docs.join(rates, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__copies", copies).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rates = fitted.groupBy(F.col("doc_id").alias("rated")).agg(F.avg("rate").alias("rate"))
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("i"))
+    copies = F.coalesce(copies_of(F.col("rate") + 2 * CLOSE, F.col("i")), F.lit(1))
+    joined = whole.join(rates, F.col("i").eqNullSafe(F.col("rated")), "left").withColumn("copies", copies).where("copies > 0")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def copies_of(rate: Column, key: Column) -> Column:

@@ -64,25 +64,23 @@ def statistics(text: str | None) -> tuple[float, ...]:
     )
 
 
-def _append_stats(column: int, schema: pa.Schema | None = None):
-    kind = pa.struct([(s, pa.float64()) for s in STATS])
+_KIND = pa.struct([(s, pa.float64()) for s in STATS])
+STATS_COL = "stats"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(t) for t in batch.column(column).to_pylist()]
-            cols = np.array(rows, dtype=float).reshape(len(rows), len(STATS)).T
-            stats = pa.StructArray.from_arrays([pa.array(c) for c in cols], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns, stats], [*batch.schema.names, STATS_COL])
-    return run
 
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [statistics(t) for t in batch.column(1).to_pylist()]
+        cols = np.array(rows, dtype=float).reshape(len(rows), len(STATS)).T
+        stats = pa.StructArray.from_arrays([pa.array(c) for c in cols], fields=list(_KIND))
+        yield pa.RecordBatch.from_arrays([batch.column(0), stats], ["doc", STATS_COL])
 
-STATS_COL = "__text_stats"
 
-
-def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` and a struct column of text statistics, computed where the rows are read."""
-    schema = T.StructType([*df.schema.fields, T.StructField(STATS_COL, T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))])
-    return df.mapInArrow(_append_stats(df.columns.index(text_col)), schema)
+def with_statistics(docs: DataFrame, carried: Column, text_col: str = "text") -> DataFrame:
+    """``carried`` as column doc, and a struct of text statistics, computed where the rows are read."""
+    src = docs.select(carried.alias("doc"), F.col(text_col).cast("string").alias("text"))
+    stats = T.StructType([T.StructField(s, T.DoubleType()) for s in STATS])
+    return src.mapInArrow(_measured, T.StructType([src.schema["doc"], T.StructField(STATS_COL, stats)]))
 
 
 @dataclass(frozen=True)
@@ -211,19 +209,19 @@ def fit_quality(stats: DataFrame, labels: DataFrame) -> RuleModel:
     return fit_rules(*train_rows(stats, labels))
 
 
+def _document_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return staged(with_statistics(docs, F.col(id_col).cast("long"), text_col).withColumnRenamed("doc", "doc_id"), "stats")
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    stats = staged(with_statistics(src).select("doc_id", STATS_COL), "stats")
-    model = fit_quality(stats, labels)
-    score = model.score()
+    stats = _document_stats(docs, id_col, text_col)
+    score = fit_quality(stats, labels).score()
     return stats.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= KEEP_AT).cast("int"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the classifier does not reject, columns unchanged."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stats = staged(with_statistics(src).select("doc_id", STATS_COL), "stats")
-    model = fit_quality(stats, labels)
-    return with_statistics(docs).where(model.score() >= KEEP_AT).drop(STATS_COL)
+    model = fit_quality(_document_stats(docs, id_col, text_col), labels)
+    return with_statistics(docs, F.struct("*"), text_col).where(model.score() >= KEEP_AT).select("doc.*")
