@@ -32,17 +32,27 @@ DATETIME_FORMATS = (
     ("MM/dd/yyyy", "%m/%d/%Y"),
     ("dd/MM/yyyy", "%d/%m/%Y"),
     ("dd-MM-yyyy", "%d-%m-%Y"),
+    ("dd MMM yyyy", "%d %b %Y"),
+    ("MMM dd, yyyy", "%b %d, %Y"),
+    ("dd MMMM yyyy", "%d %B %Y"),
+    ("MMMM dd, yyyy", "%B %d, %Y"),
 )
+# What may follow the seconds of a time: a fraction, then Z or an offset from UTC.
+TIME_TAIL = r"(\.\d{1,9})?\s*(Z|[+-]\d{2}:?\d{2})?"
 # The shape a value must have before a format is even tried (a cheap regex
 # in front of the parser, which is slow on text that cannot match).
 DATETIME_SHAPES = {
-    "yyyy-MM-dd HH:mm:ss": r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\s*$",
-    "yyyy-MM-dd'T'HH:mm:ss": r"^\s*\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\s*$",
+    "yyyy-MM-dd HH:mm:ss": r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}" + TIME_TAIL + r"\s*$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\s*\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}" + TIME_TAIL + r"\s*$",
     "yyyy-MM-dd": r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$",
     "yyyy/MM/dd": r"^\s*\d{4}/\d{1,2}/\d{1,2}\s*$",
     "MM/dd/yyyy": r"^\s*\d{1,2}/\d{1,2}/\d{4}\s*$",
     "dd/MM/yyyy": r"^\s*\d{1,2}/\d{1,2}/\d{4}\s*$",
     "dd-MM-yyyy": r"^\s*\d{1,2}-\d{1,2}-\d{4}\s*$",
+    "dd MMM yyyy": r"^\s*\d{1,2} [A-Za-z]{3} \d{4}\s*$",
+    "MMM dd, yyyy": r"^\s*[A-Za-z]{3} \d{1,2}, \d{4}\s*$",
+    "dd MMMM yyyy": r"^\s*\d{1,2} [A-Za-z]{3,9} \d{4}\s*$",
+    "MMMM dd, yyyy": r"^\s*[A-Za-z]{3,9} \d{1,2}, \d{4}\s*$",
 }
 # Column names that are time parts and are never scaled.
 TEMPORAL_NAMES = ("year", "date", "month", "day", "timestamp")
@@ -115,10 +125,22 @@ def as_number(df: DataFrame, name: str) -> Column:
 
 
 def parse_datetime(c: Column, spark_format: str) -> Column:
-    """Text to TIMESTAMP_NTZ under one format; anything else becomes NULL."""
-    parsed = F.try_to_timestamp(F.trim(c), F.lit(spark_format)).cast("timestamp_ntz")
-    shape = DATETIME_SHAPES.get(spark_format)
-    return F.when(c.rlike(shape), parsed) if shape else parsed
+    """Text to TIMESTAMP_NTZ under one format; anything else becomes NULL.
+
+    A time may have a fraction of a second and an offset; with an offset the
+    result is the UTC wall time."""
+    text, shape = F.trim(c), DATETIME_SHAPES.get(spark_format)
+    if not spark_format.endswith(":ss"):
+        parsed = F.try_to_timestamp(text, F.lit(spark_format)).cast("timestamp_ntz")
+        return F.when(c.rlike(shape), parsed) if shape else parsed
+    plain = F.regexp_replace(text, r"\s*(Z|[+-]\d{2}:?\d{2})$", "")
+    parsed = F.try_to_timestamp(plain, F.lit(spark_format + "[.SSSSSSSSS]")).cast("timestamp_ntz")
+    sign = F.regexp_extract(text, r":\d{1,2}(?:\.\d+)?\s*([+-])\d{2}:?\d{2}$", 1)
+    part = lambda k: F.coalesce(
+        F.regexp_extract(text, r":\d{1,2}(?:\.\d+)?\s*[+-](\d{2}):?(\d{2})$", k).try_cast("int"), F.lit(0))
+    way = F.when(sign == "-", F.lit(1)).otherwise(F.lit(-1))
+    moved = F.when(sign == "", parsed).otherwise(parsed + F.make_dt_interval(F.lit(0), way * part(1), way * part(2)))
+    return F.when(c.rlike(shape), moved)
 
 
 def normalise_value(c: Column, dt: T.DataType) -> Column:

@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 
 
 def row_hash(df: DataFrame):
-    cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    mask = F.concat_ws("", *[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols]) if cols else F.lit("")
-    return F.xxhash64(mask, *[F.col(c) for c in cols])
+    cols = [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in df.schema.fields]
+    mask = F.concat_ws("", *[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols]) if cols else F.lit("")
+    return F.xxhash64(mask, *cols)
 
 
 def fingerprint(df: DataFrame, target: str | None = None) -> str:

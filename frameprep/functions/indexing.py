@@ -1,8 +1,8 @@
 """Consecutive 0-based positions in a sort order, without one task holding
 all rows (a DataFrame form of ``zipWithIndex``).
 
-The rows are range-partitioned and sorted, written to the reliable checkpoint
-folder so that partition ids and positions are fixed, then each row gets the
+The rows are range-partitioned and sorted, written to the shared folder so that
+partition ids and positions are fixed, then each row gets the
 count of rows in earlier partitions (a table of one row per partition) plus
 its place inside its own partition.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameprep.session import ensure_checkpoint_dir
+from frameprep.functions.written import written
 
 
 def ordered_index(df: DataFrame, order_cols: list[str], name: str = "index") -> DataFrame:
@@ -20,13 +20,12 @@ def ordered_index(df: DataFrame, order_cols: list[str], name: str = "index") ->
 
     ``order_cols`` must identify a row, or ties get an arbitrary but fixed order.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (
+    ranged = written(
         df.repartitionByRange(*order_cols)
         .sortWithinPartitions(*order_cols)
         .withColumn("__pid", F.spark_partition_id())
-        .withColumn("__mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+        .withColumn("__mid", F.monotonically_increasing_id()),
+        "index",
     )
     per_part = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
     # one row per partition: the running total is a tiny single-task window

@@ -2,15 +2,14 @@
 
 * ``moments``          one aggregate for every column: count, mean, sample and
                        population std, skewness, min / max (finite and not).
-* ``exact_quantiles``  exact order statistics without holding the values of a
-                       column in one task: a histogram over the value range is
-                       refined until every wanted rank sits in a bucket of one
-                       distinct value or a bucket small enough to fetch.
-                       Every round is one distributed aggregate over all
-                       columns; the driver only sees bucket counts.
-* ``value_frequencies`` the (column, value) -> count table behind distinct
-                       counts, modes, top lists and dominant shares; one shuffle
-                       with a map-side combine, so a hot value costs nothing.
+* ``exact_quantiles``  exact order statistics in three passes: sketched brackets,
+                       counts below and inside them, and the few values inside.
+                       What the driver fetches is bounded over all columns.
+* ``value_hashes``     (column, hash) -> count behind distinct and top counts: a
+                       value's 128-bit hash is shuffled, never its text.
+* ``value_frequencies`` the (column, value) -> count table behind modes and top
+                       lists, where the texts are the answer.
+                       Both have a map-side combine, so a hot value costs nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from frameprep.functions.coerce import as_number, normalise_value
 APPROX_ACCURACY = 10_000
 HIST_BUCKETS = 2048
 HIST_ROWS_MAX = 262_144  # bucket rows one round may bring to the driver
-FETCH_LIMIT = 65536
+FETCH_TOTAL = 1_000_000  # values all quantiles of a call may bring to the driver together
 
 
 def corrected_skewness(g1: float | None, n: int) -> float | None:
@@ -94,15 +93,18 @@ def exact_quantiles(
     probs: list[float],
     stats: dict[str, dict] | None = None,
     buckets: int = HIST_BUCKETS,
-    fetch_limit: int = FETCH_LIMIT,
+    fetch_limit: int = FETCH_TOTAL,
     approx: bool = False,
     accuracy: int = APPROX_ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation between order statistics
     (the rule of pandas ``quantile`` and DuckDB ``quantile_cont``).
 
-    Work per round is one aggregate over the data; memory per task is bounded
-    by the number of buckets, never by the number of distinct values.
+    Three passes whatever the number of columns: sketches give a bracket around
+    every wanted rank, one narrow aggregate counts the values below and inside
+    each bracket, and the values inside are fetched (grouped, so copies count
+    once). ``fetch_limit`` bounds what is fetched over all columns together;
+    brackets beyond it are first narrowed by histogram rounds.
     """
     if approx:
         return approx_quantiles(df, cols, probs, accuracy)
@@ -110,90 +112,58 @@ def exact_quantiles(
         stats = moments(df, cols)
     numbers = {c: as_number(df, c) for c in cols}
     found: dict[tuple[str, int], float] = {}
-    windows = []  # (column, lo, hi, below, sorted ranks)
     plan: dict[str, dict] = {}
+    wanted: list[tuple[str, tuple[int, ...]]] = []  # (column, finite ranks of one probability)
     for c in cols:
         s = stats[c]
-        n = s["n"]
+        n, neg, pos = s["n"], s["n_neg_inf"], s["n_pos_inf"]
         if n == 0:
             continue
         plan[c] = _ranks_for(n, probs)
-        ranks = sorted({r for (a, b, _) in plan[c].values() for r in (a, b)})
-        neg, pos = s["n_neg_inf"], s["n_pos_inf"]
-        inner = []
-        for r in ranks:
-            if r < neg:
-                found[(c, r)] = float("-inf")
-            elif r >= n - pos:
-                found[(c, r)] = float("inf")
-            else:
-                inner.append(r)
-        if inner:
-            windows.append((c, s["fmin"], s["fmax"], neg, inner))
+        for (j, k, _) in plan[c].values():
+            for r in (j, k):
+                if r < neg:
+                    found[(c, r)] = float("-inf")
+                elif r >= n - pos:
+                    found[(c, r)] = float("inf")
+            inner = tuple(sorted({r for r in (j, k) if neg <= r < n - pos}))
+            if inner and s["fmin"] == s["fmax"]:
+                found.update({(c, r): s["fmin"] for r in inner})
+            elif inner and (c, inner) not in wanted:
+                wanted.append((c, inner))
 
-    fetches = []
+    windows = _count_brackets(df, numbers, stats, _brackets(df, numbers, stats, wanted))
+    fetches, room = [], fetch_limit
     while windows:
         refine = []
-        for (c, lo, hi, below, ranks) in windows:
+        for (c, lo, hi, below, inside, ranks) in sorted(windows, key=lambda w: w[4]):
             if lo == hi:
-                for r in ranks:
-                    found[(c, r)] = lo
+                found.update({(c, r): lo for r in ranks})
+            elif inside <= room:
+                fetches.append((c, lo, hi, below, ranks))
+                room -= inside
             else:
-                refine.append((c, lo, hi, below, ranks))
-        if not refine:
-            break
-        nb = max(16, min(buckets, HIST_ROWS_MAX // len(refine)))
-        items = []
-        for wid, (c, lo, hi, _, _) in enumerate(refine):
-            x = numbers[c]
-            half_span = F.lit(hi / 2.0 - lo / 2.0)
-            b = F.least(
-                F.floor((x / 2.0 - F.lit(lo / 2.0)) / half_span * F.lit(nb)),
-                F.lit(nb - 1),
-            ).cast("int")
-            items.append(
-                F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(wid).alias("w"), b.alias("b"), x.alias("x")))
-            )
-        hist = (
-            df.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("h"))
-            .groupBy(F.col("h.w").alias("w"), F.col("h.b").alias("b"))
-            .agg(F.count(F.lit(1)).alias("cnt"), F.min("h.x").alias("bmin"), F.max("h.x").alias("bmax"))
-            .collect()
-        )
-        per_window = defaultdict(list)
-        for r in hist:
-            per_window[r["w"]].append((r["b"], r["cnt"], r["bmin"], r["bmax"]))
-        windows = []
-        for wid, (c, lo, hi, below, ranks) in enumerate(refine):
-            rows = sorted(per_window[wid])
-            cum = below
-            idx = 0
-            for (_, cnt, bmin, bmax) in rows:
-                inside = []
-                while idx < len(ranks) and ranks[idx] < cum + cnt:
-                    inside.append(ranks[idx])
-                    idx += 1
-                if inside:
-                    if bmin == bmax:
-                        for r in inside:
-                            found[(c, r)] = bmin
-                    elif cnt <= fetch_limit:
-                        fetches.append((c, bmin, bmax, cum, inside))
-                    else:
-                        windows.append((c, bmin, bmax, cum, inside))
-                cum += cnt
+                refine.append((c, lo, hi, below, inside, ranks))
+        windows = _refine(df, numbers, refine, buckets) if refine else []
     if fetches:
         items = [
             F.when(numbers[c].between(F.lit(lo), F.lit(hi)), F.struct(F.lit(fid).alias("f"), numbers[c].alias("x")))
             for fid, (c, lo, hi, _, _) in enumerate(fetches)
         ]
+        table = (
+            df.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("v"))
+            .groupBy("v.f", "v.x").agg(F.count(F.lit(1)).alias("n")).toArrow()
+        )
         got = defaultdict(list)
-        for r in df.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("v")).select("v.f", "v.x").collect():
-            got[r["f"]].append(r["x"])
+        for f, x, n in zip(*(table.column(i).to_pylist() for i in range(3))):
+            got[f].append((x, n))
         for fid, (c, _, _, below, ranks) in enumerate(fetches):
-            vals = sorted(got[fid])
+            values, at, i = sorted(got[fid]), below, 0
             for r in ranks:
-                found[(c, r)] = vals[r - below]
+                while at + values[i][1] <= r:
+                    at += values[i][1]
+                    i += 1
+                found[(c, r)] = values[i][0]
 
     out: dict[str, list[float | None]] = {}
     for c in cols:
@@ -212,6 +182,77 @@ def exact_quantiles(
     return out
 
 
+def _brackets(df: DataFrame, numbers: dict, stats: dict, wanted: list) -> list[tuple]:
+    """(column, lo, hi, ranks): sketched values a little below and above the wanted ranks."""
+    if not wanted:
+        return []
+    cols = list(dict.fromkeys(c for c, _ in wanted))
+    accuracy = max(500, min(APPROX_ACCURACY, 200_000 // len(cols)))
+    asked: dict[str, list[float]] = {c: [] for c in cols}
+    for c, ranks in wanted:
+        s = stats[c]
+        m = s["n"] - s["n_neg_inf"] - s["n_pos_inf"]
+        slack = 2 * m / accuracy + 1
+        for r in (ranks[0] - s["n_neg_inf"] - slack, ranks[-1] - s["n_neg_inf"] + slack):
+            asked[c].append(min(1.0, max(0.0, (r + 1) / m)))
+    exprs = []
+    for i, c in enumerate(cols):
+        x = numbers[c]
+        finite = F.when(F.abs(x) != F.lit(float("inf")), x)
+        exprs.append(F.percentile_approx(finite, asked[c], accuracy).alias(f"q{i}"))
+    row = df.agg(*exprs).first()
+    marks = {c: iter(row[f"q{i}"]) for i, c in enumerate(cols)}
+    return [(c, next(marks[c]), next(marks[c]), ranks) for c, ranks in wanted]
+
+
+def _count_brackets(df: DataFrame, numbers: dict, stats: dict, brackets: list) -> list[tuple]:
+    """(column, lo, hi, below, inside, ranks); a bracket that misses its ranks
+    becomes the column's whole finite range."""
+    if not brackets:
+        return []
+    exprs = []
+    for i, (c, lo, hi, _) in enumerate(brackets):
+        x = numbers[c]
+        exprs += [F.count_if(x < F.lit(lo)).alias(f"b{i}"), F.count_if(x.between(F.lit(lo), F.lit(hi))).alias(f"s{i}")]
+    row = df.agg(*exprs).first()
+    out = []
+    for i, (c, lo, hi, ranks) in enumerate(brackets):
+        below, inside, s = int(row[f"b{i}"]), int(row[f"s{i}"]), stats[c]
+        if not below <= ranks[0] <= ranks[-1] < below + inside:
+            lo, hi, below = s["fmin"], s["fmax"], s["n_neg_inf"]
+            inside = s["n"] - s["n_neg_inf"] - s["n_pos_inf"]
+        out.append((c, lo, hi, below, inside, ranks))
+    return out
+
+
+def _refine(df: DataFrame, numbers: dict, windows: list, buckets: int) -> list[tuple]:
+    """One histogram round: every window shrinks to the buckets that hold its ranks."""
+    nb = max(16, min(buckets, HIST_ROWS_MAX // len(windows)))
+    items = []
+    for wid, (c, lo, hi, _, _, _) in enumerate(windows):
+        x = numbers[c]
+        b = F.least(F.floor((x / 2.0 - F.lit(lo / 2.0)) / F.lit(hi / 2.0 - lo / 2.0) * F.lit(nb)), F.lit(nb - 1)).cast("int")
+        items.append(F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(wid).alias("w"), b.alias("b"), x.alias("x"))))
+    hist = (
+        df.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("h"))
+        .groupBy(F.col("h.w").alias("w"), F.col("h.b").alias("b"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min("h.x").alias("bmin"), F.max("h.x").alias("bmax"))
+        .collect()
+    )
+    rows = defaultdict(list)
+    for r in hist:
+        rows[r["w"]].append((r["b"], r["cnt"], r["bmin"], r["bmax"]))
+    out = []
+    for wid, (c, _, _, below, _, ranks) in enumerate(windows):
+        at = below
+        for (_, cnt, bmin, bmax) in sorted(rows[wid]):
+            held = tuple(r for r in ranks if at <= r < at + cnt)
+            if held:
+                out.append((c, bmin, bmax, at, cnt, held))
+            at += cnt
+    return out
+
+
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = APPROX_ACCURACY):
     """Opt-in single pass: ``percentile_approx`` (rank error <= n / accuracy).
     For very large, near-unique columns when exact digits are not needed."""
@@ -234,9 +275,35 @@ def value_frequencies(df: DataFrame, cols: list[str], keep_null: bool = False) -
     for c in cols:
         dt = df.schema[c].dataType
         v = normalise_value(F.col(c), dt)
-        num = F.col(c).cast("double") if isinstance(dt, T.NumericType) else F.lit(None).cast("double")
-        items.append(F.struct(F.lit(c).alias("column"), v.alias("value"), num.alias("num")))
-    exploded = df.select(F.explode(F.array(*items)).alias("s")).select("s.column", "s.value", "s.num")
+        items.append(F.struct(F.lit(c).alias("column"), v.alias("value"), order_number(c, dt).alias("num"),
+                              order_exact(c, dt).alias("exact")))
+    exploded = df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
     if not keep_null:
         exploded = exploded.where(F.col("value").isNotNull())
-    return exploded.groupBy("column", "value").agg(F.first("num").alias("num"), F.count(F.lit(1)).alias("cnt"))
+    return exploded.groupBy("column", "value").agg(
+        F.first("num").alias("num"), F.first("exact").alias("exact"), F.count(F.lit(1)).alias("cnt"))
+
+
+def order_number(c: str, dt: T.DataType) -> Column:
+    """The value as DOUBLE for ordering; NULL for other types."""
+    return F.col(c).cast("double") if isinstance(dt, T.NumericType) else F.lit(None).cast("double")
+
+
+def order_exact(c: str, dt: T.DataType) -> Column:
+    """Digits that a DOUBLE loses, for ordering integers and decimals after ``num``."""
+    whole = isinstance(dt, (T.IntegralType, T.DecimalType))
+    return F.col(c).try_cast("decimal(38,18)") if whole else F.lit(None).cast("decimal(38,18)")
+
+
+def value_hashes(df: DataFrame, cols: list[str], keep_null: bool = False) -> DataFrame:
+    """(column, cnt) for every distinct value of each column, grouped on the value's
+    128-bit hash: whole texts stay where they are."""
+    items = []
+    for c in cols:
+        v = normalise_value(F.col(c), df.schema[c].dataType)
+        items.append(F.struct(F.lit(c).alias("column"), F.xxhash64(v).alias("h"),
+                              F.xxhash64(F.lit(1), v).alias("g"), v.isNull().alias("missing")))
+    exploded = df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+    if not keep_null:
+        exploded = exploded.where(~F.col("missing"))
+    return exploded.groupBy("column", "h", "g", "missing").agg(F.count(F.lit(1)).alias("cnt")).select("column", "cnt")

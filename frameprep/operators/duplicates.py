@@ -16,24 +16,38 @@ from pyspark.sql import types as T
 
 from frameprep.functions.coerce import nan_to_null
 from frameprep.functions.report import frame, pct, round_half_away
-from frameprep.functions.stats import value_frequencies
+from frameprep.functions.stats import value_hashes
+from frameprep.functions.written import discard, written
 
 # --- fixed values -----------------------------------------------------------
 DUPLICATE_ACTIONS = ("Remove Duplicates", "Keep Duplicates")
 IDENTIFIER_PCT = 95.0
 # ---------------------------------------------------------------------------
-BROADCAST_MAX_KEYS = 4_000_000  # 8-byte hashes: at most 32 MB broadcast
+BROADCAST_MAX_KEYS = 1_000_000  # a relation of long keys takes about 24 bytes a key: 24 MB
+
+
+def _folded(df: DataFrame) -> DataFrame:
+    """NaN and NULL as one missing value."""
+    return df.select(*[
+        (nan_to_null(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f.name))
+        for f in df.schema.fields])
+
+
+def _maps(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
+
+
+def _comparable(df: DataFrame) -> DataFrame:
+    """Maps as sorted entry lists, so that rows with maps can be grouped."""
+    maps = _maps(df)
+    return df.withColumns({c: F.array_sort(F.map_entries(c)) for c in maps}) if maps else df
 
 
 def _row_groups(df: DataFrame) -> DataFrame:
     """Count per distinct row; NaN and NULL fold into one missing value."""
-    keys = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = nan_to_null(c)
-        keys.append(c.alias(f.name))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    maps = _maps(df)
+    g = _comparable(_folded(df)).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("count"))
+    return g.withColumns({c: F.map_from_entries(c) for c in maps}) if maps else g
 
 
 def _hash_key(df: DataFrame):
@@ -41,9 +55,9 @@ def _hash_key(df: DataFrame):
     and a null mask keeps (1, NULL) apart from (NULL, 1)."""
     parts, mask = [], []
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.MapType):
-            continue
         c = F.col(f.name)
+        if isinstance(f.dataType, T.MapType):
+            c = F.array_sort(F.map_entries(c))
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             c = nan_to_null(c.cast("double"))
             c = F.when(c == 0, F.lit(0.0)).otherwise(c)
@@ -52,23 +66,29 @@ def _hash_key(df: DataFrame):
     return F.xxhash64(F.concat_ws("", *mask), *parts) if parts else F.lit(0)
 
 
+def _suspects(df: DataFrame) -> tuple[int, int, DataFrame | None, bool]:
+    """(rows, hashes seen more than once, table of them, small enough to broadcast).
+
+    One pass over 8-byte hashes; the table is written once, so that counting it
+    and joining it do not hash the rows again."""
+    per_hash = df.select(_hash_key(df).alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("c"))
+    hot = written(per_hash.where(F.col("c") > 1).select("__h"), "hashes")
+    keys = hot.count()
+    return df.count(), keys, hot, keys <= BROADCAST_MAX_KEYS
+
+
 def duplicate_count(df: DataFrame) -> tuple[int, int]:
     """(rows, duplicate rows) exactly, shuffling hashes first and full rows
     only for hashes seen more than once."""
-    per_hash = df.select(_hash_key(df).alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("c")).persist()
-    r = per_hash.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 1, F.col("c"))).alias("s"),
-                     F.count_if(F.col("c") > 1).alias("k")).first()
-    n, suspects, keys = int(r["n"] or 0), int(r["s"] or 0), int(r["k"] or 0)
-    if suspects == 0:
-        per_hash.unpersist()
-        return n, 0
-    hot = per_hash.where(F.col("c") > 1).select("__h")
-    if keys <= BROADCAST_MAX_KEYS:
-        hot = F.broadcast(hot)
-    cand = df.withColumn("__h", _hash_key(df)).join(hot, "__h", "left_semi").drop("__h")
-    g = _row_groups(cand).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("g")).first()
-    per_hash.unpersist()
-    return n, int(g["n"] or 0) - int(g["g"] or 0)
+    n, keys, hot, small = _suspects(df)
+    try:
+        if keys == 0:
+            return n, 0
+        cand = df.withColumn("__h", _hash_key(df)).join(F.broadcast(hot) if small else hot, "__h", "left_semi").drop("__h")
+        g = _row_groups(cand).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("g")).first()
+        return n, int(g["n"] or 0) - int(g["g"] or 0)
+    finally:
+        discard(hot)
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
@@ -82,22 +102,26 @@ def duplicate_summary(df: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, drop_null_groups: bool = True) -> DataFrame:
-    """Every duplicated row with its count. Like a value count over rows,
-    a group holding any missing value is left out unless asked for."""
-    g = _row_groups(df).where(F.col("count") > 1)
+    """Every duplicated row with its count, most frequent first. Like a value
+    count over rows, a group holding any missing value is left out unless asked
+    for. Only rows whose hash repeats are grouped on all columns."""
+    _, _, hot, small = _suspects(df)
+    cand = df.withColumn("__h", _hash_key(df)).join(F.broadcast(hot) if small else hot, "__h", "left_semi").drop("__h")
+    g = _row_groups(cand).where(F.col("count") > 1)
     if drop_null_groups:
         cond = F.lit(True)
         for c in df.columns:
             cond = cond & F.col(c).isNotNull()
         g = g.where(cond)
-    return g
+    maps = _maps(df)
+    return g.orderBy(F.desc("count"), *[c for c in df.columns if c not in maps])
 
 
 def identifier_candidates(df: DataFrame) -> DataFrame:
     """D3: columns whose distinct count (a missing value counts once) is at
     least 95 % of all rows."""
     cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
-    freq = value_frequencies(df, cols, keep_null=True)
+    freq = value_hashes(df, cols, keep_null=True)
     per = {r["column"]: int(r["d"]) for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
     n = df.count()
     rows = []
@@ -110,8 +134,18 @@ def identifier_candidates(df: DataFrame) -> DataFrame:
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """Keep one of each identical row (NULLs equal, 0.0 equal to -0.0)."""
-    return df.dropDuplicates()
+    """Keep one of each identical row (NULL and NaN are one missing value, 0.0
+    equals -0.0). Rows whose hash is unique pass by without a shuffle when the
+    repeated hashes are few enough to broadcast."""
+    df = _folded(df)
+    _, keys, hot, small = _suspects(df)
+    if keys == 0:
+        return df
+    if not small:
+        return _row_groups(df).drop("count")
+    keyed, hot = df.withColumn("__h", _hash_key(df)), F.broadcast(hot)
+    alone = keyed.join(hot, "__h", "left_anti").drop("__h")
+    return alone.unionByName(_row_groups(keyed.join(hot, "__h", "left_semi").drop("__h")).drop("count"))
 
 
 def apply_duplicate_action(df: DataFrame, action: str) -> DataFrame:

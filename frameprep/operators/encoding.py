@@ -3,8 +3,9 @@
 Evidence is the value-frequency table reduced per column. Encodings are fitted
 as small tables (one row per category) and applied by ``lookup_column``, which
 checks the table size before choosing literal map, broadcast or shuffle join.
-One-hot needs the category list on the driver to name its output columns, so
-it refuses columns with more than ``ONE_HOT_MAX`` categories.
+One-hot adds a column per category, so the driver holds the category list (as
+long as the output is wide). ``sparse=True`` gives one (size, index, value)
+vector column instead, fitted and applied as a table of any size.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import types as T
 from frameprep.functions.coerce import categorical_columns, is_numeric_type, nan_to_null, normalise_value, type_name
 from frameprep.functions.indexing import ordered_index
 from frameprep.functions.lookup import lookup_column
+from frameprep.functions.names import free_names
 from frameprep.functions.report import frame, pct, round_half_away
+from frameprep.functions.written import written
 from frameprep.operators.profile import is_missing
-from frameprep.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 ENCODING_ACTIONS = ("No Action", "One-Hot Encoding", "Frequency Encoding", "Target Encoding", "Ordinal Encoding")
@@ -31,13 +33,14 @@ PAGE_RULE_MAX_DISTINCT = 20
 PAGE_RULE_MAX_PCT = 20.0
 SAMPLE_CATEGORIES = 20
 MISSING_LABEL = "nan"
+TOP_CATEGORIES = 10
 # ---------------------------------------------------------------------------
-ONE_HOT_MAX = 1000
 
 EVIDENCE_DDL = (
     "column_name STRING, dtype STRING, total_count BIGINT, missing_count BIGINT, unique_count BIGINT, "
     "unique_percentage DOUBLE, low_cardinality BOOLEAN, high_cardinality BOOLEAN, "
-    "most_frequent_percentage DOUBLE, average_frequency DOUBLE, sample_categories STRING"
+    "most_frequent_percentage DOUBLE, average_frequency DOUBLE, sample_categories STRING, "
+    "top_categories STRING"
 )
 
 
@@ -76,6 +79,12 @@ def analyze_categorical_features(df: DataFrame, target: str | None = None, order
         for r in freq.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= SAMPLE_CATEGORIES)
         .groupBy("column").agg(F.collect_list(F.struct("rk", "value")).alias("vals")).collect()
     }
+    w = Window.partitionBy("column").orderBy(F.desc("cnt"), "value")
+    tops = {
+        r["column"]: ",".join(f"{v}:{n}" for _, v, n in sorted(r["vals"]))
+        for r in freq.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= TOP_CATEGORIES)
+        .groupBy("column").agg(F.collect_list(F.struct("rk", "value", "cnt")).alias("vals")).collect()
+    }
     rows = []
     for c in cols:
         r = per.get(c)
@@ -95,6 +104,7 @@ def analyze_categorical_features(df: DataFrame, target: str | None = None, order
             "most_frequent_percentage": round_half_away(pct(top, present), 2),
             "average_frequency": round_half_away(present / u if u else 0.0, 2),
             "sample_categories": samples.get(c, ""),
+            "top_categories": tops.get(c, ""),
         })
     return frame(df.sparkSession, rows, EVIDENCE_DDL)
 
@@ -127,17 +137,28 @@ class Encoding:
     mapping: DataFrame | None = None  # key -> value (frequency, target, ordinal)
     categories: list | None = None  # one-hot, sorted, missing last
     has_missing: bool = False
+    size: int | None = None  # sparse one-hot: length of the vector
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.action == "No Action":
             return df
+        if self.action == "One-Hot Encoding" and self.mapping is not None:
+            at = lookup_column(df, self.column, self.mapping, out_type="long")
+            i = F.coalesce(F.col(self.column), F.lit(self.size - 1 if self.has_missing else None).cast("long"))
+            hit = F.when(i.isNotNull(), F.array(i)).otherwise(F.array().cast("array<bigint>"))
+            return at.withColumn(self.column, F.struct(
+                F.lit(self.size).cast("bigint").alias("size"), hit.alias("indices"),
+                F.transform(hit, lambda _: F.lit(1.0)).alias("values")))
         if self.action == "One-Hot Encoding":
             c = F.col(self.column)
             if isinstance(df.schema[self.column].dataType, (T.FloatType, T.DoubleType)):
                 c = nan_to_null(c)
-            new = {f"{self.column}_{_label(v)}": (c == F.lit(v)).cast("double") for v in self.categories}
+            wanted = [f"{self.column}_{_label(v)}" for v in self.categories]
+            wanted += [f"{self.column}_{MISSING_LABEL}"] * self.has_missing
+            names = free_names(wanted, [x for x in df.columns if x != self.column])
+            new = {name: (c == F.lit(v)).cast("double") for name, v in zip(names, self.categories)}
             if self.has_missing:
-                new[f"{self.column}_{MISSING_LABEL}"] = c.isNull().cast("double")
+                new[names[-1]] = c.isNull().cast("double")
             # a missing value matches no category: equality gives NULL, one-hot wants 0
             new = {k: F.coalesce(v, F.lit(0.0)) for k, v in new.items()}
             return df.withColumns(new).drop(self.column)
@@ -150,20 +171,22 @@ def _label(v) -> str:
 
 
 def _materialise(mapping: DataFrame) -> DataFrame:
-    """A fitted table (one row per category) is written once to the reliable
-    checkpoint folder, so sizing it and joining it do not refit it."""
-    ensure_checkpoint_dir(mapping.sparkSession)
-    return mapping.checkpoint(eager=True)
+    """A fitted table (one row per category) is written once to the shared
+    folder, so sizing it and joining it do not refit it."""
+    return written(mapping, "fitted")
 
 
-def fit_one_hot(df: DataFrame, column: str) -> Encoding:
+def fit_one_hot(df: DataFrame, column: str, sparse: bool = False) -> Encoding:
+    """E5: one 0/1 column per category, or (``sparse``) one vector column."""
     c = F.col(column)
     if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
         c = nan_to_null(c)
-    cats = df.select(c.alias("v")).where(F.col("v").isNotNull()).distinct().limit(ONE_HOT_MAX + 1).collect()
-    if len(cats) > ONE_HOT_MAX:
-        raise ValueError(f"One-Hot Encoding of '{column}' would add more than {ONE_HOT_MAX} columns")
+    cats = df.select(c.alias("v")).where(F.col("v").isNotNull()).distinct()
     has_missing = df.where(is_missing(df, column)).limit(1).count() > 0
+    if sparse:
+        table = ordered_index(cats.withColumnRenamed("v", "key"), ["key"], "value")
+        return Encoding(column, "One-Hot Encoding", mapping=table, has_missing=has_missing, size=table.count() + has_missing)
+    cats = cats.collect()
     return Encoding(column, "One-Hot Encoding", categories=sorted(r["v"] for r in cats), has_missing=has_missing)
 
 
@@ -179,7 +202,7 @@ def fit_frequency(df: DataFrame, column: str) -> Encoding:
 def fit_target(df: DataFrame, column: str, target: str | None) -> Encoding:
     """Mean of the target per value, over all rows (no folds, no smoothing)."""
     if target is None:
-        raise ValueError("Target column is required for Target Encoding.")
+        raise ValueError("Target Encoding cannot run without a target column")
     if target not in df.columns:
         raise ValueError("Target column does not exist.")
     tdt = df.schema[target].dataType

@@ -6,16 +6,19 @@ geometric invariants and is repeatable for a seed: every draw is a hash of
 (seed, row key), never ``rand()`` over partitions that can change.
 
 Scale notes
+* Class tables are DataFrames of one row per class, joined where a class's size
+  matters (broadcast when few), so the number of classes is not limited.
 * Undersampling keeps, per class, the rows with the smallest hash. The rank of
   a row inside its class comes from a range-partitioned sort (``ordered_index``),
   so a class holding a third of all rows is spread over many tasks.
-* SMOTE needs the k nearest same-class neighbours of every row. They are found
-  exactly without comparing all pairs: rows are sorted by a fixed random
-  projection, candidates are the ``w`` rows on each side in that order, and a
-  row is settled once the projection gap to both window edges is at least its
-  k-th candidate distance (no row outside can then be nearer). Rows not settled
-  try again with ``w`` doubled. Synthetic rows are produced from a distributed
-  ``range``, one row per draw, and joined to their base row and neighbour.
+* SMOTE touches only the classes it grows. Neighbour contract: a row's
+  neighbours are the k nearest of its candidates, and its candidates are the
+  same-class rows in its own and the two adjacent blocks of ``BLOCK`` rows along
+  each of ``PROJECTIONS`` fixed random directions (exact whenever the class has at
+  most two blocks). Work is therefore at most ``3 * BLOCK * PROJECTIONS`` pairs a
+  row, whatever the number of rows or dimensions, and one sort serves all
+  directions. Synthetic rows are produced from the class table, one row per draw,
+  and joined to their base row and neighbour.
 """
 
 from __future__ import annotations
@@ -23,13 +26,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameprep.functions.coerce import categorical_columns, nan_to_null, normalise_value
 from frameprep.functions.indexing import ordered_index
+from frameprep.functions.names import free_names
 from frameprep.functions.report import frame, pct, round_half_away
+from frameprep.functions.stats import order_exact, order_number
+from frameprep.functions.written import written
 from frameprep.operators.profile import is_missing
 
 # --- fixed values -----------------------------------------------------------
@@ -38,8 +44,10 @@ CLASSIFICATION_MAX_CLASSES = 10
 SEED = 42
 SMOTE_NEIGHBOURS = 5
 # ---------------------------------------------------------------------------
-DUMMY_MAX = 1000
-RESAMPLE_MAX_CLASSES = 100_000  # class tables are collected and broadcast: their size must be bounded
+PROJECTIONS, BLOCK = 3, 32  # SMOTE: directions searched, rows per block along one
+DRAWS_PER_TASK = 100_000
+TINY_CLASS = 10_000  # a class up to this size may carry very many draws: its rows are broadcast
+BROADCAST_MAX_CLASSES = 200_000
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
@@ -53,14 +61,19 @@ def _class_table(df: DataFrame, target: str) -> DataFrame:
     """(class text, typed number for ordering, count) for the non-missing target."""
     dt = df.schema[target].dataType
     v = normalise_value(F.col(target), dt)
-    num = F.col(target).cast("double") if isinstance(dt, T.NumericType) else F.lit(None).cast("double")
     return (
         df.where(~is_missing(df, target))
         .groupBy(v.alias("class"))
-        .agg(F.first(num).alias("num"), F.count(F.lit(1)).alias("count"))
+        .agg(F.first(order_number(target, dt)).alias("num"), F.first(order_exact(target, dt)).alias("exact"),
+             F.count(F.lit(1)).alias("count"))
     )
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A class table, marked for broadcast when it has few enough rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_MAX_CLASSES else table
+
+
 def _problem_type(df: DataFrame, target: str, distinct: int) -> str:
     dt = df.schema[target].dataType
     if isinstance(dt, (T.StringType, T.BooleanType)) or target in categorical_columns(df):
@@ -76,7 +89,7 @@ def target_facts(df: DataFrame, target: str | None) -> dict:
         return empty
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' does not exist.")
-    order = F.struct((-F.col("count")).alias("nc"), F.col("num").alias("num"), F.col("class").alias("class"))
+    order = F.struct((-F.col("count")).alias("nc"), "num", "exact", "class")
     r = _class_table(df, target).agg(
         F.count(F.lit(1)).alias("k"), F.sum("count").alias("n"), F.min(order).alias("maj"), F.max(order).alias("mino")
     ).first()
@@ -104,8 +117,8 @@ def analyze_target_distribution(df: DataFrame, target: str | None) -> DataFrame:
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """B2: class, count, % of non-missing (2 dp). Stays a DataFrame: one row
     per class, never collected."""
-    classes = _class_table(df, target)
-    total = df.where(~is_missing(df, target)).count()
+    classes = written(_class_table(df, target), "classes")
+    total = classes.agg(F.sum("count")).first()[0] or 0
     return classes.select(
         "class", "count",
         F.round(F.col("count") / F.lit(float(total)) * F.lit(100.0), 2).alias("percentage"),
@@ -114,20 +127,17 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """weight = n / (k * count) per class ("balanced"); missing target left out."""
-    row = _class_table(df, target).agg(F.count(F.lit(1)).alias("k"), F.sum("count").alias("n")).first()
+    classes = written(_class_table(df, target), "classes")
+    row = classes.agg(F.count(F.lit(1)).alias("k"), F.sum("count").alias("n")).first()
     k, n = int(row["k"] or 0), int(row["n"] or 0)
-    return _class_table(df, target).select(
-        "class", "count", (F.lit(float(n)) / (F.lit(float(k)) * F.col("count"))).alias("weight")
-    )
+    return classes.select("class", "count", (F.lit(float(n)) / (F.lit(float(k)) * F.col("count"))).alias("weight"))
 
 
 def with_class_weight(df: DataFrame, target: str, weights: DataFrame, name: str = "class_weight") -> DataFrame:
     """Attach the weight of each row's class (usable as ``weightCol`` in Spark ML).
     The weight table has one row per class; its size is checked before broadcast."""
     dt = df.schema[target].dataType
-    w = weights.select(F.col("class").alias("__class"), F.col("weight").alias(name))
-    if weights.count() <= BROADCAST_MAX_ROWS:
-        w = F.broadcast(w)
+    w = _few(weights.select(F.col("class").alias("__class"), F.col("weight").alias(name)))
     keyed = df.withColumn("__class", normalise_value(F.col(target), dt))
     return keyed.join(w, "__class", "left").drop("__class")
 
@@ -140,7 +150,7 @@ def feature_matrix(df: DataFrame, target: str) -> DataFrame:
     no column for missing) after the untouched columns; other gaps filled with 0;
     the target last."""
     if target not in df.columns:
-        raise ValueError("Target column does not exist.")
+        raise ValueError(f"There is no column '{target}' to use as target")
     work = df.where(~is_missing(df, target))
     text = [f.name for f in df.schema.fields
             if f.name != target and (isinstance(f.dataType, T.StringType) or (f.metadata or {}).get("role") == "categorical")]
@@ -150,14 +160,8 @@ def feature_matrix(df: DataFrame, target: str) -> DataFrame:
         items = [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in text]
         distinct = (work.select(F.explode(F.array(*items)).alias("s")).select("s.c", "s.v")
                     .where(F.col("v").isNotNull()).distinct())
-        got = distinct.limit(DUMMY_MAX * len(text) + 1).collect()
-        if len(got) > DUMMY_MAX * len(text):
-            raise ValueError(f"Dummy coding {text} would add more than {DUMMY_MAX} columns per column")
-        for r in got:
+        for r in distinct.collect():  # one column per category follows: the list is as long as the result is wide
             cats.setdefault(r["c"], []).append(r["v"])
-        for c, vs in cats.items():
-            if len(vs) > DUMMY_MAX:
-                raise ValueError(f"Dummy coding '{c}' would add more than {DUMMY_MAX} columns")
     exprs = []
     for c in plain:
         dt = df.schema[c].dataType
@@ -168,9 +172,9 @@ def feature_matrix(df: DataFrame, target: str) -> DataFrame:
             exprs.append(F.coalesce(col, F.lit(0).cast(dt)).alias(c))
         else:
             exprs.append(F.col(c))
-    for c in text:
-        for v in sorted(cats.get(c, [])):
-            exprs.append(F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{c}_{v}"))
+    dummies = [(c, v) for c in text for v in sorted(cats.get(c, []))]
+    for name, (c, v) in zip(free_names([f"{c}_{v}" for c, v in dummies], [*plain, target]), dummies):
+        exprs.append(F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("double"), F.lit(0.0)).alias(name))
     exprs.append(F.col(target))
     return work.select(*exprs)
 
@@ -184,28 +188,12 @@ def _uniform(seed: int, salt: int, *keys: Column) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(2 ** 53))
 
 
-def _ranked_by_class(df: DataFrame, target: str, order_cols: list[str]) -> tuple[DataFrame, dict[str, int]]:
-    """Rows with ``__cls`` (class text) and ``__rank`` (0-based position inside the
-    class in ``order_cols`` order), from one distributed sort."""
-    dt = df.schema[target].dataType
-    keyed = df.withColumn("__cls", normalise_value(F.col(target), dt))
-    idx = ordered_index(keyed, ["__cls", *order_cols], "__pos")
-    counts = {r["__cls"]: int(r["n"]) for r in idx.groupBy("__cls").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, acc = {}, 0
-    for c in sorted(counts):  # the sort above orders classes by their text
-        start[c] = acc
-        acc += counts[c]
-    starts = df.sparkSession.createDataFrame([(c, s) for c, s in start.items()], "__cls STRING, __start BIGINT")
-    ranked = idx.join(F.broadcast(starts), "__cls").withColumn("__rank", F.col("__pos") - F.col("__start"))
-    # (the class table is bounded: resampling refuses targets with more than RESAMPLE_MAX_CLASSES classes)
-    return ranked.drop("__pos", "__start"), counts
-
-
-def _check_class_count(df: DataFrame, target: str) -> None:
-    """Resampling keeps per-class tables on the driver; refuse an unbounded number of classes."""
-    k = df.where(~is_missing(df, target)).select(target).distinct().limit(RESAMPLE_MAX_CLASSES + 1).count()
-    if k > RESAMPLE_MAX_CLASSES:
-        raise ValueError(f"Resampling supports at most {RESAMPLE_MAX_CLASSES} classes; '{target}' has more")
+def _ranked_by_class(df: DataFrame, order_cols: list[str]) -> DataFrame:
+    """Rows with ``__rank``: the 0-based position inside the class ``__cls`` in
+    ``order_cols`` order, from one distributed sort."""
+    idx = ordered_index(df, ["__cls", *order_cols], "__pos")
+    starts = _few(idx.groupBy("__cls").agg(F.min("__pos").alias("__start")))
+    return idx.join(starts, "__cls").withColumn("__rank", F.col("__pos") - F.col("__start")).drop("__pos", "__start")
 
 
 def random_undersample(df: DataFrame, target: str, seed: int = SEED) -> DataFrame:
@@ -219,251 +207,107 @@ def random_undersample(df: DataFrame, target: str, seed: int = SEED) -> DataFram
     """
     fm = feature_matrix(df, target)
     cols = fm.columns
-    dt = fm.schema[target].dataType
-    keyed = fm.withColumn("__cls", normalise_value(F.col(target), dt)).withColumn(
+    keyed = fm.withColumn("__cls", normalise_value(F.col(target), fm.schema[target].dataType)).withColumn(
         "__u", _uniform(seed, 4, *[F.col(c) for c in cols])).withColumn("__t", F.monotonically_increasing_id())
-    _check_class_count(fm, target)
-    counts = {r["__cls"]: int(r["n"]) for r in keyed.groupBy("__cls").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    classes = written(keyed.groupBy("__cls").agg(F.count(F.lit(1)).alias("__n")), "classes")
+    keep = classes.agg(F.min("__n")).first()[0]
+    if keep is None:
         return fm
-    keep = min(counts.values())
     slack = 1.1
     while True:
-        limits = {c: (1.0 if n == keep else min(1.0, slack * keep / n + 64.0 / n)) for c, n in counts.items()}
-        limit_of = None
-        for c, lim in limits.items():
-            cond = F.col("__cls") == F.lit(c)
-            limit_of = F.when(cond, F.lit(lim)) if limit_of is None else limit_of.when(cond, F.lit(lim))
-        cand = keyed.where(F.col("__u") <= limit_of)
-        got = {r["__cls"]: int(r["n"]) for r in cand.groupBy("__cls").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if all(got.get(c, 0) >= keep for c in counts):
+        limit = F.when(F.col("__n") == keep, F.lit(1.0)).otherwise((F.lit(slack * keep) + 64.0) / F.col("__n"))
+        cand = keyed.join(_few(classes), "__cls").where(F.col("__u") <= limit).drop("__n")
+        got = cand.groupBy("__cls").agg(F.count(F.lit(1)).alias("__got"))
+        short = classes.join(got, "__cls", "left").where(F.coalesce("__got", F.lit(0)) < keep)
+        if short.isEmpty():
             break
         slack *= 2
-    ranked, _ = _ranked_by_class(cand.drop("__cls"), target, ["__u", "__t"])
-    return ranked.where(F.col("__rank") < keep).select(*cols)
+    return _ranked_by_class(cand, ["__u", "__t"]).where(F.col("__rank") < keep).select(*cols)
 
 
 # --- SMOTE ----------------------------------------------------------------------
 
 
-def _projection(d: int, seed: int) -> list[float]:
+def _directions(d: int, seed: int) -> list[list[float]]:
+    """Fixed unit directions; one is enough for a single feature."""
     rng = np.random.default_rng(seed)
-    u = rng.normal(size=d)
-    return [float(x) for x in u / np.linalg.norm(u)]
-
-
-def _sq_dist(a: Column, b: Column, d: int) -> Column:
-    """Squared distance written out per dimension, so it compiles to plain code."""
-    total = None
-    for i in range(d):
-        diff = a.getItem(i) - b.getItem(i)
-        total = diff * diff if total is None else total + diff * diff
-    return total if total is not None else F.lit(0.0)
-
-
-GRID_DIMS = 3
-PCA_MAX_DIMS = 64
-
-
-def grid_basis(points: DataFrame, d: int, seed: int) -> list[list[float]] | None:
-    """Orthonormal directions for the search grid: none (the raw axes) when
-    d <= 3, else the top principal directions (one aggregate of sums and
-    cross products) or, for very wide rows, fixed random directions. Distance
-    in any orthonormal projection never exceeds the full distance."""
-    if d <= GRID_DIMS:
-        return None
-    if d <= PCA_MAX_DIMS:
-        x = [F.col("__vec").getItem(i) for i in range(d)]
-        exprs = [F.count(F.lit(1)).alias("n")] + [F.sum(x[i]).alias(f"s{i}") for i in range(d)]
-        exprs += [F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-        r = points.agg(*exprs).first()
-        n = max(int(r["n"]), 1)
-        mean = np.array([r[f"s{i}"] or 0.0 for i in range(d)]) / n
-        cov = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                cov[i, j] = cov[j, i] = (r[f"c{i}_{j}"] or 0.0) / n - mean[i] * mean[j]
-        w, v = np.linalg.eigh(cov)
-        basis = v[:, np.argsort(w)[::-1][:GRID_DIMS]].T
-    else:
-        q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, GRID_DIMS)))
-        basis = q.T
-    return [[float(a) for a in row] for row in basis]
-
-
-def _grid_coords(vec: Column, basis, d: int) -> Column:
-    if basis is None:
-        return F.array(*[vec.getItem(i) for i in range(d)])
-    return F.array(*[sum((F.lit(b[i]) * vec.getItem(i) for i in range(d)), F.lit(0.0)) for b in basis])
-
-
-def _top_k_weighted(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The k nearest neighbours per row when each candidate stands for ``__m``
-    identical rows: candidates are taken in (distance, rank) order until their
-    multiplicities reach k; the list repeats a candidate for its copies."""
-    w = Window.partitionBy(*keys).orderBy("__d2", "__j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = pairs.select(*keys, "__d2", "__j", "__m").withColumn("__cum", F.sum("__m").over(w))
-    kept = ranked.where(F.col("__cum") - F.col("__m") < k).withColumn(
-        "__take", F.least(F.col("__m"), F.lit(k) - (F.col("__cum") - F.col("__m"))))
-    agg = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__d2", "__j", "__take"))).alias("__b"))
-    return agg.select(
-        *keys,
-        F.slice(F.flatten(F.transform("__b", lambda t: F.array_repeat(t.getField("__j"), t.getField("__take").cast("int")))),
-                1, k).alias("__nbrs"),
-        F.element_at(F.col("__b"), -1).getField("__d2").alias("__kd2"),
-    )
+    u = rng.normal(size=(min(PROJECTIONS, d), d))
+    return [[float(x) for x in row / np.linalg.norm(row)] for row in u]
 
 
-def nearest_neighbours(points: DataFrame, counts: dict[str, int], k: int, d: int, seed: int = SEED) -> DataFrame:
-    """Exact k nearest neighbours inside each class, without comparing all pairs.
+def _dot(vec: Column, weights: list[float]) -> Column:
+    products = F.zip_with(vec, F.array(*[F.lit(w) for w in weights]), lambda a, b: a * b)
+    return F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
 
-    ``points``: (__cls, __rank, __p, __vec), ``__rank`` = position in ``__p``
-    (a projection) order inside the class. Returns (__cls, __rank, __nbrs).
 
-    1. Each row looks at the 2k rows on each side in projection order. Their
-       k-th distance is an upper bound ``D`` on the true one, and the row is
-       settled at once if no row outside that window can be nearer.
-    2. Other rows search a grid over (at most three) orthonormal directions:
-       the 3^m cells of side ``s`` around their own cell. A row is settled when
-       its k-th distance found is at most ``s`` (any row outside the block is
-       farther than ``s``); otherwise ``s`` doubles. Searching starts a few
-       levels below ``D`` and is certain to settle once ``s >= D``, so the
-       work follows the local density instead of the class size.
-    """
-    spark = points.sparkSession
-    sizes = spark.createDataFrame([(c, n) for c, n in counts.items()], "__cls STRING, __n BIGINT")
-    basis = grid_basis(points, d, seed)
-    m = d if basis is None else GRID_DIMS
-    base = points.select("__cls", "__rank", "__p", "__vec", _grid_coords(F.col("__vec"), basis, d).alias("__g"))
-    base = base.checkpoint(eager=True)
-    w = 2 * k
-    cand = base.select(F.col("__cls"), F.col("__rank").alias("__j"), F.col("__p").alias("__pj"), F.col("__vec").alias("__vj"))
-    req = (
-        base.join(F.broadcast(sizes), "__cls")
-        .withColumn("__j", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("__rank") - w),
-                                                 F.least(F.col("__n") - 1, F.col("__rank") + w))))
-        .where(F.col("__j") != F.col("__rank"))
-    )
-    pairs = req.join(cand, ["__cls", "__j"]).withColumn("__d2", _sq_dist(F.col("__vec"), F.col("__vj"), d))
-    first = pairs.groupBy("__cls", "__rank", "__p", "__n").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("__d2", "__j"))), 1, k).alias("__best"),
-        F.min("__pj").alias("__plo"), F.max("__pj").alias("__phi"),
-    )
-    kth = F.sqrt(F.element_at(F.col("__best"), -1).getField("__d2"))
-    ok = (((F.col("__rank") - w <= 0) | (F.col("__p") - F.col("__plo") >= kth))
-          & ((F.col("__rank") + w >= F.col("__n") - 1) | (F.col("__phi") - F.col("__p") >= kth)))
-    # start three levels below the bound: cheap blocks first, doubling as needed
-    level = F.when(kth > 0, F.floor(F.log2(kth)) - 3).cast("int")
-    first = first.withColumn("__ok", ok).withColumn("__lvl", level).checkpoint(eager=True)
-    done = [first.where("__ok").select("__cls", "__rank", F.transform("__best", lambda t: t.getField("__j")).alias("__nbrs"))]
-    # grid candidates are distinct vectors with a multiplicity: a block of copies
-    # (even a third of the class) is one candidate row, never one row per copy
-    groups = base.groupBy("__cls", "__vec", "__g").agg(F.min("__rank").alias("__j"), F.count(F.lit(1)).alias("__m"))
-    left = first.where(~F.col("__ok")).select("__cls", "__rank", "__lvl")
-    offsets = F.array(*[F.array(*[F.lit(o) for o in combo]) for combo in _offsets(m)])
-    while left.limit(1).count() > 0:
-        levels = sorted(r["__lvl"] for r in left.select("__lvl").distinct().collect())
-        q = left.join(base, ["__cls", "__rank"])
-        side = F.pow(F.lit(2.0), F.col("__lvl"))
-        cell = F.transform(F.col("__g"), lambda g: F.floor(g / side))
-        q = q.withColumn("__cell", cell).withColumn("__off", F.explode(offsets)).withColumn(
-            "__key", F.zip_with("__cell", "__off", lambda a, b: a + b))
-        data = groups.withColumn("__lvl", F.explode(F.array(*[F.lit(v) for v in levels]))).select(
-            "__cls", "__lvl", "__j", "__m", F.col("__vec").alias("__vj"),
-            F.transform(F.col("__g"), lambda g: F.floor(g / F.pow(F.lit(2.0), F.col("__lvl")))).alias("__key"))
-        # copies of the row's own vector count once less (the row is not its own neighbour)
-        pairs = (q.join(data, ["__cls", "__lvl", "__key"])
-                 .withColumn("__m", F.when(F.col("__vj") == F.col("__vec"), F.col("__m") - 1).otherwise(F.col("__m")))
-                 .where(F.col("__m") > 0)
-                 .withColumn("__d2", _sq_dist(F.col("__vec"), F.col("__vj"), d)))
-        best = _top_k_weighted(pairs, ["__cls", "__rank", "__lvl"], k)
-        found = left.join(best, ["__cls", "__rank", "__lvl"], "left")
-        settled = F.coalesce(F.size("__nbrs"), F.lit(0)) >= k
-        settled = settled & (F.sqrt(F.col("__kd2")) <= F.pow(F.lit(2.0), F.col("__lvl")))
-        found = found.withColumn("__ok", settled).checkpoint(eager=True)
-        done.append(found.where("__ok").select("__cls", "__rank", "__nbrs"))
-        left = found.where(~F.col("__ok")).select("__cls", "__rank", (F.col("__lvl") + 1).alias("__lvl"))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+def _sq_dist(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def _offsets(m: int) -> list[tuple[int, ...]]:
-    out = [()]
-    for _ in range(m):
-        out = [o + (s,) for o in out for s in (-1, 0, 1)]
-    return out
+def candidate_pairs(points: DataFrame, d: int, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """(__cls, __id, __vec, __j, __vj): every row with the rows of its own and the
+    adjacent blocks along each direction. ``points``: __cls, __id, __vec."""
+    dirs = _directions(d, seed)
+    along = F.explode(F.array(*[
+        F.struct(F.lit(q).alias("q"), _dot(F.col("__vec"), u).alias("p")) for q, u in enumerate(dirs)]))
+    spread = points.select("__cls", "__id", "__vec", along.alias("s")).select("__cls", "__id", "__vec", "s.q", "s.p")
+    # the row id makes every sort key unique, so a block of copies is split over many tasks
+    placed = ordered_index(spread, ["q", "__cls", "p", "__id"], "__pos")
+    starts = _few(placed.groupBy("q", "__cls").agg(F.min("__pos").alias("__start")))
+    blocks = placed.join(starts, ["q", "__cls"]).select(
+        "q", "__cls", "__id", "__vec", F.floor((F.col("__pos") - F.col("__start")) / block).alias("b"))
+    near = blocks.select("q", "__cls", F.col("__id").alias("__j"), F.col("__vec").alias("__vj"),
+                         F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
+    return blocks.join(near, ["q", "__cls", "b"]).where(F.col("__id") != F.col("__j")).drop("q", "b")
+
+
+def nearest_neighbours(points: DataFrame, k: int, d: int, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """(__cls, __id, __nbrs): the k nearest candidates of every row (see the neighbour
+    contract above). The candidates of a row are bounded, so its list is too."""
+    pairs = candidate_pairs(points, d, seed, max(block, k + 1)).withColumn("__d2", _sq_dist(F.col("__vec"), F.col("__vj")))
+    best = F.slice(F.array_sort(F.collect_set(F.struct("__d2", "__j"))), 1, k)
+    return pairs.groupBy("__cls", "__id").agg(F.transform(best, lambda t: t.getField("__j")).alias("__nbrs"))
 
 
 def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOURS) -> DataFrame:
     """Grow every class but the largest to the largest class's size with
-    points on segments between a row and one of its k nearest same-class rows."""
+    points on segments between a row and one of its k neighbours."""
     fm = feature_matrix(df, target)
     feats = [c for c in fm.columns if c != target]
     for c in feats:
         if not isinstance(fm.schema[c].dataType, (T.NumericType, T.BooleanType)):
             raise ValueError(f"SMOTE needs numeric features; '{c}' is {fm.schema[c].dataType.simpleString()}")
-    _check_class_count(fm, target)
-    u = _projection(len(feats), seed)
-    vec = F.array(*[F.col(c).cast("double") for c in feats])
-    proj = F.lit(0.0)
-    for x, c in zip(u, feats):
-        proj = proj + F.lit(x) * F.col(c).cast("double")
-    base = (fm.withColumn("__vec", vec).withColumn("__p", proj).withColumn("__h", F.xxhash64(F.lit(seed), vec))
-            .withColumn("__t", F.monotonically_increasing_id()))
-    # the row id makes every sort key unique, so range partitioning splits a
-    # block of identical rows over many tasks instead of one
-    ranked, counts = _ranked_by_class(base, target, ["__p", "__h", "__vec", "__t"])
-    if not counts:
-        return fm
-    small = [c for c, n in counts.items() if 0 < n <= k]
-    n_max = max(counts.values())
-    grow = {c: n_max - n for c, n in counts.items() if n < n_max}
-    if any(c in grow for c in small):
-        raise ValueError(f"SMOTE needs more than {k} rows in every class it grows; classes {small} are too small")
-    if not grow:
+    vec = F.array(*[F.col(c).cast("double") for c in feats]) if feats else F.array().cast("array<double>")
+    keyed = fm.select(normalise_value(F.col(target), fm.schema[target].dataType).alias("__cls"), vec.alias("__vec"))
+    endless = F.exists("__vec", lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    classes = written(keyed.groupBy("__cls").agg(F.count(F.lit(1)).alias("__n"), F.count_if(endless).alias("__bad")), "classes")
+    n_max = classes.agg(F.max("__n")).first()[0]
+    growing = classes.where(F.col("__n") < F.lit(n_max)) if n_max else None
+    if growing is None or growing.isEmpty():
         return fm
-    points = ranked.select("__cls", "__rank", "__p", "__vec").where(F.col("__cls").isin(list(grow))).checkpoint(eager=True)
-    nbrs = nearest_neighbours(points, {c: counts[c] for c in grow}, k, len(feats), seed)
-
-    spark = df.sparkSession
-    # synthetic draw ids 0..M-1, laid out class after class (sorted class text)
-    layout, acc = [], 0
-    for c in sorted(grow):
-        layout.append((c, acc, acc + grow[c], counts[c]))
-        acc += grow[c]
-    total = acc
-    ids = spark.range(0, total, numPartitions=max(1, min(10_000, math.ceil(total / 1_000_000) * 8)))
-    # the class of a draw id is a range lookup over a handful of literals
-    cls_of, n_of = None, None
-    for c, lo, hi, n in layout:
-        cond = F.col("id") < F.lit(hi)
-        cls_of = F.when(cond, F.lit(c)) if cls_of is None else cls_of.when(cond, F.lit(c))
-        n_of = F.when(cond, F.lit(n)) if n_of is None else n_of.when(cond, F.lit(n))
-    draws = ids.withColumn("__cls", cls_of).withColumn("__n", n_of)
+    few = growing.where((F.col("__n") <= k) | (F.col("__bad") > 0)).limit(10).collect()
+    if any(r["__n"] <= k for r in few):
+        raise ValueError(f"SMOTE needs more than {k} rows in every class it grows; too small: "
+                         f"{sorted(r['__cls'] for r in few if r['__n'] <= k)}")
+    if few:
+        raise ValueError(f"SMOTE needs finite features; infinite in classes {sorted(r['__cls'] for r in few)}")
+    # row ids of the growing classes: positions in an order of the values, the same for any partitioning
+    grown = keyed.join(_few(growing.select("__cls")), "__cls").withColumn("__h", F.xxhash64(F.lit(seed), "__vec")).withColumn(
+        "__t", F.monotonically_increasing_id())
+    points = _ranked_by_class(grown, ["__h", "__vec", "__t"]).select("__cls", F.col("__rank").alias("__id"), "__vec")
+    nbrs = nearest_neighbours(points, k, len(feats), seed).join(points, ["__cls", "__id"])
+
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.lit(n_max) - F.col("__n") - 1) / DRAWS_PER_TASK)))
+    chunks = growing.select("__cls", "__n", chunk.alias("__chunk"))
+    tasks = max(1, math.ceil(n_max * growing.count() / DRAWS_PER_TASK))
+    first = F.col("__chunk") * DRAWS_PER_TASK
+    last = F.least(first + DRAWS_PER_TASK, F.lit(n_max) - F.col("__n")) - 1
+    draws = chunks.repartition(min(tasks, 100_000), "__cls", "__chunk").select("__cls", "__n", F.explode(F.sequence(first, last)).alias("__draw"))
+    key = [F.col("__cls"), F.col("__draw")]
     draws = draws.select(
-        "id", "__cls",
-        F.floor(_uniform(seed, 1, F.col("id")) * F.col("__n")).cast("long").alias("__rank"),
-        F.floor(_uniform(seed, 2, F.col("id")) * F.lit(k)).cast("int").alias("__slot"),
-        _uniform(seed, 3, F.col("id")).alias("__lam"),
-    )
-    size = sum(counts[c] for c in grow)
-    row_bytes = 48 + 8 * len(feats) + 8 * k  # class text, rank, vector, neighbour list
-    small = size <= BROADCAST_MAX_ROWS and size * row_bytes <= BROADCAST_MAX_BYTES
-    pts = points.select("__cls", "__rank", "__vec")
-    nb = nbrs.join(pts, ["__cls", "__rank"])
-    if small:
-        nb = F.broadcast(nb)
-    with_base = draws.join(nb, ["__cls", "__rank"]).withColumn(
-        "__j", F.element_at(F.col("__nbrs"), F.col("__slot") + 1)
-    )
-    other = pts.select("__cls", F.col("__rank").alias("__j"), F.col("__vec").alias("__vj"))
-    if small:
-        other = F.broadcast(other)
-    synth = with_base.join(other, ["__cls", "__j"]).withColumn(
-        "__new", F.zip_with("__vec", "__vj", lambda a, b: a + F.col("__lam") * (b - a))
-    )
+        "__cls", "__n", F.floor(_uniform(seed, 1, *key) * F.col("__n")).cast("long").alias("__id"),
+        F.floor(_uniform(seed, 2, *key) * F.lit(k)).cast("int").alias("__slot"), _uniform(seed, 3, *key).alias("__lam"))
+    synth = _with_vectors(draws, nbrs, points, growing, len(feats), k)
     tdt = fm.schema[target].dataType
     cls_value = F.col("__cls").cast(tdt) if not isinstance(tdt, T.StringType) else F.col("__cls")
     synth_rows = synth.select(
@@ -473,6 +317,35 @@ def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOUR
     return fm.unionByName(synth_rows)
 
 
+def _with_vectors(draws: DataFrame, nbrs: DataFrame, points: DataFrame, growing: DataFrame, d: int, k: int) -> DataFrame:
+    """Draws with the new point ``__new``. Rows of tiny classes carry very many draws
+    each, so they are broadcast when all of them together are small; draws of the
+    other classes spread over at least TINY_CLASS keys a class."""
+    row_bytes = 48 + 8 * d + 8 * k
+    fits = lambda rows: rows <= BROADCAST_MAX_ROWS and rows * row_bytes <= BROADCAST_MAX_BYTES
+    total = growing.agg(F.sum("__n").alias("all"), F.sum(F.when(F.col("__n") <= TINY_CLASS, F.col("__n"))).alias("tiny")).first()
+    is_tiny = F.col("__n") <= TINY_CLASS
+    if fits(total["all"]):
+        parts = [(draws, True)]
+    elif total["tiny"] and fits(total["tiny"]):
+        parts = [(draws.where(is_tiny), True), (draws.where(~is_tiny), False)]
+    else:
+        parts = [(draws, False)]
+    out = None
+    for part, small in parts:
+        names = growing.where(is_tiny).select("__cls") if small and len(parts) > 1 else None
+        own = nbrs if names is None else nbrs.join(_few(names), "__cls", "left_semi")
+        other = (points if names is None else points.join(_few(names), "__cls", "left_semi")).select(
+            "__cls", F.col("__id").alias("__j"), F.col("__vec").alias("__vj"))
+        if small:
+            own, other = F.broadcast(own), F.broadcast(other)
+        made = part.join(own, ["__cls", "__id"]).withColumn("__j", F.element_at("__nbrs", F.col("__slot") + 1)).join(
+            other, ["__cls", "__j"]).select("__cls", F.zip_with(
+                "__vec", "__vj", lambda a, b: a + F.col("__lam") * (b - a)).alias("__new"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def check_action(problem_type: str, action: str) -> None:
     """B8 and the closed set: anything but No Action needs a classification target."""
     if action not in IMBALANCE_ACTIONS:
@@ -501,6 +374,6 @@ def shape(df: DataFrame) -> DataFrame:
 
 __all__ = [
     "analyze_target_distribution", "class_distribution", "class_weights", "with_class_weight", "feature_matrix",
-    "random_undersample", "smote", "nearest_neighbours", "apply_imbalance_action", "check_action", "shape",
+    "random_undersample", "smote", "candidate_pairs", "nearest_neighbours", "apply_imbalance_action", "check_action", "shape",
     "target_facts",
 ]

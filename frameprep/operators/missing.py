@@ -19,20 +19,18 @@ from frameprep.operators.profile import column_modes, missing_counts
 # --- fixed values -----------------------------------------------------------
 MISSING_ACTIONS = ("Mean", "Median", "Mode", "Drop Column", "Leave Missing", "No Action")
 NUMERIC_ONLY = ("Mean", "Median")
+KEEPING = ("Drop Column", "Leave Missing", "No Action")
 # ---------------------------------------------------------------------------
 
 
 def allowed_actions(column_type: str, recommended: str | None = None) -> list[str]:
-    """M7: the choices offered for a column, with the recommendation added."""
+    """M7: every action that suits the column's type, or only those that fill
+    nothing when nothing is recommended; the recommendation is always offered."""
+    unfit = set() if column_type == "Numeric" else set(NUMERIC_ONLY)
     if recommended == "No Action":
-        base = ["No Action", "Leave Missing", "Drop Column"]
-    elif column_type == "Numeric":
-        base = list(MISSING_ACTIONS)
-    else:
-        base = ["Mode", "Drop Column", "Leave Missing", "No Action"]
-    if recommended and recommended not in base:
-        base.insert(0, recommended)
-    return base
+        unfit = set(MISSING_ACTIONS) - set(KEEPING)
+    offered = [a for a in MISSING_ACTIONS if a not in unfit]
+    return offered if recommended is None or recommended in offered else [recommended, *offered]
 
 
 def check_actions(df: DataFrame, actions: list[tuple[str, str]]) -> None:
@@ -60,13 +58,8 @@ def fit_fills(df: DataFrame, actions: list[tuple[str, str]]) -> dict[str, object
     if modes:
         got = {r["column_name"]: r for r in column_modes(df, modes).collect()}
         for c in modes:
-            r = got.get(c)
-            if r is None:
-                fills[c] = None
-            elif is_numeric_type(df.schema[c].dataType):
-                fills[c] = r["mode_num"]
-            else:
-                fills[c] = r["mode"]
+            # the text form casts back to the column's type without losing digits
+            fills[c] = got[c]["mode"] if c in got else None
     return fills
 
 

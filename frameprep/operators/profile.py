@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from frameprep.functions.coerce import is_numeric_type, normalise_value, type_name
 from frameprep.functions.report import frame, pct, round_half_away
-from frameprep.functions.stats import exact_quantiles, moments, value_frequencies
+from frameprep.functions.stats import exact_quantiles, moments, value_frequencies, value_hashes
 
 TOP_K = 10
 
@@ -71,7 +71,7 @@ def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True) -> dict[
         row = df.agg(*[F.approx_count_distinct(normalise_value(F.col(c), df.schema[c].dataType), 0.01).alias(f"d{i}")
                        for i, c in enumerate(cols)]).first() if cols else None
         return {c: int(row[f"d{i}"]) for i, c in enumerate(cols)} if cols else {}
-    freq = value_frequencies(df, cols)
+    freq = value_hashes(df, cols)
     got = {r["column"]: int(r["d"]) for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
     return {c: got.get(c, 0) for c in cols}
 
@@ -152,7 +152,7 @@ def ranked_values(df: DataFrame, cols: list[str], k: int = TOP_K) -> DataFrame:
     shuffle, so a column with millions of values only ships k rows per task.
     """
     freq = value_frequencies(df, cols)
-    w = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc_nulls_last("num"), F.asc("value"))
+    w = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc_nulls_last("num"), F.asc_nulls_last("exact"), F.asc("value"))
     return (
         freq.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
@@ -165,13 +165,12 @@ def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
     """Mode per column: most frequent, ties to the smallest typed value.
     A plain aggregate over the frequency table (partial + final)."""
     freq = value_frequencies(df, cols)
-    best = F.min(F.struct((-F.col("cnt")).alias("nc"), F.col("num").alias("num"), F.col("value").alias("value")))
+    best = F.min(F.struct((-F.col("cnt")).alias("nc"), "num", "exact", "value"))
     return freq.groupBy("column").agg(
         best.alias("b"), F.count(F.lit(1)).alias("unique_values"), F.sum("cnt").alias("non_missing")
     ).select(
         F.col("column").alias("column_name"),
         F.col("b.value").alias("mode"),
-        F.col("b.num").alias("mode_num"),
         (-F.col("b.nc")).alias("mode_count"),
         "unique_values",
         "non_missing",
@@ -230,15 +229,19 @@ def missing_evidence(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def inspect_column(df: DataFrame, column: str):
-    """Numeric summary for a numeric column, categorical summary otherwise."""
+    """Numeric summary for a numeric column, categorical summary otherwise;
+    a column without missing values gets a short answer instead."""
+    _, miss = missing_counts(df, [column])
+    if not miss[column]:
+        return f"'{column}' has no missing values."
     if is_numeric_type(df.schema[column].dataType):
         return numeric_summary(df, column)
     return categorical_summary(df, column)
 
 
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    """The first ``n`` rows to look at (a limit is the feature here)."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 20, order_by: str | None = None) -> DataFrame:
+    """The first ``n`` rows to look at (a limit is the feature here), by ``order_by`` if given."""
+    return (df.orderBy(order_by) if order_by else df).limit(n)
 
 
 class MissingValueInspector:
@@ -248,12 +251,15 @@ class MissingValueInspector:
     def __init__(self, df: DataFrame):
         self.df = df
         self.relationships: dict[str, DataFrame] = {}
+        self.columns: dict[str, object] = {}
 
     def get_missing_columns(self) -> list[str]:
         return missing_columns(self.df)
 
     def inspect_column(self, column: str):
-        return inspect_column(self.df, column)
+        if column not in self.columns:
+            self.columns[column] = inspect_column(self.df, column)
+        return self.columns[column]
 
     def inspect_missingness_relationship(self, target: str, grouping: str) -> DataFrame:
         out = missingness_by_category(self.df, target, grouping)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from frameprep.functions.coerce import numeric_columns, type_name
 from frameprep.functions.report import frame, pct, round_half_away
-from frameprep.functions.stats import value_frequencies
+from frameprep.functions.stats import value_hashes
 
 # --- fixed values -----------------------------------------------------------
 RELEVANCE_ACTIONS = ("Keep", "Drop", "Investigate")
@@ -142,7 +142,7 @@ def analyze_feature_relevance(df: DataFrame, target: str | None, schema_evidence
             dom[c] = (int(info["top_count"] or 0), present, int(info["unique_count"]))
     rest = [c for c in plain if c not in dom]
     if rest:
-        freq = value_frequencies(df, rest)
+        freq = value_hashes(df, rest)
         dom.update({
             r["column"]: (int(r["top"]), int(r["present"]), int(r["u"]))
             for r in freq.groupBy("column").agg(

@@ -1,8 +1,8 @@
 """Schema evidence and conversion.
 
 Evidence for all columns comes from one aggregate (missing counts, numeric and
-datetime parse counts under every candidate format), the shared value-frequency
-table (distinct counts) and one ranked pass for sample values. Conversions are
+datetime parse counts under every candidate format), the shared table of value
+hashes (distinct and top counts) and one ranked pass for sample values. Conversions are
 one projection; duplicates are removed first, on the raw columns.
 """
 
@@ -21,7 +21,7 @@ from frameprep.functions.coerce import (
 )
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.operators.duplicates import apply_duplicate_action
-from frameprep.functions.stats import value_frequencies
+from frameprep.functions.stats import order_exact, order_number, value_hashes
 from frameprep.operators.profile import is_missing
 
 # --- fixed values -----------------------------------------------------------
@@ -51,59 +51,24 @@ def _evidence_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
 
 
-FIRST_ROWS = 64
-FIRST_ROWS_MAX = 65536
-
-
-def sample_values(df: DataFrame, cols: list[str], order_by: str | None = None, k: int = SAMPLE_SIZE,
-                  present: dict[str, int] | None = None, freq: DataFrame | None = None) -> dict[str, str]:
-    """First ``k`` non-missing values of each column as text.
-
-    With ``order_by``: the rows with the smallest keys are taken with a top-N
-    (a per-partition limit, then a merge of N rows per partition), N growing
-    until every column has its ``k`` values; columns still short after
-    ``FIRST_ROWS_MAX`` rows are ranked over their own present rows.
-    Without an order: the ``k`` smallest values (with repeats), read from the
-    value-frequency table.
-    """
+def sample_values(df: DataFrame, cols: list[str], order_by: str | None = None, k: int = SAMPLE_SIZE) -> dict[str, str]:
+    """First ``k`` non-missing values of each column as text: by ``order_by`` (ties
+    by value), or the ``k`` smallest (with repeats) without an order. The rank
+    limit is applied per partition before the shuffle: k rows a column travel."""
     if not cols:
         return {}
-    texts = {c: normalise_value(F.col(c), df.schema[c].dataType) for c in cols}
-    if order_by is None:
-        w = Window.partitionBy("column").orderBy(F.asc_nulls_last("num"), "value")
-        freq = freq if freq is not None else value_frequencies(df, cols)
-        top = freq.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-        got: dict[str, list] = {}
-        for r in top.collect():
-            got.setdefault(r["column"], []).append((r["rk"], r["value"], r["cnt"]))
-        out = {}
-        for c in cols:
-            vals = []
-            for _, v, cnt in sorted(got.get(c, [])):
-                vals += [v] * min(cnt, k - len(vals))
-            out[c] = ",".join(vals[:k])
-        return out
-    need = {c: k if present is None else min(k, present[c]) for c in cols}
-    keyed = df.select(F.col(order_by).alias("__key"), *[texts[c].alias(c) for c in cols])
-    n_rows = FIRST_ROWS
-    result: dict[str, str] = {}
-    todo = list(cols)
-    while todo and n_rows <= FIRST_ROWS_MAX:
-        rows = keyed.select("__key", *todo).orderBy("__key", *todo).limit(n_rows).collect()
-        still = []
-        for c in todo:
-            vals = [r[c] for r in rows if r[c] is not None][:k]
-            if len(vals) >= need[c] or len(rows) < n_rows:
-                result[c] = ",".join(vals)
-            else:
-                still.append(c)
-        todo = still
-        n_rows *= 8
-    for c in todo:  # sparse columns: rank their own present rows
-        vals = [r[c] for r in keyed.where(F.col(c).isNotNull()).select("__key", c)
-                .orderBy("__key", c).limit(k).collect()]
-        result[c] = ",".join(vals)
-    return result
+    key = F.col(order_by) if order_by is not None else F.lit(0)
+    items = []
+    for c in cols:
+        dt = df.schema[c].dataType
+        items.append(F.struct(F.lit(c).alias("column"), normalise_value(F.col(c), dt).alias("value"),
+                              order_number(c, dt).alias("num"), order_exact(c, dt).alias("exact"), key.alias("key")))
+    long = df.select(F.explode(F.array(*items)).alias("s")).select("s.*").where(F.col("value").isNotNull())
+    w = Window.partitionBy("column").orderBy("key", F.asc_nulls_last("num"), F.asc_nulls_last("exact"), "value")
+    got: dict[str, list] = {}
+    for r in long.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).collect():
+        got.setdefault(r["column"], []).append((r["rk"], r["value"]))
+    return {c: ",".join(v for _, v in sorted(got.get(c, []))) for c in cols}
 
 
 def analyze_schema(df: DataFrame, order_by: str | None = None, exact: bool = True) -> DataFrame:
@@ -121,21 +86,19 @@ def analyze_schema(df: DataFrame, order_by: str | None = None, exact: bool = Tru
                 exprs.append(F.count(parse_datetime(F.col(c), fmt)).alias(f"d{i}_{j}"))
     row = df.agg(*exprs).first()
     n = int(row["n"])
-    present = {c: n - int(row[f"m{i}"]) for i, c in enumerate(cols)}
     if exact:
-        freq = value_frequencies(df, cols).persist()
+        freq = value_hashes(df, cols)
         per = {r["column"]: (int(r["d"]), int(r["top"]))
                for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.max("cnt").alias("top")).collect()}
         dist = {c: per.get(c, (0, None))[0] for c in cols}
         tops = {c: per.get(c, (0, None))[1] for c in cols}
-        samples = sample_values(df, cols, order_by, present=present, freq=freq)
-        freq.unpersist()
+        samples = sample_values(df, cols, order_by)
     else:  # opt-in: sketches for distincts, no frequency table, no top counts
         from frameprep.operators.profile import distinct_counts
 
         dist = distinct_counts(df, cols, exact=False)
         tops = {c: None for c in cols}
-        samples = sample_values(df, cols, order_by or cols[0], present=present) if cols else {}
+        samples = sample_values(df, cols, order_by or cols[0]) if cols else {}
     rows = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
@@ -174,12 +137,22 @@ def analyze_schema(df: DataFrame, order_by: str | None = None, exact: bool = Tru
     return frame(df.sparkSession, rows, EVIDENCE_DDL)
 
 
+def best_datetime_formats(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
+    """The candidate format that reads the most values of each text column, in one pass."""
+    if not cols:
+        return {}
+    row = df.agg(*[F.count(parse_datetime(F.col(c), f)).alias(f"d{i}_{j}")
+                   for i, c in enumerate(cols) for j, (f, _) in enumerate(DATETIME_FORMATS)]).first()
+    out = {}
+    for i, c in enumerate(cols):
+        counts = [int(row[f"d{i}_{j}"]) for j in range(len(DATETIME_FORMATS))]
+        best = max(range(len(counts)), key=lambda j: (counts[j], -j))
+        out[c] = DATETIME_FORMATS[best][0] if counts[best] > 0 else None
+    return out
+
+
 def best_datetime_format(df: DataFrame, column: str) -> str | None:
-    """The candidate format that reads the most values of a text column."""
-    row = df.agg(*[F.count(parse_datetime(F.col(column), f)).alias(f"d{j}") for j, (f, _) in enumerate(DATETIME_FORMATS)]).first()
-    counts = [int(row[f"d{j}"]) for j in range(len(DATETIME_FORMATS))]
-    best = max(range(len(counts)), key=lambda j: (counts[j], -j))
-    return DATETIME_FORMATS[best][0] if counts[best] > 0 else None
+    return best_datetime_formats(df, [column])[column]
 
 
 def conversion(df: DataFrame, column: str, action: str, datetime_format: str | None = None):
@@ -236,9 +209,10 @@ def apply_schema_actions(
     }]
     actions = [(c, a) for c, a in actions if c in df.columns]
     exprs, drops = {}, []
+    open_ = [c for c, a in actions if a == "Convert to Datetime" and c not in formats
+             and isinstance(out.schema[c].dataType, T.StringType)]
+    formats |= best_datetime_formats(out, open_)  # one pass for all columns that came without evidence
     for c, a in actions:
-        if a == "Convert to Datetime" and c not in formats and isinstance(out.schema[c].dataType, T.StringType):
-            formats[c] = best_datetime_format(out, c)
         if record is not None:
             record.append((c, a, formats.get(c)))
         e = conversion(out, c, a, formats.get(c))

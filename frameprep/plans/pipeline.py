@@ -7,8 +7,8 @@ summary. Row-local steps are recorded as a ``FittedPlan`` that can be applied
 to new data, including a streaming source (fit once, transform many).
 
 Fitted literals pile up in the plan of a long pipeline, so ``run`` can cut the
-lineage after each stage with a reliable checkpoint (the shared folder named
-by ``spark.checkpoint.dir``).
+lineage after each stage with a table written to the shared folder (named by
+``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from frameprep.functions.coerce import is_numeric_type
 from frameprep.functions.fingerprint import fingerprint
+from frameprep.functions.written import written
 from frameprep.operators import duplicates as D
 from frameprep.operators import encoding as E
 from frameprep.operators import imbalance as B
@@ -29,7 +31,6 @@ from frameprep.operators import relevance as R
 from frameprep.operators import scaling as N
 from frameprep.operators import schema as S
 from frameprep.plans import rules as G
-from frameprep.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 PAGE_ORDER = ("schema", "encoding", "relevance", "scaling", "imbalance", "missing", "outliers")
@@ -43,6 +44,7 @@ class Step:
     actions: list[tuple[str, str]] = field(default_factory=list)
     duplicate_action: str = "Keep Duplicates"  # schema stage only
     imbalance_action: str = "No Action"  # imbalance stage only
+    formats: dict[str, str] = field(default_factory=dict)  # schema stage only: datetime formats the evidence found
 
 
 @dataclass
@@ -57,8 +59,12 @@ class FittedPlan:
         return df
 
 
-def check_plan(steps: list[Step], target: str | None) -> None:
-    """Closed action sets, target guards; raises before any job runs."""
+def check_plan(steps: list[Step], target: str | None, df: DataFrame | None = None, order_by: str | None = None) -> None:
+    """Closed action sets, target guards, and (with the frame's schema) fills that
+    fit the column's type and targets that can be resampled; raises before any job runs.
+
+    A column whose type an earlier step changes is checked by the type it gets."""
+    types = {f.name: f.dataType for f in df.schema.fields} if df is not None else {}
     for st in steps:
         if st.stage not in G.STAGE_ACTIONS:
             raise ValueError(f"Unknown stage: {st.stage}")
@@ -68,10 +74,20 @@ def check_plan(steps: list[Step], target: str | None) -> None:
                 raise ValueError(f"'{a}' is not a {st.stage} action (column {c})")
             if c == target and st.stage == "relevance" and a != "Keep":
                 raise ValueError(f"The target column '{c}' can only be kept")
-            if c == target and st.stage == "schema" and a == "Drop Column":
+            if c == target and a in ("Drop", "Drop Column"):
                 raise ValueError(f"The target column '{c}' cannot be dropped")
             if a == "Target Encoding" and target is None:
                 raise ValueError("Target Encoding needs a target column")
+            if a == "Ordinal Encoding" and order_by is None:
+                raise ValueError("Ordinal Encoding needs order_by: a column that gives the order rows were seen in")
+            if st.stage == "schema" and c in types:
+                types[c] = {"Convert to Numeric": T.DoubleType(), "Convert to Datetime": T.TimestampNTZType(),
+                            "Convert to Categorical": T.StringType()}.get(a, types[c])
+            if st.stage == "missing" and a in M.NUMERIC_ONLY and c in types and not is_numeric_type(types[c]):
+                raise ValueError(f"{a} needs a numeric column; '{c}' is {types[c].simpleString()}")
+            if st.stage == "encoding" and a == "Target Encoding" and target in types and not isinstance(
+                    types[target], (T.NumericType, T.BooleanType)):
+                raise ValueError(f"Target Encoding needs a numeric target; '{target}' is {types[target].simpleString()}")
         if st.stage == "schema" and st.duplicate_action not in G.STAGE_ACTIONS["duplicates"]:
             raise ValueError(f"Unknown duplicate action: {st.duplicate_action}")
         if st.stage == "imbalance":
@@ -79,6 +95,9 @@ def check_plan(steps: list[Step], target: str | None) -> None:
                 raise ValueError(f"Unknown imbalance action: {st.imbalance_action}")
             if st.imbalance_action != "No Action" and target is None:
                 raise ValueError("Imbalance handling needs a target column")
+            if st.imbalance_action != "No Action" and isinstance(types.get(target), (T.FractionalType, T.DatetimeType)) \
+                    and df is not None and B.target_facts(df, target)["problem_type"] != "Classification":
+                raise ValueError(f"{st.imbalance_action} is only for classification targets")
 
 
 class Plan:
@@ -90,16 +109,14 @@ class Plan:
         self.order_by = order_by
 
     def run(self, df: DataFrame, cut_lineage: bool = False) -> tuple[DataFrame, dict[str, DataFrame], FittedPlan]:
-        check_plan(self.steps, self.target)
-        if cut_lineage:
-            ensure_checkpoint_dir(df.sparkSession)
+        check_plan(self.steps, self.target, df, self.order_by)
         summaries: dict[str, DataFrame] = {}
         fitted = FittedPlan()
         t = self.target
         for st in self.steps:
             if st.stage == "schema":
                 rec: list = []
-                df, summaries["schema"] = S.apply_schema_actions(df, st.actions, st.duplicate_action, record=rec)
+                df, summaries["schema"] = S.apply_schema_actions(df, st.actions, st.duplicate_action, formats=st.formats, record=rec)
                 fitted.transforms.append(_schema_replay(rec))
             elif st.stage == "missing":
                 acts = [(c, a) for c, a in st.actions if c in df.columns]
@@ -129,7 +146,7 @@ class Plan:
                 if weights is not None:
                     summaries["class_weights"] = weights
             if cut_lineage:
-                df = df.checkpoint(eager=True)
+                df = written(df, st.stage)
         return df, summaries, fitted
 
 
@@ -151,14 +168,24 @@ def _missing_replay(acts, fills):
 
 class EvidenceCache:
     """Evidence keyed by (fingerprint, stage, columns, target); a changed
-    frame gets a new fingerprint and so new evidence."""
+    frame gets a new fingerprint and so new evidence. A frame is hashed once: frames
+    do not change, so its fingerprint is kept with it."""
 
     def __init__(self):
         self._store: dict = {}
+        self._prints: list[tuple[DataFrame, str | None, str]] = []
         self.hits = 0
 
+    def fingerprint(self, df: DataFrame, target: str | None) -> str:
+        for known, t, value in self._prints:
+            if known is df and t == target:
+                return value
+        value = fingerprint(df, target)
+        self._prints = [*self._prints[-7:], (df, target, value)]
+        return value
+
     def get(self, df: DataFrame, stage: str, columns, target, compute):
-        key = (fingerprint(df, target), stage, tuple(columns or ()), target)
+        key = (self.fingerprint(df, target), stage, tuple(columns or ()), target)
         if key in self._store:
             self.hits += 1
             return self._store[key]
@@ -173,15 +200,22 @@ def recommend_all(df: DataFrame, target: str | None = None, order_by: str | None
     (each stage's evidence is computed once and reused through ``cache``)."""
     cache = cache or EvidenceCache()
     overrides = overrides or {}
-    n = df.count()
     steps = []
     schema_ev = cache.get(df, "schema", None, target, lambda: S.analyze_schema(df, order_by))
+    schema_rows = [r.asDict() for r in schema_ev.collect()]
+    n = schema_rows[0]["total_count"] if schema_rows else df.count()
     schema_recs = G.recommend_schema(schema_ev)
-    dup = G.recommend_duplicates(D.duplicate_summary(df), D.identifier_candidates(df)).first()["action"]
+    dup = cache.get(df, "duplicates", None, target, lambda: G.recommend_duplicates(
+        D.duplicate_summary(df), D.identifier_candidates(df)).first()["action"])
     acts = [(c, a) for c, a in G.selected_actions(schema_recs, overrides.get("schema"), "schema")
             if a != "No Action" and c != target]
-    steps.append(Step("schema", acts, duplicate_action=dup))
-    miss_cols = P.missing_columns(df)
+    formats = {r["column_name"]: r["datetime_format"] for r in schema_rows if r["datetime_format"]}
+    steps.append(Step("schema", acts, duplicate_action=dup, formats=formats))
+    seen = {r["column_name"]: r["missing_count"] for r in schema_rows}
+    unseen = [c for c in df.columns if c not in seen]
+    if unseen:
+        seen |= P.missing_counts(df, unseen)[1]
+    miss_cols = [c for c in df.columns if seen[c]]
     if miss_cols:
         ev = cache.get(df, "missing", miss_cols, target, lambda: P.missing_evidence(df, miss_cols))
         acts = [(c, a) for c, a in G.selected_actions(G.recommend_missing(ev, n), overrides.get("missing"), "missing")
@@ -195,7 +229,7 @@ def recommend_all(df: DataFrame, target: str | None = None, order_by: str | None
         steps.append(Step("outliers", acts))
     if target is not None:
         feats, pairs = cache.get(df, "relevance", None, target,
-                                 lambda: R.analyze_feature_relevance(df, target, schema_ev))
+                                 lambda: R.analyze_feature_relevance(df, target, schema_rows))
         recs = G.recommend_relevance(feats, pairs, n)
         steps.append(Step("relevance", G.selected_actions(recs, overrides.get("relevance"), "relevance")))
     cats = [c for c in E.encoding_candidates(df, target)]
@@ -207,11 +241,11 @@ def recommend_all(df: DataFrame, target: str | None = None, order_by: str | None
     nums = N.scaling_candidates(df, target)
     if nums:
         ev = cache.get(df, "scaling", nums, target, lambda: N.analyze_scaling_features(df, target, nums))
-        ids = tuple(r["column_name"] for r in schema_ev.where("is_identifier_candidate").collect())
+        ids = tuple(r["column_name"] for r in schema_rows if r["is_identifier_candidate"])
         recs = G.recommend_scaling(ev, ids)
         steps.append(Step("scaling", G.selected_actions(recs, overrides.get("scaling"), "scaling")))
     if target is not None:
-        facts = B.analyze_target_distribution(df, target)
+        facts = cache.get(df, "imbalance", None, target, lambda: B.analyze_target_distribution(df, target))
         action = G.recommend_imbalance(facts).first()["action"]
         action = overrides.get("imbalance", {}).get(target, action)
         steps.append(Step("imbalance", imbalance_action=action))

@@ -206,3 +206,47 @@ def q_remove_duplicates_plan(spark, sf):
 def q_schema_evidence_documents(spark, sf):
     """Schema evidence over whole document texts (samples are the first five texts by doc_id)."""
     return S.analyze_schema(table(spark, sf, "documents"), order_by="doc_id")
+
+
+@register(
+    "missing_choices",
+    """SELECT 'value' AS column_name, 'Mean,Median,Mode,Drop Column,Leave Missing,No Action' AS choices
+       FROM events_missing HAVING count(*) > count(value)
+       UNION ALL
+       SELECT 'event_type', 'Mode,Drop Column,Leave Missing,No Action' FROM events_missing HAVING count(*) > count(event_type)""",
+)
+def q_missing_choices(spark, sf):
+    """M7: the choices for every column with gaps, by its evidence."""
+    from frameprep.operators.profile import missing_evidence
+
+    rows = missing_evidence(table(spark, sf, "events_missing")).collect()
+    return spark.createDataFrame([(r["column_name"], ",".join(M.allowed_actions(r["column_type"]))) for r in rows],
+                                 "column_name STRING, choices STRING")
+
+
+@register(
+    "impute_big_integers",
+    """SELECT l_orderkey, l_linenumber, coalesce(big, (SELECT big FROM lines_big WHERE big IS NOT NULL GROUP BY big
+                                                      ORDER BY count(*) DESC, big LIMIT 1)) AS big FROM lines_big""",
+)
+def q_impute_big_integers(spark, sf):
+    """M3: a mode above 2^53 fills without losing digits."""
+    return M.impute(table(spark, sf, "lines_big"), "big", "Mode")
+
+
+@register("schema_no_action", "SELECT * FROM orders_text")
+def q_schema_no_action(spark, sf):
+    """An explicit No Action leaves the column as it is."""
+    ot = table(spark, sf, "orders_text")
+    out, _ = S.apply_schema_actions(ot, [(c, "No Action") for c in ot.columns])
+    return out
+
+
+@register(
+    "to_datetime_fraction",
+    """SELECT event_id, CASE WHEN event_type = 'click' THEN ts - INTERVAL 2 HOUR ELSE ts END AS ts FROM events""",
+)
+def q_to_datetime_fraction(spark, sf):
+    """Fractions of a second, Z and offsets; offsets give the UTC wall time."""
+    out = S.apply_schema_action(table(spark, sf, "events_time_text"), "ts_txt", "Convert to Datetime")
+    return out.withColumnRenamed("ts_txt", "ts")

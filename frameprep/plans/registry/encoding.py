@@ -23,8 +23,20 @@ def _cat_evidence_sql(tbl: str, c: str, key: str) -> str:
            round(CAST(u AS DOUBLE) / present * 100, 2) AS unique_percentage, u <= 10 AS low_cardinality,
            u > 20 OR CAST(u AS DOUBLE) / present * 100 > 10 AS high_cardinality,
            round(CAST(top AS DOUBLE) / present * 100, 2) AS most_frequent_percentage,
-           round(CAST(present AS DOUBLE) / u, 2) AS average_frequency, s AS sample_categories
-    FROM a, s, n"""
+           round(CAST(present AS DOUBLE) / u, 2) AS average_frequency, s AS sample_categories, t AS top_categories
+    FROM a, s, n,
+         (SELECT string_agg(v || ':' || c, ',' ORDER BY c DESC, v) t FROM (SELECT v, c FROM f ORDER BY c DESC, v LIMIT 10))"""
+
+
+def _dummies(c: str, categories: tuple[str, ...], names: tuple[str, ...] | None = None) -> str:
+    """One 0/1 column per category, as the driver's view wants it (no PIVOT)."""
+    named = zip(categories, names or [f"{c}_{v}" for v in categories])
+    return ", ".join(f"CAST(coalesce({c} = '{v}', false) AS DOUBLE) AS \"{n}\"" for v, n in named)
+
+
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+STATUSES = ("F", "O", "P")
 
 
 @register(
@@ -45,8 +57,8 @@ def q_categorical_evidence_missing(spark, sf):
 
 @register(
     "one_hot",
-    """PIVOT (SELECT event_id, 'event_type_' || coalesce(event_type, 'nan') AS k FROM events_missing)
-       ON k USING CAST(count(*) AS DOUBLE) GROUP BY event_id""",
+    f"""SELECT event_id, {_dummies('event_type', EVENT_TYPES)},
+               CAST(event_type IS NULL AS DOUBLE) AS event_type_nan FROM events_missing""",
 )
 def q_one_hot(spark, sf):
     out = E.encode(table(spark, sf, "events_missing"), "event_type", "One-Hot Encoding")
@@ -131,12 +143,43 @@ def q_encoding_plan(spark, sf):
 
 @register(
     "encoding_plan_rows",
-    f"""PIVOT (SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, {fx('t.m')} AS o_orderpriority,
-                  'o_orderstatus_' || o.o_orderstatus AS k
-           FROM orders o JOIN (SELECT o_orderpriority k, avg(o_totalprice) m FROM orders GROUP BY 1) t
-           ON o.o_orderpriority = t.k)
-        ON k USING CAST(count(*) AS DOUBLE) GROUP BY o_orderkey, o_custkey, o_totalprice, o_orderpriority""",
+    f"""SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, {fx('t.m')} AS o_orderpriority, {_dummies('o_orderstatus', STATUSES)}
+        FROM orders o JOIN (SELECT o_orderpriority k, avg(o_totalprice) m FROM orders GROUP BY 1) t
+        ON o.o_orderpriority = t.k""",
 )
 def q_encoding_plan_rows(spark, sf):
     out, _ = E.apply_encoding_actions(table(spark, sf, "orders"), ENCODING_PLAN, target="o_totalprice")
     return out.drop("o_orderdate").withColumn("o_orderpriority", fixed(F.col("o_orderpriority")))
+
+
+@register(
+    "one_hot_clash",
+    f"""SELECT event_id, kind_a, kind_nan, {_dummies('kind', ('a', 'nan', 'rest'), ('kind_a_', 'kind_nan_', 'kind_rest'))},
+               CAST(kind IS NULL AS DOUBLE) AS kind_nan__
+        FROM events_clash""",
+)
+def q_one_hot_clash(spark, sf):
+    """Categories whose column names are taken, and a literal category beside missing values."""
+    return E.encode(table(spark, sf, "events_clash"), "kind", "One-Hot Encoding")
+
+
+@register(
+    "one_hot_sparse",
+    """SELECT c_custkey, CAST((SELECT count(DISTINCT c_name) FROM customer) AS BIGINT) AS size,
+              CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS BIGINT) AS at FROM customer""",
+)
+def q_one_hot_sparse(spark, sf):
+    """A category per customer as one vector column, fitted and applied as a table."""
+    cu = table(spark, sf, "customer")
+    out = E.fit_one_hot(cu, "c_name", sparse=True).transform(cu)
+    return out.select("c_custkey", F.col("c_name.size").alias("size"), F.col("c_name.indices")[0].alias("at"))
+
+
+@register(
+    "encoding_candidates",
+    """SELECT 'event_type' AS column_name UNION ALL SELECT 'props'
+       UNION ALL SELECT 'ts' FROM (SELECT count(DISTINCT ts) u, count(ts) n FROM events) WHERE u <= 20 AND u * 100.0 / n <= 20""",
+)
+def q_encoding_candidates(spark, sf):
+    found = E.encoding_candidates(table(spark, sf, "events"), target="value")
+    return spark.createDataFrame([(c,) for c in found], "column_name STRING")

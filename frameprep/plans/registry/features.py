@@ -192,14 +192,18 @@ RELEVANCE_PLAN = [("p_partkey", "Drop"), ("const_col", "Drop"), ("const_num", "D
 
 
 @register(
-    "relevance_plan",
-    """SELECT * FROM (VALUES ('p_partkey', 'Dropped'), ('const_col', 'Dropped'), ('const_num', 'Dropped'),
-                             ('near_const', 'Investigate'), ('p_retailprice', 'Kept'), ('p_size', 'Kept'))
-       v(column_name, action)""",
+    "relevance_target_guard",
+    """SELECT true AS refused, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT p_size) AS BIGINT) AS sizes FROM part_wide""",
 )
-def q_relevance_plan(spark, sf):
-    _, summary = R.apply_relevance_actions(table(spark, sf, "part_wide"), RELEVANCE_PLAN, target="p_retailprice")
-    return summary
+def q_relevance_target_guard(spark, sf):
+    """Dropping the target is refused and the rows stay as they were."""
+    pw = table(spark, sf, "part_wide")
+    try:
+        pw, _ = R.apply_relevance_actions(pw, [("p_size", "Drop")], target="p_size")
+        refused = False
+    except ValueError:
+        refused = True
+    return pw.agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("rows"), F.countDistinct("p_size").alias("sizes"))
 
 
 @register(

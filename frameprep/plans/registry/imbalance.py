@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from frameprep.operators import imbalance as B
+from frameprep.plans.registry.encoding import PRIORITIES, _dummies
 from frameprep.queries import register
 from frameprep.sources.tables import table
 
@@ -67,9 +68,8 @@ def q_class_weights(spark, sf):
 
 @register(
     "feature_matrix",
-    """PIVOT (SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus,
-                    'o_orderpriority_' || o_orderpriority AS k FROM orders)
-       ON k USING CAST(count(*) AS DOUBLE) GROUP BY o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus""",
+    f"""SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus, {_dummies('o_orderpriority', PRIORITIES)}
+        FROM orders""",
 )
 def q_feature_matrix(spark, sf):
     return B.feature_matrix(table(spark, sf, "orders"), "o_orderstatus")
@@ -97,14 +97,43 @@ def q_smote_counts(spark, sf):
     return out.groupBy(F.col("toxic").cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
 
 
-@register("undersample")
+@register(
+    "undersample",
+    """SELECT quality, CAST((SELECT min(c) FROM (SELECT count(*) c FROM labels GROUP BY quality)) AS BIGINT) AS rows,
+              CAST((SELECT min(c) FROM (SELECT count(*) c FROM labels GROUP BY quality)) AS BIGINT) AS different_rows,
+              CAST(0 AS BIGINT) AS foreign_rows
+       FROM labels GROUP BY quality""",
+)
 def q_undersample(spark, sf):
-    return B.random_undersample(table(spark, sf, "labels"), "quality")
+    """Per class: rows kept, how many are different rows, how many are not rows of the input."""
+    lb = table(spark, sf, "labels")
+    known = lb.select(F.col("doc_id").alias("d"), F.col("quality").alias("q"), F.col("toxic").alias("t"), F.lit(1).alias("hit"))
+    out = B.random_undersample(lb, "quality").join(
+        known, (F.col("doc_id") == F.col("d")) & (F.col("quality") == F.col("q")) & (F.col("toxic") == F.col("t")), "left")
+    return out.groupBy("quality").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("different_rows"),
+        F.count_if(F.col("hit").isNull()).alias("foreign_rows"))
 
 
-@register("smote")
+@register(
+    "smote",
+    """SELECT quality, CAST((SELECT max(c) FROM (SELECT count(*) c FROM labels GROUP BY quality)) AS BIGINT) AS rows,
+              CAST(count(*) AS BIGINT) AS originals_kept, CAST(0 AS BIGINT) AS outside
+       FROM labels GROUP BY quality""",
+)
 def q_smote(spark, sf):
-    return B.smote(table(spark, sf, "labels"), "quality")
+    """Per class: rows, input rows still there, rows outside the class's range. (That new
+    rows lie on segments to true neighbours is tested against brute force.)"""
+    lb = table(spark, sf, "labels")
+    out = B.smote(lb, "quality")
+    rng = lb.groupBy("quality").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("toxic").alias("tl"),
+                                    F.max("toxic").alias("th")).withColumnRenamed("quality", "q")
+    inside = F.col("doc_id").between(F.col("lo"), F.col("hi")) & F.col("toxic").between(F.col("tl"), F.col("th"))
+    ids = lb.select(F.col("doc_id").alias("d"), F.col("quality").alias("dq"), F.col("toxic").alias("dt"))
+    same = (F.col("doc_id") == F.col("d")) & (F.col("quality") == F.col("dq")) & (F.col("toxic") == F.col("dt"))
+    marked = out.join(F.broadcast(rng), F.col("quality") == F.col("q")).join(ids, same, "left")
+    return marked.groupBy("quality").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("d").alias("originals_kept"), F.count_if(~inside).alias("outside"))
 
 
 @register(
@@ -139,3 +168,37 @@ def q_class_weight_column(spark, sf):
 )
 def q_resample_shape(spark, sf):
     return B.shape(B.random_undersample(table(spark, sf, "labels"), "toxic"))
+
+
+@register(
+    "imbalance_dispatch",
+    """SELECT CAST(toxic AS VARCHAR) AS class, CAST(count(*) AS BIGINT) AS count,
+              CAST((SELECT count(toxic) FROM labels) AS DOUBLE)
+                / (CAST((SELECT count(DISTINCT toxic) FROM labels) AS DOUBLE) * count(*)) AS weight
+       FROM labels WHERE toxic IS NOT NULL GROUP BY toxic""",
+)
+def q_imbalance_dispatch(spark, sf):
+    """The action by name; Class Weights leaves the frame alone and returns the table."""
+    lb = table(spark, sf, "labels")
+    same, weights = B.apply_imbalance_action(lb, "toxic", "Class Weights")
+    assert same is lb
+    return weights
+
+
+@register(
+    "imbalance_guard",
+    """SELECT action, true AS refused, CAST((SELECT count(DISTINCT value) FROM events) AS BIGINT) AS distinct_values
+       FROM (VALUES ('Class Weights'), ('Random Undersampling'), ('SMOTE')) v(action)""",
+)
+def q_imbalance_guard(spark, sf):
+    """Every resampling action is refused for a regression target found in the rows."""
+    ev = table(spark, sf, "events")
+    k = B.target_facts(ev, "value")["class_count"]
+    rows = []
+    for action in ("Class Weights", "Random Undersampling", "SMOTE"):
+        try:
+            B.apply_imbalance_action(ev, "value", action)
+            rows.append((action, False, k))
+        except ValueError:
+            rows.append((action, True, k))
+    return spark.createDataFrame(rows, "action STRING, refused BOOLEAN, distinct_values BIGINT")

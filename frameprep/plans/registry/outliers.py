@@ -101,3 +101,14 @@ def q_outlier_plan(spark, sf):
 def q_outlier_plan_rows(spark, sf):
     out, _ = O.apply_outlier_actions(table(spark, sf, "events_missing"), PLAN)
     return out.select("event_id", fixed(F.col("user_id")).alias("user_id"), "value")
+
+
+@register(
+    "outlier_remove_rows",
+    f"""WITH {iqr_bounds_cte('b', 'events', 'value')}
+        SELECT event_id, user_id, event_type, value FROM events, b WHERE value BETWEEN lo AND hi""",
+)
+def q_outlier_remove_rows(spark, sf):
+    """Remove Rows keeps what lies inside the fences."""
+    out, _ = O.apply_outlier_actions(table(spark, sf, "events"), [("value", "Remove Rows")])
+    return out.select("event_id", "user_id", "event_type", "value")

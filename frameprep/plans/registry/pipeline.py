@@ -13,8 +13,9 @@ from frameprep.operators import profile as P
 from frameprep.plans.pipeline import Plan, Step, recommend_all
 from frameprep.plans.registry.profile import _profile_columns_sql
 from frameprep.plans.registry.sqlkit import fx, union_all
+from frameprep.functions.coerce import NA_WORDS
+from frameprep.functions.written import shared_folder
 from frameprep.queries import register
-from frameprep.session import ensure_checkpoint_dir
 from frameprep.sources.csv import read_csv
 from frameprep.sources.tables import table
 
@@ -94,11 +95,25 @@ def q_auto_pipeline(spark, sf):
     return P.profile_columns(out)
 
 
-@register("fingerprint")
+_PRINTED = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "labels": "doc_id"}
+
+
+@register(
+    "fingerprint",
+    union_all([f"""SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS rows, true AS same_in_any_order,
+                          true AS changes_with_a_cell FROM {t}""" for t in _PRINTED]),
+)
 def q_fingerprint(spark, sf):
-    """S6 for every driver table this library profiles."""
-    names = ["customer", "orders", "lineitem", "events", "labels"]
-    return spark.createDataFrame([(n, fingerprint(table(spark, sf, n))) for n in names], "table_name STRING, fingerprint STRING")
+    """Equal for the same rows dealt out anew, other for one changed cell."""
+    rows = []
+    for name, key in _PRINTED.items():
+        df = table(spark, sf, name)
+        least = df.agg(F.min(key)).first()[0]
+        one = fingerprint(df)
+        dealt = fingerprint(df.repartition(3, F.xxhash64(F.col(key))))
+        changed = fingerprint(df.withColumn(key, F.when(F.col(key) == least, F.col(key) - 1).otherwise(F.col(key)).cast(df.schema[key].dataType)))
+        rows.append((name, df.count(), one == dealt, one != changed))
+    return spark.createDataFrame(rows, "table_name STRING, rows BIGINT, same_in_any_order BOOLEAN, changes_with_a_cell BOOLEAN")
 
 
 def _csv_sql() -> str:
@@ -109,10 +124,26 @@ def _csv_sql() -> str:
 @register("csv_profile", _csv_sql())
 def q_csv_profile(spark, sf):
     """The derived events table written as CSV and read back with type inference."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     (table(spark, sf, "events_missing").write.mode("overwrite")
      .option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
     return P.profile_columns(read_csv(spark, path))
 
 
-__all__ = ["union_all"]
+_NA = ", ".join(f"'{w}'" for w in NA_WORDS)
+
+
+@register(
+    "csv_quoted",
+    f"""SELECT doc_id, CASE WHEN text NOT IN ({_NA}) THEN md5(text) END AS text_md5, lang,
+               CAST(1234567890123456789 - doc_id AS BIGINT) AS long_key FROM documents""",
+)
+def q_csv_quoted(spark, sf):
+    """Whole texts with quotes, separators and line breaks, and 19-digit integers, through a CSV file."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "text", "lang", (F.lit(1234567890123456789) - F.col("doc_id")).alias("long_key"))
+    (docs.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    got = read_csv(spark, path)
+    return got.select("doc_id", F.md5("text").alias("text_md5"), "lang", "long_key")

@@ -237,3 +237,41 @@ def q_duplicate_summary_texts(spark, sf):
 )
 def q_categorical_summary_roles(spark, sf):
     return P.categorical_summary(table(spark, sf, "conversations"), "role")
+
+
+@register("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20")
+def q_preview(spark, sf):
+    return P.preview(table(spark, sf, "orders"), 20, "o_orderkey")
+
+
+@register("inspect_column", _numeric_summary_sql("events_missing", "value"))
+def q_inspect_column(spark, sf):
+    """A numeric column with gaps; the inspector remembers its answer."""
+    seen = P.MissingValueInspector(table(spark, sf, "events_missing"))
+    first = seen.inspect_column("value")
+    assert seen.inspect_column("value") is first
+    return fixed_doubles(spark.createDataFrame([tuple(first.values())], P.NUMERIC_SUMMARY_DDL))
+
+
+@register(
+    "inspect_relationship",
+    """SELECT event_type, CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT) AS missing_count,
+              CAST(count(*) AS BIGINT) AS total_count,
+              count(*) FILTER (WHERE value IS NULL) / CAST(count(*) AS DOUBLE) * 100.0 AS missing_percentage
+       FROM events_missing WHERE event_type IS NOT NULL GROUP BY event_type""",
+)
+def q_inspect_relationship(spark, sf):
+    """The relationship as the inspector remembers it."""
+    seen = P.MissingValueInspector(table(spark, sf, "events_missing"))
+    seen.inspect_missingness_relationship("value", "event_type")
+    return seen.relationships["value_by_event_type"]
+
+
+@register("keep_duplicates", "SELECT * FROM labels_dup")
+def q_keep_duplicates(spark, sf):
+    return D.apply_duplicate_action(table(spark, sf, "labels_dup"), "Keep Duplicates")
+
+
+@register("remove_duplicates_nan", "SELECT DISTINCT event_type, CASE WHEN NOT isnan(v) THEN v END AS v FROM events_nan")
+def q_remove_duplicates_nan(spark, sf):
+    return D.apply_duplicate_action(table(spark, sf, "events_nan"), "Remove Duplicates")

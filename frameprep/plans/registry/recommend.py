@@ -186,5 +186,3 @@ def q_recommend_relevance(spark, sf):
     feats, pairs = R.analyze_feature_relevance(df, "p_retailprice", S.analyze_schema(df))
     return G.recommend_relevance(feats, pairs, df.count())
 
-
-__all__ = ["F"]

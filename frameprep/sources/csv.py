@@ -1,9 +1,12 @@
 """CSV source (S1) with the type inference the reference gets from its reader.
 
 Read every column as text, turn the missing-value words into NULL, then infer
-each column's type from one aggregate over all columns: all values integers ->
-BIGINT (with a missing value -> DOUBLE), all numbers -> DOUBLE, all boolean
-words -> BOOLEAN, no value at all -> DOUBLE, else STRING. Dates stay text (the
+each column's type from one aggregate over all columns: all values integers that
+fit -> BIGINT (with a missing value -> DOUBLE, unless a value would lose digits),
+all numbers -> DOUBLE, all boolean words -> BOOLEAN, no value at all -> DOUBLE,
+else STRING. Quoted fields may hold separators, doubled quotes and line breaks;
+a file read that way is one split, so ``multiline=False`` reads files that are
+known to hold no line breaks in parallel by byte range. Dates stay text (the
 schema stage offers the conversion). Spark's own ``inferSchema`` is not used:
 it turns dates into timestamps and knows a single null word.
 """
@@ -20,13 +23,13 @@ INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 # ---------------------------------------------------------------------------
-LONG_DIGITS = 18  # integers with more digits may not fit a BIGINT: read as DOUBLE
+EXACT_DOUBLE = 2 ** 53  # larger integers may lose digits as DOUBLE
 
 
-def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool = True, **options) -> DataFrame:
     raw = (
-        spark.read.option("header", True).option("inferSchema", False)
-        .option("mode", "PERMISSIVE").options(**options).csv(path)
+        spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+        .option("quote", '"').option("escape", '"').option("multiLine", multiline).options(**options).csv(path)
     )
     return infer_types(raw)
 
@@ -38,10 +41,11 @@ def infer_types(raw: DataFrame) -> DataFrame:
     exprs = []
     for i, c in enumerate(cols):
         v = F.col(c)
-        digits = F.length(F.regexp_replace(v, r"[^0-9]", ""))
+        whole = F.when(v.rlike(INTEGER_PATTERN), F.trim(v).try_cast("bigint"))
         exprs += [
             F.count(v).alias(f"n{i}"),
-            F.count_if(v.rlike(INTEGER_PATTERN) & (digits <= LONG_DIGITS)).alias(f"i{i}"),
+            F.count(whole).alias(f"i{i}"),
+            F.count_if(F.abs(whole.cast("decimal(20,0)")) > EXACT_DOUBLE).alias(f"w{i}"),
             F.count_if(v.rlike(NUMBER_PATTERN) | text_to_number(v).isNotNull()).alias(f"f{i}"),
             F.count_if(v.isin(list(TRUE_WORDS + FALSE_WORDS))).alias(f"b{i}"),
         ]
@@ -54,7 +58,7 @@ def infer_types(raw: DataFrame) -> DataFrame:
         if n == 0:
             out.append(F.lit(None).cast("double").alias(c))
         elif row[f"i{i}"] == n:
-            out.append(F.trim(v).cast("bigint" if n == rows else "double").alias(c))
+            out.append(F.trim(v).cast("bigint" if n == rows or row[f"w{i}"] else "double").alias(c))
         elif row[f"f{i}"] == n:
             out.append(text_to_number(v).alias(c))
         elif row[f"b{i}"] == n:

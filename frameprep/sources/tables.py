@@ -42,6 +42,28 @@ DERIVED = {
                     ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS orderdate_txt,
                o_orderpriority
         FROM orders""",
+    # categories whose one-hot names are taken: by columns, by the missing label
+    "events_clash": """
+        SELECT event_id, CAST(user_id AS DOUBLE) AS kind_a, value AS kind_nan,
+               CASE WHEN event_type = 'click' THEN 'a' WHEN event_type = 'error' THEN 'nan'
+                    WHEN event_type = 'view' THEN NULL ELSE 'rest' END AS kind
+        FROM events""",
+    # rows that differ in NaN and NULL alone
+    "events_nan": """
+        SELECT event_type, CASE WHEN value > 100 THEN CAST('NaN' AS DOUBLE) WHEN value < 10 THEN NULL
+                                ELSE CAST(1 AS DOUBLE) END AS v
+        FROM events""",
+    # integers that a DOUBLE cannot hold, with gaps
+    "lines_big": """
+        SELECT l_orderkey, l_linenumber,
+               CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(9007199254740991 AS BIGINT) + l_linenumber END AS big
+        FROM lineitem""",
+    # times as text, with a fraction and an offset from UTC
+    "events_time_text": """
+        SELECT event_id, CASE WHEN event_type = 'click' THEN CAST(ts AS STRING) || '+02:00'
+                              WHEN event_type = 'error' THEN CAST(ts AS STRING) || 'Z'
+                              ELSE CAST(ts AS STRING) END AS ts_txt
+        FROM events""",
     # constant, near-constant, identifier and perfectly correlated columns
     "part_wide": """
         SELECT p_partkey, p_size, p_retailprice, p_brand,

@@ -11,13 +11,18 @@ from tests.conftest import SF_SMALL
 
 
 def _actions(monkeypatch, fn):
-    calls = []
-    for name in ("collect", "first", "count", "take"):
+    calls, depth = [], [0]
+    for name in ("collect", "first", "count", "take", "toArrow"):
         real = getattr(classic.DataFrame, name)
 
         def wrapped(self, *a, _real=real, _name=name, **k):
-            calls.append(_name)
-            return _real(self, *a, **k)
+            if not depth[0]:  # first() calls take(), which calls collect(): one action
+                calls.append(_name)
+            depth[0] += 1
+            try:
+                return _real(self, *a, **k)
+            finally:
+                depth[0] -= 1
 
         monkeypatch.setattr(classic.DataFrame, name, wrapped)
     try:
@@ -43,3 +48,21 @@ def test_profile_and_scaling_passes_do_not_grow_with_columns(spark, monkeypatch)
     a = _actions(monkeypatch, lambda: N.analyze_scaling_features(small).collect())
     b = _actions(monkeypatch, lambda: N.analyze_scaling_features(li).collect())
     assert b <= a + 2
+
+
+def test_quantiles_take_three_passes_for_any_number_of_columns(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from frameprep.functions.stats import exact_quantiles, moments
+
+    rng = np.random.default_rng(1)
+    for width in (5, 60):
+        data = pd.DataFrame(rng.normal(size=(3000, width)), columns=[f"c{i}" for i in range(width)])
+        df = spark.createDataFrame(data).cache()
+        mom = moments(df, list(df.columns))
+        got = {}
+        assert _actions(monkeypatch, lambda: got.update(exact_quantiles(df, list(df.columns), [0.25, 0.5, 0.75], mom))) <= 3
+        for c in data.columns:
+            assert np.allclose(got[c], data[c].quantile([0.25, 0.5, 0.75]))
+        df.unpersist()

@@ -35,7 +35,8 @@ def test_every_query_is_registered_with_a_callable():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     sdf = QUERIES[name](spark, SF_SMALL)
-    rel = duck.execute(ORACLE[name])
+    duck.execute(f"CREATE OR REPLACE TEMP VIEW wanted AS {ORACLE[name]}")  # the driver wraps oracles in a view too
+    rel = duck.execute("SELECT * FROM wanted")
     ocols = [d[0] for d in rel.description]
     orows = rel.fetchall()
     srows = sdf.collect()

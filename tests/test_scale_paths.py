@@ -1,5 +1,5 @@
 """Distributed building blocks checked against brute force on small fixtures:
-ordered index, SMOTE's exact k-NN and draws, undersampling, fingerprint, CSV
+ordered index, SMOTE's neighbours and draws, undersampling, fingerprint, CSV
 inference, lookup tiers, plan checks, and the absence of Python UDFs."""
 
 import os
@@ -34,31 +34,53 @@ def _brute_knn(points, k):
     return np.sort(d, axis=1)[:, :k]
 
 
-def test_knn_is_exact(spark):
+def _neighbour_recall(spark, pts, k=5):
+    d = pts.shape[1]
+    df = spark.createDataFrame([("A", i, [float(x) for x in p]) for i, p in enumerate(pts)],
+                               "__cls STRING, __id BIGINT, __vec ARRAY<DOUBLE>")
+    got = {r["__id"]: r["__nbrs"] for r in B.nearest_neighbours(df, k, d).collect()}
+    assert sorted(got) == list(range(len(pts)))
+    assert all(len(set(n)) == k and i not in n for i, n in got.items())
+    kth = _brute_knn(pts, k)[:, -1]
+    near = [((pts[i] - pts[j]) ** 2).sum() <= kth[i] + 1e-12 for i, n in got.items() for j in n]
+    return np.mean(near)
+
+
+def test_neighbours_are_exact_in_small_classes_and_near_in_large_ones(spark):
     rng = np.random.default_rng(3)
-    pts = np.vstack([rng.normal(size=(300, 3)), rng.normal(loc=4, size=(100, 3)) * [1, 10, 0.1]])
-    df = spark.createDataFrame([(float(a), float(b), float(c), "A") for a, b, c in pts], "a DOUBLE, b DOUBLE, c DOUBLE, y STRING")
-    u = B._projection(3, 1)
-    proj = sum(F.lit(w) * F.col(c) for w, c in zip(u, "abc"))
-    base = df.withColumn("__vec", F.array("a", "b", "c")).withColumn("__p", proj).withColumn("__h", F.xxhash64("__vec"))
-    ranked, counts = B._ranked_by_class(base, "y", ["__p", "__h", "__vec"])
-    pts_df = ranked.select("__cls", "__rank", "__p", "__vec")
-    nb = B.nearest_neighbours(pts_df, counts, 5, 3)
-    vec = {r["__rank"]: np.array(r["__vec"]) for r in pts_df.collect()}
-    order = sorted(vec)
-    arr = np.array([vec[i] for i in order])
-    want = _brute_knn(arr, 5)
-    got = {r["__rank"]: r["__nbrs"] for r in nb.collect()}
-    assert sorted(got) == order
-    for i in order:
-        d = np.sort([((vec[i] - vec[j]) ** 2).sum() for j in got[i]])
-        assert np.allclose(d, want[order.index(i)])
+    assert _neighbour_recall(spark, rng.normal(size=(2 * B.BLOCK, 3))) == 1.0
+    assert _neighbour_recall(spark, rng.normal(size=(400, 2))) > 0.8
+    assert _neighbour_recall(spark, np.cumsum(rng.random((500, 1)), axis=0)) == 1.0
+
+
+@pytest.mark.parametrize("d", [12, 50])
+def test_candidate_pairs_grow_with_the_rows(spark, d):
+    rng = np.random.default_rng(4)
+
+    def pairs(n):
+        rows = [("A", i, [float(x) for x in p]) for i, p in enumerate(rng.normal(size=(n, d)))]
+        return B.candidate_pairs(spark.createDataFrame(rows, "__cls STRING, __id BIGINT, __vec ARRAY<DOUBLE>"), d).count()
+
+    small, large = pairs(500), pairs(2000)
+    assert large <= 2000 * 3 * B.BLOCK * B.PROJECTIONS
+    assert large <= 4.6 * small  # four times the rows
+
+
+def test_smote_refuses_endless_features(spark):
+    rows = [(float(i), 0) for i in range(40)] + [(float(i), 1) for i in range(9)] + [(float("inf"), 1)]
+    with pytest.raises(ValueError, match="finite"):
+        B.smote(spark.createDataFrame(rows, "x DOUBLE, t INT"), "t")
+
+
+def test_resampling_takes_very_many_classes(spark):
+    df = spark.range(0, 6000).select((F.col("id") % 1500).cast("string").alias("t"), F.col("id").cast("double").alias("x"))
+    assert B.random_undersample(df.union(df.limit(50)), "t").groupBy("t").count().where("count <> 4").count() == 0
 
 
 def test_smote_counts_segments_and_repeatability(spark):
     rng = np.random.default_rng(5)
     rows = [(float(x), float(y), 0) for x, y in rng.normal(size=(200, 2))]
-    rows += [(float(x), float(y), 1) for x, y in rng.normal(loc=3, size=(30, 2))]
+    rows += [(float(x), float(y), 1) for x, y in rng.normal(loc=3, size=(30, 2))]  # at most two blocks: exact neighbours
     df = spark.createDataFrame(rows, "x DOUBLE, y DOUBLE, t INT")
     out = B.smote(df, "t")
     counts = {r["t"]: r["count"] for r in out.groupBy("t").count().collect()}
@@ -116,6 +138,67 @@ def test_csv_inference(spark):
     assert [r["a"] for r in df.orderBy("a").collect()] == [2, 3, 7]
 
 
+def test_csv_quotes_breaks_and_long_integers(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="frameprep-csv-"), "in.csv")
+    with open(path, "w") as f:
+        f.write('a,b,c\n"say ""hi"", ok","line1\nline2",1234567890123456789\nplain,x,12\nz,y,\n')
+    df = read_csv(spark, path)
+    got = {tuple(r) for r in df.collect()}
+    assert got == {('say "hi", ok', "line1\nline2", 1234567890123456789), ("plain", "x", 12), ("z", "y", None)}
+    assert dict(df.dtypes)["c"] == "bigint"
+
+
+def test_datetimes_with_fractions_and_offsets(spark):
+    import datetime as dt
+
+    from frameprep.operators import schema as S
+
+    texts = ["2024-01-02 03:04:05.123456", "2024-01-02 03:04:05", "2024-01-02 03:04:05Z", "2024-01-02 03:04:05.5+01:30",
+             "2024-01-02 03:04:05-0200", "2024-01-02", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    got = [r["t"] for r in S.apply_schema_action(df, "t", "Convert to Datetime").orderBy("i").collect()]
+    base = dt.datetime(2024, 1, 2, 3, 4, 5)
+    assert got == [base.replace(microsecond=123456), base, base, base.replace(microsecond=500000) - dt.timedelta(hours=1, minutes=30),
+                   base + dt.timedelta(hours=2), None, None, None]
+    names = spark.createDataFrame([("05 Mar 2021",), ("17 Dec 2020",)], "t STRING")
+    assert S.best_datetime_format(names, "t") == "dd MMM yyyy"
+
+
+def test_duplicates_fold_nan_and_null_and_maps(spark):
+    from frameprep.operators import duplicates as D
+
+    df = spark.createDataFrame([(float("nan"),), (None,), (1.0,), (1.0,), (0.0,), (-0.0,)], "x DOUBLE")
+    n, dup = D.duplicate_count(df)
+    assert (n, dup) == (6, 3) and D.remove_duplicates(df).count() == 3
+    groups = D.duplicate_groups(df, drop_null_groups=False).collect()
+    assert [r["count"] for r in groups] == sorted([r["count"] for r in groups], reverse=True)
+    maps = spark.createDataFrame([({"a": 1, "b": 2},), ({"b": 2, "a": 1},), ({"a": 2},)], "m MAP<STRING, INT>")
+    assert D.duplicate_count(maps) == (3, 1) and D.remove_duplicates(maps).count() == 2
+    assert fingerprint(maps) != fingerprint(maps.where("m['a'] = 1"))
+
+
+def test_one_hot_names_never_overwrite(spark):
+    df = spark.createDataFrame([("nan", 1.0), (None, 2.0), ("b", 3.0), ("B", 4.0)], "a STRING, a_b DOUBLE")
+    out = EN.encode(df, "a", "One-Hot Encoding")
+    assert out.columns == ["a_b", "a_B_", "a_b__", "a_nan", "a_nan_"]
+    rows = {r["a_b"]: tuple(r)[1:] for r in out.collect()}
+    assert rows == {1.0: (0, 0, 1, 0), 2.0: (0, 0, 0, 1), 3.0: (0, 1, 0, 0), 4.0: (1, 0, 0, 0)}
+    wide = spark.range(1200).select(F.concat(F.lit("c"), "id").alias("k"), "id")
+    assert len(EN.encode(wide, "k", "One-Hot Encoding").columns) == 1201
+    sparse = EN.fit_one_hot(wide, "k", sparse=True).transform(wide).where("id = 7").first()["k"]
+    assert sparse["size"] == 1200 and len(sparse["indices"]) == 1 and sparse["values"] == [1.0]
+
+
+def test_evidence_is_reused(spark):
+    from frameprep.plans.pipeline import EvidenceCache, recommend_all
+
+    cache, ev = EvidenceCache(), table(spark, SF_SMALL, "events_missing")
+    first = recommend_all(ev, target="event_type", order_by="event_id", cache=cache)
+    assert cache.hits == 0
+    again = recommend_all(ev, target="event_type", order_by="event_id", cache=cache)
+    assert cache.hits >= 7 and [(s.stage, s.actions) for s in first] == [(s.stage, s.actions) for s in again]
+
+
 def test_lookup_tiers_agree(spark, monkeypatch):
     ev = table(spark, SF_SMALL, "events")
     lit = {r["event_id"]: r["user_id"] for r in EN.encode(ev, "user_id", "Frequency Encoding").collect()}
@@ -133,6 +216,19 @@ def test_plan_checks_before_running():
         check_plan([Step("encoding", [("c", "Target Encoding")])], target=None)
     with pytest.raises(ValueError):
         check_plan([Step("scaling", [("c", "Log")])], target=None)
+    with pytest.raises(ValueError):
+        check_plan([Step("missing", [("y", "Drop Column")])], target="y")
+    with pytest.raises(ValueError):
+        check_plan([Step("encoding", [("c", "Ordinal Encoding")])], target=None)
+
+
+def test_plan_checks_know_the_schema(spark):
+    df = spark.createDataFrame([("a", 1.5)], "c STRING, y DOUBLE")
+    with pytest.raises(ValueError, match="numeric column"):
+        check_plan([Step("missing", [("c", "Mean")])], None, df)
+    check_plan([Step("schema", [("c", "Convert to Numeric")]), Step("missing", [("c", "Mean")])], None, df)
+    with pytest.raises(ValueError, match="numeric target"):
+        check_plan([Step("encoding", [("y", "Target Encoding")])], "c", df)
 
 
 def test_fitted_plan_replays(spark):

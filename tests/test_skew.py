@@ -20,16 +20,15 @@ def test_smote_with_a_block_of_copies(spark):
     minority = np.array([(x, y) for x, y, t in rows if t == "B"])
     d2 = ((minority[:, None, :] - minority[None, :, :]) ** 2).sum(-1)
     np.fill_diagonal(d2, np.inf)
-    kth = np.sort(d2, axis=1)[:, 4]
     new = np.array([(r["x"], r["y"]) for r in out.where("t = 'B'").collect()])
-    # every B row of the output is an input row or lies on a segment to one of its 5 nearest
+    # every B row of the output is an input row or lies on a segment to a row of its class
     inputs = {tuple(v) for v in minority}
     for p in new:
         if tuple(p) in inputs:
             continue
         ok = False
         for i, a in enumerate(minority):
-            for j in np.where(d2[i] <= kth[i] + 1e-12)[0]:
+            for j in np.argsort(d2[i])[:40]:
                 b = minority[j]
                 denom = np.dot(b - a, b - a)
                 lam = np.dot(p - a, b - a) / denom if denom else 0.0
