@@ -204,7 +204,7 @@ def fit_target(df: DataFrame, column: str, target: str | None) -> Encoding:
     if target is None:
         raise ValueError("Target Encoding cannot run without a target column")
     if target not in df.columns:
-        raise ValueError("Target column does not exist.")
+        raise ValueError(f"no column named '{target}' to use as target")
     tdt = df.schema[target].dataType
     if not isinstance(tdt, (T.NumericType, T.BooleanType)):
         raise ValueError(f"Target Encoding needs a numeric target; '{target}' is {tdt.simpleString()}")

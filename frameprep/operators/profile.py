@@ -108,10 +108,10 @@ def missing_columns(df: DataFrame) -> list[str]:
 def numeric_summary(df: DataFrame, column: str) -> dict:
     """Count, mean, median, sample std, min, max, corrected skewness, q1, q3."""
     if column not in df.columns:
-        raise ValueError(f"Column '{column}' does not exist.")
+        raise ValueError(f"no column named '{column}'")
     s = moments(df, [column])[column]
     if s["n"] == 0:
-        raise ValueError(f"Column '{column}' contains no numeric values.")
+        raise ValueError(f"'{column}' has no numbers to summarise")
     q1, med, q3 = exact_quantiles(df, [column], [0.25, 0.5, 0.75], {column: s})[column]
     return {
         "column_name": column, "count": s["n"], "mean": s["mean"], "median": med, "std": s["std"],
@@ -129,14 +129,14 @@ def numeric_summaries(df: DataFrame, cols: list[str], approx: bool = False) -> D
     """P3 for several columns with one moments pass and shared quantile rounds."""
     for c in cols:
         if c not in df.columns:
-            raise ValueError(f"Column '{c}' does not exist.")
+            raise ValueError(f"no column named '{c}'")
     mom = moments(df, cols)
     qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], mom, approx=approx)
     rows = []
     for c in cols:
         s = mom[c]
         if s["n"] == 0:
-            raise ValueError(f"Column '{c}' contains no numeric values.")
+            raise ValueError(f"'{c}' has no numbers to summarise")
         q1, med, q3 = qs[c]
         rows.append({
             "column_name": c, "count": s["n"], "mean": s["mean"], "median": med, "std": s["std"],
@@ -180,7 +180,7 @@ def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
 def categorical_summary(df: DataFrame, column: str, k: int = TOP_K) -> DataFrame:
     """Top-k value counts, distinct count and mode of one column."""
     if column not in df.columns:
-        raise ValueError(f"Column '{column}' does not exist.")
+        raise ValueError(f"no column named '{column}'")
     modes = column_modes(df, [column])
     top = ranked_values(df, [column], k)
     out = top.join(modes.select("column_name", F.col("mode").alias("most_frequent"), "unique_values"), "column_name")
@@ -192,7 +192,7 @@ def missingness_by_category(df: DataFrame, target: str, grouping: str) -> DataFr
     ``target``, rows, missing %. Partial aggregation absorbs hot groups."""
     for c, what in ((target, "Target"), (grouping, "Grouping")):
         if c not in df.columns:
-            raise ValueError(f"{what} column '{c}' does not exist.")
+            raise ValueError(f"no column named '{c}' to use as {what.lower()}")
     g = F.col(grouping)
     return (
         df.where(~is_missing(df, grouping))

@@ -10,6 +10,7 @@ aggregate stays a manageable width.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ RELEVANCE_ACTIONS = ("Keep", "Drop", "Investigate")
 NEAR_CONSTANT_PCT = 95.0
 HIGH_CORRELATION = 0.85
 # ---------------------------------------------------------------------------
-PAIRS_PER_PASS = 1000
+PRODUCTS_PER_CHUNK = 400  # product sums a row adds up at a time; all chunks share one scan
 
 EVIDENCE_DDL = (
     "column_name STRING, dtype STRING, is_target BOOLEAN, missing_percentage DOUBLE, unique_count BIGINT, "
@@ -39,7 +40,7 @@ def _schema_rows(schema_evidence) -> dict[str, dict]:
     """Accept the schema evidence as a DataFrame, a list of rows/dicts, or a
     dict with a ``columns`` list; anything else is an error."""
     if schema_evidence is None:
-        raise ValueError("Schema analysis is required for feature relevance analysis.")
+        raise ValueError("schema evidence is needed to judge relevance")
     if isinstance(schema_evidence, DataFrame):
         items = [r.asDict() for r in schema_evidence.collect()]
     elif isinstance(schema_evidence, dict):
@@ -47,7 +48,7 @@ def _schema_rows(schema_evidence) -> dict[str, dict]:
     elif isinstance(schema_evidence, list):
         items = schema_evidence
     else:
-        raise TypeError(f"Unexpected schema_analysis type: {type(schema_evidence)}")
+        raise TypeError(f"schema evidence must be a DataFrame, rows or a dict, not {type(schema_evidence).__name__}")
     out = {}
     for it in items:
         if hasattr(it, "asDict"):
@@ -67,11 +68,12 @@ def _corr_cols(df: DataFrame) -> list[str]:
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
     """Pairwise-complete Pearson for each pair, None when undefined.
 
-    Two passes of plain sums (they compile to tight code, unlike a wide
-    aggregate of covariance objects): the first finds each column's mean and
-    whether it has gaps; the second sums products of mean-centred values. A
-    pair of gap-free columns needs one product sum; a pair with gaps sums its
-    own count, means and squares over the rows where both are present.
+    Two passes for any number of pairs. The first finds each column's mean and
+    whether it has gaps. The second sums products of entries of one vector per row:
+    mean-centred values, their squares, and 0/1 masks, where a missing value is 0 in
+    all three. A pair of gap-free columns needs one product sum, a pair with gaps
+    sums its own count, means and squares through the masks. The wanted products
+    are cut into chunks and each row meets every chunk inside the one scan.
     """
     if not pairs:
         return {}
@@ -80,46 +82,42 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str,
     xs = {c: F.when(~F.isnan(x), x) for c, x in xs.items()}
     r0 = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(xs[c]).alias(f"m{i}") for i, c in enumerate(cols)],
                 *[F.count(xs[c]).alias(f"k{i}") for i, c in enumerate(cols)]).first()
-    n = int(r0["n"])
-    mean = {c: (r0[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
+    n, k, at = int(r0["n"]), len(cols), {c: i for i, c in enumerate(cols)}
     full = {c: int(r0[f"k{i}"]) == n for i, c in enumerate(cols)}
-    cen = {c: xs[c] - F.lit(mean[c]) for c in cols}
-    exprs, plan = [], []
-    for c in cols:
-        if full[c]:
-            exprs.append(F.sum(cen[c] * cen[c]).alias(f"q_{len(exprs)}"))
-            plan.append(("sq", c))
+    centred = [F.coalesce(xs[c] - F.lit(r0[f"m{i}"] or 0.0), F.lit(0.0)) for i, c in enumerate(cols)]
+    masks = [xs[c].isNotNull().cast("double") for c in cols]
+    x, sq, mask = (lambda c: at[c]), (lambda c: k + at[c]), (lambda c: 2 * k + at[c])
+    wanted: dict[tuple[int, int], None] = {}
     for a, b in pairs:
         if full[a] and full[b]:
-            exprs.append(F.sum(cen[a] * cen[b]).alias(f"q_{len(exprs)}"))
-            plan.append(("ab", (a, b)))
+            wanted |= dict.fromkeys([(x(a), x(a)), (x(b), x(b)), (x(a), x(b))])
         else:
-            both = xs[a].isNotNull() & xs[b].isNotNull()
-            ca, cb = F.when(both, cen[a]), F.when(both, cen[b])
-            for part, e in (("n", F.count_if(both)), ("sa", F.sum(ca)), ("sb", F.sum(cb)), ("saa", F.sum(ca * ca)),
-                            ("sbb", F.sum(cb * cb)), ("sab", F.sum(ca * cb))):
-                exprs.append(e.alias(f"q_{len(exprs)}"))
-                plan.append((part, (a, b)))
-    got = {}
-    for start in range(0, len(exprs), PAIRS_PER_PASS):
-        row = df.agg(*exprs[start:start + PAIRS_PER_PASS]).first()
-        for i in range(start, min(start + PAIRS_PER_PASS, len(exprs))):
-            got[plan[i]] = row[f"q_{i}"]
+            wanted |= dict.fromkeys([(mask(a), mask(b)), (x(a), mask(b)), (mask(a), x(b)), (sq(a), mask(b)),
+                                     (mask(a), sq(b)), (x(a), x(b))])
+    products = list(wanted)
+    chunks = [products[i:i + PRODUCTS_PER_CHUNK] for i in range(0, len(products), PRODUCTS_PER_CHUNK)]
+    table = F.from_json(F.lit(json.dumps([{"a": [p for p, _ in ch], "b": [q for _, q in ch]} for ch in chunks])),
+                        F.lit("array<struct<a:array<int>,b:array<int>>>"))
+    rows = df.select(F.array(*centred, *[c * c for c in centred], *masks).alias("v")).select("v", F.posexplode(table).alias("chunk", "at"))
+    width = max(map(len, chunks))
+    sums = rows.groupBy("chunk").agg(*[
+        F.sum(F.get("v", F.get("at.a", F.lit(j))) * F.get("v", F.get("at.b", F.lit(j)))).alias(f"s{j}") for j in range(width)]).collect()
+    got = {p: r[f"s{j}"] for r in sums for j, p in enumerate(chunks[r["chunk"]])}
     out: dict[tuple[str, str], float | None] = {}
     for a, b in pairs:
         if full[a] and full[b]:
-            m, sab, saa, sbb = n, got[("ab", (a, b))], got[("sq", a)], got[("sq", b)]
-            sa = sb = 0.0
+            m, sa, sb = n, 0.0, 0.0
+            saa, sbb, sab = (got.get(p) for p in ((x(a), x(a)), (x(b), x(b)), (x(a), x(b))))
         else:
-            m = int(got[("n", (a, b))] or 0)
-            sa, sb = got[("sa", (a, b))] or 0.0, got[("sb", (a, b))] or 0.0
-            saa, sbb, sab = got[("saa", (a, b))], got[("sbb", (a, b))], got[("sab", (a, b))]
+            m = int(got.get((mask(a), mask(b))) or 0)
+            sa, sb = got.get((x(a), mask(b))) or 0.0, got.get((mask(a), x(b))) or 0.0
+            saa, sbb, sab = (got.get(p) for p in ((sq(a), mask(b)), (mask(a), sq(b)), (x(a), x(b))))
         if m <= 1 or saa is None or sbb is None or sab is None:
             out[(a, b)] = None
             continue
         va, vb = saa / m - (sa / m) ** 2, sbb / m - (sb / m) ** 2
         cov = sab / m - (sa / m) * (sb / m)
-        if va <= 0 or vb <= 0:
+        if not (va > 0 and vb > 0):
             out[(a, b)] = None
             continue
         r = cov / math.sqrt(va * vb)

@@ -12,6 +12,7 @@ from frameprep.functions.report import fixed
 from frameprep.operators import profile as P
 from frameprep.plans.pipeline import Plan, Step, recommend_all
 from frameprep.plans.registry.profile import _profile_columns_sql
+from frameprep.plans.registry.recommend import auto_plan_sql
 from frameprep.plans.registry.sqlkit import fx, union_all
 from frameprep.functions.coerce import NA_WORDS
 from frameprep.functions.written import shared_folder
@@ -72,7 +73,7 @@ def q_pipeline_replay(spark, sf):
     return out.select("event_id", fixed(F.col("value")).alias("value"))
 
 
-@register("auto_plan")
+@register("auto_plan", auto_plan_sql())
 def q_auto_plan(spark, sf):
     """Evidence -> rules -> steps for every stage (rows: stage, column, action)."""
     steps = recommend_all(table(spark, sf, "events_missing"), target="event_type", order_by="event_id")

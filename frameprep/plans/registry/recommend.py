@@ -186,3 +186,41 @@ def q_recommend_relevance(spark, sf):
     feats, pairs = R.analyze_feature_relevance(df, "p_retailprice", S.analyze_schema(df))
     return G.recommend_relevance(feats, pairs, df.count())
 
+
+def auto_plan_sql(tbl: str = "events_missing", target: str = "event_type") -> str:
+    """Rows (stage, column_name, action) that the rules give for the derived events table."""
+    cols, numbers = ("event_id", "user_id", "ts", "value", "event_type"), ("event_id", "user_id", "value")
+
+    def facts(c: str) -> str:
+        return (f"(SELECT count(*) n, count({c}) p, count(DISTINCT {c}) u, (SELECT max(k) FROM (SELECT count(*) k FROM {tbl} "
+                f"WHERE {c} IS NOT NULL GROUP BY {c})) top FROM {tbl}) f")
+
+    def action(rules, default: str) -> str:
+        return "CASE " + " ".join(f"WHEN {cond} THEN '{a}'" for cond, a, *_ in rules) + f" ELSE '{default}' END"
+
+    ident = "u * 100.0 / p >= 95"
+    pair = " OR ".join(f"round(abs((SELECT corr(CAST({{c}} AS DOUBLE), CAST({o} AS DOUBLE)) FROM {tbl})), 4) >= {R.HIGH_CORRELATION}"
+                       for o in numbers)
+    parts = [f"SELECT 'schema' AS stage, '{c}' AS column_name, 'Treat as Identifier' AS action FROM {facts(c)} WHERE {ident}"
+             for c in ("event_id", "user_id", "ts")]
+    any_id = " OR ".join(f"(SELECT (u + CASE WHEN p < n THEN 1 ELSE 0 END) * 100.0 / n >= 95 FROM {facts(c)})" for c in cols)
+    parts.append(f"""SELECT 'duplicates', 'Dataset', CASE WHEN count(*) > (SELECT count(*) FROM (SELECT DISTINCT * FROM {tbl}))
+                     AND ({any_id}) THEN 'Remove Duplicates' ELSE 'Keep Duplicates' END FROM {tbl}""")
+    parts.append(f"""SELECT 'missing', column_name, {action(MISSING_RULES, 'Mode')} FROM ({profile.ORACLE_MISSING_EVIDENCE})
+                     WHERE missing_count > 0 AND column_name <> '{target}'""")
+    parts.append(f"""SELECT 'outliers', column_name, a FROM (SELECT column_name, {action(OUTLIER_RULES, 'IQR')} AS a
+                     FROM ({outlier_evidence_sql(tbl, 'value')})) WHERE a <> 'No Action'""")
+    for c in cols:
+        near = " OR ".join([x for x in [pair.replace("{c}", c)] if c in numbers] or ["false"])
+        if c in numbers:  # not with itself
+            near = " OR ".join(x for x in near.split(" OR ") if f"CAST({c} AS DOUBLE), CAST({c} AS DOUBLE)" not in x)
+        parts.append(f"""SELECT 'relevance', '{c}', CASE WHEN '{c}' = '{target}' THEN 'Keep' WHEN u <= 1 AND p > 0 THEN 'Drop'
+                         WHEN {ident} THEN 'Drop' WHEN top * 100.0 / p >= {R.NEAR_CONSTANT_PCT} THEN 'Investigate'
+                         WHEN {near} THEN 'Investigate' WHEN (n - p) * 100.0 / n >= {G.MISSING_DROP_PCT} THEN 'Investigate'
+                         ELSE 'Keep' END FROM {facts(c)}""")
+    for c in numbers:
+        parts.append(f"""SELECT 'scaling', '{c}', CASE WHEN (SELECT {ident} FROM {facts(c)}) THEN 'No Action'
+                         ELSE {action(SCALING_RULES, 'MinMaxScaler')} END FROM ({features._scaling_evidence_sql(tbl, c)})""")
+    parts.append(f"""SELECT 'imbalance', target_column, {action(IMBALANCE_RULES, 'Class Weights')}
+                     FROM ({imbalance._target_sql(tbl, target, False)})""")
+    return union_all(parts)

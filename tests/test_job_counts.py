@@ -66,3 +66,22 @@ def test_quantiles_take_three_passes_for_any_number_of_columns(spark, monkeypatc
         for c in data.columns:
             assert np.allclose(got[c], data[c].quantile([0.25, 0.5, 0.75]))
         df.unpersist()
+
+
+def test_correlations_take_two_passes_for_any_number_of_pairs(spark, monkeypatch):
+    import itertools
+
+    import numpy as np
+    import pandas as pd
+
+    from frameprep.operators.relevance import correlations
+
+    rng = np.random.default_rng(2)
+    data = pd.DataFrame(rng.normal(size=(300, 200)), columns=[f"c{i}" for i in range(200)])
+    data.loc[data["c0"] > 0.5, "c3"] = None
+    df = spark.createDataFrame(data).cache()
+    pairs, got = list(itertools.combinations(df.columns, 2)), {}
+    assert _actions(monkeypatch, lambda: got.update(correlations(df, pairs))) == 2
+    want = data.corr()
+    assert all(abs(got[(a, b)] - want.loc[a, b]) < 1e-9 for a, b in pairs)
+    df.unpersist()
