@@ -31,11 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get(CHECKPOINT_CONF, None) or ensure_checkpoint_dir(spark)
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
+def tasks_for(rows: int, each: int = 20_000) -> int:
+    """Tasks for a table of so many narrow rows: in proportion, at least one."""
+    return rows // each + 1
+
+
+def staged(df: DataFrame, tag: str, tasks: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back; ``tasks`` joins small
+    shuffle partitions so that a small table is not written as very many files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     _STAGED.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path

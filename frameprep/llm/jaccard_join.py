@@ -93,18 +93,28 @@ def shortest_prefix(threshold: float, trees: int = TREES, depth: int = DEPTH, re
     return 1
 
 
-def prefixes(shingles: np.ndarray, shortest: int) -> np.ndarray:
-    """(trees, levels) hashes of the prefixes of length DEPTH down to ``shortest``."""
+def matched_depths(threshold: float) -> list[int]:
+    """Prefix lengths in the order they are matched: the whole signature, then
+    shortened by halves of what is left, to the one with the target recall."""
+    depths, last = [DEPTH], shortest_prefix(threshold)
+    while depths[-1] > last:
+        left = depths[-1] - last
+        depths.append(last if left <= 3 else depths[-1] - left // 2)
+    return depths
+
+
+def prefixes(shingles: np.ndarray, depths: list[int]) -> np.ndarray:
+    """(trees, depths) hashes of the signatures' prefixes of the given lengths."""
     low = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(shingles), 2048):
         part = shingles[a:a + 2048]
         np.minimum(low, ((part[None, :] ^ _ADD[:, None]) * _MUL[:, None]).min(axis=1), out=low)
     low = low.reshape(TREES, DEPTH)
-    chain = np.cumsum(_scramble(low) * _MIX[:DEPTH], axis=1, dtype=np.uint64)
-    return _scramble(chain[:, shortest - 1:][:, ::-1])
+    chain = _scramble(np.cumsum(_scramble(low) * _MIX[:DEPTH], axis=1, dtype=np.uint64))
+    return chain[:, [d - 1 for d in depths]]
 
 
-def _sketcher(shortest: int):
+def _sketcher(depths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
@@ -113,7 +123,7 @@ def _sketcher(shortest: int):
                 s = shingle(text)
                 nodes.append(node_of(s))
                 sizes.append(len(s))
-                tries.append(prefixes(s, shortest).view(np.int64).reshape(-1) if len(s) else None)
+                tries.append(prefixes(s, depths).view(np.int64).reshape(-1) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
                  pa.array(tries, pa.list_(pa.int64()))], ["doc_id", "node", "size", "trie"])
@@ -157,28 +167,22 @@ def _candidate_bits(members: DataFrame, bits: int):
 
 
 def candidate_edges(nodes: DataFrame, levels: int) -> DataFrame:
-    """Star edges (a, b) between nodes that share a prefix; nodes: node, trie (repeated rows do no harm)."""
+    """Star edges (a, b) between nodes that share a prefix; nodes: id, trie (repeated rows do no harm)."""
     prefix = lambda level: F.get(F.col("trie"), F.col("tree") * levels + level)
-    every = nodes.where("node is not null").select(
-        "node", "trie", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "node", "tree", *[prefix(k).alias(f"p{k}") for k in range(levels)])
+    every = nodes.select("id", "trie", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
+        "id", "tree", *[prefix(k).alias(f"p{k}") for k in range(levels)])
     # only nodes that share even the shortest prefix with another node go on
     short = f"p{levels - 1}"
-    met = every.groupBy("tree", short).agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    open_ = staged(every.join(met.select("tree", short), ["tree", short], "left_semi"), "trie")
-    found = []
+    met = every.groupBy("tree", short).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    open_ = staged(every.join(met.select("tree", short), ["tree", short], "left_semi").distinct(), "trie")
+    tasks, found = tasks_for(open_.count()), []
     for k in range(levels):
         rest = [f"p{j}" for j in range(k + 1, levels)]
-        if k + 1 < levels:
-            grouped = staged(open_.groupBy("tree", f"p{k}").agg(
-                F.min("node").alias("low"), F.max("node").alias("high"), *[F.first(c).alias(c) for c in rest]), "trie")
-        else:
-            grouped = open_.groupBy("tree", f"p{k}").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-            grouped = staged(grouped.where("low <> high"), "trie")
+        grouped = staged(open_.groupBy("tree", f"p{k}").agg(
+            F.min("id").alias("low"), F.max("id").alias("high"), *[F.first(c).alias(c) for c in rest]), "trie", tasks)
         stars = grouped.where("low <> high").select("tree", f"p{k}", "low")
-        found.append(open_.join(stars, ["tree", f"p{k}"]).where("node <> low").select(
-            F.col("low").alias("a"), F.col("node").alias("b")))
-        open_ = grouped.select(F.col("low").alias("node"), "tree", *rest) if rest else open_
+        found.append(open_.join(stars, ["tree", f"p{k}"]).where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+        open_ = grouped.select(F.col("low").alias("id"), "tree", *rest) if rest else open_
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)
@@ -186,7 +190,7 @@ def candidate_edges(nodes: DataFrame, levels: int) -> DataFrame:
 
 
 def _verify(threshold: float):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["comp", "side"], kind="stable")
         sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -232,35 +236,39 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     """doc_id, class_id (smallest doc_id of the class), class_size, n_links (other
     documents with similarity of at least ``threshold``) of every document."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    shortest = shortest_prefix(threshold)
-    levels = DEPTH - shortest + 1
-    rows = staged(src.mapInArrow(_sketcher(shortest), "doc_id long, node binary, size long, trie array<long>"), "sketch")
-    clusters = components(candidate_edges(rows.select("node", "trie"), levels))
-    sized = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"))
-    members = staged(clusters.join(sized, "node"), "members")
-    total = members.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).first()
-    edges = _verified(src, members, total, threshold)
-    found = staged(edges, "verified")
+    depths = matched_depths(threshold)
+    rows = staged(src.mapInArrow(_sketcher(depths), "doc_id long, node binary, size long, trie array<long>"), "sketch")
+    tasks = tasks_for(rows.count())
+    named = rows.where("node is not null")
+    # candidates may meet under a short id: what they lead to is compared whole
+    edges = candidate_edges(named.select(F.xxhash64("node").alias("id"), "trie"), len(depths))
+    clusters = components(edges).withColumnRenamed("node", "id")
+    sized = staged(named.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("size").alias("size")), "nodes", tasks)
+    members = staged(clusters.join(sized.withColumn("id", F.xxhash64("node")), "id").drop("id"), "members", tasks)
+    found = staged(_verified(src, members, threshold), "verified")
     classes = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     per_node = sized.join(linked, "node", "left").join(classes, "node", "left").select(
         "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("comp", "node").alias("comp"))
     marked = rows.select("doc_id", F.col("node").alias("n")).join(per_node, F.col("n") == F.col("node"), "left")
-    named = staged(marked.select("doc_id", "comp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    groups = named.where("comp is not null").groupBy("comp").agg(
+    classed = staged(marked.select("doc_id", "comp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes", tasks)
+    groups = classed.where("comp is not null").groupBy("comp").agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(groups, "comp", "left").select(
+    return classed.join(groups, "comp", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "n_links")
 
 
-def _verified(src: DataFrame, members: DataFrame, total, threshold: float) -> DataFrame:
-    n, size = total["n"] or 0, total["s"] or 0
+def _verified(src: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, other) of every node with links, from exact comparisons inside clusters."""
+    whole = members.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).first()
+    n, size = whole["n"] or 0, whole["s"] or 0
     bits = 1 << min(28, max(15, (16 * n).bit_length()))
     sets = src.select("text").mapInArrow(_set_rows(_candidate_bits(members, bits)), "node binary, shingles binary")
     sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    weight = members.groupBy("comp").agg(F.sum("size").alias("total"))
+    weight = staged(members.groupBy("comp").agg(F.sum("size").alias("total")), "weights", tasks_for(n))
     bins = max(1, size // BIN_SHINGLES + 1)
     parts = F.ceil(F.col("total") / F.lit(BIN_SHINGLES // 2)).cast("int")
+    blocks = weight.where(F.col("total") > BIN_SHINGLES).agg(F.sum(parts * (parts + 1) / 2)).first()[0] or 0
     placed = members.join(weight, "comp").withColumn("parts", F.when(F.col("total") > BIN_SHINGLES, parts).otherwise(0))
     placed = placed.withColumn("own", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
     # a large cluster: pairs of its parts; a small one: whole, packed into a bin
@@ -273,7 +281,7 @@ def _verified(src: DataFrame, members: DataFrame, total, threshold: float) -> Da
         F.when((F.col("parts") > 0) & (F.col("own") > F.col("with")), 1).otherwise(0).alias("side"),
         ((F.col("parts") > 0) & (F.col("own") != F.col("with"))).alias("two"))
     return dealt.join(sets, "node").groupBy("cluster", "i", "j").applyInPandas(
-        _verify(threshold), "node binary, links long, other binary")
+        _verify(threshold), "node binary, links long, other binary").coalesce(bins + int(blocks))
 
 
 def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

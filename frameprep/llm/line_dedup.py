@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameprep.llm.common import release, staged, text_or_empty
+from frameprep.llm.common import staged, tasks_for, text_or_empty
 from frameprep.llm.components import components
 
 SHINGLE = 8
@@ -107,8 +107,9 @@ def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Matches (a, b) among lines that share a bucket."""
     sized = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    dealt = staged(members.join(sized, "bucket"), "buckets")
-    small, large = dealt.where(F.col("size") <= SMALL_BUCKET), staged(dealt.where(F.col("size") > SMALL_BUCKET), "large")
+    tasks = tasks_for(members.count())
+    dealt = staged(members.join(sized, "bucket"), "buckets", tasks)
+    small, large = dealt.where(F.col("size") <= SMALL_BUCKET), staged(dealt.where(F.col("size") > SMALL_BUCKET), "large", tasks)
     found = [_matching(_pairs_of(small, small), sets, threshold)]
     open_ = large
     for _ in range(ROUNDS):
@@ -117,11 +118,11 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         # a bucket's leader by a hash of bucket and line: other buckets of the group have others
         lead = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "line").alias("k"), "line")).alias("m")).select(
             "bucket", F.col("m.line").alias("line"))
-        met = staged(_matching(_pairs_of(lead, large), sets, threshold), "met")
+        met = staged(_matching(_pairs_of(lead, large), sets, threshold), "met", tasks)
         found.append(met)
         both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
         done = lead.join(both, F.col("line") == F.col("a")).select("bucket", F.col("b").alias("line")).unionByName(lead).distinct()
-        open_ = staged(open_.join(done, ["bucket", "line"], "left_anti"), "open")
+        open_ = staged(open_.join(done, ["bucket", "line"], "left_anti"), "open", tasks)
     else:
         found.append(_matching(_pairs_of(open_, large), sets, threshold))
     out = found[0]
@@ -138,7 +139,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     band = F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "key")
     keys = sigs.select(line, band).select("line", F.xxhash64("band", "key").alias("bucket"))
     met = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    members = staged(keys.join(met, "bucket"), "members")
+    members = staged(keys.join(met, "bucket"), "members", tasks_for(sigs.count()))
     wanted = members.select("line.h", "line.g").distinct()
     raw = F.col("text").cast("binary")
     texts = _in_bitmap(occ.select("h", "g", F.col("line").alias("text")), wanted).join(wanted, ["h", "g"], "left_semi")

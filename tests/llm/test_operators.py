@@ -246,6 +246,8 @@ def test_prefixes_shorten_to_the_target_recall():
     d = jaccard_join.shortest_prefix(0.8)
     assert 1 - (1 - 0.8 ** d) ** jaccard_join.TREES >= jaccard_join.RECALL
     assert jaccard_join.shortest_prefix(0.95) > d
+    depths = jaccard_join.matched_depths(0.8)
+    assert depths[0] == jaccard_join.DEPTH and depths[-1] == d and depths == sorted(set(depths), reverse=True)
 
 
 def test_one_row_per_class(docs):
