@@ -70,9 +70,10 @@ def _signatures(occ: DataFrame) -> DataFrame:
     cells = raw.select("h", "g", "n", "at", "raw", F.explode(F.sequence(F.lit(1), _shingles(F.col("raw")))).alias("i"))
     cells = cells.select("h", "g", "n", "at.doc_id", "at.line_no", F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("x"))
     low = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_masks())]
-    mins = cells.groupBy("h", "g").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("at"), *low)
+    # what belongs to a line is a key beside its hashes: numbers only, so the reduction needs no sort
+    mins = cells.groupBy("h", "g", "n", "doc_id", "line_no").agg(*low)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
-    return mins.select("h", "g", "n", "at.doc_id", "at.line_no", *bands)
+    return mins.select("h", "g", "n", "doc_id", "line_no", *bands)
 
 
 def _in_bitmap(lines: DataFrame, wanted: DataFrame) -> DataFrame:
