@@ -52,8 +52,22 @@ def release(*frames: DataFrame) -> None:
     """Delete staged folders that nothing will read again."""
     for df in frames:
         path = getattr(df, "_staged_path", None)
-        if path:
-            _delete(df.sparkSession, path)
+        entry = (df.sparkSession, path)
+        if entry in _STAGED:
+            _delete(*entry)
+            _STAGED.remove(entry)
+
+
+def staged_so_far() -> int:
+    return len(_STAGED)
+
+
+def release_since(mark: int, *keep: DataFrame) -> None:
+    """Delete what was staged after ``mark``, but for ``keep``: its readers are done."""
+    kept = {getattr(df, "_staged_path", None) for df in keep}
+    for entry in [e for e in _STAGED[mark:] if e[1] not in kept]:
+        _delete(*entry)
+        _STAGED.remove(entry)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -60,7 +60,10 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], domain_
     ``labelled`` has the ids of the rows whose ``domain_col`` may be trusted."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(domain_col).cast("string").alias("domain"),
                       text_or_empty(text_col).alias("text"))
-    sample = labelled.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(
+    known = labelled.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    # a draw by hash first, so that about TRAIN_ROWS ids are sorted and not all
+    share = int(1_000_000 * min(1.0, 1.2 * TRAIN_ROWS / max(1, known.count()))) + 1
+    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < share).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     train = src.where(F.col("domain").isin(domains)).join(F.broadcast(sample), "doc_id")
     terms = _terms(train.select("domain", "text"), domains)
