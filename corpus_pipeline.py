@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameprep.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality
-from frameprep.llm.common import staged, table
+from frameprep.llm.common import release, release_since, staged, staged_so_far, table
 from frameprep.llm.queries import TOKENIZER
 
 
@@ -56,8 +56,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        mark, read = staged_so_far(), docs
+        docs = staged(stage(spark, docs, sf_dir), f"stage{k}")
+        release_since(mark, docs)
+        release(read)
+    return STAGES[-1][1](spark, docs, sf_dir)
