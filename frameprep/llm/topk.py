@@ -35,6 +35,8 @@ from frameprep.llm.common import staged
 SCALE = 1024
 CANDIDATE_BLOCK = 16_384
 QUERY_BLOCK = 2_048
+QUERIES_AT_ONCE = 64  # bounds kept at a time: candidates of a block times this
+BLOCK_READS = 2  # depths to which all candidates are read; deeper ones read only those still in question
 _EXACT = float(1 << 52)  # below this, float64 sums of integers are exact
 
 
@@ -75,31 +77,68 @@ class SortedLists:
         self.rank = np.empty(up.shape, np.int32)
         np.put_along_axis(self.rank, up, np.arange(len(up), dtype=np.int32)[:, None], axis=0)
         self.sorted = np.take_along_axis(self.x, up, axis=0)
-        self.k = k
-
-    def best(self, query_id: int, q: np.ndarray) -> list[tuple[int, int]]:
-        """(score, id) of the k best candidates other than the query's own row."""
-        n, most = len(self.x), max(1, len(self.x))
-        # one candidate may be the query's own vector, so k + 1 must be certain
-        need = self.k + 1
-        down = q > 0
-        least = np.where(down, self.sorted[0], self.sorted[-1]) * q if n else q * 0
-        alive, depth = np.arange(n), (most + 1) // 2
-        while n and len(alive) > need and depth < n:
-            rank = self.rank[alive]
-            seen = np.where(down, rank >= n - depth, rank < depth)
-            part = self.x[alive] * q
-            frontier = np.where(down, self.sorted[n - depth], self.sorted[depth - 1]) * q
-            lower = np.where(seen, part, least).sum(axis=1)
-            upper = np.where(seen, part, frontier).sum(axis=1)
-            floor = np.partition(lower, len(lower) - need)[len(lower) - need]
-            alive = alive[upper >= floor]
-            depth = n - (n - depth) // 2 if n - depth > 8 else n
-        score = (self.x[alive] * q).sum(axis=1)
-        # every distinct vector has at least one id that is not the query's, unless it is the query alone
-        order = np.argsort(-score, kind="stable")
+        self.k, self.reads = k, {}
+
+    def _read_to(self, depth: int, rows=slice(None)):
+        """What reading every list ``depth`` deep tells, for lists read from the top and
+        from the bottom: values read less the frontier, values read less the least (both
+        0 where unread), the frontier, and the least."""
+        n, x, rank = len(self.x), self.x[rows], self.rank[rows]
+        out = []
+        for seen, edge, least in ((rank >= n - depth, self.sorted[n - depth], self.sorted[0]),
+                                  (rank < depth, self.sorted[depth - 1], self.sorted[-1])):
+            out.append((np.where(seen, x - edge, 0), np.where(seen, x - least, 0), edge, least))
+        return out
+
+    def _bounds(self, read, up: np.ndarray, down: np.ndarray):
+        """Lower and upper bounds (candidates x queries) of queries split by sign."""
+        (ta, tl, te, tm), (ba, bl, be, bm) = read
+        upper = ta @ up + ba @ down + (te @ up + be @ down)
+        lower = tl @ up + bl @ down + (tm @ up + bm @ down)
+        return lower, upper
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray) -> list[list[tuple[int, int]]]:
+        """(score, id) of the k best candidates of each query, other than rows of its own id."""
+        n, need = len(self.x), self.k + 1  # one candidate may be the query's own vector
+        up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
+        depths, depth = [], (n + 1) // 2
+        while n > need and depth < n:
+            depths.append(depth)
+            depth = n - (n - depth) // 4 if n - depth > 8 else n
+        out = []
+        for first in range(0, len(queries), QUERIES_AT_ONCE):
+            part = slice(first, first + QUERIES_AT_ONCE)
+            if not depths:
+                left = [np.arange(n)] * len(queries[part])
+            else:
+                alive = None
+                for at in depths[:BLOCK_READS]:
+                    lower, upper = self._bounds(self._block_read(at), up[:, part], down[:, part])
+                    lower, upper = np.ascontiguousarray(lower.T), np.ascontiguousarray(upper.T)
+                    floor = np.partition(lower, n - need, axis=1)[:, n - need, None]
+                    alive = upper >= floor if alive is None else alive & (upper >= floor)
+                left = [np.flatnonzero(a) for a in alive]
+            for j, alive in enumerate(left):
+                k = first + j
+                for deeper in depths[BLOCK_READS:]:
+                    if len(alive) <= need:
+                        break
+                    lower, upper = self._bounds(self._read_to(deeper, alive), up[:, k], down[:, k])
+                    floor = np.partition(lower, len(lower) - need)[len(lower) - need]
+                    alive = alive[upper >= floor]
+                out.append(self._resolved(int(query_ids[k]), queries[k], alive))
+        return out
+
+    def _block_read(self, depth: int):
+        if depth not in self.reads:
+            self.reads[depth] = self._read_to(depth)
+        return self.reads[depth]
+
+    def _resolved(self, query_id: int, q: np.ndarray, alive: np.ndarray) -> list[tuple[int, int]]:
+        """Exact scores of the candidates that are left, ties to the smaller id."""
+        score = self.x[alive] @ q
         out: list[tuple[int, int]] = []
-        for j in order:
+        for j in np.argsort(-score, kind="stable"):
             s = int(score[j])
             if len(out) >= self.k and s < out[self.k - 1][0]:
                 break
@@ -119,9 +158,10 @@ def _block_pair(k: int):
             lists = SortedLists(candidates["vec_id"].to_numpy(), xs, k)
             whole = float(np.abs(qs).max(initial=0)) * float(np.abs(xs).max(initial=0)) * width >= _EXACT
             if whole:  # sums beyond exact floats: Python integers
-                lists.x, lists.sorted, qs = lists.x.astype(object), lists.sorted.astype(object), qs.astype(object)
-            for i, q in zip(queries["vec_id"].to_numpy(), qs):
-                out += [(int(i), c, s) for s, c in lists.best(int(i), q if whole else q.astype(float))]
+                lists.x, lists.sorted, qs = (m.astype(int).astype(object) for m in (lists.x, lists.sorted, qs))
+            ids = queries["vec_id"].to_numpy()
+            for i, found in zip(ids, lists.best(ids, qs if whole else qs.astype(float))):
+                out += [(int(i), c, s) for s, c in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
     return run
 
