@@ -89,6 +89,13 @@ def _release_all() -> None:
             return
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in smaller parts, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def lower_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER)
 

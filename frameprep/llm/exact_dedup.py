@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameprep.llm.common import lower_bytes, release, staged, text_or_empty
+from frameprep.llm.common import lower_bytes, release, sliced, staged, text_or_empty
 
 BLOCK_BYTES = 4096
 
@@ -46,7 +46,7 @@ def _digest(block: bytes, salt: int) -> bytes:
 
 def _block_rows(size: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             blocks = list({b for t in batch.column(0).to_pylist() for b in _blocks(t, size)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_digest(b, salt) for b in blocks], pa.binary()), pa.array(blocks, pa.binary())], ["key", "block"])
@@ -55,7 +55,7 @@ def _block_rows(size: int, salt: int):
 
 def _doc_rows(size: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sha, keys = [], []
             for t in batch.column(1).to_pylist():
                 sha.append(hashlib.sha256(lower_bytes(t)).hexdigest())
@@ -123,7 +123,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         digest = [hashlib.sha256(lower_bytes(t)).hexdigest() for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.string())], ["doc", "i", "sha"])
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameprep.llm.common import staged, tasks_for, text_or_empty
+from frameprep.llm.common import sliced, staged, tasks_for, text_or_empty
 from frameprep.llm.components import components
 from frameprep.llm.licenses import words_of
 
@@ -117,7 +117,7 @@ def prefixes(shingles: np.ndarray, depths: list[int]) -> np.ndarray:
 def _sketcher(depths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, sizes, tries = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle(text)
@@ -133,7 +133,7 @@ def _sketcher(depths: list[int]):
 def _set_rows(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, wanted = Shingler(), bits.value
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, sets = [], []
             for text in batch.column(0).to_pylist():
                 s = shingle(text)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameprep.llm.common import text_or_empty
+from frameprep.llm.common import sliced, text_or_empty
 
 #: words are runs of digits, letters a-z after lower-casing, and non-ASCII bytes
 _SEPARATE = bytes(
@@ -133,7 +133,7 @@ class RareTokenIndex:
 def _frequencies(vocabulary: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(vocabulary.intersection(words_of(text)))
                 seen[b""] += 1
@@ -153,7 +153,7 @@ def document_frequencies(docs: DataFrame, templates: list[Template], text_col: s
 def _scanner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = RareTokenIndex(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             cols: dict[str, list] = {c: [] for c in ("n_words", "places", "score")}
             for text in batch.column(1).to_pylist():
                 words = words_of(text)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameprep.llm.common import staged
+from frameprep.llm.common import sliced, staged
 
 TRAIN_ROWS = 40_000
 TREES, DEPTH, BINS, LEAST = 24, 3, 24, 20
@@ -69,7 +69,7 @@ STATS_COL = "stats"
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [statistics(t) for t in batch.column(1).to_pylist()]
         cols = np.array(rows, dtype=float).reshape(len(rows), len(STATS)).T
         stats = pa.StructArray.from_arrays([pa.array(c) for c in cols], fields=list(_KIND))
