@@ -1,19 +1,22 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-Distinct lines are made of their character shingles (``SHINGLE`` UTF-8 bytes at
+Distinct lines are made of their character shingles (``SHINGLE`` characters at
 every position). A line's signature has ``BANDS * ROWS`` minhashes: one 64-bit
 hash a shingle, and the smallest value of it under each of the signature's XOR
-masks. The shingles are exploded and reduced inside one generated stage, on the
-partitioning that the line aggregate already has, so they are never shuffled.
+masks. Masks differ in the top bits alone, so the least hash of each prefix is all
+that the masks need. Long lines are signed by a part of their shingles that depends
+on content alone; similarities are always those of the whole sets. Shingles are
+reduced on the partitioning that the line aggregate already has: they are never
+shuffled.
 
 Lines with an equal band meet in a bucket (a pair at 0.8 meets with probability
-0.997). Small buckets compare all their pairs. In a large bucket a leader is
-compared with all members, the lines that it matches are settled, and the next
-leader is drawn from the others; what is left after ``ROUNDS`` leaders is compared
-with all members. Every comparison is an exact Jaccard similarity of the whole
-shingle sets. Distributed union-find over the matches gives the components; of a
-component (its exact copies included) the occurrence with the smallest
-(doc_id, line number) stays.
+0.997 when all shingles sign). A leader is compared with all members of its bucket,
+the lines that it matches are settled, and the next leader is drawn from the others;
+what is left after ``ROUNDS`` leaders is compared with all members. So a group of
+near copies costs one comparison a line, not one a pair. Every comparison is an exact
+Jaccard similarity of the whole shingle sets. Distributed union-find over the matches
+gives the components; of a component (its exact copies included) the occurrence with
+the smallest (doc_id, line number) stays.
 
 Cases: lines end at a newline; empty lines are always kept and join nothing; a
 line shorter than a shingle has one, itself; a null text counts as empty; equal
@@ -32,18 +35,33 @@ from frameprep.llm.components import components
 SHINGLE = 8
 BANDS, ROWS = 8, 3
 THRESHOLD = 0.8
-SMALL_BUCKET = 24  # all pairs up to this size; leaders beyond
 ROUNDS = 3
+#: A line belongs to the families that its number of shingles allows, and two lines at
+#: the threshold always have one in common. A family signs lines by the shingles at the
+#: start and at: every place; every word start (also after some rarer characters and in
+#: scripts without spaces); word starts other than with one of five frequent letters.
+FAMILIES = ((0, 50), (40, 150), (120, 1 << 31))
+AFTER = r"[ 05AQkq\u2E80-\uFFFF]"
+COMMON = "[^aeiot]"
+PREFIX = 5  # bits that tell the minhashes of a signature apart
 BITMAP = 1 << 23  # bits of the fixed-size filter for candidate lines
 
 
 def _masks() -> list[int]:
-    """One mask a minhash: different top bits, scattered low bits."""
-    m, out = BANDS * ROWS, []
-    for j in range(m):
-        x = (j * (1 << 64) // m + 0x5851F42D4C957F2D * (j + 1) % (1 << 58)) % (1 << 64)
-        out.append(x - (1 << 64) if x >= 1 << 63 else x)
-    return out
+    """One mask a minhash: its number in the top PREFIX bits. A band takes every
+    BANDS-th of them: neighbouring masks would often pick the same shingle."""
+    out = [j << (64 - PREFIX) for j in range(BANDS * ROWS)]
+    return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_lines and lines (number, two hashes) of every document: narrow, without texts."""
+    cut = F.transform(F.split(text_or_empty(text_col), "\n"), lambda x, n: F.struct(
+        n.alias("line_no"), (x == "").alias("empty"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))
+    lines = F.transform(F.filter(cut, lambda z: ~z["empty"]), lambda z: F.struct(
+        z["line_no"].alias("line_no"), z["h"].alias("h"), z["g"].alias("g")))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines")).withColumn(
+        "n_lines", F.size("lines").cast("long"))
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,26 +72,37 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "doc_id", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
-def _shingle_hashes(raw: Column, n: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
+def _shingles(line: Column) -> Column:
+    """The shingles at every place; a shorter line is its own shingle."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
 
 
-def _shingles(raw: Column) -> Column:
-    return F.greatest(F.lit(1), F.octet_length(raw) - (SHINGLE - 1))
+def _word_shingles(line: Column, first: str = "") -> Column:
+    """The shingles at the start and after one of the characters of ``AFTER``, if ``first`` allows."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s){AFTER}(?=({first and '(?=' + first + ')'}.{{{SHINGLE}}}))"), F.lit(1))
+    return F.array_append(found, F.substring(line, 1, SHINGLE))
 
 
 def _signatures(occ: DataFrame) -> DataFrame:
-    """h, g, n, doc_id and line_no of the first occurrence, and the bands b0.. of every distinct line."""
+    """h, g, n, doc_id and line_no of the first occurrence, and the bands b0.. of every
+    distinct line, once for each family that the line belongs to."""
     distinct = occ.groupBy("h", "g").agg(
         F.first("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("at"))
-    raw = distinct.select("h", "g", "n", "at", F.col("line").cast("binary").alias("raw"))
-    cells = raw.select("h", "g", "n", "at", "raw", F.explode(F.sequence(F.lit(1), _shingles(F.col("raw")))).alias("i"))
-    cells = cells.select("h", "g", "n", "at.doc_id", "at.line_no", F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("x"))
-    low = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_masks())]
+    size = F.greatest(F.lit(1), F.length("line") - (SHINGLE - 1))
+    families = F.array(*[F.when(size.between(least, most), k) for k, (least, most) in enumerate(FAMILIES)])
+    each = distinct.select("h", "g", "n", "at.doc_id", "at.line_no", "line", F.explode(families).alias("family")).where("family is not null")
+    text, family = F.col("line"), F.col("family")
+    shingles = F.when(family == 0, _shingles(text)).when(family == 1, _word_shingles(text)).otherwise(_word_shingles(text, COMMON))
     # what belongs to a line is a key beside its hashes: numbers only, so the reduction needs no sort
-    mins = cells.groupBy("h", "g", "n", "doc_id", "line_no").agg(*low)
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
-    return mins.select("h", "g", "n", "doc_id", "line_no", *bands)
+    line = ["h", "g", "n", "doc_id", "line_no", "family"]
+    cells = each.select(*line, F.explode(shingles).alias("s")).select(*line, F.xxhash64("s").alias("x"))
+    prefix = F.shiftrightunsigned("x", 64 - PREFIX).alias("prefix")
+    least = cells.groupBy(*line, prefix).agg(F.min("x").alias("x"))  # one value a prefix decides for every mask
+    low = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_masks())]
+    mins = least.groupBy(*line).agg(*low)
+    bands = [F.xxhash64(F.lit(b), "family", *[f"m{b + r * BANDS}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
+    return mins.select(*line, *bands)
 
 
 def _in_bitmap(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -106,26 +135,22 @@ def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Matches (a, b) among lines that share a bucket."""
-    sized = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    """Matches (a, b) among lines that share a bucket (members: bucket, line)."""
     tasks = tasks_for(members.count())
-    dealt = staged(members.join(sized, "bucket"), "buckets", tasks)
-    small, large = dealt.where(F.col("size") <= SMALL_BUCKET), staged(dealt.where(F.col("size") > SMALL_BUCKET), "large", tasks)
-    found = [_matching(_pairs_of(small, small), sets, threshold)]
-    open_ = large
+    found, open_ = [], members
     for _ in range(ROUNDS):
-        if open_.isEmpty():
-            break
         # a bucket's leader by a hash of bucket and line: other buckets of the group have others
         lead = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "line").alias("k"), "line")).alias("m")).select(
             "bucket", F.col("m.line").alias("line"))
-        met = staged(_matching(_pairs_of(lead, large), sets, threshold), "met", tasks)
+        met = staged(_matching(_pairs_of(lead, members), sets, threshold), "met", tasks)
         found.append(met)
         both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
         done = lead.join(both, F.col("line") == F.col("a")).select("bucket", F.col("b").alias("line")).unionByName(lead).distinct()
         open_ = staged(open_.join(done, ["bucket", "line"], "left_anti"), "open", tasks)
+        if open_.isEmpty():
+            break
     else:
-        found.append(_matching(_pairs_of(open_, large), sets, threshold))
+        found.append(_matching(_pairs_of(open_, members), sets, threshold))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -142,12 +167,11 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     met = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     members = staged(keys.join(met, "bucket"), "members", tasks_for(sigs.count()))
     wanted = members.select("line.h", "line.g").distinct()
-    raw = F.col("text").cast("binary")
     texts = _in_bitmap(occ.select("h", "g", F.col("line").alias("text")), wanted).join(wanted, ["h", "g"], "left_semi")
     sets = staged(texts.groupBy("h", "g").agg(F.first("text").alias("text")).select(
-        line, _shingle_hashes(raw, _shingles(raw)).alias("set")), "sets")
+        line, F.array_distinct(F.transform(_shingles(F.col("text")), lambda x: F.xxhash64(x))).alias("set")), "sets")
     comps = components(_links(members, sets, threshold)).select("node.h", "node.g", "comp")
-    named = sigs.select("h", "g", "n", "doc_id", "line_no").join(comps, ["h", "g"], "left")
+    named = sigs.select("h", "g", "n", "doc_id", "line_no").distinct().join(comps, ["h", "g"], "left")
     alone = named.where("comp is null and n > 1").select("h", "g", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))
     grouped = named.where("comp is not null")
     first = grouped.groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
@@ -159,15 +183,13 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines (with text), n_kept, dropped (line numbers, ascending) of every document."""
     classes = staged(line_classes(docs, threshold, id_col, text_col), "classes")
-    occ = _occurrences(docs, id_col, text_col).select("doc_id", "line_no", "h", "g")
+    rows = staged(_documents(docs, id_col, text_col), "documents")
+    occ = rows.select("doc_id", F.explode("lines").alias("z")).select("doc_id", "z.line_no", "z.h", "z.g")
     same = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))
-    gone = occ.join(classes, ["h", "g"]).where(~same).groupBy("doc_id").agg(
+    gone = occ.join(classes, ["h", "g"]).where(~same).groupBy(F.col("doc_id").alias("gone_id")).agg(
         F.array_sort(F.collect_set("line_no")).alias("dropped"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.size(F.filter(F.split(text_or_empty(text_col), "\n"), lambda x: x != "")).cast("long").alias("n_lines"))
-    gone = gone.withColumnRenamed("doc_id", "gone_id")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select(
+    return rows.select("doc_id", "n_lines").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select(
         "doc_id", "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), dropped.alias("dropped"))
 
 

@@ -184,13 +184,18 @@ def test_top_k(spark, sizes):
     assert topk.exact_top_k(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
-def test_top_k_stops_early_and_stays_exact():
+def test_top_k_stops_early_and_stays_exact(spark):
     rnd = np.random.default_rng(6)
     x = np.floor(rnd.normal(size=(3000, 5)) ** 3 * 100).astype("<i8")
     lists = topk.SortedLists(np.arange(3000), x, 10)
-    for q in np.floor(rnd.normal(size=(20, 5)) * 50):
+    queries_ = np.floor(rnd.normal(size=(100, 5)) * 50)
+    for q, got in zip(queries_, lists.best(np.full(100, -1), queries_)):
         want = sorted((-int(s), i) for i, s in enumerate(x @ q.astype("<i8")))[:10]
-        assert lists.best(-1, q) == [(-s, i) for s, i in want]
+        assert got == [(-s, i) for s, i in want]
+    far = [(k, [float(k) * 1e7 + j for j in range(3)]) for k in range(40)]  # sums beyond exact floats
+    df = spark.createDataFrame(far, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    best = topk.exact_top_k(df, F.col("vec_id") == 3, 2, scale=1, candidate_block=100, query_block=10).collect()
+    assert {r["vec_id"] for r in best} == {38, 39}
 
 
 # --- n-gram Jaccard join --------------------------------------------------------------------
@@ -455,8 +460,7 @@ def brute_lines(rows, threshold=0.8):
     distinct = sorted({x for _, _, x in occ})
     sets = []
     for x in distinct:
-        b = x.encode()
-        sets.append({b[j:j + k] for j in range(max(1, len(b) - k + 1))})
+        sets.append({x[j:j + k] for j in range(max(1, len(x) - k + 1))})
     root = list(range(len(distinct)))
 
     def find(a):
