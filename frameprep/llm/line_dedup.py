@@ -139,8 +139,9 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     tasks = tasks_for(members.count())
     found, open_ = [], members
     for _ in range(ROUNDS):
-        # a bucket's leader by a hash of bucket and line: other buckets of the group have others
-        lead = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "line").alias("k"), "line")).alias("m")).select(
+        # a bucket's leader by a hash of the line: the buckets of a group mostly have the same
+        # one, so that a line is compared with it once and not once a band
+        lead = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("line").alias("k"), "line")).alias("m")).select(
             "bucket", F.col("m.line").alias("line"))
         met = staged(_matching(_pairs_of(lead, members), sets, threshold), "met", tasks)
         found.append(met)
