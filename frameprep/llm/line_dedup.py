@@ -10,11 +10,12 @@ reduced on the partitioning that the line aggregate already has: they are never
 shuffled.
 
 Lines with an equal band meet in a bucket (a pair at 0.8 meets with probability
-0.997 when all shingles sign). A leader is compared with all members of its bucket,
-the lines that it matches are settled, and the next leader is drawn from the others;
-what is left after ``ROUNDS`` leaders is compared with all members. So a group of
-near copies costs one comparison a line, not one a pair. Every comparison is an exact
-Jaccard similarity of the whole shingle sets. Distributed union-find over the matches
+0.997 when all shingles sign). All pairs of a small bucket are compared. In a larger
+one a leader is compared with all members, the lines that it matches are settled, and
+the next of ``ROUNDS`` leaders is drawn from the others; then all pairs of lines that
+the matches so far do not join are compared, in blocks. So a group of near copies
+around a leader costs one comparison a line, and a chain loses no link. Every
+comparison is an exact Jaccard similarity of the whole shingle sets. Distributed union-find over the matches
 gives the components; of a component (its exact copies included) the occurrence with
 the smallest (doc_id, line number) stays.
 
@@ -36,6 +37,8 @@ SHINGLE = 8
 BANDS, ROWS = 8, 3
 THRESHOLD = 0.8
 ROUNDS = 3
+SMALL = 4  # lines of a bucket whose pairs are all compared at once
+BLOCK = 256  # lines of a block of a larger bucket
 #: A line belongs to the families that its number of shingles allows, and two lines at
 #: the threshold always have one in common. A family signs lines by the shingles at the
 #: start and at: every place; every word start (also after some rarer characters and in
@@ -124,6 +127,22 @@ def _pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "bucket").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _pairs_across(members: DataFrame) -> DataFrame:
+    """Lines of different ``comp`` that share a bucket, each pair once. Large buckets are
+    cut into blocks: every pair of blocks is a cell, so no task holds a whole bucket."""
+    mixed = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
+    blocks = F.floor(F.col("k") / BLOCK).cast("int") + 1
+    own = members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").select(
+        "bucket", "line", "comp", "blocks", F.pmod(F.xxhash64("line", F.lit("block")), F.col("blocks")).cast("int").alias("block"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "line", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    cell = ["bucket", "p", "q"]
+    a = dealt.where("block = p").select(*cell, F.col("line").alias("a"), F.col("comp").alias("ca"))
+    b = dealt.where("block = q").select(*cell, F.col("line").alias("b"), F.col("comp").alias("cb"))
+    both = a.join(b, cell).where("ca <> cb").where("p < q or a < b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose exact similarity reaches the threshold."""
     both = pairs.join(sets.select(F.col("line").alias("a"), F.col("set").alias("sa")), "a").join(
@@ -135,27 +154,35 @@ def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Matches (a, b) among lines that share a bucket (members: bucket, line)."""
+    """Matches (a, b) among lines that share a bucket (members: bucket, line): those that
+    leaders find, and those of all pairs that these do not join already."""
     tasks = tasks_for(members.count())
-    found, open_ = [], members
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+    large = staged(members.join(size.where(F.col("k") > SMALL).select("bucket"), "bucket"), "large", tasks)
+    small = members.join(size.where(F.col("k") <= SMALL).select("bucket"), "bucket")
+    found, open_, others = [], large, large
     for _ in range(ROUNDS):
+        if open_.isEmpty():
+            break
         # a bucket's leader by a hash of the line: the buckets of a group mostly have the same
         # one, so that a line is compared with it once and not once a band
-        lead = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("line").alias("k"), "line")).alias("m")).select(
-            "bucket", F.col("m.line").alias("line"))
-        met = staged(_matching(_pairs_of(lead, members), sets, threshold), "met", tasks)
+        lead = staged(open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("line").alias("k"), "line")).alias("m")).select(
+            "bucket", F.col("m.line").alias("line")), "lead", tasks)
+        others = others.join(lead, ["bucket", "line"], "left_anti")  # a leader is compared with all: it is done
+        met = staged(_matching(_pairs_of(lead, others), sets, threshold), "met", tasks)
         found.append(met)
         both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
         done = lead.join(both, F.col("line") == F.col("a")).select("bucket", F.col("b").alias("line")).unionByName(lead).distinct()
         open_ = staged(open_.join(done, ["bucket", "line"], "left_anti"), "open", tasks)
-        if open_.isEmpty():
-            break
-    else:
-        found.append(_matching(_pairs_of(open_, members), sets, threshold))
-    out = found[0]
-    for more in found[1:]:
+    out = staged(_matching(_pairs_of(small, small), sets, threshold), "met", tasks)
+    for more in found:
         out = out.unionByName(more)
-    return out
+    if not found:
+        return out
+    # followers of different leaders may match too: all pairs that are not joined so far
+    comps = components(out).select(F.col("node").alias("line"), "comp")
+    apart = staged(others.join(comps, "line", "left").select("bucket", "line", F.coalesce("comp", "line").alias("comp")), "apart", tasks)
+    return out.unionByName(_matching(_pairs_across(apart), sets, threshold))
 
 
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -516,3 +516,29 @@ def test_line_dedup_query_finds_nearly_all(spark, whole):
     got, want = said_lines(queries.op2_line_dedup(spark, SF_SMALL)), brute_lines(whole)
     assert sum((got & want).values()) >= 0.98 * len(whole)
     assert abs(sum(n * r[2] for r, n in got.items()) - sum(n * r[2] for r, n in want.items())) <= 0.002 * sum(n * r[1] for r, n in want.items())
+
+
+def drifting(n, seed):
+    """A path: two places change in every step, so that only neighbours are near copies."""
+    rnd = random.Random(seed)
+    line = list("".join(rnd.choices("abcdefghij klmnopqr", k=200)))
+    out, places = ["".join(line)], [10 * k + 5 for k in range(19)]
+    for k in range(n - 1):
+        for p in (places[2 * k % 19], places[(2 * k + 1) % 19]):
+            line[p] = rnd.choice("0123456789")
+        out.append("".join(line))
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_line_dedup_keeps_every_link_of_drifting_chains(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    paths = [drifting(n, 10 * n + k) for n in (3, 4, 6, 8, 8, 20) for k in range(4)]
+    rows = [(bucket, at, line) for bucket, path in enumerate(paths) for at, line in enumerate(path)]
+    df = spark.createDataFrame(rows, "bucket BIGINT, at INT, text STRING").withColumn(
+        "line", F.struct(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))).cache()
+    sets = df.select("line", F.array_distinct(F.transform(line_dedup._shingles(F.col("text")), lambda x: F.xxhash64(x))).alias("set"))
+    links = line_dedup._links(df.select("bucket", "line"), sets, 0.8)
+    comps = components.components(links).withColumnRenamed("node", "line")
+    got = df.join(comps, "line", "left").groupBy("bucket").agg(F.countDistinct("comp").alias("c"), F.sum(F.isnull("comp").cast("int")).alias("alone"))
+    assert {(r["c"], r["alone"]) for r in got.collect()} == {(1, 0)}
