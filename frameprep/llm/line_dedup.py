@@ -1,16 +1,14 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 Distinct lines are made of their character shingles (``SHINGLE`` characters at
-every position). A line's signature has ``BANDS * ROWS`` minhashes: one 64-bit
-hash a shingle, and the smallest value of it under each of the signature's XOR
-masks. Masks differ in the top bits alone, so the least hash of each prefix is all
-that the masks need. Long lines are signed by a part of their shingles that depends
-on content alone; similarities are always those of the whole sets. Shingles are
-reduced on the partitioning that the line aggregate already has: they are never
-shuffled.
+every position). A line's signature has ``BANDS * ROWS`` independent minhashes over all
+of its shingles, whatever its length. Shingles are reduced on the partitioning that the
+line aggregate already has: they are never shuffled. Beside the signature a line has a
+sketch, a bitmap of its shingles: where two sketches differ by more bits than two sets at
+the threshold can differ by, the pair needs no comparison (no match is lost).
 
 Lines with an equal band meet in a bucket (a pair at 0.8 meets with probability
-0.997 when all shingles sign). All pairs of a small bucket are compared. In a larger
+0.997). All pairs of a small bucket are compared. In a larger
 one a leader is compared with all members, the lines that it matches are settled, and
 the next of ``ROUNDS`` leaders is drawn from the others; then all pairs of lines that
 the matches so far do not join are compared, in blocks. So a group of near copies
@@ -39,24 +37,10 @@ THRESHOLD = 0.8
 ROUNDS = 3
 SMALL = 4  # lines of a bucket whose pairs are all compared at once
 BLOCK = 256  # lines of a block of a larger bucket
-#: A line belongs to the families that its number of shingles allows, and two lines at
-#: the threshold always have one in common. A family signs lines by the shingles at the
-#: start and at: every place; every word start (also after some rarer characters and in
-#: scripts without spaces); word starts other than with one of five frequent letters.
-FAMILIES = ((0, 50), (40, 150), (120, 1 << 31))
-AFTER = r"[ 05AQkq\u2E80-\uFFFF]"
-COMMON = "[^aeiot]"
-PREFIX = 5  # bits that tell the minhashes of a signature apart
+WORDS = 4  # of 64 bits: a sketch of a line's shingles, from which a pair's difference has a lower bound
 BITMAP = 1 << 23  # bits of the fixed-size filter for candidate lines
 
 
-def _masks() -> list[int]:
-    """One mask a minhash: its number in the top PREFIX bits. A band takes every
-    BANDS-th of them: neighbouring masks would often pick the same shingle."""
-    out = [j << (64 - PREFIX) for j in range(BANDS * ROWS)]
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
-
-
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_lines and lines (number, two hashes) of every document: narrow, without texts."""
     cut = F.transform(F.split(text_or_empty(text_col), "\n"), lambda x, n: F.struct(
@@ -81,31 +65,28 @@ def _shingles(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
 
 
-def _word_shingles(line: Column, first: str = "") -> Column:
-    """The shingles at the start and after one of the characters of ``AFTER``, if ``first`` allows."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s){AFTER}(?=({first and '(?=' + first + ')'}.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_append(found, F.substring(line, 1, SHINGLE))
-
-
 def _signatures(occ: DataFrame) -> DataFrame:
-    """h, g, n, doc_id and line_no of the first occurrence, and the bands b0.. of every
-    distinct line, once for each family that the line belongs to."""
+    """h, g, n, doc_id and line_no of the first occurrence, sketch, and the bands b0.. of
+    every distinct line."""
     distinct = occ.groupBy("h", "g").agg(
         F.first("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("at"))
-    size = F.greatest(F.lit(1), F.length("line") - (SHINGLE - 1))
-    families = F.array(*[F.when(size.between(least, most), k) for k, (least, most) in enumerate(FAMILIES)])
-    each = distinct.select("h", "g", "n", "at.doc_id", "at.line_no", "line", F.explode(families).alias("family")).where("family is not null")
-    text, family = F.col("line"), F.col("family")
-    shingles = F.when(family == 0, _shingles(text)).when(family == 1, _word_shingles(text)).otherwise(_word_shingles(text, COMMON))
+    size = F.greatest(F.lit(1), F.length("line") - (SHINGLE - 1)).alias("size")
     # what belongs to a line is a key beside its hashes: numbers only, so the reduction needs no sort
-    line = ["h", "g", "n", "doc_id", "line_no", "family"]
-    cells = each.select(*line, F.explode(shingles).alias("s")).select(*line, F.xxhash64("s").alias("x"))
-    prefix = F.shiftrightunsigned("x", 64 - PREFIX).alias("prefix")
-    least = cells.groupBy(*line, prefix).agg(F.min("x").alias("x"))  # one value a prefix decides for every mask
-    low = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_masks())]
-    mins = least.groupBy(*line).agg(*low)
-    bands = [F.xxhash64(F.lit(b), "family", *[f"m{b + r * BANDS}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
-    return mins.select(*line, *bands)
+    line = ["h", "g", "n", "doc_id", "line_no", "size"]
+    cells = distinct.select("h", "g", "n", "at.doc_id", "at.line_no", size, F.explode(_shingles(F.col("line"))).alias("s")).select(
+        *line, F.xxhash64("s").alias("x"))
+    low = [F.min(F.xxhash64(F.lit(j), "x")).alias(f"m{j}") for j in range(BANDS * ROWS)]
+    marks = [F.expr(f"bit_or(if((shiftright(x, 6) & {WORDS - 1}) = {w}, shiftleft(1L, int(x & 63)), 0L))").alias(f"w{w}") for w in range(WORDS)]
+    mins = cells.groupBy(*line).agg(*low, *marks)
+    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
+    return mins.select("h", "g", "n", "doc_id", "line_no", F.struct("size", *[f"w{w}" for w in range(WORDS)]).alias("sketch"), *bands)
+
+
+def _may_match(a: str, b: str, threshold: float) -> Column:
+    """False only if two sketches show that the sets differ too much: every bit that one
+    alone has is a shingle that the other has not."""
+    apart = sum((F.bit_count(F.col(f"{a}.w{w}").bitwiseXOR(F.col(f"{b}.w{w}"))) for w in range(WORDS)), F.lit(0))
+    return apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
 
 
 def _in_bitmap(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -120,26 +101,28 @@ def _in_bitmap(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket", "map")
 
 
-def _pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Lines of two tables (bucket, line) that share a bucket, each pair once."""
-    a = left.select("bucket", F.col("line").alias("a"))
-    b = right.select("bucket", F.col("line").alias("b"))
-    return a.join(b, "bucket").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pairs_of(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Lines of two tables (bucket, line, sketch) that share a bucket and may match, each pair once."""
+    a = left.select("bucket", F.col("line").alias("a"), F.col("sketch").alias("ka"))
+    b = right.select("bucket", F.col("line").alias("b"), F.col("sketch").alias("kb"))
+    both = a.join(b, "bucket").where("a <> b").where(_may_match("ka", "kb", threshold))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _pairs_across(members: DataFrame) -> DataFrame:
-    """Lines of different ``comp`` that share a bucket, each pair once. Large buckets are
-    cut into blocks: every pair of blocks is a cell, so no task holds a whole bucket."""
+def _pairs_across(members: DataFrame, threshold: float) -> DataFrame:
+    """Lines of different ``comp`` that share a bucket and may match, each pair once. Large
+    buckets are cut into blocks: every pair of blocks is a cell, so no task holds a whole bucket."""
     mixed = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
     blocks = F.floor(F.col("k") / BLOCK).cast("int") + 1
+    what = ["bucket", "line", "sketch", "comp"]
     own = members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").select(
-        "bucket", "line", "comp", "blocks", F.pmod(F.xxhash64("line", F.lit("block")), F.col("blocks")).cast("int").alias("block"))
+        *what, "blocks", F.pmod(F.xxhash64("line", F.lit("block")), F.col("blocks")).cast("int").alias("block"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "line", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    dealt = dealt.select(*what, "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     cell = ["bucket", "p", "q"]
-    a = dealt.where("block = p").select(*cell, F.col("line").alias("a"), F.col("comp").alias("ca"))
-    b = dealt.where("block = q").select(*cell, F.col("line").alias("b"), F.col("comp").alias("cb"))
-    both = a.join(b, cell).where("ca <> cb").where("p < q or a < b")
+    a = dealt.where("block = p").select(*cell, F.col("line").alias("a"), F.col("sketch").alias("ka"), F.col("comp").alias("ca"))
+    b = dealt.where("block = q").select(*cell, F.col("line").alias("b"), F.col("sketch").alias("kb"), F.col("comp").alias("cb"))
+    both = a.join(b, cell).where("ca <> cb").where("p < q or a < b").where(_may_match("ka", "kb", threshold))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -154,7 +137,7 @@ def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Matches (a, b) among lines that share a bucket (members: bucket, line): those that
+    """Matches (a, b) among lines that share a bucket (members: bucket, line, sketch): those that
     leaders find, and those of all pairs that these do not join already."""
     tasks = tasks_for(members.count())
     size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
@@ -166,23 +149,23 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             break
         # a bucket's leader by a hash of the line: the buckets of a group mostly have the same
         # one, so that a line is compared with it once and not once a band
-        lead = staged(open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("line").alias("k"), "line")).alias("m")).select(
-            "bucket", F.col("m.line").alias("line")), "lead", tasks)
-        others = others.join(lead, ["bucket", "line"], "left_anti")  # a leader is compared with all: it is done
-        met = staged(_matching(_pairs_of(lead, others), sets, threshold), "met", tasks)
+        lead = staged(open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("line").alias("k"), "line", "sketch")).alias("m")).select(
+            "bucket", "m.line", "m.sketch"), "lead", tasks)
+        others = others.join(lead.select("bucket", "line"), ["bucket", "line"], "left_anti")  # a leader is compared with all: it is done
+        met = staged(_matching(_pairs_of(lead, others, threshold), sets, threshold), "met", tasks)
         found.append(met)
         both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = lead.join(both, F.col("line") == F.col("a")).select("bucket", F.col("b").alias("line")).unionByName(lead).distinct()
+        done = lead.join(both, F.col("line") == F.col("a")).select("bucket", F.col("b").alias("line")).unionByName(lead.select("bucket", "line")).distinct()
         open_ = staged(open_.join(done, ["bucket", "line"], "left_anti"), "open", tasks)
-    out = staged(_matching(_pairs_of(small, small), sets, threshold), "met", tasks)
+    out = staged(_matching(_pairs_of(small, small, threshold), sets, threshold), "met", tasks)
     for more in found:
         out = out.unionByName(more)
     if not found:
         return out
     # followers of different leaders may match too: all pairs that are not joined so far
     comps = components(out).select(F.col("node").alias("line"), "comp")
-    apart = staged(others.join(comps, "line", "left").select("bucket", "line", F.coalesce("comp", "line").alias("comp")), "apart", tasks)
-    return out.unionByName(_matching(_pairs_across(apart), sets, threshold))
+    apart = staged(others.join(comps, "line", "left").select("bucket", "line", "sketch", F.coalesce("comp", "line").alias("comp")), "apart", tasks)
+    return out.unionByName(_matching(_pairs_across(apart, threshold), sets, threshold))
 
 
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +174,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     sigs = staged(_signatures(occ), "signatures")
     line = F.struct("h", "g").alias("line")
     band = F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "key")
-    keys = sigs.select(line, band).select("line", F.xxhash64("band", "key").alias("bucket"))
+    keys = sigs.select(line, "sketch", band).select("line", "sketch", F.xxhash64("band", "key").alias("bucket"))
     met = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     members = staged(keys.join(met, "bucket"), "members", tasks_for(sigs.count()))
     wanted = members.select("line.h", "line.g").distinct()
@@ -199,7 +182,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     sets = staged(texts.groupBy("h", "g").agg(F.first("text").alias("text")).select(
         line, F.array_distinct(F.transform(_shingles(F.col("text")), lambda x: F.xxhash64(x))).alias("set")), "sets")
     comps = components(_links(members, sets, threshold)).select("node.h", "node.g", "comp")
-    named = sigs.select("h", "g", "n", "doc_id", "line_no").distinct().join(comps, ["h", "g"], "left")
+    named = sigs.select("h", "g", "n", "doc_id", "line_no").join(comps, ["h", "g"], "left")
     alone = named.where("comp is null and n > 1").select("h", "g", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))
     grouped = named.where("comp is not null")
     first = grouped.groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))

@@ -538,7 +538,55 @@ def test_line_dedup_keeps_every_link_of_drifting_chains(spark, monkeypatch, bloc
     df = spark.createDataFrame(rows, "bucket BIGINT, at INT, text STRING").withColumn(
         "line", F.struct(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))).cache()
     sets = df.select("line", F.array_distinct(F.transform(line_dedup._shingles(F.col("text")), lambda x: F.xxhash64(x))).alias("set"))
-    links = line_dedup._links(df.select("bucket", "line"), sets, 0.8)
+    text = F.col("text")
+    sigs = line_dedup._signatures(df.select(F.lit(1).alias("doc_id"), F.col("at").alias("line_no"), text.alias("line"), "line.h", "line.g"))
+    members = df.select("bucket", "line", "line.h", "line.g").join(sigs, ["h", "g"]).select("bucket", "line", "sketch")
+    links = line_dedup._links(members, sets, 0.8)
     comps = components.components(links).withColumnRenamed("node", "line")
     got = df.join(comps, "line", "left").groupBy("bucket").agg(F.countDistinct("comp").alias("c"), F.sum(F.isnull("comp").cast("int")).alias("alone"))
     assert {(r["c"], r["alone"]) for r in got.collect()} == {(1, 0)}
+
+
+def edited(line, alphabet, rnd):
+    """A near copy by edits of characters, of exact similarity 0.80 to 0.85."""
+    k = line_dedup.SHINGLE
+    cut = lambda x: {x[j:j + k] for j in range(len(x) - k + 1)}
+    want = cut(line)
+    while True:
+        other = list(line)
+        for _ in range(40):
+            other[rnd.randrange(len(other))] = rnd.choice(alphabet)
+            have = cut("".join(other))
+            near = len(have & want) / len(have | want)
+            if 0.8 <= near <= 0.85:
+                return "".join(other)
+            if near < 0.8:
+                break
+
+
+def planted(kind, rnd):
+    thai = [chr(c) for c in range(0x0E01, 0x0E2F)]
+    word = lambda letters, n=8: "".join(rnd.choices(letters, k=rnd.randint(2, n)))
+    low = "bcdfghjlmnprstuvwxyz"
+    if kind == "rule":
+        return "".join(rnd.choices("-=*#~", k=rnd.randint(60, 126)))
+    if kind == "tsv":
+        return "\t".join(word(low) for _ in range(30))
+    if kind == "url":
+        return "https://" + "/".join(word(low) for _ in range(30))
+    return word(thai, 3) + "".join(rnd.choices(thai, k=rnd.randint(160, 400)))
+
+
+@pytest.mark.parametrize("kind", ["rule", "tsv", "url", "thai"])
+def test_near_copies_of_every_kind_of_line_meet(spark, kind):
+    rnd = random.Random(kind)
+    pairs = []
+    for _ in range(300):
+        line = planted(kind, rnd)
+        pairs += [line, edited(line, sorted(set(line)), rnd)]
+    occ = spark.createDataFrame([(k // 2, k % 2, x) for k, x in enumerate(pairs)], "doc_id BIGINT, line_no INT, line STRING").select(
+        "*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    bands = defaultdict(lambda: (set(), set()))
+    for r in line_dedup._signatures(occ).collect():
+        bands[r["doc_id"]][r["line_no"]].update((b, r[f"b{b}"]) for b in range(line_dedup.BANDS))
+    assert sum(bool(a & b) for a, b in bands.values()) >= 0.98 * 300
