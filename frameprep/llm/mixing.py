@@ -86,8 +86,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], domain_
     return staged(scored.select("row", "doc_id", "n_tokens", *[(w / whole).alias(f"p{k}") for k, w in enumerate(weights)]), "posteriors")
 
 
-def fit_rates(members: DataFrame, targets: list[float]) -> DataFrame:
-    """``members`` and a column ``rate``: nonnegative, expected domain tokens near ``targets``."""
+def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0) -> DataFrame:
+    """``members`` and a column ``rate``: ``least`` or more, expected domain tokens near ``targets``."""
     d = len(targets)
     p = [F.col(f"p{k}") for k in range(d)]
     sums = lambda df: [r or 0.0 for r in df.agg(*[
@@ -102,7 +102,7 @@ def fit_rates(members: DataFrame, targets: list[float]) -> DataFrame:
         if max(abs(h - t) / max(t, 1.0) for h, t in zip(have, targets)) < CLOSE:
             break
         move = sum((x * F.lit(m) for x, m in zip(p[1:], miss[1:])), p[0] * F.lit(miss[0]))
-        now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
+        now = now.withColumn("rate", F.greatest(F.lit(least), F.col("rate") - move))
         if step % RESTAGE == RESTAGE - 1:
             now = staged(now, "rates")
             release(*frames)
@@ -138,17 +138,18 @@ def tempered_targets(members: DataFrame, domains: list[str], power: float) -> li
 def mix_rows(docs: DataFrame, labelled: DataFrame, domain_col: str, power: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with every row as often as its fitted rate says; columns unchanged.
 
-    Targets temper the domains' token totals upwards, so small domains repeat and
-    no document is lost. A row without a rate (no domains at all) stays once."""
+    Targets temper the domains' token totals upwards, so small domains repeat. Rates
+    are at least one: no document is lost, also where documents of mixed membership
+    lift a domain over its target. A row without a rate (no domains at all) stays once."""
     names = docs.select(F.col(domain_col).cast("string").alias("d")).where("d is not null").distinct().collect()
     domains = sorted(r["d"] for r in names)
     if not domains:
         return docs
     members = posteriors(docs, labelled, domains, domain_col, id_col)
-    fitted = fit_rates(members, tempered_targets(members, domains, power))
+    fitted = fit_rates(members, tempered_targets(members, domains, power), least=1.0)
     rates = fitted.groupBy(F.col("doc_id").alias("rated")).agg(F.avg("rate").alias("rate"))
     whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("i"))
-    copies = F.coalesce(copies_of(F.col("rate") + 2 * CLOSE, F.col("i")), F.lit(1))
+    copies = F.coalesce(copies_of(F.col("rate"), F.col("i")), F.lit(1))
     joined = whole.join(rates, F.col("i").eqNullSafe(F.col("rated")), "left").withColumn("copies", copies).where("copies > 0")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 

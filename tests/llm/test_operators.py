@@ -451,6 +451,21 @@ def test_mixing_of_awkward_rows(spark, docs, nothing):
     assert mixing.mix_rows(nothing, X.labels(spark), "lang").count() == 0
 
 
+def test_no_document_of_a_mixed_corpus_is_lost(spark):
+    rnd = random.Random(4)
+    shared = [f"word{k}" for k in range(20)]
+    rows = []
+    for k in range(3000):
+        lang = rnd.choices("abcd", weights=(60, 15, 15, 10))[0]
+        own = shared if k % 10 < 3 else [f"{lang}{j}" for j in range(20)]  # 3 in 10 could be of every language
+        rows.append((k, " ".join(rnd.choices(own, k=30)), lang))
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    got = Counter(r["doc_id"] for r in mixing.mix_rows(df, df.select("doc_id"), "lang").collect())
+    assert set(got) == set(range(3000))
+    count = lambda x: sum(got[k] for k, _, lang in rows if lang == x) / sum(lang == x for _, _, lang in rows)
+    assert min(count("b"), count("c"), count("d")) > 1.1 > count("a") >= 1
+
+
 # --- line dedup ------------------------------------------------------------------------------------------------
 
 
