@@ -56,7 +56,7 @@ GENERATORS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+(?![0-9])",
     "card": r"(?<![0-9])[0-9]{3,6}+(?:[ -]?[0-9]{2,7}+){1,5}+(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])\+?(?:[0-9]{1,3}+[ .-])?\(?[0-9]{2,4}+\)?[ .-][0-9]{3,4}+[ .-]?[0-9]{3,4}+(?![0-9])",
-    "secret": r"(?<![A-Za-z])(?:password|passwd|token|secret|api[_-]?key)[ ]?[=:][ ]?\"?[^\s\"]{8,128}+",
+    "secret": r"(?<![A-Za-z])(?:password|passwd|token|secret|api[_-]?key)[ ]?[=:][ ]?\"?[^\s\"]{8,}+",
 }
 _DIGIT = "[0-9]"
 

@@ -408,6 +408,15 @@ def test_pii_of_random_strings_and_long_runs(spark):
     assert rows_of(got, *PII) == Counter(w[:6] for w in brute_pii(rows).values())
 
 
+def test_a_secret_runs_to_its_end(spark):
+    rnd = random.Random(5)
+    key = lambda n: "".join(rnd.choices("abcdefghijkLMNOPQRST0123456789_-.", k=n))
+    rows = [(n, f"a token={key(n)} end") for n in (7, 8, 128, 129, 700, 60_000)] + [(9000, f'secret: "{key(400)}" end')]
+    got = pii.pii_report(pii.find_pii(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")))
+    said = {r["doc_id"]: [x for x in (r["spans"] or "").split(",") if x.startswith("secret:")] for r in got.collect()}
+    assert said == {7: [], 9000: ["secret:0:409"], **{n: [f"secret:2:{n + 8}"] for n in (8, 128, 129, 700, 60_000)}}
+
+
 def test_native_operators_run_no_python(spark):
     for name in ("op2_line_dedup", "op5_pii", "op9_soft_mixing"):
         plan = queries.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
