@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameprep.llm import byte_bpe, exact_dedup, jaccard_join, language_model, licenses, line_dedup, mixing, pii, quality, topk
+from frameprep.llm import (byte_bpe, centroids, exact_dedup, filter_audit, jaccard_join, language_model, licenses, line_dedup, mixing, pii, quality,
+                           substring_dedup, topk)
 from frameprep.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -56,7 +57,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.filter_masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_line_dedup, op3_exact_top_k, op4_ngram_jaccard_join, op5_pii, op6_lm_score, op7_byte_bpe, op8_quality,
-    op9_soft_mixing, op10_exact_dedup)}
-ORACLE = {"op3_exact_top_k": topk.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    op9_soft_mixing, op10_exact_dedup, op11_filter_audit, op12_substring_dedup, op13_centroid_clustering)}
+ORACLE = {"op3_exact_top_k": topk.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE,
+          "op12_substring_dedup": substring_dedup.ORACLE, "op13_centroid_clustering": centroids.ORACLE}

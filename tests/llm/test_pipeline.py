@@ -63,7 +63,7 @@ def test_stages_on_awkward_and_empty_rows(spark):
 
 def test_every_operator_is_registered():
     names = set(E.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(queries.ORACLE) <= set(E.oracle_sql())
 
 
