@@ -159,7 +159,7 @@ def passages():
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_words": 20, "part_bytes": 1, "task_bytes": 2000}, {"window": 5, "shard_words": 1000}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_words": 500, "part_bytes": 5000, "task_bytes": 5000}, {"window": 5, "shard_words": 1000}])
 def test_substrings(spark, sizes):
     df = spark.createDataFrame([(i, t, "d", "s", 1) for i, t in passages()], "doc_id LONG, text STRING, doc STRING, sub STRING, at INT").repartition(5)
     assert rows_of(substring_dedup.remove_repeats(df, **sizes)) == brute_spans(passages(), sizes.get("window", 13))
