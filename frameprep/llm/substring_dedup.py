@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -107,18 +108,36 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             pa.array([0] * len(raw), pa.int32()), pa.array([pack.compress(t) if t else b"" for t in raw], pa.binary())], _PIECE_NAMES)
 
 
+_ANCHOR = "anchor long, doc long"
 _PIECE, _PIECE_NAMES = "doc long, sub binary, at int, words binary", ["doc", "sub", "at", "words"]
 
 
-def _anchor_rows(window: int, turn: int):
+def _word_hashes(texts: pa.Array, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in one array, and the text each word is of."""
+    split = pc.ascii_split_whitespace(texts)
+    words = split.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())[full.to_numpy(zero_copy_only=False)]
+    coded = words.filter(full).dictionary_encode()
+    return hashes.of(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()], row
+
+
+def _anchor_rows(window: int, turn: int, packed: bool):
+    """(anchor, doc) of all windows of texts (or packed pieces), neighbours with one anchor once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unzip = _Hashes(), zstandard.ZstdDecompressor()
-        for batch in sliced(batches):
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                found = [np.unique(_anchors(hashes.of(_words(w, unzip)), window, turn)) for w in part.column(1).to_pylist()]
-                docs = np.repeat(part.column(0).to_numpy(), [len(a) for a in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(docs)], ["anchor", "doc"])
+        for batch in sliced(batches, 500):
+            texts = batch.column(1)
+            if packed:
+                texts = pa.array([unzip.decompress(w) for w in texts.to_pylist()], pa.binary()).cast(pa.string())
+            h, row = _word_hashes(pc.fill_null(texts, ""), hashes)
+            anchors = _anchors(h, window, turn)
+            row, end = row[:len(anchors)], row[window - 1:]
+            whole = np.flatnonzero(row == end)  # windows inside one text
+            anchors, row = anchors[whole], row[whole]
+            new = np.ones(len(row), bool)
+            new[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[new]), batch.column(0).take(pa.array(row[new]))], ["anchor", "doc"])
     return run
 
 
@@ -129,25 +148,29 @@ def _runs(first: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _span_rows(window: int, turn: int):
-    """Of each piece, its runs of windows with the same first document, as compressed words."""
+    """Of each document's pieces, the runs of windows with the same first document, as compressed words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unzip, pack = _Hashes(), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        for batch in sliced(batches, 200):
+        for batch in sliced(batches, 500):
             out: list[tuple] = []
-            for doc, sub, at, packed, anchors, firsts in zip(*(c.to_pylist() for c in batch.columns)):
-                words = _words(packed, unzip)
-                mine = _anchors(hashes.of(words), window, turn)
-                if not len(mine):
-                    continue
-                keys = np.array(anchors, np.int64)
+            bounds = batch.column(3).offsets.to_numpy(), batch.column(4).offsets.to_numpy()
+            values = batch.column(3).values.to_numpy(), batch.column(4).values.to_numpy()
+            for k, (doc, sub, pieces) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
+                keys, firsts = (v[b[k]:b[k + 1]] for v, b in zip(values, bounds))
                 order = np.argsort(keys, kind="stable")
-                keys, values = keys[order], np.array(firsts, np.int64)[order]
-                place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                known, first = keys[place] == mine, values[place]
-                for a, b in _runs(_labels(first, known)):
-                    if known[a]:
-                        out.append((int(first[a]), doc, sub, at + a, pack.compress(b" ".join(words[a:b + window - 1]))))
-            yield pa.RecordBatch.from_pylist([dict(zip(_SPAN_NAMES, r)) for r in out], _SPAN_SCHEMA)
+                keys, firsts = keys[order], firsts[order]
+                for piece in pieces:
+                    words = _words(piece["words"], unzip)
+                    mine = _anchors(hashes.of(words), window, turn)
+                    if not len(mine):
+                        continue
+                    place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                    known, first = keys[place] == mine, firsts[place]
+                    for a, b in _runs(_labels(first, known)):
+                        if known[a]:
+                            out.append((int(first[a]), doc, sub, piece["at"] + a, pack.compress(b" ".join(words[a:b + window - 1]))))
+            columns = [*zip(*out)] or [()] * len(_SPAN_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPAN_SCHEMA)], schema=_SPAN_SCHEMA)
     return run
 
 
@@ -280,32 +303,38 @@ def _verdicts(spans: DataFrame, window: int, most: int, part_bytes: int, task_by
     return out
 
 
-def _round(pieces: DataFrame, window: int, turn: int, most: int, part_bytes: int, task_bytes: int) -> DataFrame:
-    rows = pieces.where("doc IS NOT NULL").select("doc", "words").mapInArrow(_anchor_rows(window, turn), "anchor long, doc long")
+def _round(anchors: DataFrame, pieces: DataFrame, window: int, turn: int, most: int, part_bytes: int, task_bytes: int) -> DataFrame:
+    rows = staged(anchors, "anchors")
     firsts = staged(rows.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select(
         "anchor", "first"), "firsts")
     # a group here is one document, as long as its text
     known = rows.join(firsts, "anchor").groupBy("doc").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("first").alias("firsts"))
-    spans = staged(pieces.join(known, "doc").select(*_PIECE_NAMES, "anchors", "firsts").mapInArrow(_span_rows(window, turn), _SPAN), "spans")
+    spans = staged(pieces.join(known, "doc").select("doc", "sub", "pieces", "anchors", "firsts").mapInArrow(_span_rows(window, turn), _SPAN), "spans")
+    release(rows, firsts)
     out = _verdicts(spans, window, most, part_bytes, task_bytes)
-    release(firsts, spans)
+    release(spans)
     return out
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, part_bytes: int = PART_BYTES,
+def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, part_bytes: int = PART_BYTES,
                    task_bytes: int = TASK_BYTES) -> DataFrame:
-    """doc, sub, spans of the removed words (at, to) of packed texts, from all rounds."""
+    """doc, sub (a digest that tells rows of one id apart), spans of the removed words (at, to)
+    of ``docs`` (doc, text), from all rounds."""
     if window < GROUP:
         raise ValueError(f"a window has at least {GROUP} words")
-    pieces, found, turn, done = texts, None, 0, []
+    ids = docs.where("doc IS NOT NULL")
+    anchors = ids.mapInArrow(_anchor_rows(window, 0, False), _ANCHOR)
+    pieces = ids.mapInArrow(_packed_texts, _PIECE).select("doc", "sub", F.array(F.struct("at", "words")).alias("pieces"))
+    found, turn = None, 0
     while True:
-        verdicts = _round(pieces, window, turn, shard_words, part_bytes, task_bytes)
-        done.append(verdicts)
+        verdicts = _round(anchors, pieces, window, turn, shard_words, part_bytes, task_bytes)
         hit = verdicts.where("words IS NULL").select("doc", "sub", "at", "to")
         found = hit if found is None else found.unionByName(hit)
-        pieces, turn = verdicts.where("words IS NOT NULL").select(*_PIECE_NAMES), turn + 1
-        if pieces.isEmpty():
+        left, turn = verdicts.where("words IS NOT NULL"), turn + 1
+        if left.isEmpty():
             return found.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "to")).alias("spans"))
+        anchors = left.select("doc", "words").mapInArrow(_anchor_rows(window, turn, True), _ANCHOR)
+        pieces = left.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "words")).alias("pieces"))
 
 
 def _kept(with_text: bool):
@@ -333,9 +362,9 @@ def _kept(with_text: bool):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, part_bytes: int = PART_BYTES,
                    task_bytes: int = TASK_BYTES, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (``with_text``) the kept words joined by one space."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_packed_texts, _PIECE)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(texts, window, shard_words, part_bytes, task_bytes)
-    rows = texts.select("doc", "sub", "words").join(spans, ["doc", "sub"], "left").select("doc", "words", "spans")
+    rows = texts.mapInArrow(_packed_texts, _PIECE).select("doc", "sub", "words").join(spans, ["doc", "sub"], "left").select("doc", "words", "spans")
     return rows.mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
