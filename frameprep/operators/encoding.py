@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from frameprep.functions.coerce import categorical_columns, is_numeric_type, nan_to_null, normalise_value, type_name
 from frameprep.functions.indexing import ordered_index
+from frameprep.functions.locate import SEEN, with_order
 from frameprep.functions.lookup import lookup_column
 from frameprep.functions.names import free_names
 from frameprep.functions.report import frame, pct, round_half_away
@@ -51,9 +52,11 @@ def is_categorical_column(df: DataFrame, column: str) -> bool:
 
 def _freq_with_first(df: DataFrame, cols: list[str], order_by: str | None) -> DataFrame:
     items = []
+    types = {c: df.schema[c].dataType for c in cols}
+    df, ordered = with_order(df, order_by)
     for c in cols:
-        v = normalise_value(F.col(c), df.schema[c].dataType)
-        key = F.col(order_by) if order_by else v
+        v = normalise_value(F.col(c), types[c])
+        key = F.col(SEEN) if ordered else v
         items.append(F.struct(F.lit(c).alias("column"), v.alias("value"), key.alias("key")))
     long = df.select(F.explode(F.array(*items)).alias("s")).select("s.*").where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"), F.min("key").alias("first"))
@@ -217,9 +220,12 @@ def fit_target(df: DataFrame, column: str, target: str | None) -> Encoding:
     return Encoding(column, "Target Encoding", mapping=_materialise(mapping))
 
 
-def fit_ordinal(df: DataFrame, column: str, order_by: str) -> Encoding:
-    """0, 1, 2, ... in order of first appearance (by ``order_by``)."""
-    firsts = df.where(~is_missing(df, column)).groupBy(F.col(column).alias("key")).agg(F.min(order_by).alias("first"))
+def fit_ordinal(df: DataFrame, column: str, order_by: str | None = None) -> Encoding:
+    """0, 1, 2, ... in order of first appearance (by ``order_by``, else in file order)."""
+    seen, ordered = with_order(df, order_by)
+    if not ordered:
+        raise ValueError("Ordinal Encoding needs order_by (a column that gives the order rows were seen in): this frame is not read from files")
+    firsts = seen.where(~is_missing(df, column)).groupBy(F.col(column).alias("key")).agg(F.min(SEEN).alias("first"))
     mapping = ordered_index(firsts, ["first", "key"], "value")
     return Encoding(column, "Ordinal Encoding", mapping=mapping.select("key", "value"))
 
@@ -234,8 +240,6 @@ def fit_encoding(df: DataFrame, column: str, action: str, target: str | None = N
     if action == "Target Encoding":
         return fit_target(df, column, target)
     if action == "Ordinal Encoding":
-        if order_by is None:
-            raise ValueError("Ordinal Encoding needs order_by: a column that gives the order rows were seen in")
         return fit_ordinal(df, column, order_by)
     raise ValueError(f"Unknown encoding action: {action}")
 

@@ -11,14 +11,15 @@ Scale notes
 * Undersampling keeps, per class, the rows with the smallest hash. The rank of
   a row inside its class comes from a range-partitioned sort (``ordered_index``),
   so a class holding a third of all rows is spread over many tasks.
-* SMOTE touches only the classes it grows. Neighbour contract: a row's
-  neighbours are the k nearest of its candidates, and its candidates are the
-  same-class rows in its own and the two adjacent blocks of ``BLOCK`` rows along
-  each of ``PROJECTIONS`` fixed random directions (exact whenever the class has at
-  most two blocks). Work is therefore at most ``3 * BLOCK * PROJECTIONS`` pairs a
-  row, whatever the number of rows or dimensions, and one sort serves all
-  directions. Synthetic rows are produced from the class table, one row per draw,
-  and joined to their base row and neighbour.
+* SMOTE touches only the classes it grows. Its neighbours are the true ones
+  (``neighbours.exact_neighbours``). Where distances do not tell rows apart, that
+  can mean most pairs of a class; ``exact=False`` bounds the work: a row's
+  neighbours are then the k nearest of its candidates, the same-class rows in its
+  own and the two adjacent blocks of ``BLOCK`` rows along each of ``PROJECTIONS``
+  fixed random directions, at most ``3 * BLOCK * PROJECTIONS`` pairs a row whatever the
+  number of rows or dimensions (exact whenever the class has at most two blocks).
+  Synthetic rows are produced from the class table, one row per draw, and joined
+  to their base row and neighbour.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from frameprep.functions.names import free_names
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.functions.stats import order_exact, order_number
 from frameprep.functions.written import written
+from frameprep.operators.neighbours import exact_neighbours
 from frameprep.operators.profile import is_missing
 
 # --- fixed values -----------------------------------------------------------
@@ -269,15 +271,16 @@ def nearest_neighbours(points: DataFrame, k: int, d: int, seed: int = SEED, bloc
     return pairs.groupBy("__cls", "__id").agg(F.transform(best, lambda t: t.getField("__j")).alias("__nbrs"))
 
 
-def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOURS) -> DataFrame:
+def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOURS, exact: bool = True) -> DataFrame:
     """Grow every class but the largest to the largest class's size with
-    points on segments between a row and one of its k neighbours."""
+    points on segments between a row and one of its k nearest neighbours; with
+    ``exact=False`` one of the nearest of a bounded number of candidates."""
     fm = feature_matrix(df, target)
     feats = [c for c in fm.columns if c != target]
     for c in feats:
         if not isinstance(fm.schema[c].dataType, (T.NumericType, T.BooleanType)):
             raise ValueError(f"SMOTE needs numeric features; '{c}' is {fm.schema[c].dataType.simpleString()}")
-    vec = F.array(*[F.col(c).cast("double") for c in feats]) if feats else F.array().cast("array<double>")
+    vec = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in feats]) if feats else F.array().cast("array<double>")
     keyed = fm.select(normalise_value(F.col(target), fm.schema[target].dataType).alias("__cls"), vec.alias("__vec"))
     endless = F.exists("__vec", lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     classes = written(keyed.groupBy("__cls").agg(F.count(F.lit(1)).alias("__n"), F.count_if(endless).alias("__bad")), "classes")
@@ -295,7 +298,8 @@ def smote(df: DataFrame, target: str, seed: int = SEED, k: int = SMOTE_NEIGHBOUR
     grown = keyed.join(_few(growing.select("__cls")), "__cls").withColumn("__h", F.xxhash64(F.lit(seed), "__vec")).withColumn(
         "__t", F.monotonically_increasing_id())
     points = _ranked_by_class(grown, ["__h", "__vec", "__t"]).select("__cls", F.col("__rank").alias("__id"), "__vec")
-    nbrs = nearest_neighbours(points, k, len(feats), seed).join(points, ["__cls", "__id"])
+    search = exact_neighbours if exact else nearest_neighbours
+    nbrs = search(points, k, len(feats), seed).join(points, ["__cls", "__id"])
 
     chunk = F.explode(F.sequence(F.lit(0), F.floor((F.lit(n_max) - F.col("__n") - 1) / DRAWS_PER_TASK)))
     chunks = growing.select("__cls", "__n", chunk.alias("__chunk"))

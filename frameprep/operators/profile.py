@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameprep.functions.coerce import is_numeric_type, normalise_value, type_name
+from frameprep.functions.locate import SEEN, with_order
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.functions.stats import exact_quantiles, moments, value_frequencies, value_hashes
 
@@ -240,8 +241,10 @@ def inspect_column(df: DataFrame, column: str):
 
 
 def preview(df: DataFrame, n: int = 20, order_by: str | None = None) -> DataFrame:
-    """The first ``n`` rows to look at (a limit is the feature here), by ``order_by`` if given."""
-    return (df.orderBy(order_by) if order_by else df).limit(n)
+    """The first ``n`` rows to look at (a limit is the feature here), by ``order_by`` if
+    given, else in file order; any ``n`` of a frame that does not come from files."""
+    seen, ordered = with_order(df, order_by)
+    return (seen.orderBy(SEEN) if ordered else seen).limit(n).drop(*[SEEN] * ordered)
 
 
 class MissingValueInspector:

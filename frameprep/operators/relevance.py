@@ -5,6 +5,12 @@ the reference), the dominant-value share from the value-frequency table, and
 all correlations (feature-target and every numeric pair) from two aggregates of
 mean-centred sums (pairwise-complete where a column has gaps), chunked so one
 aggregate stays a manageable width.
+
+Wide frames (more than ``SCREEN_FROM`` numeric columns) do not sum every pair. With a
+few pivot columns, r_ab is the product of the parts of a and b inside the pivots' span
+plus at most sqrt((1 - |a|^2)(1 - |b|^2)) of what is outside; the same holds for a part of
+the rows. Pairs that these bounds keep under the threshold are never formed on the
+whole table, no pair above it is lost, and the pairs found stay a table.
 """
 
 from __future__ import annotations
@@ -12,14 +18,18 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameprep.functions.coerce import numeric_columns, type_name
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.functions.stats import value_hashes
+from frameprep.functions.written import written
 
 # --- fixed values -----------------------------------------------------------
 RELEVANCE_ACTIONS = ("Keep", "Drop", "Investigate")
@@ -27,6 +37,10 @@ NEAR_CONSTANT_PCT = 95.0
 HIGH_CORRELATION = 0.85
 # ---------------------------------------------------------------------------
 PRODUCTS_PER_CHUNK = 400  # product sums a row adds up at a time; all chunks share one scan
+SCREEN_FROM = 100  # numeric columns above which pairs are screened
+PIVOTS, PIVOT_ROWS = 16, 512  # pivot columns, and rows that steer their choice (not the result)
+PAIRS_PER_SCAN = 100_000
+PART = 4  # one row in so many is in the part that is summed first
 
 EVIDENCE_DDL = (
     "column_name STRING, dtype STRING, is_target BOOLEAN, missing_percentage DOUBLE, unique_count BIGINT, "
@@ -125,6 +139,131 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str,
     return out
 
 
+def _pivot_columns(rows: DataFrame, k: int) -> list[int]:
+    """Columns that many others resemble, judged on a few rows: which ones are taken
+    changes how much is ruled out, never what is found."""
+    sample = np.array([r["v"] for r in rows.limit(PIVOT_ROWS).collect()], float).reshape(-1, k)
+    norm = np.sqrt((sample ** 2).sum(axis=0))
+    unit = sample / np.where(norm > 0, norm, 1)
+    chosen: list[int] = []
+    left = np.ones(k, bool)
+    while len(chosen) < min(PIVOTS, k) and left.any():
+        close = np.abs(unit[:, left].T @ unit) > 0.7  # rows: columns without a pivot yet
+        best = int(close.sum(axis=0).argmax())
+        covered = np.flatnonzero(left)[close[:, best]]
+        chosen.append(best)
+        left[covered] = left[best] = False
+    return chosen
+
+
+def _sums(rows: DataFrame, pairs: np.ndarray, by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, a, b, s): sums of products of the pairs (m x 2) of entries of ``v``, one scan."""
+    chunks = [pairs[i:i + PRODUCTS_PER_CHUNK] for i in range(0, len(pairs), PRODUCTS_PER_CHUNK)]
+    table = F.from_json(F.lit(json.dumps([{"a": c[:, 0].tolist(), "b": c[:, 1].tolist()} for c in chunks])), F.lit("array<struct<a:array<int>,b:array<int>>>"))
+    width = max(map(len, chunks))
+    sums = rows.select("v", *by, F.posexplode(table).alias("chunk", "at")).groupBy("chunk", *by).agg(F.first("at").alias("at"), F.array(*[
+        F.sum(F.get("v", F.get("at.a", F.lit(j))) * F.get("v", F.get("at.b", F.lit(j)))) for j in range(width)]).alias("s"))
+    return sums.select(*by, F.explode(F.arrays_zip(F.col("at.a").alias("a"), F.col("at.b").alias("b"), F.slice("s", 1, F.size("at.a")).alias("s"))).alias(
+        "p")).select(*by, "p.a", "p.b", "p.s")
+
+
+def _possible(span: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs (a < b) that the pivots do not rule out, at most ``PAIRS_PER_SCAN`` at a time.
+    ``span``: coordinates of the columns in an orthonormal basis of the pivots' span."""
+    outside = np.sqrt(np.maximum(0, 1 - (span ** 2).sum(axis=1)))
+    held, size = [], 0
+    for at in range(0, len(span), 256):
+        block = slice(at, at + 256)
+        most = np.abs(span[block] @ span.T) + outside[block, None] * outside[None]
+        a, b = np.nonzero(most >= least)
+        found = np.column_stack([a + at, b])[a + at < b]
+        for i in range(0, len(found), PAIRS_PER_SCAN):
+            part = found[i:i + PAIRS_PER_SCAN]
+            if size + len(part) > PAIRS_PER_SCAN:
+                yield np.concatenate(held)
+                held, size = [], 0
+            held.append(part)
+            size += len(part)
+    if held and size:
+        yield np.concatenate(held)
+
+
+def strong_pairs(df: DataFrame, cols: list[str], threshold: float = HIGH_CORRELATION, counted: dict | None = None) -> DataFrame:
+    """Pairs of gap-free columns whose rounded |r| reaches ``threshold``: a, b (positions in
+    ``cols``), r. ``counted`` gets the number of pairs summed over the part and over all rows.
+
+    Scans: means; products with the pivots; then, for each batch of pairs left, the part of
+    the rows and, for what that leaves, all rows."""
+    spark, k = df.sparkSession, len(cols)
+    least = threshold - 0.00005 - 1e-6
+    counted = {} if counted is None else counted
+    counted.update(pivots=0, part=0, whole=0)
+    xs = [F.col(c).cast("double") for c in cols]
+    means = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]).first()
+    rows = df.select(F.array(*[x - F.lit(means[f"m{i}"] or 0.0) for i, x in enumerate(xs)]).alias("v"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PART)) == 0)
+    pivots = _pivot_columns(rows, k)
+    first = np.array([(c, c) for c in range(k)] + [(c, p) for c in range(k) for p in pivots])
+    counted["pivots"] = len(first)
+    got = {(r["part"], r["a"], r["b"]): r["s"] for r in _sums(rows, first, ("part",)).collect()}  # columns x (pivots + 1)
+    whole = lambda a, b: (got.get((True, a, b)) or 0.0) + (got.get((False, a, b)) or 0.0)
+    energy = np.array([whole(c, c) for c in range(k)])
+    share = np.array([got.get((True, c, c)) or 0.0 for c in range(k)]) / np.where(energy > 0, energy, 1)
+    norm = np.sqrt(np.where(energy > 0, energy, 1))
+    to_pivots = np.array([[whole(c, p) for p in pivots] for c in range(k)]).reshape(k, len(pivots)) / norm[:, None] / norm[pivots][None]
+    values, vectors = np.linalg.eigh(to_pivots[pivots])
+    keep = values > 1e-6
+    span = to_pivots @ vectors[:, keep] / np.sqrt(values[keep])
+    span[energy <= 0] = 0
+    alive = np.flatnonzero(energy > 0)  # a constant column has no correlation
+    at = lambda numbers: F.from_json(F.lit(json.dumps(numbers.tolist())), F.lit("array<double>"))
+    rest = F.get(at(np.sqrt(np.maximum(0, 1 - share))), F.col("a")) * F.get(at(np.sqrt(np.maximum(0, 1 - share))), F.col("b"))
+    scaled: Column = F.col("s") / F.get(at(norm), F.col("a")) / F.get(at(norm), F.col("b"))
+    found = []
+    for pairs in _possible(span[alive], least):
+        pairs = alive[pairs]
+        counted["part"] += len(pairs)
+        left = _sums(rows.where("part"), pairs).where(F.abs(scaled) + rest >= least).select("a", "b").collect()
+        if not left and share.max() == 0:  # an empty part says nothing
+            left = pairs
+        if len(left):
+            left = np.array([(p[0], p[1]) for p in left])
+            counted["whole"] += len(left)
+            r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), scaled))
+            found.append(written(_sums(rows, left).select("a", "b", r.alias("r")).where(F.round(F.abs("r"), 4) >= threshold), "pairs"))
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "a INT, b INT, r DOUBLE")
+
+
+def _wide_pairs(df: DataFrame, num: list[str]) -> DataFrame:
+    """R4 of a wide frame: gap-free columns by screening, pairs with a gap in batches."""
+    spark = df.sparkSession
+    missing = lambda c: F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")))
+    gaps = df.agg(*[missing(c).alias(f"g{i}") for i, c in enumerate(num)]).first()
+    full = [c for i, c in enumerate(num) if not gaps[f"g{i}"]]
+    names = F.from_json(F.lit(json.dumps(full)), F.lit("array<string>"))
+    r = F.col("r")
+    out = strong_pairs(df, full).select(
+        F.get(names, F.col("a")).alias("column_1"), F.get(names, F.col("b")).alias("column_2"),
+        F.round(r, 4).alias("correlation"), F.round(F.abs(r), 4).alias("absolute_correlation")) if full else frame(spark, [], PAIRS_DDL)
+    some = set(num) - set(full)
+    pairs = ((a, b) for a, b in itertools.combinations(num, 2) if a in some or b in some)
+    while batch := list(itertools.islice(pairs, PAIRS_PER_SCAN // 10)):
+        out = out.unionByName(frame(spark, _pair_rows(correlations(df, batch)), PAIRS_DDL))
+    at = {c: i for i, c in enumerate(num)}
+    place = F.from_json(F.lit(json.dumps(at)), F.lit("map<string,int>"))
+    return out.orderBy(F.desc("absolute_correlation"), place[F.col("column_1")], place[F.col("column_2")])
+
+
+def _pair_rows(corr: dict[tuple[str, str], float | None]) -> list[dict]:
+    """Rows of the pairs whose rounded |r| reaches the threshold."""
+    rows = []
+    for (a, b), r in corr.items():
+        ar = round_half_away(abs(r), 4) if r is not None else None
+        if ar is not None and ar >= HIGH_CORRELATION:  # the threshold is on the rounded value
+            rows.append({"column_1": a, "column_2": b, "correlation": round_half_away(r, 4), "absolute_correlation": ar})
+    return rows
+
+
 def analyze_feature_relevance(df: DataFrame, target: str | None, schema_evidence) -> tuple[DataFrame, DataFrame]:
     """(feature evidence, high-correlation pairs)."""
     schema = _schema_rows(schema_evidence)
@@ -152,7 +291,8 @@ def analyze_feature_relevance(df: DataFrame, target: str | None, schema_evidence
     if target is not None and target in corr_cols:
         target_pairs = [(c, target) for c in corr_cols if c != target]
     num = numeric_columns(df)  # booleans left out of the pair matrix
-    matrix_pairs = list(itertools.combinations(num, 2))
+    wide = len(num) > SCREEN_FROM
+    matrix_pairs = [] if wide else list(itertools.combinations(num, 2))
     corr = correlations(df, list(dict.fromkeys(target_pairs + matrix_pairs)))
     n = None
     rows = []
@@ -182,17 +322,11 @@ def analyze_feature_relevance(df: DataFrame, target: str | None, schema_evidence
             "is_identifier_candidate": bool(info.get("is_identifier_candidate", False)),
             "correlation_with_target": round_half_away(r, 4) if r is not None else None,
         })
-    pair_rows = []
-    for a, b in matrix_pairs:
-        r = corr.get((a, b))
-        if r is None:
-            continue
-        ar = round_half_away(abs(r), 4)
-        if ar >= HIGH_CORRELATION:  # the threshold is on the rounded value
-            pair_rows.append({"column_1": a, "column_2": b, "correlation": round_half_away(r, 4), "absolute_correlation": ar})
-    pair_rows.sort(key=lambda p: -p["absolute_correlation"])
-    spark = df.sparkSession
-    return frame(spark, rows, EVIDENCE_DDL), frame(spark, pair_rows, PAIRS_DDL)
+    features = frame(df.sparkSession, rows, EVIDENCE_DDL)
+    if wide:
+        return features, _wide_pairs(df, num)
+    pair_rows = sorted(_pair_rows({p: corr.get(p) for p in matrix_pairs}), key=lambda p: -p["absolute_correlation"])
+    return features, frame(df.sparkSession, pair_rows, PAIRS_DDL)
 
 
 def relevance_counters(features: DataFrame, pairs: DataFrame, target: str | None) -> DataFrame:

@@ -2,13 +2,16 @@
 
 Evidence for all columns comes from one aggregate (missing counts, numeric and
 datetime parse counts under every candidate format), the shared table of value
-hashes (distinct and top counts) and one ranked pass for sample values. Conversions are
-one projection; duplicates are removed first, on the raw columns.
+hashes (distinct and top counts) and one narrow scan a column for its sample values, which
+come in file order where the frame is read from files. Conversions are one projection;
+duplicates are removed first, on the raw columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +22,7 @@ from frameprep.functions.coerce import (
     parse_datetime,
     type_name,
 )
+from frameprep.functions.locate import SEEN, row_locator
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.operators.duplicates import apply_duplicate_action
 from frameprep.functions.stats import order_exact, order_number, value_hashes
@@ -33,6 +37,8 @@ IDENTIFIER_PCT = 95.0
 SAMPLE_SIZE = 5
 # ---------------------------------------------------------------------------
 
+SAMPLE_COLUMNS = 50  # columns whose samples one job fetches
+
 EVIDENCE_DDL = (
     "column_name STRING, dtype STRING, total_count BIGINT, missing_count BIGINT, missing_percentage DOUBLE, "
     "unique_count BIGINT, unique_percentage DOUBLE, numeric_conversion_percentage DOUBLE, "
@@ -51,24 +57,29 @@ def _evidence_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
 
 
-def sample_values(df: DataFrame, cols: list[str], order_by: str | None = None, k: int = SAMPLE_SIZE) -> dict[str, str]:
-    """First ``k`` non-missing values of each column as text: by ``order_by`` (ties
-    by value), or the ``k`` smallest (with repeats) without an order. The rank
-    limit is applied per partition before the shuffle: k rows a column travel."""
-    if not cols:
-        return {}
-    key = F.col(order_by) if order_by is not None else F.lit(0)
-    items = []
+def sample_plan(df: DataFrame, cols: list[str], order_by: str | None = None, k: int = SAMPLE_SIZE) -> DataFrame:
+    """(column, value): the first ``k`` non-missing values of each column, in order. A
+    column is a scan of its own that reads nothing else and keeps ``k`` rows a task in a
+    heap (``TakeOrderedAndProject``): no row is sorted or shuffled."""
+    order = F.col(order_by) if order_by is not None else row_locator(df)
+    keys = [] if order is None else [order.alias(SEEN)]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    parts = []
     for c in cols:
-        dt = df.schema[c].dataType
-        items.append(F.struct(F.lit(c).alias("column"), normalise_value(F.col(c), dt).alias("value"),
-                              order_number(c, dt).alias("num"), order_exact(c, dt).alias("exact"), key.alias("key")))
-    long = df.select(F.explode(F.array(*items)).alias("s")).select("s.*").where(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy("key", F.asc_nulls_last("num"), F.asc_nulls_last("exact"), "value")
-    got: dict[str, list] = {}
-    for r in long.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).collect():
-        got.setdefault(r["column"], []).append((r["rk"], r["value"]))
-    return {c: ",".join(v for _, v in sorted(got.get(c, []))) for c in cols}
+        part = df.select(F.lit(c).alias("column"), normalise_value(F.col(c), types[c]).alias("value"), order_number(c, types[c]).alias("num"),
+                         order_exact(c, types[c]).alias("exact"), *keys).where(F.col("value").isNotNull())
+        parts.append(part.orderBy(*[SEEN] * len(keys), F.asc_nulls_last("num"), F.asc_nulls_last("exact"), "value").limit(k).select("column", "value"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def sample_values(df: DataFrame, cols: list[str], order_by: str | None = None, k: int = SAMPLE_SIZE) -> dict[str, str]:
+    """First ``k`` non-missing values of each column as text: by ``order_by`` (ties by value);
+    without it in file order; of a frame that does not come from files, the ``k`` smallest."""
+    got: dict[str, list[str]] = {c: [] for c in cols}
+    for at in range(0, len(cols), SAMPLE_COLUMNS):
+        for r in sample_plan(df, cols[at:at + SAMPLE_COLUMNS], order_by, k).collect():  # k rows a column, in order
+            got[r["column"]].append(r["value"])
+    return {c: ",".join(v) for c, v in got.items()}
 
 
 def analyze_schema(df: DataFrame, order_by: str | None = None, exact: bool = True) -> DataFrame:
@@ -98,7 +109,7 @@ def analyze_schema(df: DataFrame, order_by: str | None = None, exact: bool = Tru
 
         dist = distinct_counts(df, cols, exact=False)
         tops = {c: None for c in cols}
-        samples = sample_values(df, cols, order_by or cols[0]) if cols else {}
+        samples = sample_values(df, cols, order_by or (None if row_locator(df) is not None else cols[0])) if cols else {}
     rows = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType

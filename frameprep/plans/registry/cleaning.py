@@ -250,3 +250,16 @@ def q_to_datetime_fraction(spark, sf):
     """Fractions of a second, Z and offsets; offsets give the UTC wall time."""
     out = S.apply_schema_action(table(spark, sf, "events_time_text"), "ts_txt", "Convert to Datetime")
     return out.withColumnRenamed("ts_txt", "ts")
+
+
+FILE_ORDER_COLUMNS = ("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+
+
+@register(
+    "schema_samples_file_order",
+    union_all([f"""SELECT '{c}' AS column_name, string_agg(CAST({c} AS VARCHAR), ',' ORDER BY rn) AS sample_values
+                   FROM (SELECT {c}, row_number() OVER () AS rn FROM lineitem) WHERE rn <= 5""" for c in FILE_ORDER_COLUMNS]),
+)
+def q_schema_samples_file_order(spark, sf):
+    """C3 without an order column: the first values of each column as they stand in the file."""
+    return S.analyze_schema(table(spark, sf, "lineitem").select(*FILE_ORDER_COLUMNS)).select("column_name", "sample_values")

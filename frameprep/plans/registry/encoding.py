@@ -183,3 +183,27 @@ def q_one_hot_sparse(spark, sf):
 def q_encoding_candidates(spark, sf):
     found = E.encoding_candidates(table(spark, sf, "events"), target="value")
     return spark.createDataFrame([(c,) for c in found], "column_name STRING")
+
+
+@register(
+    "ordinal_encode_file_order",
+    """SELECT l_orderkey, l_linenumber, CAST(r.rk AS BIGINT) AS l_suppkey
+       FROM lineitem l JOIN (SELECT k, row_number() OVER (ORDER BY fst) - 1 AS rk
+                             FROM (SELECT l_suppkey k, min(rn) fst FROM (SELECT l_suppkey, row_number() OVER () AS rn FROM lineitem) GROUP BY 1)) r
+       ON l.l_suppkey = r.k""",
+)
+def q_ordinal_encode_file_order(spark, sf):
+    """E8 without an order column: codes in the order in which values first stand in the file."""
+    out = E.encode(table(spark, sf, "lineitem"), "l_suppkey", "Ordinal Encoding")
+    return out.select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@register(
+    "categorical_samples_file_order",
+    """SELECT 'user_id' AS column_name, string_agg(CAST(k AS VARCHAR), ',' ORDER BY fst) AS sample_categories
+       FROM (SELECT user_id k, min(rn) fst FROM (SELECT user_id, row_number() OVER () AS rn FROM events) GROUP BY 1 ORDER BY 2 LIMIT 20)""",
+)
+def q_categorical_samples_file_order(spark, sf):
+    """E2 without an order column: the first 20 different values as they stand in the file."""
+    ev = E.analyze_categorical_features(table(spark, sf, "events"), columns=["user_id"])
+    return ev.select("column_name", "sample_categories")

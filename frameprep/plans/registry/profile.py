@@ -275,3 +275,9 @@ def q_keep_duplicates(spark, sf):
 @register("remove_duplicates_nan", "SELECT DISTINCT event_type, CASE WHEN NOT isnan(v) THEN v END AS v FROM events_nan")
 def q_remove_duplicates_nan(spark, sf):
     return D.apply_duplicate_action(table(spark, sf, "events_nan"), "Remove Duplicates")
+
+
+@register("preview_file_order", "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER () AS rn FROM events) WHERE value > 100 ORDER BY rn LIMIT 20")
+def q_preview_file_order(spark, sf):
+    """S4 of a filtered frame without an order column: its first rows as they stand in the file."""
+    return P.preview(table(spark, sf, "events").where("value > 100"), 20)
