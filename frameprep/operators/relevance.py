@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from frameprep.functions.coerce import numeric_columns, type_name
 from frameprep.functions.report import frame, pct, round_half_away
 from frameprep.functions.stats import value_hashes
-from frameprep.functions.written import written
+from frameprep.functions.written import discard, written
 
 # --- fixed values -----------------------------------------------------------
 RELEVANCE_ACTIONS = ("Keep", "Drop", "Investigate")
@@ -39,7 +39,8 @@ HIGH_CORRELATION = 0.85
 PRODUCTS_PER_CHUNK = 400  # product sums a row adds up at a time; all chunks share one scan
 SCREEN_FROM = 100  # numeric columns above which pairs are screened
 PIVOTS, PIVOT_ROWS = 16, 512  # pivot columns, and rows that steer their choice (not the result)
-PAIRS_PER_SCAN = 100_000
+PAIRS_PER_SCAN = 400_000
+SCREEN_CHUNK = 64  # products of a screening sum: few enough for one compiled aggregate
 PART = 4  # one row in so many is in the part that is summed first
 
 EVIDENCE_DDL = (
@@ -158,7 +159,7 @@ def _pivot_columns(rows: DataFrame, k: int) -> list[int]:
 
 def _sums(rows: DataFrame, pairs: np.ndarray, by: tuple[str, ...] = ()) -> DataFrame:
     """(``by``, a, b, s): sums of products of the pairs (m x 2) of entries of ``v``, one scan."""
-    chunks = [pairs[i:i + PRODUCTS_PER_CHUNK] for i in range(0, len(pairs), PRODUCTS_PER_CHUNK)]
+    chunks = [pairs[i:i + SCREEN_CHUNK] for i in range(0, len(pairs), SCREEN_CHUNK)]
     table = F.from_json(F.lit(json.dumps([{"a": c[:, 0].tolist(), "b": c[:, 1].tolist()} for c in chunks])), F.lit("array<struct<a:array<int>,b:array<int>>>"))
     width = max(map(len, chunks))
     sums = rows.select("v", *by, F.posexplode(table).alias("chunk", "at")).groupBy("chunk", *by).agg(F.first("at").alias("at"), F.array(*[
@@ -188,20 +189,35 @@ def _possible(span: np.ndarray, least: float) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+def _packed(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns as one array (missing: NULL), written once: the scans that follow read one
+    column instead of planning them all again."""
+    xs = [F.col(c).cast("double") for c in cols]
+    return written(df.select(F.array(*[F.when(~F.isnan(x), x) for x in xs]).alias("v")), "columns")
+
+
 def strong_pairs(df: DataFrame, cols: list[str], threshold: float = HIGH_CORRELATION, counted: dict | None = None) -> DataFrame:
     """Pairs of gap-free columns whose rounded |r| reaches ``threshold``: a, b (positions in
-    ``cols``), r. ``counted`` gets the number of pairs summed over the part and over all rows.
+    ``cols``), r. ``counted`` gets the number of pairs summed over the part and over all rows."""
+    return _screened(_packed(df, cols), len(cols), threshold, counted)[0]
 
-    Scans: means; products with the pivots; then, for each batch of pairs left, the part of
-    the rows and, for what that leaves, all rows."""
-    spark, k = df.sparkSession, len(cols)
+
+def _screened(packed: DataFrame, k: int, threshold: float, counted: dict | None = None) -> tuple[DataFrame, list[int]]:
+    """(pairs, positions of the columns with gaps). Scans: means; products with the pivots; for
+    each batch of pairs left, the part of the rows and, for what that leaves, all rows."""
+    spark = packed.sparkSession
     least = threshold - 0.00005 - 1e-6
     counted = {} if counted is None else counted
     counted.update(pivots=0, part=0, whole=0)
-    xs = [F.col(c).cast("double") for c in cols]
-    means = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]).first()
-    rows = df.select(F.array(*[x - F.lit(means[f"m{i}"] or 0.0) for i, x in enumerate(xs)]).alias("v"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PART)) == 0)
+    facts = packed.select(F.posexplode("v").alias("c", "x")).groupBy("c").agg(F.avg("x").alias("m"), (F.count(F.lit(1)) - F.count("x")).alias("gaps")).collect()
+    means, gaps = [0.0] * k, []
+    for r in facts:  # one row a column
+        means[r["c"]] = r["m"] or 0.0
+        gaps += [r["c"]] * (r["gaps"] > 0)
+    centre = F.from_json(F.lit(json.dumps(means)), F.lit("array<double>"))
+    rows = packed.select(F.zip_with("v", centre, lambda x, m: F.coalesce(x - m, F.lit(0.0))).alias("v"))
+    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PART)) == 0), "centred")
+    discard(packed)
     pivots = _pivot_columns(rows, k)
     first = np.array([(c, c) for c in range(k)] + [(c, p) for c in range(k) for p in pivots])
     counted["pivots"] = len(first)
@@ -215,7 +231,7 @@ def strong_pairs(df: DataFrame, cols: list[str], threshold: float = HIGH_CORRELA
     keep = values > 1e-6
     span = to_pivots @ vectors[:, keep] / np.sqrt(values[keep])
     span[energy <= 0] = 0
-    alive = np.flatnonzero(energy > 0)  # a constant column has no correlation
+    alive = np.setdiff1d(np.flatnonzero(energy > 0), gaps)  # a constant column has no correlation
     at = lambda numbers: F.from_json(F.lit(json.dumps(numbers.tolist())), F.lit("array<double>"))
     rest = F.get(at(np.sqrt(np.maximum(0, 1 - share))), F.col("a")) * F.get(at(np.sqrt(np.maximum(0, 1 - share))), F.col("b"))
     scaled: Column = F.col("s") / F.get(at(norm), F.col("a")) / F.get(at(norm), F.col("b"))
@@ -231,24 +247,20 @@ def strong_pairs(df: DataFrame, cols: list[str], threshold: float = HIGH_CORRELA
             counted["whole"] += len(left)
             r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), scaled))
             found.append(written(_sums(rows, left).select("a", "b", r.alias("r")).where(F.round(F.abs("r"), 4) >= threshold), "pairs"))
-    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "a INT, b INT, r DOUBLE")
+    discard(rows)
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "a INT, b INT, r DOUBLE"), sorted(gaps)
 
 
 def _wide_pairs(df: DataFrame, num: list[str]) -> DataFrame:
     """R4 of a wide frame: gap-free columns by screening, pairs with a gap in batches."""
-    spark = df.sparkSession
-    missing = lambda c: F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")))
-    gaps = df.agg(*[missing(c).alias(f"g{i}") for i, c in enumerate(num)]).first()
-    full = [c for i, c in enumerate(num) if not gaps[f"g{i}"]]
-    names = F.from_json(F.lit(json.dumps(full)), F.lit("array<string>"))
-    r = F.col("r")
-    out = strong_pairs(df, full).select(
-        F.get(names, F.col("a")).alias("column_1"), F.get(names, F.col("b")).alias("column_2"),
-        F.round(r, 4).alias("correlation"), F.round(F.abs(r), 4).alias("absolute_correlation")) if full else frame(spark, [], PAIRS_DDL)
-    some = set(num) - set(full)
+    names = F.from_json(F.lit(json.dumps(num)), F.lit("array<string>"))
+    strong, gaps = _screened(_packed(df, num), len(num), HIGH_CORRELATION)
+    out = strong.select(F.get(names, F.col("a")).alias("column_1"), F.get(names, F.col("b")).alias("column_2"),
+                        F.round("r", 4).alias("correlation"), F.round(F.abs("r"), 4).alias("absolute_correlation"))
+    some = {num[c] for c in gaps}
     pairs = ((a, b) for a, b in itertools.combinations(num, 2) if a in some or b in some)
-    while batch := list(itertools.islice(pairs, PAIRS_PER_SCAN // 10)):
-        out = out.unionByName(frame(spark, _pair_rows(correlations(df, batch)), PAIRS_DDL))
+    while batch := list(itertools.islice(pairs, PAIRS_PER_SCAN // 40)):
+        out = out.unionByName(frame(df.sparkSession, _pair_rows(correlations(df, batch)), PAIRS_DDL))
     at = {c: i for i, c in enumerate(num)}
     place = F.from_json(F.lit(json.dumps(at)), F.lit("map<string,int>"))
     return out.orderBy(F.desc("absolute_correlation"), place[F.col("column_1")], place[F.col("column_2")])

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from frameprep.functions.written import written
 from frameprep.operators import neighbours as K
 from frameprep.operators import relevance as R
 
@@ -84,11 +85,13 @@ def _wide(n, k, seed):
 
 
 def test_two_thousand_columns(spark):
-    n, k = 400, 2000
+    n, k = 200, 2000
     data = _wide(n, k, 1)
-    df = spark.createDataFrame(pd.DataFrame({"v": list(data.to_numpy())})).select(*[F.get("v", F.lit(j)).alias(f"c{j}") for j in range(k)])
+    packed = written(spark.createDataFrame([(r,) for r in data.to_numpy().tolist()], "v ARRAY<DOUBLE>").repartition(2), "columns")
     counted = {}
-    got = {(r["a"], r["b"]): r["r"] for r in R.strong_pairs(df, df.columns, counted=counted).collect()}
+    found, gaps = R._screened(packed, k, 0.85, counted)
+    got = {(r["a"], r["b"]): r["r"] for r in found.collect()}
+    assert not gaps
     corr = np.nan_to_num(np.corrcoef(data.to_numpy()[:, :-2].T))
     a, b = np.nonzero(np.triu(np.round(np.abs(corr), 4) >= 0.85, 1))
     assert set(got) == set(zip(a.tolist(), b.tolist())) and len(got) > 10_000
