@@ -4,9 +4,12 @@ Read every column as text, turn the missing-value words into NULL, then infer
 each column's type from one aggregate over all columns: all values integers that
 fit -> BIGINT (with a missing value -> DOUBLE, unless a value would lose digits),
 all numbers -> DOUBLE, all boolean words -> BOOLEAN, no value at all -> DOUBLE,
-else STRING. Quoted fields may hold separators, doubled quotes and line breaks;
-a file read that way is one split, so ``multiline=False`` reads files that are
-known to hold no line breaks in parallel by byte range. Dates stay text (the
+else STRING. Quoted fields may hold separators, doubled quotes and line breaks. Files are
+read by byte ranges in parallel: a narrow scan looks for a line that leaves a quoted
+field open; without one every line is a record, with one ``records`` joins the lines
+of a record. ``multiline=False`` skips that scan for files known to hold no such breaks.
+Reader options other than the separator use Spark's own multi-line reader (one split a
+file). Dates stay text (the
 schema stage offers the conversion). Spark's own ``inferSchema`` is not used:
 it turns dates into timestamps and knows a single null word.
 """
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameprep.functions.coerce import NA_WORDS, NUMBER_PATTERN, text_to_number
+from frameprep.sources.records import has_quoted_breaks, read_quoted_csv
 
 # --- fixed values -----------------------------------------------------------
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
@@ -27,6 +31,11 @@ EXACT_DOUBLE = 2 ** 53  # larger integers may lose digits as DOUBLE
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = True, **options) -> DataFrame:
+    sep = options.get("sep", ",")
+    if multiline and set(options) <= {"sep"} and len(sep) == 1:
+        if has_quoted_breaks(spark, path, sep):
+            return infer_types(read_quoted_csv(spark, path, sep))
+        multiline = False
     raw = (
         spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
         .option("quote", '"').option("escape", '"').option("multiLine", multiline).options(**options).csv(path)
