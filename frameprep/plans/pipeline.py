@@ -61,7 +61,8 @@ class FittedPlan:
 
 def check_plan(steps: list[Step], target: str | None, df: DataFrame | None = None, order_by: str | None = None) -> None:
     """Closed action sets, target guards, and (with the frame's schema) fills that
-    fit the column's type and targets that can be resampled; raises before any job runs.
+    fit the column's type and targets that can be resampled; raises before any step runs.
+    Only the number of classes of a numeric or date target needs the data: one aggregate.
 
     A column whose type an earlier step changes is checked by the type it gets."""
     types = {f.name: f.dataType for f in df.schema.fields} if df is not None else {}
@@ -95,7 +96,7 @@ def check_plan(steps: list[Step], target: str | None, df: DataFrame | None = Non
                 raise ValueError(f"Unknown imbalance action: {st.imbalance_action}")
             if st.imbalance_action != "No Action" and target is None:
                 raise ValueError("Imbalance handling needs a target column")
-            if st.imbalance_action != "No Action" and isinstance(types.get(target), (T.FractionalType, T.DatetimeType)) \
+            if st.imbalance_action != "No Action" and isinstance(types.get(target), (T.NumericType, T.DatetimeType)) \
                     and df is not None and B.target_facts(df, target)["problem_type"] != "Classification":
                 raise ValueError(f"{st.imbalance_action} is only for classification targets")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from frameprep.functions.fingerprint import fingerprint
 from frameprep.functions.report import fixed
 from frameprep.operators import profile as P
-from frameprep.plans.pipeline import Plan, Step, recommend_all
+from frameprep.plans.pipeline import Plan, Step, check_plan, recommend_all
 from frameprep.plans.registry.profile import _profile_columns_sql
 from frameprep.plans.registry.recommend import auto_plan_sql
 from frameprep.plans.registry.sqlkit import fx, union_all
@@ -148,3 +148,28 @@ def q_csv_quoted(spark, sf):
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     got = read_csv(spark, path)
     return got.select("doc_id", F.md5("text").alias("text_md5"), "lang", "long_key")
+
+
+PLAN_TARGETS = {"o_custkey": True, "o_totalprice": True, "o_orderdate": True, "o_orderstatus": False, "o_orderpriority": False}
+
+
+@register(
+    "plan_checks",
+    union_all([f"""SELECT '{c}' AS target, {f"count(DISTINCT {c}) <= 10" if counted else "count(*) >= 0"} AS resampling_accepted,
+                          {"true" if c in ("o_custkey", "o_totalprice") else "false"} AS target_encoding_accepted FROM orders"""
+               for c, counted in PLAN_TARGETS.items()]),
+)
+def q_plan_checks(spark, sf):
+    """What the plan check says about resampling by each target, and about encoding by its means, before any step runs."""
+    df = table(spark, sf, "orders")
+
+    def accepted(step, target):
+        try:
+            check_plan([step], target, df)
+        except ValueError:
+            return False
+        return True
+
+    rows = [(c, accepted(Step("imbalance", imbalance_action="SMOTE"), c), accepted(Step("encoding", [("o_orderkey", "Target Encoding")]), c))
+            for c in PLAN_TARGETS]
+    return spark.createDataFrame(rows, "target STRING, resampling_accepted BOOLEAN, target_encoding_accepted BOOLEAN")

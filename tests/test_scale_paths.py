@@ -229,6 +229,10 @@ def test_plan_checks_know_the_schema(spark):
     check_plan([Step("schema", [("c", "Convert to Numeric")]), Step("missing", [("c", "Mean")])], None, df)
     with pytest.raises(ValueError, match="numeric target"):
         check_plan([Step("encoding", [("y", "Target Encoding")])], "c", df)
+    many = spark.range(40).withColumnRenamed("id", "t")
+    with pytest.raises(ValueError, match="classification"):
+        check_plan([Step("imbalance", imbalance_action="SMOTE")], "t", many)
+    check_plan([Step("imbalance", imbalance_action="SMOTE")], "t", many.where("t < 5"))
 
 
 def test_fitted_plan_replays(spark):
