@@ -12,12 +12,13 @@ The k best of each block are merged per query.
 
 Queries and candidates meet in blocks of bounded size, so memory is bounded and
 every block pair is a task of its own. Equal vectors share one candidate with
-their k + 1 smallest ids, so a vector that a third of all rows share costs one.
+their smallest ids, so many that k rows stay without those of any one id; a vector
+that a third of all rows share costs one.
 
 Cases: null vectors and vectors with null or non-finite components take no part;
 ties go to the smaller id; vectors of other lengths are padded with zeros; a row
-that repeats a vec_id is a candidate of its own but never of a query with that
-id; fewer than k candidates give fewer ranks; extra columns are ignored.
+that repeats a vec_id is a candidate and a query of its own, but no candidate of a
+query with that id; fewer than k candidates give fewer ranks; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,7 +73,9 @@ class SortedLists:
         by = np.argsort(group, kind="stable")
         starts = np.searchsorted(group[by], np.arange(len(first)))
         ends = np.append(starts[1:], len(by))
-        self.ids = [ids[by[a:min(b, a + k + 1)]] for a, b in zip(starts, ends)]
+        self.ids = [_enough(ids[by[a:b]], k) for a, b in zip(starts, ends)]
+        own, vectors = np.unique(np.concatenate([np.unique(i) for i in self.ids]) if len(first) else ids, return_counts=True)
+        self.repeats = dict(zip(own[vectors > 1].tolist(), vectors[vectors > 1].tolist()))  # ids on several vectors
         up = np.argsort(self.x, axis=0, kind="stable")
         self.rank = np.empty(up.shape, np.int32)
         np.put_along_axis(self.rank, up, np.arange(len(up), dtype=np.int32)[:, None], axis=0)
@@ -99,7 +102,8 @@ class SortedLists:
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray) -> list[list[tuple[int, int]]]:
         """(score, id) of the k best candidates of each query, other than rows of its own id."""
-        n, need = len(self.x), self.k + 1  # one candidate may be the query's own vector
+        # of the candidates, those of the query's own id do not count: one vector, or more if the id is repeated
+        n, need = len(self.x), self.k + max((self.repeats.get(i, 1) for i in query_ids.tolist()), default=1)
         up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
         depths, depth = [], (n + 1) // 2
         while n > need and depth < n:
@@ -148,6 +152,19 @@ class SortedLists:
         return out
 
 
+def _enough(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of the sorted ids of one vector, the first that hold k rows besides those of any one id."""
+    if len(ids) <= k + 1:
+        return ids
+    _, first, count = np.unique(ids, return_index=True, return_counts=True)
+    nth = np.arange(len(ids)) - np.repeat(first, count)
+    ids = ids[nth < k]  # more than k rows of one id add nothing
+    _, count = np.unique(ids, return_counts=True)
+    kept = np.cumsum(count)
+    done = np.flatnonzero(kept - np.maximum.accumulate(count) >= k)
+    return ids[:kept[done[0]]] if len(done) else ids
+
+
 def _block_pair(k: int):
     def run(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
@@ -160,9 +177,9 @@ def _block_pair(k: int):
             if whole:  # sums beyond exact floats: Python integers
                 lists.x, lists.sorted, qs = (m.astype(int).astype(object) for m in (lists.x, lists.sorted, qs))
             ids = queries["vec_id"].to_numpy()
-            for i, found in zip(ids, lists.best(ids, qs if whole else qs.astype(float))):
-                out += [(int(i), c, s) for s, c in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            for i, row, found in zip(ids, queries["qrow"], lists.best(ids, qs if whole else qs.astype(float))):
+                out += [(int(row), int(i), c, s) for s, c in found]
+        return pd.DataFrame(out, columns=["qrow", "query_id", "vec_id", "score"]).astype("int64")
     return run
 
 
@@ -171,17 +188,18 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id
     """query_id, rank, vec_id, score: the k best of every query row (``is_query``: Column over ``vec_id``)."""
     packed = staged(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col)).mapInArrow(
         _packer(scale), "vec_id long, vec binary"), "vectors")
-    queries = packed.where(is_query)
+    # a number for each query row, fixed by writing it: rows that repeat an id are queries of their own
+    queries = staged(packed.where(is_query).withColumn("qrow", F.monotonically_increasing_id()), "queries")
     blocks = max(1, -(-packed.count() // candidate_block))
     groups = max(1, -(-queries.count() // query_block))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", "vec", F.lit(salt)), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # repeated rows must not land in one block twice as hot: rows are dealt by id, ids are dealt evenly
     left = queries.withColumn("qb", deal(groups, "q")).withColumn("cb", spread(blocks))
     right = packed.withColumn("cb", deal(blocks, "c")).withColumn("qb", spread(groups))
     best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(
-        _block_pair(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        _block_pair(k), "qrow long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

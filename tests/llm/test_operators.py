@@ -184,6 +184,18 @@ def test_top_k(spark, sizes):
     assert topk.exact_top_k(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(25, 3), (16_384, 2_048)])
+def test_top_k_with_repeated_ids(spark, sizes):
+    rnd = random.Random(12)
+    vec = lambda: [rnd.randrange(-3, 4) / 4 for _ in range(4)]
+    rows = [(0, [1.0, 1.0, 0.0, 0.0]), (0, [1.0, 1.0, 0.0, 0.0])] + [(i, [1.0, 1.0, 0.0, 0.0]) for i in range(1, 13)]
+    rows += [(20, vec()) for _ in range(15)] + [(5, [1.0, 1.0, 0.0, 0.0])] * 14 + [(40, [2.0, 2.0, 0.0, 0.0])] * 3 + [(k, vec()) for k in range(100, 160)]
+    df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>").repartition(3)
+    for k in (1, 10):
+        got = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k, candidate_block=sizes[0], query_block=sizes[1])
+        assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute_top_k(rows, lambda i: i % 20 == 0, k)
+
+
 def test_top_k_stops_early_and_stays_exact(spark):
     rnd = np.random.default_rng(6)
     x = np.floor(rnd.normal(size=(3000, 5)) ** 3 * 100).astype("<i8")
