@@ -36,6 +36,19 @@ DATETIME_FORMATS = (
     ("MMM dd, yyyy", "%b %d, %Y"),
     ("dd MMMM yyyy", "%d %B %Y"),
     ("MMMM dd, yyyy", "%B %d, %Y"),
+    ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
+    ("yyyy-MM-dd'T'HH:mm", "%Y-%m-%dT%H:%M"),
+    ("yyyy/MM/dd HH:mm:ss", "%Y/%m/%d %H:%M:%S"),
+    ("yyyy/MM/dd HH:mm", "%Y/%m/%d %H:%M"),
+    ("MM/dd/yyyy HH:mm:ss", "%m/%d/%Y %H:%M:%S"),
+    ("MM/dd/yyyy HH:mm", "%m/%d/%Y %H:%M"),
+    ("dd/MM/yyyy HH:mm:ss", "%d/%m/%Y %H:%M:%S"),
+    ("dd/MM/yyyy HH:mm", "%d/%m/%Y %H:%M"),
+    ("MM/dd/yyyy hh:mm:ss a", "%m/%d/%Y %I:%M:%S %p"),
+    ("MM/dd/yyyy hh:mm a", "%m/%d/%Y %I:%M %p"),
+    ("yyyy-MM-dd hh:mm:ss a", "%Y-%m-%d %I:%M:%S %p"),
+    ("yyyy-MM-dd hh:mm a", "%Y-%m-%d %I:%M %p"),
+    ("yyyyMMdd", "%Y%m%d"),
 )
 # What may follow the seconds of a time: a fraction, then Z or an offset from UTC.
 TIME_TAIL = r"(\.\d{1,9})?\s*(Z|[+-]\d{2}:?\d{2})?"
@@ -53,6 +66,19 @@ DATETIME_SHAPES = {
     "MMM dd, yyyy": r"^\s*[A-Za-z]{3} \d{1,2}, \d{4}\s*$",
     "dd MMMM yyyy": r"^\s*\d{1,2} [A-Za-z]{3,9} \d{4}\s*$",
     "MMMM dd, yyyy": r"^\s*[A-Za-z]{3,9} \d{1,2}, \d{4}\s*$",
+    "yyyy-MM-dd HH:mm": r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}\s*$",
+    "yyyy-MM-dd'T'HH:mm": r"^\s*\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}\s*$",
+    "yyyy/MM/dd HH:mm:ss": r"^\s*\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}" + TIME_TAIL + r"\s*$",
+    "yyyy/MM/dd HH:mm": r"^\s*\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}\s*$",
+    "MM/dd/yyyy HH:mm:ss": r"^\s*\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}" + TIME_TAIL + r"\s*$",
+    "MM/dd/yyyy HH:mm": r"^\s*\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}\s*$",
+    "dd/MM/yyyy HH:mm:ss": r"^\s*\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}" + TIME_TAIL + r"\s*$",
+    "dd/MM/yyyy HH:mm": r"^\s*\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}\s*$",
+    "MM/dd/yyyy hh:mm:ss a": r"^\s*\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2} [AaPp][Mm]\s*$",
+    "MM/dd/yyyy hh:mm a": r"^\s*\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2} [AaPp][Mm]\s*$",
+    "yyyy-MM-dd hh:mm:ss a": r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2} [AaPp][Mm]\s*$",
+    "yyyy-MM-dd hh:mm a": r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2} [AaPp][Mm]\s*$",
+    "yyyyMMdd": r"^\s*\d{8}\s*$",
 }
 # Column names that are time parts and are never scaled.
 TEMPORAL_NAMES = ("year", "date", "month", "day", "timestamp")

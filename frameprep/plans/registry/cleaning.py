@@ -263,3 +263,9 @@ FILE_ORDER_COLUMNS = ("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
 def q_schema_samples_file_order(spark, sf):
     """C3 without an order column: the first values of each column as they stand in the file."""
     return S.analyze_schema(table(spark, sf, "lineitem").select(*FILE_ORDER_COLUMNS)).select("column_name", "sample_values")
+
+
+@register("to_datetime_minutes", "SELECT event_id, date_trunc('minute', ts) AS ts_txt FROM events")
+def q_to_datetime_minutes(spark, sf):
+    """Times without seconds."""
+    return S.apply_schema_action(table(spark, sf, "events_minute_text"), "ts_txt", "Convert to Datetime").select("event_id", "ts_txt")

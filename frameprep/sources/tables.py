@@ -64,6 +64,9 @@ DERIVED = {
                               WHEN event_type = 'error' THEN CAST(ts AS STRING) || 'Z'
                               ELSE CAST(ts AS STRING) END AS ts_txt
         FROM events""",
+    # times as text, without seconds
+    "events_minute_text": """
+        SELECT event_id, substr(CAST(ts AS STRING), 1, 16) AS ts_txt FROM events""",
     # constant, near-constant, identifier and perfectly correlated columns
     "part_wide": """
         SELECT p_partkey, p_size, p_retailprice, p_brand,

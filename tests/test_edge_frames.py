@@ -206,3 +206,20 @@ def test_duplicate_count_matches_pandas(spark):
     pdf = pd.DataFrame(rows, columns=["x", "s"])
     n, dup = D.duplicate_count(df)
     assert n == len(rows) and dup == int(pdf.duplicated().sum()) == 3
+
+
+def test_datetimes_without_seconds_with_halves_of_the_day_and_in_digits(spark):
+    import datetime as dt
+
+    cases = {
+        "minute": (["2024-01-02 03:04", "2024-05-02 13:04", "x"], [dt.datetime(2024, 1, 2, 3, 4), dt.datetime(2024, 5, 2, 13, 4), None]),
+        "t": (["2024-01-02T03:04", None, ""], [dt.datetime(2024, 1, 2, 3, 4), None, None]),
+        "us": (["01/30/2024 03:04 PM", "02/01/2024 12:00 AM", "1"], [dt.datetime(2024, 1, 30, 15, 4), dt.datetime(2024, 2, 1), None]),
+        "half": (["2024-01-02 11:59:58 pm", "2024-01-02 12:00:00 PM", "no"], [dt.datetime(2024, 1, 2, 23, 59, 58), dt.datetime(2024, 1, 2, 12), None]),
+        "digits": (["20240229", "20231301", "2024022"], [dt.datetime(2024, 2, 29), None, None]),
+        "slash": (["31/01/2024 23:10:05.5", "30/01/2024 01:02:03", "x"], [dt.datetime(2024, 1, 31, 23, 10, 5, 500_000), dt.datetime(2024, 1, 30, 1, 2, 3), None]),
+    }
+    df = spark.createDataFrame([(k, *[cases[c][0][k] for c in cases]) for k in range(3)], "k INT, " + ", ".join(f"{c} STRING" for c in cases))
+    for c, (_, want) in cases.items():
+        got = S.apply_schema_action(df, c, "Convert to Datetime").orderBy("k").collect()
+        assert [r[c] for r in got] == want, c
