@@ -7,8 +7,8 @@
                        What the driver fetches is bounded over all columns.
 * ``value_hashes``     (column, hash) -> count behind distinct and top counts: a
                        value's 128-bit hash is shuffled, never its text.
-* ``value_frequencies`` the (column, value) -> count table behind modes and top
-                       lists, where the texts are the answer.
+* ``value_keys``       the same with the head of each value, behind modes and top
+                       lists (``top_values``); whole texts are fetched for winners only.
                        Both have a map-side combine, so a hot value costs nothing.
 """
 
@@ -17,15 +17,17 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameprep.functions.coerce import as_number, normalise_value
+from frameprep.functions.written import discard, written
 
 APPROX_ACCURACY = 10_000
 HIST_BUCKETS = 2048
 HIST_ROWS_MAX = 262_144  # bucket rows one round may bring to the driver
+HEAD = 48  # characters of a value that travel with its hash; holds every number, date and short name
 FETCH_TOTAL = 1_000_000  # values all quantiles of a call may bring to the driver together
 
 
@@ -263,27 +265,122 @@ def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accurac
     return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None for _ in probs]) for i, c in enumerate(cols)}
 
 
-def value_frequencies(df: DataFrame, cols: list[str], keep_null: bool = False) -> DataFrame:
-    """(column, value, num, cnt) for every distinct non-missing value of each column.
+def value_keys(df: DataFrame, cols: list[str], heads: dict[str, list[str]] | None = None, width: int = HEAD) -> DataFrame:
+    """(column, h, g, head, whole, num, exact, cnt) for every distinct non-missing value.
 
-    ``value`` is the text form used for equality (NaN missing, -0.0 = 0.0),
-    ``num`` the numeric value for numeric columns so ties can be ordered by the
-    typed value. One ``groupBy`` with partial aggregation: a value that holds a
-    third of the rows is collapsed on the map side before the shuffle.
+    A value is named by its 128-bit hash (equality of the text form: NaN missing,
+    -0.0 = 0.0); ``head`` is its first ``width`` characters and ``whole`` says that
+    there are no more, so a long text never crosses the network. ``num`` and ``exact``
+    order numbers by their typed value. ``heads`` (of one length) keeps, per column, the
+    longer values that begin with one of them: all rows of such a value are kept, so
+    counts stay right.
+    One ``groupBy`` with partial aggregation collapses a hot value before the shuffle.
     """
     items = []
     for c in cols:
         dt = df.schema[c].dataType
         v = normalise_value(F.col(c), dt)
-        items.append(F.struct(F.lit(c).alias("column"), v.alias("value"), order_number(c, dt).alias("num"),
-                              order_exact(c, dt).alias("exact")))
-    exploded = df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
-    if not keep_null:
-        exploded = exploded.where(F.col("value").isNotNull())
-    return exploded.groupBy("column", "value").agg(
+        if heads is not None:
+            size = len(heads[c][0])
+            v = F.when(F.substring(v, 1, size).isin(heads[c]) & (F.length(v) > size), v)
+        items.append(F.struct(
+            F.lit(c).alias("column"), *_hashes(v), F.substring(v, 1, width).alias("head"),
+            (F.length(v) <= width).alias("whole"), order_number(c, dt).alias("num"), order_exact(c, dt).alias("exact")))
+    exploded = df.select(F.explode(F.array(*items)).alias("s")).select("s.*").where(F.col("head").isNotNull())
+    # the hash fixes head and whole: as keys they stay in the hash aggregate, as first() they would be sorted
+    return exploded.groupBy("column", "h", "g", "head", "whole").agg(
         F.first("num").alias("num"), F.first("exact").alias("exact"), F.count(F.lit(1)).alias("cnt"))
 
 
+TOP_DDL = "column_name STRING, rank BIGINT, value STRING, count BIGINT"
+
+
+def top_values(df: DataFrame, cols: list[str], k: int) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """The k most frequent values per column, ties to the smallest typed value, as a
+    frame (column_name, rank, value, count); and (distinct values, non-missing rows) per column.
+
+    Values are counted by hash, and heads settle the order. Several long values with
+    one count and one head are told apart by grouping again, with longer heads, only the
+    values that begin like them. The driver holds at most k groups per column and
+    tie, and no long text: those of the winners are fetched, by their hashes, from the
+    rows where they stand.
+    """
+    if not cols:
+        return df.sparkSession.createDataFrame([], TOP_DDL), {}
+    keys = written(value_keys(df, cols), "keys")
+    counts = {r["column"]: (r["d"], r["n"]) for r in
+              keys.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n")).collect()}
+    won: dict[str, list] = {c: [] for c in cols}
+    got = defaultdict(list)
+    for r in _best_groups(keys, ["column"], k).collect():
+        got[r["column"]].append(r)
+    discard(keys)
+    tied = [t for c in cols for t in _settle(got[c], k, won[c])]
+    width = HEAD
+    while tied:
+        size, width = width, width * 8
+        heads = defaultdict(list)
+        for r, _, _ in tied:
+            heads[r["column"]].append(r["head"])
+        deeper = value_keys(df, list(heads), heads, width).withColumn("start", F.substring("head", 1, size))
+        got = defaultdict(list)
+        for r in _best_groups(deeper, ["column", "cnt", "start"], max(n for _, n, _ in tied)).collect():
+            got[r["column"], r["cnt"], r["start"]].append(r)
+        tied = [t for r, n, place in tied for t in _settle(got[r["column"], r["cnt"], r["head"]], n, place)]
+    return _with_texts(df, {c: _flat(slots) for c, slots in won.items()}), counts
+
+
+def _best_groups(keys: DataFrame, within: list[str], k: int) -> DataFrame:
+    """The first k groups of values alike in count, number and head, in order of rank."""
+    order = [F.desc("cnt"), F.asc_nulls_last("num"), F.asc_nulls_last("exact"), F.asc("head"), F.desc("whole")]
+    groups = keys.groupBy(*dict.fromkeys([*within, "column", "cnt", "num", "exact", "head", "whole"])).agg(
+        F.count(F.lit(1)).alias("n"), F.first("h").alias("h"), F.first("g").alias("g"))
+    return groups.withColumn("r", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("r") <= k)
+
+
+def _settle(groups: list, places: int, slots: list) -> list[tuple]:
+    """Fill ``slots`` with the groups that take the places; a group of several values gets a
+    list of its own, returned as (group, places, list) to be settled by longer heads."""
+    tied = []
+    for r in sorted(groups, key=lambda r: r["r"]):
+        taken = min(r["n"], places)
+        if taken and r["n"] == 1:
+            slots.append(r)
+        elif taken:
+            slots.append([])
+            tied.append((r, taken, slots[-1]))
+        places -= taken
+    return tied
+
+
+def _flat(slots: list) -> list:
+    return [r for s in slots for r in (_flat(s) if isinstance(s, list) else [s])]
+
+
+def _with_texts(df: DataFrame, won: dict[str, list]) -> DataFrame:
+    """Winners as a frame; the texts that are longer than their heads come from the rows."""
+    spark = df.sparkSession
+    rows = [(c, i, r["head"] if r["whole"] else None, r["cnt"], r["h"], r["g"])
+            for c, winners in won.items() for i, r in enumerate(winners, 1)]
+    table = spark.createDataFrame(rows, TOP_DDL + ", h BIGINT, g BIGINT")
+    long = {c: [r["h"] for r in winners if not r["whole"]] for c, winners in won.items()}
+    items = []
+    for c in [c for c in won if long[c]]:
+        v = normalise_value(F.col(c), df.schema[c].dataType)
+        h, g = _hashes(v)
+        items.append(F.when(h.isin(long[c]), F.struct(F.lit(c).alias("c"), h, g, v.alias("v"))))
+    if not items:
+        return table.drop("h", "g")
+    found = df.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("s")).select("s.*")
+    texts = found.groupBy(F.col("c").alias("column_name"), "h", "g").agg(F.min("v").alias("text"))
+    return table.join(texts, ["column_name", "h", "g"], "left").select(
+        "column_name", "rank", F.coalesce("value", "text").alias("value"), "count")
+
+
+def _hashes(v: Column) -> tuple[Column, Column]:
+    return F.xxhash64(v).alias("h"), F.xxhash64(F.lit(1), v).alias("g")
+
+
 def order_number(c: str, dt: T.DataType) -> Column:
     """The value as DOUBLE for ordering; NULL for other types."""
     return F.col(c).cast("double") if isinstance(dt, T.NumericType) else F.lit(None).cast("double")
@@ -301,8 +398,7 @@ def value_hashes(df: DataFrame, cols: list[str], keep_null: bool = False) -> Dat
     items = []
     for c in cols:
         v = normalise_value(F.col(c), df.schema[c].dataType)
-        items.append(F.struct(F.lit(c).alias("column"), F.xxhash64(v).alias("h"),
-                              F.xxhash64(F.lit(1), v).alias("g"), v.isNull().alias("missing")))
+        items.append(F.struct(F.lit(c).alias("column"), *_hashes(v), v.isNull().alias("missing")))
     exploded = df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
     if not keep_null:
         exploded = exploded.where(~F.col("missing"))

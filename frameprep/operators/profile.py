@@ -2,19 +2,19 @@
 
 The dataset profile takes per-column missing counts from one scan and the
 duplicate rows from the hash-first exact count in ``duplicates``. Distinct
-counts, modes and top lists come from the shared value-frequency table.
+counts, modes and top lists come from counts of hashed values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameprep.functions.coerce import is_numeric_type, normalise_value, type_name
 from frameprep.functions.locate import SEEN, with_order
 from frameprep.functions.report import frame, pct, round_half_away
-from frameprep.functions.stats import exact_quantiles, moments, value_frequencies, value_hashes
+from frameprep.functions.stats import exact_quantiles, moments, top_values, value_hashes
 
 TOP_K = 10
 
@@ -147,45 +147,29 @@ def numeric_summaries(df: DataFrame, cols: list[str], approx: bool = False) -> D
 
 
 def ranked_values(df: DataFrame, cols: list[str], k: int = TOP_K) -> DataFrame:
-    """Top-k values per column by (count desc, typed value asc).
-
-    ``row_number() <= k`` lets Spark put a per-partition group limit before the
-    shuffle, so a column with millions of values only ships k rows per task.
-    """
-    freq = value_frequencies(df, cols)
-    w = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc_nulls_last("num"), F.asc_nulls_last("exact"), F.asc("value"))
-    return (
-        freq.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select(F.col("column").alias("column_name"), F.col("rank").cast("bigint").alias("rank"), "value",
-                F.col("cnt").alias("count"))
-    )
+    """Top-k values per column by (count desc, typed value asc); counted by hash, and
+    only the winners' texts are fetched."""
+    return top_values(df, cols, k)[0]
 
 
 def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Mode per column: most frequent, ties to the smallest typed value.
-    A plain aggregate over the frequency table (partial + final)."""
-    freq = value_frequencies(df, cols)
-    best = F.min(F.struct((-F.col("cnt")).alias("nc"), "num", "exact", "value"))
-    return freq.groupBy("column").agg(
-        best.alias("b"), F.count(F.lit(1)).alias("unique_values"), F.sum("cnt").alias("non_missing")
-    ).select(
-        F.col("column").alias("column_name"),
-        F.col("b.value").alias("mode"),
-        (-F.col("b.nc")).alias("mode_count"),
-        "unique_values",
-        "non_missing",
-    )
+    """Mode per column (most frequent, ties to the smallest typed value) with its count,
+    the distinct values and the non-missing rows."""
+    top, counts = top_values(df, cols, 1)
+    totals = df.sparkSession.createDataFrame(
+        [(c, d, n) for c, (d, n) in counts.items()], "column_name STRING, unique_values BIGINT, non_missing BIGINT")
+    return top.join(F.broadcast(totals), "column_name").select(
+        "column_name", F.col("value").alias("mode"), F.col("count").alias("mode_count"), "unique_values", "non_missing")
 
 
 def categorical_summary(df: DataFrame, column: str, k: int = TOP_K) -> DataFrame:
     """Top-k value counts, distinct count and mode of one column."""
     if column not in df.columns:
         raise ValueError(f"no column named '{column}'")
-    modes = column_modes(df, [column])
-    top = ranked_values(df, [column], k)
-    out = top.join(modes.select("column_name", F.col("mode").alias("most_frequent"), "unique_values"), "column_name")
-    return out
+    top, counts = top_values(df, [column], max(k, 1))
+    mode = top.where(F.col("rank") == 1).select(F.col("value").alias("most_frequent"), "column_name")
+    return top.where(F.col("rank") <= k).join(F.broadcast(mode), "column_name").withColumn(
+        "unique_values", F.lit(counts.get(column, (0, 0))[0]).cast("bigint"))
 
 
 def missingness_by_category(df: DataFrame, target: str, grouping: str) -> DataFrame:

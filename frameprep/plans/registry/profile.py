@@ -239,6 +239,12 @@ def q_categorical_summary_roles(spark, sf):
     return P.categorical_summary(table(spark, sf, "conversations"), "role")
 
 
+@register("categorical_summary_texts", _categorical_summary_sql("documents", "text"))
+def q_categorical_summary_texts(spark, sf):
+    """The most frequent whole texts (a top list is the feature), ties by text."""
+    return P.categorical_summary(table(spark, sf, "documents"), "text")
+
+
 @register("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20")
 def q_preview(spark, sf):
     return P.preview(table(spark, sf, "orders"), 20, "o_orderkey")
