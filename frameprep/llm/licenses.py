@@ -1,17 +1,21 @@
 """Licence scan by a positional rare-token index.
 
 The index holds the licence templates: word -> (template, position). Each word
-is weighted by its inverse document frequency over all scanned documents. A
-file's words are looked up among each template's rarest words; a posting at
-template position q met at file position p proposes the alignment p - q.
-Proposals are intersected by relative position (every rare word of the template
-must agree on the alignment, within a few words), and an alignment counts only
-when the template's mandatory key phrases stand there.
+is weighted by its inverse document frequency over all scanned documents. Of the
+words that a file and a template share, the file's rarest are looked up; a posting
+at template position q met at file position p gives the alignment p - q. The
+alignments are intersected: one stays only if every looked-up word has it (within
+a few words). At least three distinct words must be looked up (all, in a template of
+fewer), and one of them must lie outside the key phrases where the template has such
+words. An alignment counts when the template's mandatory key phrases stand there too.
 
 A template marked exact is a phrase: its whole text is its key phrase and no
 word may shift, so every place where the phrase stands is found through its
 rarest word and nothing else is.
 
+A wording that lacks a word of its template is still found, unless that word is among
+the file's rarest and stands elsewhere in the file only.
+
 Two passes over the texts, both without a wide shuffle: document frequencies of
 the template words (bounded by the templates, not by the data), then the scan.
 
@@ -22,6 +26,7 @@ an empty label list; rows repeat as they are; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +41,7 @@ from frameprep.llm.common import sliced, text_or_empty
 _SEPARATE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-RARE_WORDS = 3  # words of a template that are looked up
+RARE_WORDS = 3  # words of a template that are looked up in a file
 SLACK = 3  # words by which a long template may be stretched
 
 
@@ -55,15 +60,14 @@ BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general publi
 TEMPLATES = (
     Template("agpl", "gnu affero general public license", ("affero general public license",)),
     Template("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
+    Template("apache-2.0", "apache license version 2 0", ("apache license", "version 2 0")),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
              ("source and binary forms", "with or without modification")),
-    Template("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
+    Template("cc-by", "cc by 4 0", ("cc by 4 0",)),
+    Template("cc-by-nc", "cc by nc 4 0", ("cc by nc 4 0",)),
+    Template("cc-by-sa", "cc by sa 4 0", ("cc by sa 4 0",)),
     Template("cc0", "cc0 1 0 universal public domain dedication", ("cc0", "public domain dedication")),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3",
-             ("gnu general public license", "version 3")),
+    Template("gpl-3.0", "gnu general public license version 3", ("gnu general public license", "version 3")),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose",
              ("permission to use copy modify", "for any purpose")),
     Template("lgpl", "gnu lesser general public license", ("lesser general public license",)),
@@ -84,47 +88,79 @@ def _base_templates() -> list[Template]:
 
 
 class RareTokenIndex:
-    """Postings of the templates' rarest words, with alignment and key-phrase checks."""
+    """Postings of all template words; lookup, intersection and key-phrase checks per file."""
 
     def __init__(self, templates: list[Template], idf: dict[bytes, float]):
         self.templates = templates
         self.words = [t.text.encode().split() for t in templates]
-        self.keys = []
         self.weight = idf
+        self.keys: list[list[tuple[int, list[bytes]]]] = []
+        self.free: list[frozenset[bytes]] = []  # template words outside the key phrases
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (t, words) in enumerate(zip(templates, self.words)):
-            spots = []
-            for phrase in t.keys:
-                p = phrase.encode().split()
-                spots.append((next(i for i in range(len(words)) if words[i:i + len(p)] == p), p))
-            self.keys.append(spots)
-            rare = sorted(range(len(words)), key=lambda i: (-idf.get(words[i], 0.0), i))
-            for i in rare[: 1 if t.exact else RARE_WORDS]:
-                self.postings[words[i]].append((k, i))
+            phrases = [p.encode().split() for p in t.keys]
+            self.keys.append([(next(i for i in range(len(words)) if words[i:i + len(p)] == p), p) for p in phrases])
+            self.free.append(frozenset(words).difference(*phrases))
+            for q, w in enumerate(words):
+                self.postings[w].append((k, q))
+        self.by_rarity = sorted(self.postings, key=lambda w: (-idf.get(w, 0.0), w))
+
+    def looked_up(self, present: set[bytes]) -> dict[int, list[bytes]]:
+        """Per template the file's rarest words of it, where they are enough to place it."""
+        shared: dict[int, list[bytes]] = defaultdict(list)
+        for w in self.by_rarity:
+            if w in present:
+                for k in {k for k, _ in self.postings[w]}:
+                    shared[k].append(w)
+        out = {}
+        for k, found in shared.items():
+            if self.templates[k].exact:
+                if len(found) == len(set(self.words[k])):
+                    out[k] = found[:1]
+                continue
+            rare = found[:RARE_WORDS]
+            free = [w for w in found if w in self.free[k]]
+            if self.free[k] and free and not self.free[k].intersection(rare):
+                rare.append(free[0])
+            if len(rare) >= min(RARE_WORDS, len(set(self.words[k]))) and (free or not self.free[k]):
+                out[k] = rare
+        return out
+
+    def alignments(self, k: int, rare: list[bytes], at: dict[bytes, list[int]]) -> list[int]:
+        """Starts of template ``k`` that all words of ``rare`` agree on."""
+        slack = 0 if self.templates[k].exact else SLACK
+        starts = [sorted({p - q for t, q in self.postings[w] if t == k for p in at[w]}) for w in rare]
+        return [s for s in starts[0] if all(self._near(other, s, slack) for other in starts[1:])]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], float]:
         """(template, start) of every verified place, and the best coverage."""
-        get = self.postings.get
-        proposed: dict[int, set[int]] = defaultdict(set)
-        for p, hits in [(i, h) for i, h in enumerate(map(get, words)) if h is not None]:
-            for k, q in hits:
-                proposed[k].add(p - q)
+        chosen = self.looked_up(self.postings.keys() & set(words))
+        wanted = {w for rare in chosen.values() for w in rare}
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for p, w in enumerate(words):
+            if w in wanted:
+                at[w].append(p)
         places, best = [], 0.0
-        for k, starts in proposed.items():
+        for k, rare in sorted(chosen.items()):
             template, length = self.templates[k], len(self.words[k])
             slack, last = 0 if template.exact else SLACK, None
-            for s in sorted(starts):
+            for s in self.alignments(k, rare, at):
                 if last is not None and not template.exact and s - last <= 2 * SLACK:
                     continue
-                if not all(self._stands(words, s + at, phrase, slack) for at, phrase in self.keys[k]):
+                if not all(self._stands(words, s + q, phrase, slack) for q, phrase in self.keys[k]):
                     continue
                 last = s
                 places.append((k, s))
-                near = set(words[max(0, s - slack):s + length + slack])
+                near = set(words[max(0, s - slack):max(0, s + length + slack)])
                 total = sum(self.weight.get(w, 0.0) + 1e-9 for w in self.words[k])
                 best = max(best, sum(self.weight.get(w, 0.0) + 1e-9 for w in self.words[k] if w in near) / total)
         return places, min(1.0, best)
 
+    @staticmethod
+    def _near(starts: list[int], s: int, slack: int) -> bool:
+        i = bisect_left(starts, s - slack)
+        return i < len(starts) and starts[i] <= s + slack
+
     @staticmethod
     def _stands(words: list[bytes], at: int, phrase: list[bytes], slack: int) -> bool:
         return any(s >= 0 and words[s:s + len(phrase)] == phrase for s in range(at - slack, at + slack + 1))

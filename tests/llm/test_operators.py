@@ -154,6 +154,57 @@ def test_license_index_finds_stretched_texts():
     assert index.scan(licenses.words_of("permission is hereby refused to any person"))[0] == []
 
 
+def brute_alignments(template, idf, words):
+    """Every start where all of the text's rarest words of the template and its key phrases stand."""
+    t = template.text.encode().split()
+    keys = [k.encode().split() for k in template.keys]
+    shared = sorted(set(t) & set(words), key=lambda w: (-idf[w], w))
+    outside = [w for w in shared if not any(w in k for k in keys)]
+    rare = shared[:3]
+    if set(t) - {w for k in keys for w in k}:
+        if not outside:
+            return []
+        rare += outside[:1] if not set(outside) & set(rare) else []
+    if len(rare) < min(3, len(set(t))):
+        return []
+    near = lambda s, slot: abs(slot - s) <= licenses.SLACK
+    agree = lambda s, w: any(near(s, p - q) for q in range(len(t)) if t[q] == w for p in range(len(words)) if words[p] == w)
+    stands = lambda s, k: any(words[p:p + len(k)] == k and near(s, p - next(i for i in range(len(t)) if t[i:i + len(k)] == k))
+                              for p in range(len(words)))
+    starts = [p - q for q in range(len(t)) if t[q] == rare[0] for p in range(len(words)) if words[p] == rare[0]]
+    return [s for s in sorted(set(starts)) if all(agree(s, w) for w in rare) and all(stands(s, k) for k in keys)]
+
+
+def test_license_alignments_are_intersected():
+    rnd = random.Random(5)
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in t.text.encode().split()})
+    idf = {w: rnd.random() * 9 for w in vocabulary}
+    index = licenses.RareTokenIndex(list(licenses.TEMPLATES), idf)
+    found = 0
+    for _ in range(600):
+        words = [rnd.choice(vocabulary + [b"zz"] * 40) for _ in range(rnd.randint(0, 30))]
+        for t in rnd.sample(licenses.TEMPLATES, rnd.randint(0, 2)):
+            part = t.text.encode().split()
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                part.insert(rnd.randint(0, len(part)), b"zz") if rnd.random() < 0.6 else part.pop(rnd.randrange(len(part)))
+            at = rnd.randint(0, len(words))
+            words[at:at] = part
+        got = {k for k, _ in index.scan(words)[0]}
+        assert got == {k for k, t in enumerate(licenses.TEMPLATES) if brute_alignments(t, idf, words)}
+        found += len(got)
+    assert found > 200
+
+
+def test_one_rare_word_gets_no_license_label():
+    index = licenses.RareTokenIndex(list(licenses.TEMPLATES), defaultdict(lambda: 1.0))
+    said = lambda text: {licenses.TEMPLATES[k].label for k, _ in index.scan(licenses.words_of(text))[0]}
+    for text in ("redistribution", "unencumbered", "", "source and binary forms with or without modification",
+                 "redistribution " + "x " * 30 + "source and binary forms with or without modification"):
+        assert said(text) == set()
+    assert said("Redistribution and use in source and binary forms, with or without modification, are permitted") == {"bsd"}
+    assert said("GNU General Public License, version 3") == {"gpl-3.0"} and said("Apache License, Version 2.0") == {"apache-2.0"}
+
+
 # --- top-k ------------------------------------------------------------------------------
 
 
