@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameprep.llm.common import sliced, staged, tasks_for, text_or_empty
@@ -125,8 +125,8 @@ def _sketcher(depths: list[int]):
                 sizes.append(len(s))
                 tries.append(prefixes(s, depths).view(np.int64).reshape(-1) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(tries, pa.list_(pa.int64()))], ["doc_id", "node", "size", "trie"])
+                [batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
+                 pa.array(tries, pa.list_(pa.int64()))], ["doc_id", "tag", "node", "size", "trie"])
     return run
 
 
@@ -235,9 +235,18 @@ def _verify(threshold: float):
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size, n_links (other
     documents with similarity of at least ``threshold``) of every document."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    classed = _classed(docs, threshold, id_col, text_col, F.lit(None).cast("string"))
+    groups = classed.where("comp is not null").groupBy("comp").agg(
+        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return classed.join(groups, "comp", "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "n_links")
+
+
+def _classed(docs: DataFrame, threshold: float, id_col: str, text_col: str, tag: Column) -> DataFrame:
+    """doc_id, tag, comp (null: joins nothing) and n_links of every row of ``docs``, written."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), tag.alias("tag"))
     depths = matched_depths(threshold)
-    rows = staged(src.mapInArrow(_sketcher(depths), "doc_id long, node binary, size long, trie array<long>"), "sketch")
+    rows = staged(src.mapInArrow(_sketcher(depths), "doc_id long, tag string, node binary, size long, trie array<long>"), "sketch")
     tasks = tasks_for(rows.count())
     named = rows.where("node is not null")
     # candidates may meet under a short id: what they lead to is compared whole
@@ -250,12 +259,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     per_node = sized.join(linked, "node", "left").join(classes, "node", "left").select(
         "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("comp", "node").alias("comp"))
-    marked = rows.select("doc_id", F.col("node").alias("n")).join(per_node, F.col("n") == F.col("node"), "left")
-    classed = staged(marked.select("doc_id", "comp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes", tasks)
-    groups = classed.where("comp is not null").groupBy("comp").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(groups, "comp", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "n_links")
+    marked = rows.select("doc_id", "tag", F.col("node").alias("n")).join(per_node, F.col("n") == F.col("node"), "left")
+    return staged(marked.select("doc_id", "tag", "comp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes", tasks)
 
 
 def _verified(src: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
@@ -284,7 +289,19 @@ def _verified(src: DataFrame, members: DataFrame, threshold: float) -> DataFrame
         _verify(threshold), "node binary, links long, other binary").coalesce(bins + int(blocks))
 
 
-def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id names their class; columns unchanged."""
-    drop = jaccard_join(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every class: that of the smallest id (null ids last, then the smallest
+    digest of the row's text); columns unchanged. Rows are told apart by id and text, so a
+    repeated id takes no row of another text with it; of rows repeated as they are, one
+    stays. Texts without words are in no class and all stay."""
+    key = F.sha2(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"), text_or_empty(text_col)), 256)
+    rows = _classed(docs, threshold, id_col, text_col, key).where("comp is not null")
+    first = rows.groupBy("comp").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag"))["tag"].alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = rows.join(first.where("n > 1"), "comp").where("tag <> kept").select(F.col("tag").alias("key")).distinct()
+    repeated = staged(rows.groupBy(F.col("tag").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated", 1)
+    left = docs.select(F.struct("*").alias("doc"), key.alias("key")).join(gone, "key", "left_anti")
+    if not repeated.isEmpty():
+        again = left.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+        left = left.join(repeated, "key", "left_anti").unionByName(again)
+    return left.select("doc.*")

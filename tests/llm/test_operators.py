@@ -326,6 +326,17 @@ def test_one_row_per_class(docs):
     assert 30 in ids and not ids & {31, 32, 33, 34} and {40, 41, 42, 43, 45, 51} <= ids
 
 
+def test_one_row_per_class_with_repeated_and_null_ids(spark):
+    a, b = X.prose(150, 1), X.prose(90, 2)
+    near, far, other = X.changed(a, 30), X.prose(80, 3), X.prose(70, 4)
+    rows = [(1, a), (5, near), (5, far), (None, a), (None, near), (None, other), (7, b), (7, b), (7, X.changed(b, 20)), (9, far),
+            (8, None), (8, None), (None, ""), (None, "")]
+    left = Counter((r["doc_id"], r["text"]) for r in jaccard_join.keep_one_per_class(X.frame(spark, rows)).collect())
+    seven = [t for i, t in left if i == 7]
+    assert len(seven) == 1 and seven[0] in (b, X.changed(b, 20))
+    assert left == Counter([(1, a), (5, far), (None, other), (7, seven[0]), (8, None), (8, None), (None, ""), (None, "")])
+
+
 def test_components_of_long_chains(spark):
     n = 300
     edges = [(k, k + 1) for k in range(n)] + [(1000, 1001), (1001, 1002), (1002, 1000), (7, 7)]
