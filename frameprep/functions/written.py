@@ -36,6 +36,7 @@ def discard(*frames: DataFrame) -> None:
         path = getattr(df, "_written_path", None)
         if path is not None:
             _delete(df.sparkSession, path)
+            _PATHS[:] = [entry for entry in _PATHS if entry[1] != path]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
