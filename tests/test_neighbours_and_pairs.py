@@ -69,6 +69,25 @@ def test_neighbours_of_copies_ties_and_small_classes(spark):
         assert got == _brute(rows, k)
 
 
+def test_neighbours_of_a_plane_meet_a_bounded_number_of_points(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n, k = 20_000, 5  # more than one region
+    x = np.column_stack([rng.integers(0, 1500, n), rng.exponential(60, n).round(2)])
+    rows, points = _points(spark, x, np.zeros(n, int))
+    met, real = [], K.meetings
+    monkeypatch.setattr(K, "meetings", lambda placed, *rest: met.append((placed, real(placed, *rest))) or met[0][1])
+    got = {r["__id"]: r["__nbrs"] for r in K.exact_neighbours(points, k, 2).collect()}
+    assert len(got) == n
+    ids, at = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    for i in range(0, n, 40):
+        d = ((at - at[i]) ** 2).sum(axis=1)
+        assert got[ids[i]] == [int(j) for j in ids[np.lexsort((ids, d))] if j != ids[i]][:k]
+    cell = ["__cls", "__cell", "__ring"]
+    assert met[0][0].select("__cell").distinct().count() > 1
+    pairs = met[0][1].join(met[0][0].groupBy(*cell).count(), cell).agg(F.sum("count")).first()[0]
+    assert pairs < 500 * n
+
+
 def test_neighbours_where_nothing_can_be_ruled_out(spark):
     rows, points = _points(spark, np.random.default_rng(5).normal(size=(700, 70)), np.arange(700) % 2)
     got = {(r["__cls"], r["__id"]): r["__nbrs"] for r in K.exact_neighbours(points, 4, 70).collect()}
