@@ -267,3 +267,18 @@ def test_approximate_mode_is_close(spark):
     a = exact_quantiles(li, ["l_extendedprice"], [0.25, 0.5, 0.75], approx=True)["l_extendedprice"]
     spread = e[2] - e[0]
     assert all(abs(x - y) <= 0.01 * spread for x, y in zip(e, a))
+
+
+def test_fingerprint_deals_a_table_to_tasks_of_bounded_size(spark, monkeypatch, tmp_path):
+    from frameprep.plans.registry import pipeline as Q
+
+    n, read = 3000, []
+    for name, key in Q._PRINTED.items():  # one key is in nearly all rows, one is missing
+        spark.range(n).select(F.when(F.col("id") == 7, None).otherwise(F.greatest("id", F.lit(2900))).cast("int").alias(key),
+                              F.col("id").alias("v")).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(Q, "DEALT_ROWS", 100, raising=False)
+    real = Q.fingerprint
+    monkeypatch.setattr(Q, "fingerprint", lambda df: read.append(df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]) or real(df))
+    got = Q.q_fingerprint(spark, str(tmp_path)).collect()
+    assert [tuple(r)[1:] for r in got] == [(n, True, True)] * len(Q._PRINTED)
+    assert max(read[1::3]) < 300  # the table dealt out anew
