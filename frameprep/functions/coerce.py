@@ -80,6 +80,8 @@ DATETIME_SHAPES = {
     "yyyy-MM-dd hh:mm a": r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2} [AaPp][Mm]\s*$",
     "yyyyMMdd": r"^\s*\d{8}\s*$",
 }
+# What every shape above holds: one search that rules out most text at once.
+DATETIME_HINT = r"\d{4}"
 # Column names that are time parts and are never scaled.
 TEMPORAL_NAMES = ("year", "date", "month", "day", "timestamp")
 # ---------------------------------------------------------------------------

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameprep.functions.coerce import as_number, normalise_value
+from frameprep.functions.coerce import as_number, nan_to_null, normalise_value
 from frameprep.functions.written import discard, written
 
 APPROX_ACCURACY = 10_000
@@ -392,14 +392,30 @@ def order_exact(c: str, dt: T.DataType) -> Column:
     return F.col(c).try_cast("decimal(38,18)") if whole else F.lit(None).cast("decimal(38,18)")
 
 
+def _value_hashes(c: str, dt: T.DataType) -> tuple[Column, Column, Column]:
+    """Two hashes that tell values apart as their texts do, and whether the value is missing.
+
+    A type of at most eight bytes has one text for each value, and its first hash is
+    one to one: numbers and times are not written out as text. (A TIMESTAMP may have
+    one local time for two instants, and keeps its text.)"""
+    col = F.col(c)
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        d = nan_to_null(col.cast("double"))
+        v = F.when(d == 0, F.lit(0.0)).otherwise(d)
+    elif isinstance(dt, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampNTZType)):
+        v = col
+    else:
+        v = normalise_value(col, dt)
+        return *_hashes(v), v.isNull().alias("missing")
+    return F.xxhash64(v).alias("h"), F.lit(0).cast("long").alias("g"), v.isNull().alias("missing")
+
+
 def value_hashes(df: DataFrame, cols: list[str], keep_null: bool = False) -> DataFrame:
     """(column, cnt) for every distinct value of each column, grouped on the value's
-    128-bit hash: whole texts stay where they are."""
-    items = []
-    for c in cols:
-        v = normalise_value(F.col(c), df.schema[c].dataType)
-        items.append(F.struct(F.lit(c).alias("column"), *_hashes(v), v.isNull().alias("missing")))
+    128-bit hash: whole texts stay where they are, and a column travels as its number."""
+    items = [F.struct(F.lit(i).alias("at"), *_value_hashes(c, df.schema[c].dataType)) for i, c in enumerate(cols)]
     exploded = df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
     if not keep_null:
         exploded = exploded.where(~F.col("missing"))
-    return exploded.groupBy("column", "h", "g", "missing").agg(F.count(F.lit(1)).alias("cnt")).select("column", "cnt")
+    names = F.array(*[F.lit(c) for c in cols])
+    return exploded.groupBy("at", "h", "g", "missing").agg(F.count(F.lit(1)).alias("cnt")).select(F.get(names, F.col("at")).alias("column"), "cnt")

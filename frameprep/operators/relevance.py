@@ -113,9 +113,15 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str,
     chunks = [products[i:i + PRODUCTS_PER_CHUNK] for i in range(0, len(products), PRODUCTS_PER_CHUNK)]
     table = F.from_json(F.lit(json.dumps([{"a": [p for p, _ in ch], "b": [q for _, q in ch]} for ch in chunks])),
                         F.lit("array<struct<a:array<int>,b:array<int>>>"))
-    rows = df.select(F.array(*centred, *[c * c for c in centred], *masks).alias("v")).select("v", F.posexplode(table).alias("chunk", "at"))
+    entries = [*centred, *[c * c for c in centred], *masks]
+    rows = df.select(F.array(*entries).alias("v")).select("v", F.posexplode(table).alias("chunk", "at"))
     width = max(map(len, chunks))
-    sums = rows.groupBy("chunk").agg(*[
+    if len(products) <= SCREEN_CHUNK:  # few enough for one compiled aggregate over plain columns
+        used = sorted({e for p in products for e in p})
+        plain = df.select(*[entries[e].alias(f"e{e}") for e in used])
+        sums = plain.agg(F.lit(0).alias("chunk"), *[F.sum(F.col(f"e{a}") * F.col(f"e{b}")).alias(f"s{j}") for j, (a, b) in enumerate(products)]).collect()
+    else:
+        sums = rows.groupBy("chunk").agg(*[
         F.sum(F.get("v", F.get("at.a", F.lit(j))) * F.get("v", F.get("at.b", F.lit(j)))).alias(f"s{j}") for j in range(width)]).collect()
     got = {p: r[f"s{j}"] for r in sums for j, p in enumerate(chunks[r["chunk"]])}
     out: dict[tuple[str, str], float | None] = {}

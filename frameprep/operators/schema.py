@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from frameprep.functions.coerce import (
     DATETIME_FORMATS,
+    DATETIME_HINT,
     as_number,
     normalise_value,
     parse_datetime,
@@ -66,6 +67,11 @@ def sample_plan(df: DataFrame, cols: list[str], order_by: str | None = None, k:
     types = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for c in cols:
+        if order is not None and order_by is None:  # a place is one row's alone: only the rows kept are written as text
+            value = normalise_value(F.col(c), types[c])
+            first = df.where(value.isNotNull()).select(F.col(c), *keys).orderBy(SEEN).limit(k)
+            parts.append(first.select(F.lit(c).alias("column"), value.alias("value")))
+            continue
         part = df.select(F.lit(c).alias("column"), normalise_value(F.col(c), types[c]).alias("value"), order_number(c, types[c]).alias("num"),
                          order_exact(c, types[c]).alias("exact"), *keys).where(F.col("value").isNotNull())
         parts.append(part.orderBy(*[SEEN] * len(keys), F.asc_nulls_last("num"), F.asc_nulls_last("exact"), "value").limit(k).select("column", "value"))
@@ -82,6 +88,19 @@ def sample_values(df: DataFrame, cols: list[str], order_by: str | None = None, k
     return {c: ",".join(v) for c, v in got.items()}
 
 
+def _format_counts(df: DataFrame, cols: list[str]) -> dict[str, list[int]]:
+    """How many values of each text column every candidate format reads. Text that cannot be
+    a date is dropped by one search, before the aggregate that holds all the parsers."""
+    out = {c: [0] * len(DATETIME_FORMATS) for c in cols}
+    if not cols:
+        return out
+    maybe = [F.when(F.col(c).rlike(DATETIME_HINT), F.struct(F.lit(i).alias("at"), F.col(c).cast("string").alias("text"))) for i, c in enumerate(cols)]
+    texts = df.select(F.explode(F.array(*maybe)).alias("s")).where("s is not null").select("s.at", "s.text")
+    for r in texts.groupBy("at").agg(*[F.count(parse_datetime(F.col("text"), f)).alias(f"d{j}") for j, (f, _) in enumerate(DATETIME_FORMATS)]).collect():
+        out[cols[r["at"]]] = [int(r[f"d{j}"]) for j in range(len(DATETIME_FORMATS))]
+    return out
+
+
 def analyze_schema(df: DataFrame, order_by: str | None = None, exact: bool = True) -> DataFrame:
     """One evidence row per column, in column order. An already numeric
     column has datetime % 0; a text column is parsed under every candidate
@@ -92,11 +111,9 @@ def analyze_schema(df: DataFrame, order_by: str | None = None, exact: bool = Tru
         dt = df.schema[c].dataType
         exprs.append(F.count_if(is_missing(df, c)).alias(f"m{i}"))
         exprs.append(F.count(as_number(df, c)).alias(f"num{i}"))
-        if isinstance(dt, T.StringType):
-            for j, (fmt, _) in enumerate(DATETIME_FORMATS):
-                exprs.append(F.count(parse_datetime(F.col(c), fmt)).alias(f"d{i}_{j}"))
     row = df.agg(*exprs).first()
     n = int(row["n"])
+    formats = _format_counts(df, [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)])
     if exact:
         freq = value_hashes(df, cols)
         per = {r["column"]: (int(r["d"]), int(r["top"]))
@@ -119,7 +136,7 @@ def analyze_schema(df: DataFrame, order_by: str | None = None, exact: bool = Tru
         upct = pct(uniq, present)
         fmt = None
         if isinstance(dt, T.StringType):
-            counts = [int(row[f"d{i}_{j}"]) for j in range(len(DATETIME_FORMATS))]
+            counts = formats[c]
             best = max(range(len(counts)), key=lambda j: (counts[j], -j))
             date_ok = counts[best]
             fmt = DATETIME_FORMATS[best][0] if date_ok > 0 else None
@@ -150,13 +167,8 @@ def analyze_schema(df: DataFrame, order_by: str | None = None, exact: bool = Tru
 
 def best_datetime_formats(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     """The candidate format that reads the most values of each text column, in one pass."""
-    if not cols:
-        return {}
-    row = df.agg(*[F.count(parse_datetime(F.col(c), f)).alias(f"d{i}_{j}")
-                   for i, c in enumerate(cols) for j, (f, _) in enumerate(DATETIME_FORMATS)]).first()
     out = {}
-    for i, c in enumerate(cols):
-        counts = [int(row[f"d{i}_{j}"]) for j in range(len(DATETIME_FORMATS))]
+    for c, counts in _format_counts(df, cols).items():
         best = max(range(len(counts)), key=lambda j: (counts[j], -j))
         out[c] = DATETIME_FORMATS[best][0] if counts[best] > 0 else None
     return out

@@ -282,3 +282,27 @@ def test_fingerprint_deals_a_table_to_tasks_of_bounded_size(spark, monkeypatch,
     got = Q.q_fingerprint(spark, str(tmp_path)).collect()
     assert [tuple(r)[1:] for r in got] == [(n, True, True)] * len(Q._PRINTED)
     assert max(read[1::3]) < 300  # the table dealt out anew
+
+
+def test_distinct_values_are_hashed_as_they_are(spark):
+    """Numbers and times are counted without being written out as text, one search comes before
+    the parsers, and the counts are those of the texts."""
+    import datetime as dt
+
+    from frameprep.functions.coerce import DATETIME_FORMATS, parse_datetime
+    from frameprep.functions.stats import value_hashes
+    from frameprep.operators import schema as S
+
+    day = dt.datetime(2020, 1, 2, 3, 4, 5)
+    rows = [(0.0, 1, day, "2020-01-02", True), (-0.0, 1, day, "02/01/2020 10:00", None), (float("nan"), None, None, "no date", False),
+            (float("inf"), -1, day.replace(microsecond=1), "20200102", True), (None, 2, day, None, True), (1.5, 2, None, "5 Mar 2021", None)]
+    df = spark.createDataFrame(rows, "d DOUBLE, i BIGINT, t TIMESTAMP_NTZ, s STRING, b BOOLEAN")
+    plan = value_hashes(df, ["d", "i", "t", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "as string" not in plan
+    got = {}
+    for r in value_hashes(df, df.columns).collect():
+        got.setdefault(r["column"], []).append(r["cnt"])
+    assert {c: sorted(v) for c, v in got.items()} == {"d": [1, 1, 2], "i": [1, 2, 2], "t": [1, 3], "s": [1] * 5, "b": [1, 3]}
+    assert sorted(r["cnt"] for r in value_hashes(df, ["d"], keep_null=True).collect()) == [1, 1, 2, 2]
+    one = df.agg(*[F.count(parse_datetime(F.col("s"), f)).alias(str(j)) for j, (f, _) in enumerate(DATETIME_FORMATS)]).first()
+    assert S._format_counts(df, ["s"]) == {"s": list(one)}
