@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from frameprep.llm import (byte_bpe, components, exact_dedup, jaccard_join, language_model, licenses, line_dedup, mixing, pii, quality,
                            queries, topk)
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_ORACLE, SF_SMALL
 from tests.llm import fixtures as X
 
 RANKS = byte_bpe.load_ranks(public_tokenizers.path(queries.TOKENIZER))
@@ -398,6 +398,49 @@ def test_lm_probabilities_sum_to_one(spark, docs):
         assert total == whole
 
 
+def test_lm_history_tells_words_of_one_class_apart(spark):
+    by_class = defaultdict(list)
+    for k in range(2000):
+        by_class[language_model.spelling_class(b"w%d" % k)].append(f"w{k}")
+    (w, x), (a, b) = [v[:2] for v in list(by_class.values())[:2]]  # w and x are of one class, a and b too
+    frequent = [f"f{k}" for k in range(language_model.OWN_CLASSES + 1)] * 3
+    text = " ".join(frequent + [w, a] + frequent + [x, b] + frequent)
+    rows = [(k, text) for k in range(150)] + [(1000, f"{w} {a}"), (1001, f"{w} {b}"), (1002, f"{x} {b}"), (1003, f"{x} {a}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_model.lm_score(docs, F.col("doc_id") >= 1000).collect()}
+    assert math.isclose(got[1000]["base_score"], got[1001]["base_score"])  # the same counts
+    assert got[1000]["score"] + got[1002]["score"] > got[1001]["score"] + got[1003]["score"] + 0.3  # equal, were histories classes
+
+
+def test_lm_probabilities_of_all_tokens_sum_to_one(spark, docs):
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    counts = language_model.token_counts(texts)
+    vocab = language_model.vocabulary(counts, 300)
+    weights = language_model.train(texts, vocab, 2)
+    every = np.arange(language_model.CLASSES)
+    for history in (0, 5, 7 << language_model.WORD_BITS | 3, language_model.START):
+        code = np.array([history])
+        p = np.exp(language_model._log_softmax(weights, code)[0].astype(float))
+        inner = np.exp(language_model._log_members(weights, np.repeat(code, language_model.CLASSES), every).astype(float))
+        total, last = 0.0, language_model.MEMBERS
+        for r in counts.collect():
+            word = vocab.words([bytes(r["token"])])[0][0]
+            k, outcome = vocab.classes[word], vocab.outcomes[word]
+            share = 1.0 if k <= language_model.OWN_CLASSES else inner[k, outcome]
+            total += p[k] * share * ((r["c"] + 1) / vocab.member_n[k, last] if k > language_model.OWN_CLASSES and outcome == last else 1.0)
+        spelt = every > language_model.OWN_CLASSES  # one slot for the unseen tokens of each
+        total += (p * inner[:, last] / vocab.member_n[:, last])[spelt].sum()
+        own = {vocab.class_of(t) for t in vocab.own}
+        total += sum(p[k] for k in every[~spelt] if k not in own)  # small tables leave classes without a word
+        assert math.isclose(total, 1, rel_tol=1e-4)
+
+
+def test_lm_context_is_worth_three_times_that_of_classes(spark):
+    got = [r for r in queries.op6_lm_score(spark, SF_ORACLE).collect() if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in got) / sum(r["n_tokens"] for r in got)
+    assert gain > 0.159  # log10 a token; histories of classes gave 0.053
+
+
 # --- quality ---------------------------------------------------------------------------------------
 
 
