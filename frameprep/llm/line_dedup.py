@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 Distinct lines are made of their character shingles (``SHINGLE`` characters at
-every position). A line's signature has ``BANDS * ROWS`` independent minhashes over all
-of its shingles, whatever its length. Shingles are reduced on the partitioning that the
+every position). A line's signature has ``BANDS * ROWS`` minhashes over all of its
+shingles, whatever its length: a hash for every row of a band, a mask for every band. Shingles are reduced on the partitioning that the
 line aggregate already has: they are never shuffled. Beside the signature a line has a
 sketch, a bitmap of its shingles: where two sketches differ by more bits than two sets at
 the threshold can differ by, the pair needs no comparison (no match is lost).
@@ -25,10 +25,12 @@ doc_id sorts first; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from random import Random
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameprep.llm.common import staged, tasks_for, text_or_empty
+from frameprep.llm.common import forget, release_since, staged, staged_so_far, tasks_for, text_or_empty
 from frameprep.llm.components import components
 
 SHINGLE = 8
@@ -39,6 +41,11 @@ SMALL = 4  # lines of a bucket whose pairs are all compared at once
 BLOCK = 256  # lines of a block of a larger bucket
 WORDS = 4  # of 64 bits: a sketch of a line's shingles, from which a pair's difference has a lower bound
 BITMAP = 1 << 23  # bits of the fixed-size filter for candidate lines
+FINE = 16  # the same of the lines that are compared
+TOGETHER = 8  # shingles of a line that are reduced in one row
+_random = Random(2)
+# one for every minhash: the bands of an order of shingles start in different eighths of it
+MASKS = [((j // ROWS << 61) | _random.getrandbits(61)) - (1 << 63) for j in range(BANDS * ROWS)]
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,6 +72,33 @@ def _shingles(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
 
 
+def _wide(line: Column) -> Column:
+    """Four bytes a character: a shingle is a slice, whatever the alphabet, and is found without a search."""
+    return F.encode(F.make_valid_utf8(line), "UTF-32")
+
+
+def _hashed(lines: DataFrame, keep: list[str], together: int) -> DataFrame:
+    """``keep`` and the hashes x0_0, x0_1, .. of ``together`` places a row, of ``size`` places of ``line``;
+    the last row of a line has its last place several times: sets do not change by it."""
+    places = lines.select(*keep, _wide(F.col("line")).alias("wide")).select(
+        *keep, "wide", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(together))).alias("i"))
+    shingle = [F.substring("wide", 4 * F.least(F.col("i") + k, F.col("size") - 1) + 1, F.lit(4 * SHINGLE)) for k in range(together)]
+    return places.select(*keep, *[F.xxhash64(x).alias(f"x0_{k}") for k, x in enumerate(shingle)])
+
+
+def _marks(words: int, together: int) -> list[Column]:
+    """A sketch: the bits of all hashes, in ``words`` words."""
+    mark = [" | ".join(f"if((shiftright(x0_{k}, 6) & {words - 1}) = {w}, shiftleft(1L, int(x0_{k} & 63)), 0L)" for k in range(together)) for w in range(words)]
+    return [F.expr(f"bit_or({bits})").alias(f"w{w}") for w, bits in enumerate(mark)]
+
+
+def _set(text: Column) -> Column:
+    """The hashes of a line's shingles. The text is bound once: it is not encoded again for every shingle."""
+    places = lambda wide: F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(wide) / 4).cast("int") - SHINGLE))
+    cut = lambda wide: F.transform(places(wide), lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * SHINGLE))))
+    return F.array_distinct(F.flatten(F.transform(F.array(_wide(text)), cut)))
+
+
 def _signatures(occ: DataFrame) -> DataFrame:
     """h, g, n, doc_id and line_no of the first occurrence, sketch, and the bands b0.. of
     every distinct line."""
@@ -73,30 +107,32 @@ def _signatures(occ: DataFrame) -> DataFrame:
     size = F.greatest(F.lit(1), F.length("line") - (SHINGLE - 1)).alias("size")
     # what belongs to a line is a key beside its hashes: numbers only, so the reduction needs no sort
     line = ["h", "g", "n", "doc_id", "line_no", "size"]
-    cells = distinct.select("h", "g", "n", "at.doc_id", "at.line_no", size, F.explode(_shingles(F.col("line"))).alias("s")).select(
-        *line, F.xxhash64("s").alias("x"))
-    low = [F.min(F.xxhash64(F.lit(j), "x")).alias(f"m{j}") for j in range(BANDS * ROWS)]
-    marks = [F.expr(f"bit_or(if((shiftright(x, 6) & {WORDS - 1}) = {w}, shiftleft(1L, int(x & 63)), 0L))").alias(f"w{w}") for w in range(WORDS)]
-    mins = cells.groupBy(*line).agg(*low, *marks)
+    rows = distinct.select("h", "g", "n", "at.doc_id", "at.line_no", size, "line")
+    cells = _hashed(rows, line, TOGETHER)
+    for r in range(1, ROWS):  # a hash, so an independent order of all shingles, for every row of a band
+        cells = cells.select("*", *[F.xxhash64(f"x{r - 1}_{k}").alias(f"x{r}_{k}") for k in range(TOGETHER)])
+    low = [F.min(F.least(*[F.col(f"x{j % ROWS}_{k}").bitwiseXOR(F.lit(MASKS[j])) for k in range(TOGETHER)])).alias(f"m{j}") for j in range(BANDS * ROWS)]
+    mins = cells.groupBy(*line).agg(*low, *_marks(WORDS, TOGETHER))
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
     return mins.select("h", "g", "n", "doc_id", "line_no", F.struct("size", *[f"w{w}" for w in range(WORDS)]).alias("sketch"), *bands)
 
 
-def _may_match(a: str, b: str, threshold: float) -> Column:
+def _may_match(a: str, b: str, threshold: float, words: int = WORDS) -> Column:
     """False only if two sketches show that the sets differ too much: every bit that one
     alone has is a shingle that the other has not."""
-    apart = sum((F.bit_count(F.col(f"{a}.w{w}").bitwiseXOR(F.col(f"{b}.w{w}"))) for w in range(WORDS)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}.w{w}").bitwiseXOR(F.col(f"{b}.w{w}"))) for w in range(words)), F.lit(0))
     return apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
 
 
-def _in_bitmap(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``lines`` whose hash bit is set by ``wanted`` (a superset of the
-    matching rows): a table of at most BITMAP / 32768 rows of 4 KB is broadcast."""
-    bit = (F.pmod("h", F.lit(BITMAP)) + 1).alias("bit")
+def _in_bitmap(lines: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """Rows of ``lines`` whose hash bit is set by one of the ``rows`` of ``wanted`` (a superset of the
+    matching rows): a table of bits / 32768 rows of 4 KB is broadcast, 32 MB at most."""
+    bits = min(max(BITMAP, 1 << (16 * rows).bit_length()), BITMAP << 5)
+    bit = (F.pmod("h", F.lit(bits)) + 1).alias("bit")
     maps = wanted.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    at = F.bitmap_bit_position(F.pmod("h", F.lit(BITMAP)) + 1)
-    marked = lines.withColumn("bucket", F.bitmap_bucket_number(F.pmod("h", F.lit(BITMAP)) + 1)).join(F.broadcast(maps), "bucket")
+    at = F.bitmap_bit_position(F.pmod("h", F.lit(bits)) + 1)
+    marked = lines.withColumn("bucket", F.bitmap_bucket_number(F.pmod("h", F.lit(bits)) + 1)).join(F.broadcast(maps), "bucket")
     byte = F.conv(F.hex(F.substring("map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return marked.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket", "map")
 
@@ -127,13 +163,21 @@ def _pairs_across(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose exact similarity reaches the threshold."""
-    both = pairs.join(sets.select(F.col("line").alias("a"), F.col("set").alias("sa")), "a").join(
-        sets.select(F.col("line").alias("b"), F.col("set").alias("sb")), "b")
-    sizes = F.size("sa") + F.size("sb")
-    close = F.least(F.size("sa"), F.size("sb")) >= F.lit(threshold) * F.greatest(F.size("sa"), F.size("sb"))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.where(close).where(inter >= F.lit(threshold) * (sizes - inter) - 1e-9).select("a", "b")
+    """Pairs (a, b) whose exact similarity reaches the threshold. ``sets`` has every line's ``set``, or its
+    ``text`` and a fine ``sketch``: then a set is made where a pair needs it, as texts are an eighth of the bytes."""
+    what = [c for c in sets.columns if c != "line"]
+    side = lambda x: sets.select(F.col("line").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in what])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    of = F.col if "set" in what else lambda c: _set(F.col(c.replace("set", "text")))
+    if "sketch" in what:
+        both = both.where(_may_match("sketch_a", "sketch_b", threshold, FINE))
+
+    def near(z: Column) -> Column:
+        m, n = F.size(z["a"]), F.size(z["b"])
+        inter = F.size(F.array_intersect(z["a"], z["b"]))
+        return (F.least(m, n) >= F.lit(threshold) * F.greatest(m, n)) & (inter >= F.lit(threshold) * (m + n - inter) - 1e-9)
+
+    return both.where(F.exists(F.array(F.struct(of("set_a").alias("a"), of("set_b").alias("b"))), near)).select("a", "b")
 
 
 def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -172,15 +216,25 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     """h, g (a distinct line), keep_doc, keep_line: of every line that has copies or near copies."""
     occ = _occurrences(docs, id_col, text_col)
     sigs = staged(_signatures(occ), "signatures")
+    forget(docs.sparkSession)
     line = F.struct("h", "g").alias("line")
-    band = F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "key")
-    keys = sigs.select(line, "sketch", band).select("line", "sketch", F.xxhash64("band", "key").alias("bucket"))
-    met = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    members = staged(keys.join(met, "bucket"), "members", tasks_for(sigs.count()))
+    band = F.explode(F.array(*[F.xxhash64(F.lit(b), f"b{b}") for b in range(BANDS)])).alias("bucket")
+    # a bucket and one hash of a line only: lines that share the hash, if any, meet as well
+    keys = sigs.select("h", band).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    met = staged(keys.where("k > 1").select("bucket", "h"), "met", tasks_for(sigs.count()))
+    forget(docs.sparkSession)
+    few = staged(met.select("h").distinct(), "wanted", tasks_for(met.count()))
+    rows = few.count()
+    known = _in_bitmap(sigs.select("h", "g", "sketch"), few, rows)
+    members = staged(met.join(known, "h").select("bucket", line, "sketch"), "members", tasks_for(sigs.count()))
     wanted = members.select("line.h", "line.g").distinct()
-    texts = _in_bitmap(occ.select("h", "g", F.col("line").alias("text")), wanted).join(wanted, ["h", "g"], "left_semi")
-    sets = staged(texts.groupBy("h", "g").agg(F.first("text").alias("text")).select(
-        line, F.array_distinct(F.transform(_shingles(F.col("text")), lambda x: F.xxhash64(x))).alias("set")), "sets")
+    texts = _in_bitmap(occ.select("h", "g", F.col("line").alias("text")), few, rows).join(wanted, ["h", "g"])
+    one = staged(texts.groupBy("h", "g").agg(F.first("text").alias("line")), "texts")
+    places = F.greatest(F.lit(1), F.length("line") - (SHINGLE - 1)).alias("size")
+    fine = _hashed(one.select("h", "g", places, "line"), ["h", "g", "size"], TOGETHER // 2).groupBy("h", "g", "size").agg(*_marks(FINE, TOGETHER // 2))
+    sets = staged(one.join(fine, ["h", "g"]).select(
+        line, F.col("line").alias("text"), F.struct("size", *[f"w{w}" for w in range(FINE)]).alias("sketch")), "sets")
+    forget(docs.sparkSession)
     comps = components(_links(members, sets, threshold)).select("node.h", "node.g", "comp")
     named = sigs.select("h", "g", "n", "doc_id", "line_no").join(comps, ["h", "g"], "left")
     alone = named.where("comp is null and n > 1").select("h", "g", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))
@@ -193,7 +247,9 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines (with text), n_kept, dropped (line numbers, ascending) of every document."""
+    mark = staged_so_far()
     classes = staged(line_classes(docs, threshold, id_col, text_col), "classes")
+    release_since(mark, classes)
     rows = staged(_documents(docs, id_col, text_col), "documents")
     occ = rows.select("doc_id", F.explode("lines").alias("z")).select("doc_id", "z.line_no", "z.h", "z.g")
     same = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))

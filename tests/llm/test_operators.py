@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from frameprep.llm import (byte_bpe, components, exact_dedup, jaccard_join, language_model, licenses, line_dedup, mixing, pii, quality,
+from frameprep.llm import (byte_bpe, common, components, exact_dedup, jaccard_join, language_model, licenses, line_dedup, mixing, pii, quality,
                            queries, topk)
 from tests.conftest import SF_ORACLE, SF_SMALL
 from tests.llm import fixtures as X
@@ -659,6 +660,24 @@ def test_line_dedup_query_finds_nearly_all(spark, whole):
     assert abs(sum(n * r[2] for r, n in got.items()) - sum(n * r[2] for r, n in want.items())) <= 0.002 * sum(n * r[1] for r, n in want.items())
 
 
+def test_line_dedup_carries_texts_and_frees_its_tables(spark, monkeypatch):
+    rnd, sizes, staged = random.Random(4), {}, line_dedup.staged
+    lines = ["".join(rnd.choices("abcdefghij klmnopqrs", k=900)) for _ in range(150)]
+    rows = [(k, line + "\n" + X.changed(line, k)) for k, line in enumerate(lines)]
+
+    def measured(df, tag, tasks=None):
+        out = staged(df, tag, tasks)
+        sizes[tag] = sum(p.stat().st_size for p in Path(out._staged_path.removeprefix("file:")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", measured)
+    before = common.staged_so_far()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert common.staged_so_far() - before <= 2  # what the result still reads
+    assert sizes["sets"] < 3 * sum(len(t) for _, t in rows)  # hashes of all shingles are eight times the text
+    assert said_lines(got) == brute_lines(rows)
+
+
 def drifting(n, seed):
     """A path: two places change in every step, so that only neighbours are near copies."""
     rnd = random.Random(seed)
