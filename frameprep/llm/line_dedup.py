@@ -11,7 +11,7 @@ Lines with an equal band meet in a bucket (a pair at 0.8 meets with probability
 0.997). All pairs of a small bucket are compared. In a larger
 one a leader is compared with all members, the lines that it matches are settled, and
 the next of ``ROUNDS`` leaders is drawn from the others; then all pairs of lines that
-the matches so far do not join are compared, in blocks. So a group of near copies
+the matches so far do not join are compared, in pairs of blocks. So a group of near copies
 around a leader costs one comparison a line, and a chain loses no link. Every
 comparison is an exact Jaccard similarity of the whole shingle sets. Distributed union-find over the matches
 gives the components; of a component (its exact copies included) the occurrence with
@@ -25,12 +25,14 @@ doc_id sorts first; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from random import Random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameprep.llm.common import forget, release_since, staged, staged_so_far, tasks_for, text_or_empty
+from frameprep.llm.common import forget, release, release_since, staged, staged_so_far, tasks_for, text_or_empty
 from frameprep.llm.components import components
 
 SHINGLE = 8
@@ -38,7 +40,7 @@ BANDS, ROWS = 8, 3
 THRESHOLD = 0.8
 ROUNDS = 3
 SMALL = 4  # lines of a bucket whose pairs are all compared at once
-BLOCK = 256  # lines of a block of a larger bucket
+BLOCK, PLACES = 512, 512  # lines of a block of a larger bucket, and the places a line that it has room for
 WORDS = 4  # of 64 bits: a sketch of a line's shingles, from which a pair's difference has a lower bound
 BITMAP = 1 << 23  # bits of the fixed-size filter for candidate lines
 FINE = 16  # the same of the lines that are compared
@@ -145,21 +147,39 @@ def _pairs_of(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _pairs_across(members: DataFrame, threshold: float) -> DataFrame:
-    """Lines of different ``comp`` that share a bucket and may match, each pair once. Large
-    buckets are cut into blocks: every pair of blocks is a cell, so no task holds a whole bucket."""
-    mixed = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
-    blocks = F.floor(F.col("k") / BLOCK).cast("int") + 1
-    what = ["bucket", "line", "sketch", "comp"]
-    own = members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").select(
-        *what, "blocks", F.pmod(F.xxhash64("line", F.lit("block")), F.col("blocks")).cast("int").alias("block"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*what, "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+def _across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Components (a, b) that a match joins: lines of different ``comp`` that share a bucket. Large buckets
+    are cut into blocks, and every pair of blocks is a cell: its lines go there with their texts, have their
+    sets made once and are compared there, so no task holds a whole bucket and no pair is written."""
+    made = "set" in sets.columns
+    fine = [] if made else ["size", *[f"w{w}" for w in range(FINE)]]
+    full = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("sketch.size") / (BLOCK * PLACES))
+    mixed = members.groupBy("bucket").agg((F.floor(full) + 1).cast("int").alias("blocks"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
+    own = members.join(mixed.select("bucket", "blocks"), "bucket").groupBy("line").agg(
+        F.first("comp").alias("comp"), F.collect_set(F.struct("bucket", "blocks")).alias("at"))
+    what = ["line", "comp", "buckets", "set" if made else "text", *fine]
+    dealt = own.join(sets, "line").select("line", "comp", F.col("at.bucket").alias("buckets"), "set" if made else "text",
+                                          *[f"sketch.{c}" for c in fine], F.explode("at").alias("z"))
+    dealt = dealt.select(*what, "z.bucket", "z.blocks", F.pmod(F.xxhash64("line", F.lit("block")), F.col("z.blocks")).cast("int").alias("block"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = ["bucket", "p", "q"]
-    a = dealt.where("block = p").select(*cell, F.col("line").alias("a"), F.col("sketch").alias("ka"), F.col("comp").alias("ca"))
-    b = dealt.where("block = q").select(*cell, F.col("line").alias("b"), F.col("sketch").alias("kb"), F.col("comp").alias("cb"))
-    both = a.join(b, cell).where("ca <> cb").where("p < q or a < b").where(_may_match("ka", "kb", threshold))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dealt = dealt.select(*what, "bucket", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def side(block: str) -> DataFrame:
+        there = dealt.where(F.col("block") == F.col(block)).drop("block").repartition(*cell)  # texts are dealt out, not sets
+        there = there if made else there.withColumn("set", _set(F.col("text"))).drop("text")
+        return there.withColumn("n", F.size("set"))
+
+    x, y = side("p").alias("x"), side("q").alias("y")
+    n = F.col("x.n") + F.col("y.n")
+    tests = [(F.col("x.p") < F.col("x.q")) | (F.col("x.line") < F.col("y.line")), F.col("x.comp") != F.col("y.comp"),
+             *([_may_match("x", "y", threshold, FINE)] if fine else []),
+             F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n"),
+             F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket"),  # once, wherever else they meet
+             F.size(F.array_intersect("x.set", "y.set")) * F.lit(1 + threshold) >= F.lit(threshold) * n - 1e-9]
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in cell]
+    both = x.join(y, reduce(and_, on + tests))
+    return both.select(F.least("x.comp", "y.comp").alias("a"), F.greatest("x.comp", "y.comp").alias("b")).distinct()
 
 
 def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -201,7 +221,9 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
         done = lead.join(both, F.col("line") == F.col("a")).select("bucket", F.col("b").alias("line")).unionByName(lead.select("bucket", "line")).distinct()
         open_ = staged(open_.join(done, ["bucket", "line"], "left_anti"), "open", tasks)
+        forget(members.sparkSession)
     out = staged(_matching(_pairs_of(small, small, threshold), sets, threshold), "met", tasks)
+    forget(members.sparkSession)
     for more in found:
         out = out.unionByName(more)
     if not found:
@@ -209,7 +231,8 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     # followers of different leaders may match too: all pairs that are not joined so far
     comps = components(out).select(F.col("node").alias("line"), "comp")
     apart = staged(others.join(comps, "line", "left").select("bucket", "line", "sketch", F.coalesce("comp", "line").alias("comp")), "apart", tasks)
-    return out.unionByName(_matching(_pairs_across(apart, threshold), sets, threshold))
+    forget(members.sparkSession)
+    return out.unionByName(_across(apart, sets, threshold))
 
 
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,6 +250,9 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     rows = few.count()
     known = _in_bitmap(sigs.select("h", "g", "sketch"), few, rows)
     members = staged(met.join(known, "h").select("bucket", line, "sketch"), "members", tasks_for(sigs.count()))
+    firsts = staged(sigs.select("h", "g", "n", "doc_id", "line_no"), "firsts")
+    release(sigs, met)  # what is still wanted of them is written
+    forget(docs.sparkSession)
     wanted = members.select("line.h", "line.g").distinct()
     texts = _in_bitmap(occ.select("h", "g", F.col("line").alias("text")), few, rows).join(wanted, ["h", "g"])
     one = staged(texts.groupBy("h", "g").agg(F.first("text").alias("line")), "texts")
@@ -234,9 +260,10 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     fine = _hashed(one.select("h", "g", places, "line"), ["h", "g", "size"], TOGETHER // 2).groupBy("h", "g", "size").agg(*_marks(FINE, TOGETHER // 2))
     sets = staged(one.join(fine, ["h", "g"]).select(
         line, F.col("line").alias("text"), F.struct("size", *[f"w{w}" for w in range(FINE)]).alias("sketch")), "sets")
+    release(one)
     forget(docs.sparkSession)
     comps = components(_links(members, sets, threshold)).select("node.h", "node.g", "comp")
-    named = sigs.select("h", "g", "n", "doc_id", "line_no").join(comps, ["h", "g"], "left")
+    named = firsts.join(comps, ["h", "g"], "left")
     alone = named.where("comp is null and n > 1").select("h", "g", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))
     grouped = named.where("comp is not null")
     first = grouped.groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))

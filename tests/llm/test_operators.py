@@ -707,6 +707,41 @@ def test_line_dedup_keeps_every_link_of_drifting_chains(spark, monkeypatch, bloc
     assert {(r["c"], r["alone"]) for r in got.collect()} == {(1, 0)}
 
 
+def exchanged(df):
+    """Most rows that went through an exchange of the plan that ``df`` ran."""
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        below = [walk(node.children().apply(k)) for k in range(node.children().size())]
+        return max([node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0, *below])
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_line_dedup_writes_no_pairs_of_a_large_group(spark):
+    rnd, texts = random.Random(5), set()
+    line = "".join(rnd.choices("abcdefghij klmnopqr", k=300))
+    while len(texts) < 300:  # similarities from 0.6 to 0.95: several components, and far more pairs than lines
+        other = list(line)
+        for _ in range(rnd.randint(2, 5)):
+            other[rnd.randrange(len(other))] = rnd.choice("0123456789")
+        texts.add("".join(other))
+    df = spark.createDataFrame([(1, at, x) for at, x in enumerate(sorted(texts))], "bucket BIGINT, at INT, text STRING").withColumn(
+        "line", F.struct(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))).cache()
+    sets = df.select("line", F.array_distinct(F.transform(line_dedup._shingles(F.col("text")), lambda x: F.xxhash64(x))).alias("set"))
+    sigs = line_dedup._signatures(df.select(F.lit(1).alias("doc_id"), F.col("at").alias("line_no"), F.col("text").alias("line"), "line.h", "line.g"))
+    members = df.select("bucket", "line", "line.h", "line.g").join(sigs, ["h", "g"]).select("bucket", "line", "sketch")
+    links = line_dedup._links(members, sets, 0.8)
+    assert exchanged(links) <= 8 * len(texts)  # of 44,850 pairs
+    comps = {r["line"]: r["comp"] for r in df.join(components.components(links).withColumnRenamed("node", "line"), "line").collect()}
+    want = brute_lines([(r["line"], r["text"]) for r in df.collect()])
+    assert len(texts) - len(comps) + len(set(comps.values())) == sum(n * r[2] for r, n in want.items())
+
+
 def edited(line, alphabet, rnd):
     """A near copy by edits of characters, of exact similarity 0.80 to 0.85."""
     k = line_dedup.SHINGLE
