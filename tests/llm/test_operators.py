@@ -442,6 +442,28 @@ def test_lm_context_is_worth_three_times_that_of_classes(spark):
     assert gain > 0.159  # log10 a token; histories of classes gave 0.053
 
 
+def test_lm_passes_over_a_large_corpus_as_often_as_over_a_small_one(spark, docs, monkeypatch):
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    vocab = language_model.vocabulary(language_model.token_counts(texts), 300)
+    vocab.n = 1 << 23  # as many tokens as a larger corpus has
+    seen, learner = spark.sparkContext.accumulator(0), language_model._learner
+
+    def counted(shared, now):
+        learn = learner(shared, now)
+
+        def run(batches):
+            def told():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+            return learn(told())
+        return run
+
+    monkeypatch.setattr(language_model, "_learner", counted)
+    language_model.train(texts, vocab, 3)
+    assert seen.value == 3 * docs.count()  # once, when the passes were cut to some number of tokens
+
+
 # --- quality ---------------------------------------------------------------------------------------
 
 
